@@ -7,7 +7,7 @@ Markdown, YAML, source code) with Spark and then reads that form. Whole texts go
 from pyspark.sql import functions as F
 
 from auditmill import params as P
-from auditmill.bindings.registry import SQL_BLANK, query, sql_strip, table
+from auditmill.bindings.registry import query, spread_table, sql_strip, table
 from auditmill.functions.lookup import to_csv
 from auditmill.operators import knowledge, segment
 from auditmill.sources import catalogue, guides, rules
@@ -19,6 +19,10 @@ def _docs(spark, sf):
     return table(spark, sf, "documents")
 
 
+def _spread_docs(spark, sf):
+    return spread_table(spark, sf, "documents", "doc_id", "source", "lang", "text", "n_chars")
+
+
 def _text(c):
     """An id as text."""
     return F.col(c).cast("string")
@@ -70,7 +74,7 @@ def _records(spark, sf):
         F.lit("</Demonstrative_Example></Demonstrative_Examples><Potential_Mitigations><Mitigation><Description>"), lang,
         F.lit('</Description></Mitigation><Mitigation Mitigation_ID="M1"><Description><xhtml:p>'), short,
         F.lit("</xhtml:p></Description></Mitigation></Potential_Mitigations>"))
-    return _docs(spark, sf).select(catalogue.cut_record(record).alias("record"))
+    return _spread_docs(spark, sf).select(catalogue.cut_record(record).alias("record"))
 
 
 @query(rf"""WITH {RECORDS}
@@ -129,7 +133,7 @@ def _marked(spark, sf):
     content = F.concat(F.lit("# "), "source", F.lit("\n"), F.array_join(lines, "\n"), F.lit("\n"), talk)
     names = F.array(*[F.lit(n) for n in NAMES])
     path = F.concat(F.element_at(names, (1 + F.col("doc_id") % 6).cast("int")), F.lit("_"), _text("doc_id"), F.lit("_Cheat_Sheet.md"))
-    return _docs(spark, sf).select("doc_id", F.concat(F.lit("/g/"), path).alias("path"), path.alias("rel_path"), content.alias("content"))
+    return _spread_docs(spark, sf).select("doc_id", F.concat(F.lit("/g/"), path).alias("path"), path.alias("rel_path"), content.alias("content"))
 
 
 @query(f"WITH {SECTIONS} SELECT doc_id, section_no, title, md5(body) AS body FROM sections")
@@ -203,7 +207,7 @@ def _rule_files(spark, sf):
         F.lit('rules:\n- {"id": "r'), _text("doc_id"), F.lit('", "message": '), quoted(F.col("text")), F.lit(', "languages": '),
         languages, F.lit(', "severity": "WARNING", "metadata": {'), weakness, severity, F.lit("}"), pattern, F.lit("}\n- other\n"))
     path = F.concat("lang", F.lit("/"), "source", F.lit("/r"), _text("doc_id"), F.lit(".yml"))
-    return _docs(spark, sf).select(path.alias("rel_path"), F.concat(F.lit("/r/"), path).alias("path"), content.alias("content"))
+    return _spread_docs(spark, sf).select(path.alias("rel_path"), F.concat(F.lit("/r/"), path).alias("path"), content.alias("content"))
 
 
 @query(f"""WITH {RULES}
@@ -303,7 +307,7 @@ def segment_indented(spark, sf):
         F.lit("class K"), i.cast("string"), F.lit(":\n    def m(self):\n        pass  # "), line)).otherwise(F.concat(
             F.lit("def f"), i.cast("string"), F.lit("(x):\n    y = x  # "), line))
     pieces = F.transform(F.split("text", "\n", -1), piece)
-    files = _docs(spark, sf).select(
+    files = _spread_docs(spark, sf).select(
         _text("doc_id").alias("path"), F.lit("python").alias("language"),
         F.concat(F.lit("import os\n\n"), F.array_join(pieces, "\n\n"), F.lit("\n")).alias("content"))
     return segment.segment_files(files, max_lines=2).select(
@@ -320,7 +324,7 @@ def _braced(spark, sf):
     before, after = pick([h[0] for h in HEADS.values()]), pick([h[1] for h in HEADS.values()])
     pieces = F.transform(F.split("text", "\n", -1), lambda line, i: F.concat(
         before, i.cast("string"), after, F.lit("\n  // }"), line, F.lit('\n  return "{";\n}')))
-    return _docs(spark, sf).select(
+    return _spread_docs(spark, sf).select(
         F.concat(F.lit("src/"), _text("doc_id")).alias("path"), pick(HEADS).alias("language"),
         F.concat(F.lit("/* { */\n"), F.array_join(pieces, ";\n\n"), F.lit("\n")).alias("content"))
 
@@ -346,7 +350,7 @@ def segment_whole(spark, sf):
     """Files without any block, of languages with and without rules, are one chunk each."""
     language = F.when(F.col("doc_id") % 2 == 0, "ruby").otherwise("go")
     name = F.concat(F.lit("d"), _text("doc_id"), F.lit(".rb"))
-    files = _docs(spark, sf).select(F.concat(F.lit("lib/"), name).alias("path"), language.alias("language"), F.col("text").alias("content"))
+    files = _spread_docs(spark, sf).select(F.concat(F.lit("lib/"), name).alias("path"), language.alias("language"), F.col("text").alias("content"))
     return segment.segment_files(files).select(
         F.regexp_extract("file_path", r"d(\d+)", 1).cast("bigint").alias("doc_id"), "chunk_type", "name", "line_start", "line_end",
         F.md5("code").alias("code"))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from auditmill import params as P
-from auditmill.bindings.registry import query, sql_lines, table
+from auditmill.bindings.registry import query, spread_table, sql_lines, table
 from auditmill.functions import lookup
 from auditmill.operators import evaluate, findings, replies, report
 
@@ -19,7 +19,7 @@ SELECT severity, count(*) AS n,
 FROM s GROUP BY severity""")
 def severity_rollup(spark, sf):
     guess = lookup.guess_severity(F.col("source"), F.col("text"), TIERS)
-    return report.severity_counts(table(spark, sf, "documents").select(guess.alias("severity"))).select(
+    return report.severity_counts(spread_table(spark, sf, "documents", "source", "text").select(guess.alias("severity"))).select(
         "severity", "n", "severity_rank")
 
 
@@ -205,7 +205,7 @@ def reply_items(spark, sf):
               '{"cwe_id": "CWE-8", "severity": "INFO", "line_start": 3, "confidence": true}]}'),
     ]
     raw = F.element_at(F.array(*shapes), (1 + event % 8).cast("int"))
-    given = table(spark, sf, "events").select(event.alias("chunk_id"), F.col("user_id").alias("chunk_start"), raw.alias("raw"))
+    given = spread_table(spark, sf, "events", "event_id", "user_id").select(event.alias("chunk_id"), F.col("user_id").alias("chunk_start"), raw.alias("raw"))
     items = replies.read_items(replies.explode_replies(given))
     return items.select("chunk_id", "item_no", "cwe_id", "severity", "line_start", "line_end", "confidence", "reason")
 
@@ -228,7 +228,7 @@ FROM cited""")
 def reply_findings(spark, sf):
     """Findings with the cited lines of their chunk; some start before it."""
     doc_id = F.col("doc_id")
-    docs = table(spark, sf, "documents")
+    docs = spread_table(spark, sf, "documents", "doc_id", "source", "text")
     first = 5 + doc_id % 50
     chunks = docs.select(
         doc_id.alias("chunk_id"), F.col("source").alias("file_path"), first.alias("line_start"), F.col("text").alias("code"))

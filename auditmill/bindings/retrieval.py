@@ -5,7 +5,7 @@ import sys
 import pyspark.cloudpickle
 from pyspark.sql import functions as F
 
-from auditmill.bindings.registry import query, sql_lines, table
+from auditmill.bindings.registry import query, spread_table, sql_lines, table
 from auditmill.functions import vectors
 from auditmill.operators import hooks, knn, prompts
 
@@ -107,7 +107,7 @@ SELECT doc_id, len(lines)::INTEGER AS n, md5(array_to_string(shown, chr(10))) AS
 def line_numbers(spark, sf):
     from auditmill.functions import text
 
-    docs = table(spark, sf, "documents")
+    docs = spread_table(spark, sf, "documents", "doc_id", "text")
     shown = text.number_lines(F.col("text"), F.lit(1) + F.col("doc_id") % 120)
     return docs.select("doc_id", text.line_count(F.col("text")).alias("n"), F.md5(shown).alias("code"))
 
@@ -119,7 +119,7 @@ SELECT n.doc_id AS chunk_id, 'system' AS first_role, 'user' AS second_role, md5(
 FROM numbered n LEFT JOIN labels l ON l.doc_id = n.doc_id""")
 def prompt_messages(spark, sf):
     doc_id = F.col("doc_id")
-    chunks = table(spark, sf, "documents").select(
+    chunks = spread_table(spark, sf, "documents", "doc_id", "lang", "source", "text").select(
         doc_id.alias("chunk_id"), F.col("lang").alias("language"), F.concat(F.lit("a/"), "source").alias("file_path"),
         F.concat(F.lit("d"), doc_id.cast("string")).alias("name"), F.col("text").alias("code"),
         (1 + doc_id % 120).alias("line_start"),
@@ -151,7 +151,7 @@ SELECT doc_id, CASE WHEN ok THEN length(text) ELSE 0 END::BIGINT AS n_chars,
 FROM (SELECT *, NOT contains(text, 'token = ') AS ok FROM documents)
 """)
 def embed_hook(spark, sf):
-    embedded = hooks.embed(table(spark, sf, "documents").select("doc_id", "text"), "text", _toy_embedder, 3)
+    embedded = hooks.embed(spread_table(spark, sf, "documents", "doc_id", "text").select("doc_id", "text"), "text", _toy_embedder, 3)
     vector = F.col("embedding")
     return embedded.select("doc_id", *[
         vector[i].cast("bigint").alias(name) for i, name in enumerate(["n_chars", "n_e", "n_lines"])])
@@ -172,7 +172,7 @@ SELECT doc_id AS chunk_id, 1 AS attempt,
 FROM documents
 """)
 def detect_hook(spark, sf):
-    docs = table(spark, sf, "documents").select(
+    docs = spread_table(spark, sf, "documents", "doc_id", "text").select(
         F.col("doc_id").alias("chunk_id"), prompts.messages("s", F.col("text")).alias("messages"))
     return hooks.detect(docs, _toy_detector)
 

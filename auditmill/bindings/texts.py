@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from auditmill import params as P
-from auditmill.bindings.registry import query, sql_lines, sql_strip, table
+from auditmill.bindings.registry import query, spread_table, sql_lines, sql_strip, table
 from auditmill.functions import lookup, text
 from auditmill.session import materialize
 from auditmill.sources import files
@@ -16,7 +16,7 @@ CLEANED = sql_strip(
 
 @query(f"SELECT page_id, md5({CLEANED}) AS body FROM pages")
 def clean_markup(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.md5(text.clean_markup(F.col("html"))).alias("body"))
+    return spread_table(spark, sf, "pages", "page_id", "html").select("page_id", F.md5(text.clean_markup(F.col("html"))).alias("body"))
 
 
 URL_WORDS = (("/en", "english"), ("e", "any"), ("/de", "german"))
@@ -52,7 +52,7 @@ SELECT doc_id, array_to_string(list_filter([
 def language_mentions(spark, sf):
     bank = (("german", ("der",)), ("english", ("the",)), ("romance", ("que", "las?")))
     found = lookup.mentioned(F.col("text"), bank)
-    return table(spark, sf, "documents").select("doc_id", lookup.to_csv(found).alias("found"))
+    return spread_table(spark, sf, "documents", "doc_id", "text").select("doc_id", lookup.to_csv(found).alias("found"))
 
 
 @query("""
@@ -107,7 +107,7 @@ def weakness_ids(spark, sf):
     )
     value = F.parse_json(shape)
     first = lookup.first_truthy(F.try_variant_get(value, "$.a", "variant"), F.try_variant_get(value, "$.b", "variant"))
-    return table(spark, sf, "events").select("event_id", lookup.weakness_id(first).alias("cwe_id"))
+    return spread_table(spark, sf, "events", "event_id", "user_id").select("event_id", lookup.weakness_id(first).alias("cwe_id"))
 
 
 @query(f"""
@@ -115,7 +115,7 @@ SELECT doc_id, md5(array_to_string(({sql_lines('text')})[(1 + doc_id % 5)::BIGIN
        md5(array_to_string((string_split(text, chr(10)))[2:3], chr(10))) AS file_part
 FROM documents""")
 def snippets(spark, sf):
-    docs, code, doc_id = table(spark, sf, "documents"), F.col("text"), F.col("doc_id")
+    docs, code, doc_id = spread_table(spark, sf, "documents", "doc_id", "text"), F.col("text"), F.col("doc_id")
     start = 10 + doc_id % 5
     return docs.select(
         "doc_id",
@@ -129,7 +129,7 @@ def decoded_texts(spark, sf):
     """Bytes with a bad one and mixed line ends."""
     raw = F.concat(F.encode(F.replace(F.col("text"), F.lit("\n"), F.lit("\r\n")), "UTF-8"),
                    F.unhex(F.lit("0DFF610D0A62")))
-    return table(spark, sf, "documents").select("doc_id", F.md5(text.decode_text(raw)).alias("content"))
+    return spread_table(spark, sf, "documents", "doc_id", "text").select("doc_id", F.md5(text.decode_text(raw)).alias("content"))
 
 
 PATH = "regexp_extract(url, '^https?://([^?#]*)', 1)"

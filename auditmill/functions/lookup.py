@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from auditmill import params as P
-from auditmill.functions.text import suffix
+from auditmill.functions.text import let, strip, suffix
 
 # A word boundary that means the same on every runtime.
 WORD = r"[\p{L}\p{N}_]"
@@ -39,11 +39,11 @@ def first_tier(c: Column, tiers: Sequence[tuple[str, Sequence[str]]], default: s
 
 
 def guess_severity(name: Column, description: Column, tiers=P.SEVERITY_KEYWORDS, default=P.SEVERITY_DEFAULT) -> Column:
-    return first_tier(F.lower(F.concat_ws(" ", name, description)), tiers, default)
+    return let(F.lower(F.concat_ws(" ", name, description)), lambda text: first_tier(text, tiers, default))
 
 
 def guide_weakness(stem: Column, table=P.GUIDE_WEAKNESSES) -> Column:
-    return first_match(F.translate(F.lower(stem), "- ", "__"), table)
+    return let(F.translate(F.lower(stem), "- ", "__"), lambda name: first_match(name, table))
 
 
 def table_value(c: Column, table: Mapping[str, str]) -> Column:
@@ -58,7 +58,8 @@ def canonical_names(names: Column, table: Mapping[str, str], default: Sequence[s
         F.transform(names, lambda n: table_value(F.lower(n), table)), lambda n: n.isNotNull())))
     if default is None:
         return found
-    return F.when(F.size(found) > 0, found).otherwise(F.array(*[F.lit(x) for x in default]))
+    instead = F.array(*[F.lit(x) for x in default])
+    return let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(instead))
 
 
 def mentioned(c: Column, bank: Sequence[tuple[str, Sequence[str]]] = P.LANGUAGE_WORDS) -> Column:
@@ -90,8 +91,6 @@ def severity_rank(severity: Column) -> Column:
 
 def parse_csv(c: Column) -> Column:
     """Items of a comma list, trimmed, without blank ones."""
-    from auditmill.functions.text import strip
-
     return F.filter(F.transform(F.split(c, ",", -1), strip), lambda v: v != "")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,10 +26,15 @@ def decode_text(c: Column) -> Column:
     return normalize_newlines(F.make_valid_utf8(c.cast("string")))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often `body` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def split_lines(c: Column) -> Column:
     """All lines of a text; a line end at the very end opens no further line."""
-    parts = F.split(c, LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(c, LINE_END, -1), lambda parts: F.when(
+        F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
 
 
 def line_count(c: Column) -> Column:
@@ -36,15 +43,19 @@ def line_count(c: Column) -> Column:
 
 def number_lines(code: Column, first: Column) -> Column:
     """Put ` N | ` in front of each line; the width is that of the number after the last one."""
-    lines = split_lines(code)
-    width = F.length((first + F.size(lines)).cast("string"))
-    return F.array_join(
-        F.transform(
-            lines,
-            lambda line, i: F.concat(F.lpad((first + i).cast("string"), width, " "), F.lit(" | "), line),
+
+    def numbered(s: Column) -> Column:
+        return F.array_join(F.transform(s["lines"], lambda line, i: F.concat(
+            F.lpad((s["first"] + i).cast("string"), s["width"], " "), F.lit(" | "), line)), "\n")
+
+    return let(split_lines(code), lambda lines: let(
+        F.struct(
+            lines.alias("lines"),
+            first.alias("first"),
+            F.length((first + F.size(lines)).cast("string")).alias("width"),
         ),
-        "\n",
-    )
+        numbered,
+    ))
 
 
 def slice_lines(code: Column, skip: Column, count: Column) -> Column:
@@ -64,10 +75,13 @@ def chunk_snippet(code: Column, chunk_start: Column, line_start: Column, line_en
 
 def file_snippet(text: Column, line_start: Column, line_end: Column) -> Column:
     """Lines `line_start` to `line_end` of a file, clamped to it. Only newlines count here."""
-    lines = F.split(text, "\n", -1)
     first = F.greatest(F.lit(1), line_start)
-    last = F.least(F.size(lines), line_end)
-    return F.array_join(F.slice(lines, first, F.greatest(F.lit(0), last - first + 1)), "\n")
+
+    def cut(lines: Column) -> Column:
+        last = F.least(F.size(lines), line_end)
+        return F.array_join(F.slice(lines, first, F.greatest(F.lit(0), last - first + 1)), "\n")
+
+    return let(F.split(text, "\n", -1), cut)
 
 
 def clean_markup(c: Column) -> Column:

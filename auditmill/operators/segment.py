@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 
 from auditmill import params as P
 from auditmill import schemas
-from auditmill.functions.text import base_name, line_count
+from auditmill.functions.text import base_name, let, line_count
 
-FILL = "\ue000"
+# Marks from the private-use range: a filled literal, and both ends of a block head.
+FILL, HEAD_START, HEAD_END = "\ue000", "\ue001", "\ue002"
+MARKS = FILL + HEAD_START + HEAD_END
 ANONYMOUS = "<anonymous>"
 
 # Literals and comments. Every loop is possessive: none backtracks or recurses.
@@ -75,12 +77,12 @@ _JAVA = BracedLanguage(
         Head(
             "function",
             _JAVA_MARKS + r"(?:<[^(){};]*>\s*)?(?!(?:return|new|else|throw|case|record|package|import)\b)"
-            r"[\w.]+(?:<[^(){};]*>)?(?:\s*\[\s*\])*\s+(?!(?:if|for|while|switch|catch)\b)(\w+)\s*"
+            r"[\w.]++(?:<[^(){};]*>)?(?:\s*\[\s*\])*+\s++(?!(?:if|for|while|switch|catch)\b)(\w++)\s*+"
             + _JAVA_PARAMS + r"(?:\s*\[\s*\])*" + _JAVA_TAIL + r"[{;]",
         ),
         Head(
             "class",
-            r"(?<!new\s)(?<!record\s)" + _JAVA_MARKS + r"(?!(?:if|for|while|switch|catch|synchronized|try|record)\b)(\w+)\s*"
+            r"(?<!new\s)(?<!record\s)" + _JAVA_MARKS + r"(?!(?:if|for|while|switch|catch|synchronized|try|record)\b)(\w++)\s*+"
             + _JAVA_PARAMS + _JAVA_TAIL + r"\{",
         ),
     ),
@@ -106,10 +108,10 @@ _JS = BracedLanguage(
             "function",
             r"(?:async\s+)?function(?![\w$])\s*([\w$]+)?\s*(?:<[^(){}]*>)?\s*" + _JS_PARAMS + _JS_TYPE + r"\{",
         ),
-        Head("function", r"(?:async\s*)?(?:" + _JS_PARAMS + _JS_TYPE + r"|[\w$]+\s*)=>\s*\{", named=False),
+        Head("function", r"(?:async\s*)?(?:" + _JS_PARAMS + _JS_TYPE + r"|[\w$]++\s*+)=>\s*\{", named=False),
         Head(
             "function",
-            r"(?:async\s*)?(?:" + _JS_PARAMS + _JS_TYPE + r"|[\w$]+\s*)=>\s*(?![\s{])[^\n;,(){}\[\]]*+"
+            r"(?:async\s*)?(?:" + _JS_PARAMS + _JS_TYPE + r"|[\w$]++\s*+)=>\s*(?![\s{])[^\n;,(){}\[\]]*+"
             r"(?:\((?:[^()]|\([^()]*+\))*+\)[^\n;,(){}\[\]]*+)*+",
             named=False,
         ),
@@ -117,7 +119,7 @@ _JS = BracedLanguage(
         Head(
             "function",
             r"(?:(?:async|static|get|set|public|private|protected|readonly|override)\s+)*+" + _JS_KEYWORDS
-            + r"([\w$#]+)\s*(?:<[^(){}]*>)?" + _JS_PARAMS + _JS_TYPE + r"\{",
+            + r"([\w$#]++)\s*+(?:<[^(){}]*>)?" + _JS_PARAMS + _JS_TYPE + r"\{",
         ),
     ),
 )
@@ -158,7 +160,8 @@ BLOCKS = "array<struct<kind:string,name:string,line_start:int,line_end:int,code:
 
 def blank_literals(text: Column, literals: str) -> Column:
     """The text with literals filled up and comments made blank; line ends stay in place."""
-    pieces = F.regexp_extract_all(text, F.lit(rf"{literals}|[^\"'`/#]++|[\s\S]"), F.lit(0))
+    known = F.translate(text, MARKS, "???")
+    pieces = F.regexp_extract_all(known, F.lit(rf"{literals}|[^\"'`/#]++|[\s\S]"), F.lit(0))
 
     def cover(piece: Column) -> Column:
         return (
@@ -177,18 +180,22 @@ def _count(text: Column, chars: str) -> Column:
 
 def braced_blocks(text: Column, language: BracedLanguage) -> Column:
     """Blocks of a file in a language with braces."""
-    head = r"(?<![\w$.])(?:" + "|".join(h.regex for h in language.heads) + ")"
-    masked = blank_literals(text, language.blanks)
-    tokens = F.transform(
-        # \G: after the last token the search ends at once and does not try every later position.
-        F.regexp_extract_all(masked, F.lit(rf"\G[\s\S]*?(?:{head}|[{{}}])"), F.lit(0)),
-        lambda t: F.struct(
-            F.length(t).alias("size"),
-            _count(t, "\n").alias("lines"),
-            F.right(t, F.lit(1)).alias("last"),
-            F.regexp_extract(t, rf"{head}\z", 0).alias("head"),
-        ),
-    )
+    head = rf"(?<![\w$.])(?=[\w$@(<~#])(?:{'|'.join(h.regex for h in language.heads)})"
+    marked = F.regexp_replace(blank_literals(text, language.blanks), head, f"{HEAD_START}$0{HEAD_END}")
+    # \G: after the last token the search ends at once and does not try every later position.
+    pieces = F.regexp_extract_all(
+        marked, F.lit(rf"\G[^{{}}{HEAD_START}]*+(?:{HEAD_START}[^{HEAD_END}]*+{HEAD_END}|[{{}}])"), F.lit(0))
+
+    def token(piece: Column) -> Column:
+        plain = F.translate(piece, MARKS, FILL)
+        return F.struct(
+            F.length(plain).alias("size"),
+            _count(plain, "\n").alias("lines"),
+            F.right(plain, F.lit(1)).alias("last"),
+            F.regexp_extract(piece, rf"{HEAD_START}([^{HEAD_END}]*+){HEAD_END}", 1).alias("head"),
+        )
+
+    tokens = F.transform(pieces, token)
     found = "array<struct<head:string,start:int,stop:int,line_start:int,line_end:int>>"
     zero = F.struct(
         F.lit(0).alias("at"), F.lit(1).alias("line"), F.lit(0).alias("depth"),
@@ -285,19 +292,19 @@ def indented_blocks(text: Column, start: str, literals: str) -> Column:
         return F.when(s["open"] > 0, F.concat(s["done"], block(s))).otherwise(s["done"])
 
     blocks = F.aggregate(lines, zero, step, finish)
-    originals = F.split(text, "\n", -1)
-    return F.transform(
-        blocks,
-        lambda b: F.struct(
+
+    def describe(source: Column) -> Column:
+        return F.transform(blocks, lambda b: F.struct(
             F.when(b["keyword"] == "class", "class").otherwise("function").alias("kind"),
             b["name"].alias("name"),
             b["line_start"].alias("line_start"),
             b["line_end"].alias("line_end"),
-            F.ltrim(F.regexp_replace(
-                F.array_join(F.slice(originals, b["line_start"], b["line_end"] - b["line_start"] + 1), "\n"),
-                r"^[ \t]+", "")).alias("code"),
-        ),
-    )
+            F.regexp_replace(
+                F.array_join(F.slice(source, b["line_start"], b["line_end"] - b["line_start"] + 1), "\n"),
+                r"\A[ \t]+", "").alias("code"),
+        ))
+
+    return let(F.split(text, "\n", -1), describe)
 
 
 def code_blocks(language: Column, text: Column, braced=None, indented=None) -> Column:

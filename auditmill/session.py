@@ -26,6 +26,15 @@ def build_session(cores: str = "*", shuffle_partitions: int | None = None) -> Sp
     return builder.getOrCreate()
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Rows of a table scan over all cores, for work that is heavy per row.
+
+    A small table may be a single split and would be worked on by one task. A table with
+    enough splits is left as it is, so at scale nothing is shuffled."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def _has_checkpoint_dir(spark: SparkSession) -> bool:
     return spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from auditmill import params as P
 from auditmill import schemas
 from auditmill.functions.lookup import canonical_names, guess_severity
-from auditmill.functions.text import join_parts, labelled, strip
+from auditmill.functions.text import join_parts, labelled, let, strip
 from auditmill.sources.files import path_exists
 
 RECORD_END = "</Weakness>"
@@ -32,24 +32,31 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
 def cut_record(c: Column) -> Column:
     """The element in the text up to its end tag, or null if none starts there."""
     body = F.regexp_extract(c, r"(?s)<Weakness\s.*\z", 0)
-    return F.when(body != "", F.concat(body, F.lit(RECORD_END)))
+    return let(body, lambda b: F.when(b != "", F.concat(b, F.lit(RECORD_END))))
 
 
 def _decoded(c: Column) -> Column:
     """Text with its entities resolved. Numbered ones are rare and left to an XML parser."""
-    plain = c
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        plain = F.replace(plain, F.lit(entity), F.lit(char))
-    parsed = F.xpath_string(F.concat(F.lit("<a>"), c, F.lit("</a>")), F.lit("string(/a)"))
-    return F.when(F.contains(c, F.lit("&#")), parsed).when(F.contains(c, F.lit("&")), plain).otherwise(c)
 
+    def resolve(text: Column) -> Column:
+        plain = text
+        for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+            plain = F.replace(plain, F.lit(entity), F.lit(char))
+        parsed = F.xpath_string(F.concat(F.lit("<a>"), text, F.lit("</a>")), F.lit("string(/a)"))
+        return F.when(F.contains(text, F.lit("&#")), parsed).when(F.contains(text, F.lit("&")), plain).otherwise(text)
 
-def flat_text(xml: Column) -> Column:
-    """Text pieces between the tags, each trimmed, the blank ones left out, joined by a space."""
+    return let(c, resolve)
+
+
+def _pieces(xml: Column) -> Column:
     cut = F.transform(F.split(xml, r"<!--|-->|<[^>]*+>", -1), lambda p: strip(_decoded(p)))
     parsed = F.transform(F.xpath(F.concat(F.lit("<a>"), xml, F.lit("</a>")), F.lit("//text()")), strip)
-    pieces = F.when(F.contains(xml, F.lit("<![CDATA[")), parsed).otherwise(cut)
-    return F.array_join(F.filter(pieces, lambda p: p != ""), " ")
+    return F.when(F.contains(xml, F.lit("<![CDATA[")), parsed).otherwise(cut)
+
+
+def flat_text(xml: Column) -> Column:
+    """Text pieces between the tags, each trimmed, the blank ones left out, joined by a space."""
+    return F.array_join(F.filter(let(xml, _pieces), lambda p: p != ""), " ")
 
 
 ATTRIBUTES = r"(?:\s+[\w:.-]+\s*=\s*(?:\"[^\"]*+\"|'[^']*+'))"
@@ -57,8 +64,8 @@ ATTRIBUTES = r"(?:\s+[\w:.-]+\s*=\s*(?:\"[^\"]*+\"|'[^']*+'))"
 
 def _attribute(xml: Column, name: str) -> Column:
     """Attribute of the element the text starts with; empty if it has none of that name."""
-    value = F.regexp_extract(xml, rf"\A<[\w:.-]+{ATTRIBUTES}*?\s+{name}\s*=\s*(\"[^\"]*+\"|'[^']*+')", 1)
-    return _decoded(F.substring(value, F.lit(2), F.greatest(F.length(value) - 2, F.lit(0))))
+    quoted = F.regexp_extract(xml, rf"\A<[\w:.-]+{ATTRIBUTES}*?\s+{name}\s*=\s*(\"[^\"]*+\"|'[^']*+')", 1)
+    return _decoded(F.regexp_replace(quoted, r"(?s)\A.|.\z", ""))
 
 
 def _child(xml: Column, name: str) -> Column:

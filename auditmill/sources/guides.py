@@ -34,7 +34,6 @@ def _title_or(c: Column, default: str) -> Column:
 def sections(text: Column) -> Column:
     """array<struct<title, body>> of a guide: the part before the first level-2 heading,
     then one entry per heading; the whole text if there is no heading. Empty ones are left out."""
-    pieces = F.split(text, r"(?md)(?=^## .)", -1)
 
     def entry(piece: Column) -> Column:
         is_section = piece.rlike(r"(?d)\A## .")
@@ -52,22 +51,21 @@ def sections(text: Column) -> Column:
             )
         )
 
+    pieces = F.split(text, r"(?md)(?=^## .)", -1)
     cut = F.filter(F.transform(pieces, entry), lambda s: s["body"] != "")
     whole = F.array(F.struct(_title_or(text, "Overview").alias("title"), text.alias("body")))
     return F.when(text.rlike(HEADING), cut).otherwise(whole)
 
 
 def split_guides(files: DataFrame) -> DataFrame:
-    """One row per section, cleaned, with its place in the guide; short sections are dropped."""
-    body = clean_markup(F.col("section.body"))
-    return (
-        files.select("*", F.posexplode(sections(F.col("content"))).alias("section_no", "section"))
-        .withColumn("full_body", body)
-        .filter(F.length("full_body") >= LIMITS.section_minimum)
-        .withColumn("section_title", F.col("section.title"))
-        .withColumn("body", F.left("full_body", F.lit(LIMITS.chunk_text)))
-        .drop("section", "full_body", "content")
-    )
+    """One row per section, cleaned, with its place in the guide; short sections are dropped.
+
+    Cleaning and the length test come before the explode, so a section is cleaned once."""
+    cleaned = F.transform(sections(F.col("content")), lambda s, i: F.struct(
+        i.alias("section_no"), s["title"].alias("section_title"), clean_markup(s["body"]).alias("full")))
+    kept = F.filter(cleaned, lambda s: F.length(s["full"]) >= LIMITS.section_minimum)
+    others = [c for c in files.columns if c != "content"]
+    return files.select(*others, F.inline(kept)).withColumn("body", F.left("full", F.lit(LIMITS.chunk_text))).drop("full")
 
 
 def knowledge(files: DataFrame) -> DataFrame:
