@@ -74,7 +74,7 @@ def _records(spark, sf):
         F.lit("</Demonstrative_Example></Demonstrative_Examples><Potential_Mitigations><Mitigation><Description>"), lang,
         F.lit('</Description></Mitigation><Mitigation Mitigation_ID="M1"><Description><xhtml:p>'), short,
         F.lit("</xhtml:p></Description></Mitigation></Potential_Mitigations>"))
-    return _spread_docs(spark, sf).select(catalogue.cut_record(record).alias("record"))
+    return catalogue.cut_records(_spread_docs(spark, sf), record)
 
 
 @query(rf"""WITH {RECORDS}

@@ -322,20 +322,38 @@ def _join_cells(queries: DataFrame, knowledge: DataFrame, rows: int, dim: int, p
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, local)
     order = Window.partitionBy(names[0]).orderBy(F.col("sim").desc_nulls_last(), names[1])
     best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= p.k)
-    # A query without a vector gets the first ids of its scope: k rows per scope, joined to it.
-    by_id = Window.partitionBy("scope").orderBy("id")
-    firsts = knowledge.withColumn("rank", F.row_number().over(by_id)).filter(F.col("rank") <= p.k)
-    firsts = firsts.select("scope", "id", "rank", *(["tags"] if p.mode == "post" else []))
-    fits = language_fits(F.col("tags"), F.col("tag"), p.empty_means_all) if p.mode == "post" else F.lit(True)
-    lost = routed.filter(F.col("cell") == NO_VECTOR).join(F.broadcast(firsts), "scope").select(
-        F.col("qid").alias(names[0]), F.col("id").alias(names[1]), F.lit(None).cast("double").alias("sim"),
-        "rank", fits.alias("fits"))
-    best = best.unionByName(lost)
+    best = best.unionByName(_first_ids(knowledge, routed.filter(F.col("cell") == NO_VECTOR), p, out))
     if p.mode == "post":
         best = best.filter("fits")
     return best.select(*[f.name for f in out.fields])
 
 
+def _first_ids(knowledge: DataFrame, lost: DataFrame, p: KnnParams, out: T.StructType) -> DataFrame:
+    """Hits of queries without a vector: the first ids of their scope, k of them, as literals."""
+    by_id = Window.partitionBy("scope").orderBy("id")
+    tags = F.col("tags") if p.mode == "post" else F.array()
+    rows = (
+        knowledge.withColumn("rank", F.row_number().over(by_id)).filter(F.col("rank") <= p.k)
+        .select("scope", "id", "rank", tags.cast("array<string>").alias("tags")).collect()
+    )
+    entry = T.StructType([
+        T.StructField("scope", T.StringType()), T.StructField("id", out[1].dataType),
+        T.StructField("rank", T.IntegerType()), T.StructField("tags", T.ArrayType(T.StringType())),
+    ])
+    entries = F.array(*[
+        F.struct(F.lit(r["scope"]), F.lit(r["id"]), F.lit(r["rank"]), F.array(*[F.lit(t) for t in r["tags"]])).cast(entry)
+        for r in rows
+    ]).cast(T.ArrayType(entry))
+    mine = F.inline(F.filter(entries, lambda e: e["scope"] == F.col("scope")))
+    tag = F.col("tag").cast("string") if p.mode == "post" else F.lit("")
+    fits = language_fits(F.col("tags"), F.col("asked"), p.empty_means_all) if p.mode == "post" else F.lit(True)
+    return (
+        lost.select("qid", tag.alias("asked"), mine)
+        .select(F.col("qid").alias(out[0].name), F.col("id").alias(out[1].name), F.lit(None).cast("double").alias("sim"),
+                "rank", fits.alias("fits"))
+    )
+
+
 def _arrow_schema(asking: pa.Table, known: pa.Table, names: tuple[str, str]) -> pa.Schema:
     return pa.schema([
         (names[0], asking.schema.field("qid").type), (names[1], known.schema.field("id").type),

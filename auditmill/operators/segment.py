@@ -118,6 +118,7 @@ _JS = BracedLanguage(
         Head("class", r"(?<!abstract\s)(?<![=(,:]\s)(?<![=(,:])class\s+([\w$]+)[^{};]*+\{"),
         Head(
             "function",
+            r"(?<!function\*)(?<!function\*\s)(?<!function\s\*)"
             r"(?:(?:async|static|get|set|public|private|protected|readonly|override)\s+)*+" + _JS_KEYWORDS
             + r"([\w$#]++)\s*+(?:<[^(){}]*>)?" + _JS_PARAMS + _JS_TYPE + r"\{",
         ),

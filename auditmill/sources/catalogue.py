@@ -26,13 +26,13 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     if not path_exists(path):
         raise FileNotFoundError(path)
     raw = spark.read.option("lineSep", RECORD_END).text(path)
-    return raw.select(cut_record(F.col("value")).alias("record")).filter("record is not null")
+    return cut_records(raw, F.col("value"))
 
 
-def cut_record(c: Column) -> Column:
-    """The element in the text up to its end tag, or null if none starts there."""
-    body = F.regexp_extract(c, r"(?s)<Weakness\s.*\z", 0)
-    return let(body, lambda b: F.when(b != "", F.concat(b, F.lit(RECORD_END))))
+def cut_records(df: DataFrame, text: Column) -> DataFrame:
+    """The element in each text that the missing end tag would close; no row where none starts."""
+    return df.select(F.explode(F.regexp_extract_all(
+        F.concat(text, F.lit(RECORD_END)), F.lit(r"(?s)<Weakness\s.*\z"), F.lit(0))).alias("record"))
 
 
 def _decoded(c: Column) -> Column:
@@ -48,10 +48,21 @@ def _decoded(c: Column) -> Column:
     return let(c, resolve)
 
 
+def _without_cdata(xml: Column) -> Column:
+    """Markup with its literal sections written as escaped text."""
+
+    def escape(part: Column) -> Column:
+        inner = F.regexp_replace(part, r"\A<!\[CDATA\[|\]\]>\z", "")
+        for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            inner = F.replace(inner, F.lit(char), F.lit(entity))
+        return F.when(F.startswith(part, F.lit("<![CDATA[")), inner).otherwise(part)
+
+    parts = F.regexp_extract_all(xml, F.lit(r"(?s)<!\[CDATA\[.*?\]\]>|[^<]++|<"), F.lit(0))
+    return F.when(F.contains(xml, F.lit("<![CDATA[")), F.array_join(F.transform(parts, escape), "")).otherwise(xml)
+
+
 def _pieces(xml: Column) -> Column:
-    cut = F.transform(F.split(xml, r"<!--|-->|<[^>]*+>", -1), lambda p: strip(_decoded(p)))
-    parsed = F.transform(F.xpath(F.concat(F.lit("<a>"), xml, F.lit("</a>")), F.lit("//text()")), strip)
-    return F.when(F.contains(xml, F.lit("<![CDATA[")), parsed).otherwise(cut)
+    return F.transform(F.split(_without_cdata(xml), r"<!--|-->|<[^>]*+>", -1), lambda p: strip(_decoded(p)))
 
 
 def flat_text(xml: Column) -> Column:

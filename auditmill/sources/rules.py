@@ -52,7 +52,7 @@ def explode_rules(files: DataFrame) -> DataFrame:
     in_tests = F.exists(F.split("rel_path", "/"), lambda p: F.startswith(p, F.lit("test")))
     raw = files.filter(~in_tests).select("path", "rel_path", "content").mapInPandas(
         _rules_of, "path string, rel_path string, rule_no bigint, rule string")
-    return raw.withColumn("rule", F.try_parse_json("rule")).filter("rule is not null")
+    return raw.withColumn("rule", F.try_parse_json("rule"))
 
 
 def _get(value: Column, path: str, kind: str) -> Column:
