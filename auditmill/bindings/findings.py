@@ -206,7 +206,7 @@ def reply_items(spark, sf):
     ]
     raw = F.element_at(F.array(*shapes), (1 + event % 8).cast("int"))
     given = spread_table(spark, sf, "events", "event_id", "user_id").select(event.alias("chunk_id"), F.col("user_id").alias("chunk_start"), raw.alias("raw"))
-    items = replies.read_items(replies.explode_replies(given))
+    items = replies.explode_items(replies.parse(given.withColumn("code", F.lit(""))))
     return items.select("chunk_id", "item_no", "cwe_id", "severity", "line_start", "line_end", "confidence", "reason")
 
 

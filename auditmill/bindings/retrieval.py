@@ -128,7 +128,7 @@ def prompt_messages(spark, sf):
         doc_id.alias("chunk_id"),
         F.format_string("quality %d, toxic %d", "quality", "toxic").alias("context"))
     made = prompts.build_prompts(
-        chunks, notes, "Be brief.", "Notes: {knowledge}\nFile {file_path} ({language}), scope {name}\n{code}")
+        chunks.join(notes, "chunk_id", "left"), "Be brief.", "Notes: {knowledge}\nFile {file_path} ({language}), scope {name}\n{code}")
     message = F.col("messages")
     return made.select(
         "chunk_id",
@@ -174,7 +174,7 @@ FROM documents
 def detect_hook(spark, sf):
     docs = spread_table(spark, sf, "documents", "doc_id", "text").select(
         F.col("doc_id").alias("chunk_id"), prompts.messages("s", F.col("text")).alias("messages"))
-    return hooks.detect(docs, _toy_detector)
+    return hooks.detect(docs, _toy_detector).drop("messages")
 
 
 pyspark.cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -1,14 +1,15 @@
 """Call-outs to models that the caller supplies: an embedder and a detector.
 
-Only the call is Python. A failing call costs its own row and never the task.
+Only the call is Python. A failing call costs its own row and never the task. All call-outs
+are of one kind of function, since Spark cannot take apart nested ones of several kinds.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
+import pyarrow as pa
 import pyspark.cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,33 +38,33 @@ def _embed_batch(embedder: Embedder, texts: list[str]) -> list:
 def embed(df: DataFrame, text: str, embedder: Embedder, dim: int, batch: int = 32, out: str = "embedding") -> DataFrame:
     """Add a vector column. A text without a usable vector gets the zero vector."""
 
-    @F.pandas_udf("array<float>")
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in texts:
-            values = series.tolist()
-            vectors = []
-            for at in range(0, len(values), batch):
-                vectors += _embed_batch(embedder, values[at:at + batch])
-            yield pd.Series([None if v is None else [float(x) for x in v] for v in vectors], dtype=object)
+    @F.arrow_udf("array<float>")
+    def call(texts: pa.Array) -> pa.Array:
+        values, vectors = texts.to_pylist(), []
+        for at in range(0, len(values), batch):
+            vectors += _embed_batch(embedder, values[at:at + batch])
+        return pa.array([None if v is None else [float(x) for x in v] for v in vectors], pa.list_(pa.float32()))
 
-    return df.withColumn("_vector", run(text)).withColumn(out, vector_or_zero(F.col("_vector"), dim)).drop("_vector")
+    return df.withColumn("_vector", call(text)).withColumn(out, vector_or_zero(F.col("_vector"), dim)).drop("_vector")
 
 
 def detect(prompts: DataFrame, detector: Detector, attempt: int = 1) -> DataFrame:
-    """(chunk_id, attempt, raw) from (chunk_id, messages). A failed call is an empty reply."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            replies = []
-            for messages in batch["messages"]:
-                try:
-                    replies.append(detector([dict(m) if isinstance(m, dict) else m.asDict() for m in messages]))
-                except Exception:
-                    replies.append(EMPTY_REPLY)
-            yield pd.DataFrame({"chunk_id": batch["chunk_id"], "attempt": attempt, "raw": replies})
-
-    kind = prompts.schema["chunk_id"].dataType.simpleString()
-    return prompts.select("chunk_id", "messages").mapInPandas(run, f"chunk_id {kind}, attempt int, raw string")
+    """Add `attempt` and `raw`, the reply to `messages`. A failed call is an empty reply.
+
+    Only the messages go to Python. Store the result before it is used twice: a lazy table
+    would call the model again for each use."""
+
+    @F.arrow_udf("string")
+    def call(batch: pa.Array) -> pa.Array:
+        replies = []
+        for messages in batch.to_pylist():
+            try:
+                replies.append(str(detector(messages)))
+            except Exception:
+                replies.append(EMPTY_REPLY)
+        return pa.array(replies, pa.string())
+
+    return prompts.withColumn("attempt", F.lit(attempt)).withColumn("raw", call("messages"))
 
 
 pyspark.cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -4,7 +4,7 @@ Exact in both of its forms, and neither builds a cross product of rows:
 
 * A knowledge table whose measured size is under `broadcast_bytes` is sent to the tasks as
   one matrix. Each Arrow batch of queries is scored against it as a matrix product and only
-  k rows per query leave the task. The queries are not shuffled at all.
+  a list of k hits per query leaves the task. The queries are not shuffled at all.
 * A larger table is cut into cells around pivot vectors. A query is sent only to the cells
   that can hold one of its k nearest rows: the triangle inequality on angles gives a bound
   on the k-th distance from per-cell figures alone. Cells are cut into blocks and the queries
@@ -128,39 +128,46 @@ class _Block:
             yield rows + at, cols, sim, rank, good
 
 
-def _hits(qids: pa.Array, block: _Block, parts, names: tuple[str, str], post: bool) -> Iterator[pa.RecordBatch]:
-    for rows, cols, sim, rank, good in parts:
-        if post:
-            rows, cols, sim, rank = rows[good], cols[good], sim[good], rank[good]
-        yield pa.RecordBatch.from_arrays(
-            [
-                qids.take(pa.array(rows)),
-                block.ids.take(pa.array(cols)),
-                pa.array(sim, mask=np.isneginf(sim)),
-                pa.array(rank.astype(np.int32)),
-            ],
-            names=[*names, "sim", "rank"],
-        )
-
-
 def _column(batch, name: str) -> pa.Array:
     column = batch[name] if isinstance(batch, pa.Table) else batch.column(name)
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
-def _join_broadcast(queries: DataFrame, knowledge: DataFrame, dim: int, p: KnnParams, out: T.StructType) -> DataFrame:
-    """The measured table fits into a task: one matrix for all."""
-    shared = queries.sparkSession.sparkContext.broadcast(_pack(knowledge.toArrow()))
-    names = (out[0].name, out[1].name)
+def _hit_type(id_type: T.DataType) -> T.ArrayType:
+    return T.ArrayType(T.StructType([
+        T.StructField("rank", T.IntegerType()), T.StructField("id", id_type), T.StructField("sim", T.DoubleType())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = _Block(_unpack(shared.value), dim)
-        for batch in batches:
-            vectors, usable = _unit(_column(batch, "vec"), dim)
-            tags = _column(batch, "tag").to_pylist() if "tag" in batch.schema.names else None
-            yield from _hits(_column(batch, "qid"), block, block.top(vectors, usable, tags, p), names, p.mode == "post")
 
-    return queries.mapInArrow(run, out)
+def _hit_lists(block: _Block, parts, queries: int, post: bool) -> pa.Array:
+    """One list of (rank, id, sim) per query, the best first."""
+    found = [list(part) for part in parts]
+    rows, cols, sim, rank, good = (
+        np.concatenate([part[i] for part in found]) if found else np.zeros(0) for i in range(5))
+    keep = good.astype(bool) if post else np.ones(len(rows), dtype=bool)
+    rows, cols, sim, rank = rows[keep].astype(int), cols[keep].astype(int), sim[keep], rank[keep]
+    offsets = np.searchsorted(rows, np.arange(queries + 1)).astype(np.int32)
+    hits = pa.StructArray.from_arrays(
+        [pa.array(rank.astype(np.int32)), block.ids.take(pa.array(cols)), pa.array(sim, mask=np.isneginf(sim))],
+        names=["rank", "id", "sim"])
+    return pa.ListArray.from_arrays(pa.array(offsets), hits)
+
+
+def _broadcast_hits(knowledge: DataFrame, dim: int, p: KnnParams, vector: Column, tag: Column) -> Column:
+    """Hits as a column: the measured table fits into a task, so one matrix serves all rows."""
+    sc = knowledge.sparkSession.sparkContext
+    shared = sc.broadcast(_pack(knowledge.toArrow()))
+
+    made: list[_Block] = []
+
+    @F.arrow_udf(_hit_type(knowledge.schema["id"].dataType))
+    def nearest(vec: pa.Array, tags: pa.Array) -> pa.Array:
+        if not made:  # once per task
+            made.append(_Block(_unpack(shared.value), dim))
+        vectors, usable = _unit(vec, dim)
+        asked = None if p.mode == "none" else tags.to_pylist()
+        return _hit_lists(made[0], made[0].top(vectors, usable, asked, p), len(vec), p.mode == "post")
+
+    return nearest(vector, tag)
 
 
 def _pack(table: pa.Table) -> bytes:
@@ -310,7 +317,7 @@ def _join_cells(queries: DataFrame, knowledge: DataFrame, rows: int, dim: int, p
             return pa.Table.from_batches([], schema=_arrow_schema(asking, known, names))
         block = _Block(known, dim)
         vectors, usable = _unit(_column(asking, "vec"), dim)
-        tags = _column(asking, "tag").to_pylist() if "tag" in asking.column_names else None
+        tags = _column(asking, "tag").to_pylist() if inner.mode != "none" else None
         qids, batches = _column(asking, "qid"), []
         for rows, cols, sim, rank, good in block.top(vectors, usable, tags, inner):
             batches.append(pa.RecordBatch.from_arrays(
@@ -361,6 +368,17 @@ def _arrow_schema(asking: pa.Table, known: pa.Table, names: tuple[str, str]) ->
     ])
 
 
+def _knowledge_side(knowledge: DataFrame, p: KnnParams, id_column: str, vector: str, languages: str) -> DataFrame:
+    tags = [F.coalesce(F.col(languages), F.array()).alias("tags")] if p.mode != "none" else []
+    return knowledge.select(F.col(id_column).alias("id"), F.col(vector).alias("vec"), *tags)
+
+
+def _measure(known: DataFrame) -> tuple[int, int]:
+    """(rows, width) of the knowledge table: one small job."""
+    size = known.agg(F.count("*").alias("rows"), F.max(F.size("vec")).alias("dim")).first()
+    return size["rows"], max(1, size["dim"] or 1)
+
+
 def knn_join(
     queries: DataFrame,
     knowledge: DataFrame,
@@ -374,16 +392,10 @@ def knn_join(
 ) -> DataFrame:
     """(query id, knowledge id, sim, rank) of the k nearest knowledge rows of each query.
 
-    Ids must be unique on their side. Measuring the knowledge table is one small job."""
-    tagged = params.mode != "none"
-    asking = queries.select(
-        F.col(query_id).alias("qid"), F.col(query_vector).alias("vec"),
-        *([F.col(query_language).alias("tag")] if tagged else []),
-    )
-    known = knowledge.select(
-        F.col(knowledge_id).alias("id"), F.col(knowledge_vector).alias("vec"),
-        *([F.coalesce(F.col(knowledge_languages), F.array()).alias("tags")] if tagged else []),
-    )
+    Ids must be unique on their side."""
+    tag = F.col(query_language) if params.mode != "none" else F.lit(None).cast("string")
+    asking = queries.select(F.col(query_id).alias("qid"), F.col(query_vector).alias("vec"), tag.alias("tag"))
+    known = _knowledge_side(knowledge, params, knowledge_id, knowledge_vector, knowledge_languages)
     out = T.StructType([
         T.StructField(query_id, queries.schema[query_id].dataType),
         T.StructField(knowledge_id if knowledge_id != query_id else f"near_{knowledge_id}",
@@ -391,11 +403,26 @@ def knn_join(
         T.StructField("sim", T.DoubleType()),
         T.StructField("rank", T.IntegerType()),
     ])
-    size = known.agg(F.count("*").alias("rows"), F.max(F.size("vec")).alias("dim")).first()
-    rows, dim = size["rows"], max(1, size["dim"] or 1)
+    rows, dim = _measure(known)
+    if rows * dim * 8 > params.broadcast_bytes:
+        return _join_cells(asking, known, rows, dim, params, out)
+    hits = _broadcast_hits(known, dim, params, F.col("vec"), F.col("tag"))
+    found = asking.select("qid", hits.alias("hits")).select("qid", F.inline("hits"))
+    return found.select(F.col("qid").alias(out[0].name), F.col("id").alias(out[1].name), "sim", "rank")
+
+
+def attach_hits(queries: DataFrame, knowledge: DataFrame, params: KnnParams = KnnParams()) -> DataFrame:
+    """Queries (`chunk_id`, `embedding`, `language`, ...) with `hits`, the list of their nearest
+    knowledge rows as (rank, id, sim). With a small knowledge table no row is shuffled; with a
+    large one the lists, of at most k entries, are made from the join and joined back."""
+    known = _knowledge_side(knowledge, params, "id", "embedding", "languages")
+    rows, dim = _measure(known)
     if rows * dim * 8 <= params.broadcast_bytes:
-        return _join_broadcast(asking, known, dim, params, out)
-    return _join_cells(asking, known, rows, dim, params, out)
+        return queries.withColumn("hits", _broadcast_hits(known, dim, params, F.col("embedding"), F.col("language")))
+    lists = knn_join(queries, knowledge, params).groupBy("chunk_id").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "id", "sim"))).alias("hits"))
+    empty = F.array().cast(lists.schema["hits"].dataType)
+    return queries.join(lists, "chunk_id", "left").withColumn("hits", F.coalesce("hits", empty))
 
 
 pyspark.cloudpickle.register_pickle_by_value(sys.modules[__name__])

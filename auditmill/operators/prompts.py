@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+
+import pyarrow as pa
+import pyspark.cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +13,7 @@ from auditmill import params as P
 from auditmill.functions.text import number_lines
 
 LIMITS = P.TextLimits()
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def knowledge_entry(cwe_id: Column, source: Column, title: Column, text: Column, examples: Column) -> Column:
@@ -21,17 +26,43 @@ def knowledge_entry(cwe_id: Column, source: Column, title: Column, text: Column,
     )
 
 
+def knowledge_entries(knowledge: DataFrame) -> DataFrame:
+    """(id, entry), made once per knowledge row and before it is copied to any hit."""
+    return knowledge.select("id", knowledge_entry(
+        F.col("cwe_id"), F.col("source"), F.col("title"), F.col("document"), F.col("examples")).alias("entry"))
+
+
 def knowledge_context(hits: DataFrame, knowledge: DataFrame, key: str = "chunk_id") -> DataFrame:
     """(key, context): the entries of each chunk in rank order, an empty line between them.
 
-    A group holds at most the k hits of its chunk. Entries are made once per knowledge row,
-    before they are copied to the hits."""
-    entries = knowledge.select("id", knowledge_entry(
-        F.col("cwe_id"), F.col("source"), F.col("title"), F.col("document"), F.col("examples")).alias("entry"))
-    ranked = hits.join(entries, "id").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "entry"))).alias("e"))
+    A group holds at most the k hits of its chunk. A knowledge row that very many chunks hit
+    is no hot spot: few entries are broadcast, and for many the join is split by AQE."""
+    ranked = hits.join(knowledge_entries(knowledge), "id").groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct("rank", "entry"))).alias("e"))
     return ranked.select(key, F.array_join(F.col("e.entry"), "\n\n").alias("context"))
 
 
+def attach_context(chunks: DataFrame, knowledge: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Chunks with `hits` and now also `context`; empty for a chunk without hits.
+
+    If the measured entries are few, each task looks them up and the chunks stay where they
+    are; otherwise the context is joined to them."""
+    entries = knowledge_entries(knowledge)
+    size = entries.agg(F.sum(F.octet_length("entry") + 32)).first()[0] or 0
+    if size > broadcast_bytes:
+        rows = chunks.select("chunk_id", F.inline("hits"))
+        return chunks.join(knowledge_context(rows, knowledge), "chunk_id", "left").fillna("", ["context"])
+    table = chunks.sparkSession.sparkContext.broadcast({r["id"]: r["entry"] for r in entries.collect()})
+
+    @F.arrow_udf("string")
+    def look_up(lists: pa.Array) -> pa.Array:
+        known = table.value
+        return pa.array(["\n\n".join(known[i] for i in ids or () if known.get(i) is not None) for ids in lists.to_pylist()],
+                        pa.string())
+
+    return chunks.withColumn("context", look_up(F.col("hits.id")))
+
+
 def render(template: str, slots: dict[str, Column]) -> Column:
     """The template with its `{slot}`s filled. What is filled in is never searched again."""
     parts, at = [], 0
@@ -54,11 +85,11 @@ def messages(system: str, user: Column) -> Column:
     return F.array(message("system", F.lit(system)), message("user", user))
 
 
-def build_prompts(
-    chunks: DataFrame, context: DataFrame, system: str = P.SYSTEM_PROMPT, template: str = P.USER_PROMPT
-) -> DataFrame:
-    """(chunk_id, messages). A chunk without knowledge has an empty context."""
-    joined = chunks.join(context, "chunk_id", "left")
+def build_prompts(chunks: DataFrame, system: str = P.SYSTEM_PROMPT, template: str = P.USER_PROMPT) -> DataFrame:
+    """Chunks with `context`, now with `messages` in place of it.
+
+    The one-element explode keeps the messages a step of their own: merged with the call-outs
+    before and after them, the optimizer would leave one of three nested calls without a plan."""
     user = render(template, {
         "knowledge": F.col("context"),
         "language": F.col("language"),
@@ -66,4 +97,7 @@ def build_prompts(
         "name": F.col("name"),
         "code": number_lines(F.col("code"), F.col("line_start")),
     })
-    return joined.select("chunk_id", messages(system, user).alias("messages"))
+    return chunks.select("*", F.explode(F.array(messages(system, user))).alias("messages")).drop("context")
+
+
+pyspark.cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditmill import params as P
-from auditmill.functions.text import chunk_snippet
+from auditmill.functions.text import chunk_snippet, let
 
 NUMBER = r"(?i)\A\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?\s*\z"
 
@@ -47,59 +47,76 @@ class _Field:
         return F.when(self.missing, F.lit(default)).when(plain, self.value("double"))
 
 
-def explode_replies(replies: DataFrame) -> DataFrame:
-    """One row per item of each reply, with its number."""
-    others = [c for c in replies.columns if c != "raw"]
-    return replies.select(*others, F.posexplode(reply_items(F.col("raw"))).alias("item_no", "item"))
-
-
-def read_items(items: DataFrame, chunk_start: str = "chunk_start") -> DataFrame:
-    """Typed columns of each item and the `reason` it is no finding (null if it is one)."""
-    item = F.col("item")
-    field = lambda name: _Field(item, name)
-    columns = {
-        "cwe_id": field("cwe_id").text(F.lit(None)),
-        "severity": F.lower(field("severity").text("medium")),
-        "title": field("title").text(""),
-        "description": field("description").text(""),
-        "recommendation": field("recommendation").text(""),
-        "line_start": field("line_start").integer(F.col(chunk_start)),
-        "confidence": field("confidence").number(0.5),
-    }
-    texts = [F.col(c).isNull() for c in ("title", "description", "recommendation")]
-    reason = (
-        F.when(~F.startswith(F.schema_of_variant(item), F.lit("OBJECT")), "not_an_object")
-        .when(field("cwe_id").missing, "missing_id")
-        .when(F.col("line_start").isNull() | F.col("line_end").isNull(), "bad_line")
-        .when(F.col("confidence").isNull() | ~F.col("confidence").between(0.0, 1.0), "bad_confidence")
-        .when(F.col("severity").isNull() | ~F.col("severity").isin(*P.SEVERITIES), "bad_severity")
-        .when(F.col("cwe_id").isNull() | texts[0] | texts[1] | texts[2], "bad_text")
-    )
-    return (
-        items.withColumns(columns)
-        .withColumn("line_end", field("line_end").integer(F.col("line_start")))
-        .withColumn("reason", reason)
-        .drop("item")
+TYPED = ("cwe_id", "severity", "title", "description", "recommendation", "line_start", "confidence")
+
+
+def read_item(item: Column, chunk_start: Column, code: Column) -> Column:
+    """Typed members of one item, the cited lines, and the `reason` it is no finding (null if
+    it is one)."""
+
+    def field(name: str) -> _Field:
+        return _Field(item, name)
+
+    typed = F.struct(
+        field("cwe_id").text(F.lit(None)).alias("cwe_id"),
+        F.lower(field("severity").text("medium")).alias("severity"),
+        field("title").text("").alias("title"),
+        field("description").text("").alias("description"),
+        field("recommendation").text("").alias("recommendation"),
+        field("line_start").integer(chunk_start).alias("line_start"),
+        field("confidence").number(0.5).alias("confidence"),
     )
 
+    def with_end(t: Column) -> Column:
+        end = field("line_end").integer(t["line_start"])
+        return let(F.struct(*[t[c].alias(c) for c in TYPED], end.alias("line_end")), with_reason)
+
+    def with_reason(t: Column) -> Column:
+        no_text = t["title"].isNull() | t["description"].isNull() | t["recommendation"].isNull()
+        reason = (
+            F.when(~F.startswith(F.schema_of_variant(item), F.lit("OBJECT")), "not_an_object")
+            .when(field("cwe_id").missing, "missing_id")
+            .when(t["line_start"].isNull() | t["line_end"].isNull(), "bad_line")
+            .when(t["confidence"].isNull() | ~t["confidence"].between(0.0, 1.0), "bad_confidence")
+            .when(t["severity"].isNull() | ~t["severity"].isin(*P.SEVERITIES), "bad_severity")
+            .when(t["cwe_id"].isNull() | no_text, "bad_text")
+        )
+        snippet = chunk_snippet(code, chunk_start, t["line_start"], t["line_end"])
+        return F.struct(
+            *[t[c].alias(c) for c in (*TYPED, "line_end")],
+            F.when(reason.isNull(), snippet).alias("code_snippet"),
+            reason.alias("reason"),
+        )
+
+    return let(typed, with_end)
+
+
+def parse(answered: DataFrame) -> DataFrame:
+    """Replies (`raw`) that stand next to `chunk_start` and `code` of their chunk, with `items`."""
+    return answered.withColumn("items", F.transform(
+        reply_items(F.col("raw")), lambda item: read_item(item, F.col("chunk_start"), F.col("code"))))
+
+
+def has_finding(items: Column) -> Column:
+    return F.exists(items, lambda item: item["reason"].isNull())
+
+
+def explode_items(parsed: DataFrame) -> DataFrame:
+    """One row per item, with its number in the reply."""
+    others = [c for c in parsed.columns if c not in ("raw", "code", "items")]
+    return parsed.select(*others, F.posexplode("items").alias("item_no", "item")).select(*others, "item_no", "item.*")
+
 
 def parse_replies(replies: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Items of (chunk_id, attempt, raw) with the path and the cited lines of their chunk.
+    """Items of stored replies (chunk_id, attempt, raw), with path and cited lines of their chunk.
 
     Replies and chunks meet before the items are exploded, so a reply with many items is
     one row of the join."""
     chunk = chunks.select("chunk_id", "file_path", F.col("line_start").alias("chunk_start"), "code")
-    items = read_items(explode_replies(replies.join(chunk, "chunk_id")))
-    snippet = chunk_snippet(F.col("code"), F.col("chunk_start"), F.col("line_start"), F.col("line_end"))
-    return items.withColumn("code_snippet", F.when(F.col("reason").isNull(), snippet)).drop("code")
+    return explode_items(parse(replies.join(chunk, "chunk_id")))
 
 
 def first_attempt_with_findings(findings: DataFrame, key: str = "chunk_id", attempt: str = "attempt") -> DataFrame:
     """Per chunk, the findings of the first attempt that gave any."""
     first = findings.groupBy(key).agg(F.min(attempt).alias(attempt))
     return findings.join(first, [key, attempt], "left_semi")
-
-
-def without_findings(prompts: DataFrame, findings: DataFrame) -> DataFrame:
-    """Prompts of chunks that have no finding yet: those to ask again."""
-    return prompts.join(findings.select("chunk_id").distinct(), "chunk_id", "left_anti")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -38,23 +37,33 @@ class Audit:
         return report.severity_counts(self.findings)
 
 
-def retrieve(chunks: DataFrame, knowledge: DataFrame, k: int = 0, mode: str = "post", empty_means_all: bool = False) -> DataFrame:
-    """(chunk_id, id, sim, rank) for chunks with `embedding`. k = 0 means the default."""
-    params = knn.KnnParams(k=k or P.AuditParams().top_k, mode=mode, empty_means_all=empty_means_all)
-    return knn.knn_join(chunks, knowledge, params)
+def knn_params(params: P.AuditParams) -> knn.KnnParams:
+    """k = 0 means the default."""
+    return knn.KnnParams(
+        k=params.top_k or P.AuditParams().top_k, mode=params.language_mode, empty_means_all=params.empty_means_all)
 
 
-def ask(messages: DataFrame, chunks: DataFrame, detector: hooks.Detector, attempts: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(replies, items) of up to `attempts` rounds; a chunk is asked again only while its
-    replies hold no finding. Replies are stored, so no chunk is asked twice for one round."""
-    all_replies, waiting = None, messages
+def retrieve(chunks: DataFrame, knowledge: DataFrame, params: P.AuditParams = P.AuditParams()) -> DataFrame:
+    """(chunk_id, id, sim, rank) for chunks with `embedding`."""
+    return knn.knn_join(chunks, knowledge, knn_params(params))
+
+
+def ask(prompts_: DataFrame, detector: hooks.Detector, attempts: int = 2) -> DataFrame:
+    """(chunk_id, file_path, chunk_start, attempt, raw, items) of up to `attempts` rounds.
+
+    A chunk is asked again only while its reply holds no finding. Each round is stored, so no
+    chunk is asked twice for one round; code and messages are stored only for chunks that may
+    be asked again, and no round needs a join."""
+    done, waiting = None, prompts_.withColumnRenamed("line_start", "chunk_start")
+    waiting = waiting.select("chunk_id", "file_path", "chunk_start", "code", "messages")
     for attempt in range(1, attempts + 1):
-        answered = materialize(hooks.detect(waiting, detector, attempt))
-        all_replies = answered if all_replies is None else all_replies.unionByName(answered)
-        if attempt < attempts:
-            good = replies.parse_replies(answered, chunks).filter("reason is null")
-            waiting = replies.without_findings(waiting, good)
-    return all_replies, replies.parse_replies(all_replies, chunks)
+        parsed = replies.parse(hooks.detect(waiting, detector, attempt)).withColumn(
+            "again", ~replies.has_finding(F.col("items")) & F.lit(attempt < attempts))
+        kept = materialize(parsed.withColumns({c: F.when(F.col("again"), F.col(c)) for c in ("code", "messages")}))
+        answered = kept.drop("code", "messages", "again")
+        done = answered if done is None else done.unionByName(answered)
+        waiting = kept.filter("again").select(*waiting.columns)
+    return done
 
 
 def audit(
@@ -66,24 +75,36 @@ def audit(
     params: P.AuditParams = P.AuditParams(),
     system: str = P.SYSTEM_PROMPT,
     template: str = P.USER_PROMPT,
-    spread: int | None = None,
+    tasks: int | None = None,
 ) -> Audit:
-    """All stages. `spread` sets the number of tasks that share the model calls."""
+    """All stages. `tasks` sets the number of tasks that share the model calls.
+
+    With a knowledge table of ordinary size, code is shuffled only to spread it over `tasks`:
+    hits, context, messages, replies and items are columns added to the rows where they are."""
     chunks = segment.segment_files(files, params.max_chunk_lines)
-    even = chunks.repartition(spread, "chunk_id") if spread else chunks
+    even = chunks.repartition(tasks, "chunk_id") if tasks else chunks
     embedded = materialize(hooks.embed(even, "code", embedder, params.embedding_dim, params.embed_batch))
-    chunks = embedded.drop("embedding")
-    retrieved = retrieve(embedded, knowledge, params.top_k, params.language_mode, params.empty_means_all)
-    context = prompts.knowledge_context(retrieved, knowledge)
-    messages = prompts.build_prompts(chunks, context, system, template)
-    answered, items = ask(messages, chunks, detector, params.attempts)
+    with_hits = knn.attach_hits(embedded, knowledge, knn_params(params))
+    messages = prompts.build_prompts(prompts.attach_context(with_hits, knowledge), system, template)
+    answered = ask(messages, detector, params.attempts)
+    items = replies.explode_items(answered)
     raw = items.filter("reason is null")
-    checked = findings.check(raw, valid_ids, params.min_confidence)
+    checked = findings.check(raw.drop("reason"), valid_ids, params.min_confidence)
     valid = findings.keep_first(checked.filter("reason is null"), findings.FINDING_KEY, list(SEQ))
-    seq = F.struct(*SEQ[1:]).alias("seq")
-    rejects = items.filter("reason is not null").select("chunk_id", "attempt", "item_no", "reason").unionByName(
-        checked.filter("reason is not null").select("chunk_id", "attempt", "item_no", "reason"))
-    return Audit(files, chunks, retrieved, messages, answered, items, raw, valid.withColumn("seq", seq), rejects)
+    place = ("chunk_id", "attempt", "item_no", "reason")
+    rejects = items.filter("reason is not null").select(*place).unionByName(
+        checked.filter("reason is not null").select(*place))
+    return Audit(
+        files=files,
+        chunks=embedded.drop("embedding"),
+        retrieved=with_hits.select("chunk_id", F.inline("hits")),
+        prompts=messages.select("chunk_id", "messages"),
+        replies=answered.drop("items"),
+        items=items,
+        raw_findings=raw,
+        findings=valid.withColumn("seq", F.struct(*SEQ[1:])),
+        rejects=rejects,
+    )
 
 
 def reject_summary(run: Audit) -> DataFrame:
@@ -98,7 +119,3 @@ def severity_line(run: Audit) -> DataFrame:
 def write_outputs(run: Audit, report_path: str, table_path: str, labels: P.ReportLabels = P.ReportLabels()) -> None:
     report.write_report(run.findings, report_path, labels=labels)
     report.write_findings(run.findings, table_path)
-
-
-def stages() -> Sequence[str]:
-    return ("files", "chunks", "retrieved", "prompts", "replies", "findings")

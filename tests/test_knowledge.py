@@ -141,10 +141,18 @@ def test_context_and_prompt(spark):
     assert [(r["chunk_id"], r["context"]) for r in context.collect()] == [("c", want)]
     chunks = spark.createDataFrame([("c", "python", "a.py", "f", "x\ny", 9), ("d", "go", "b.go", "g", "z", 1)],
                                    "chunk_id string, language string, file_path string, name string, code string, line_start int")
+    given = chunks.join(context, "chunk_id", "left")
     made = {r["chunk_id"]: r["messages"] for r in prompts.build_prompts(
-        chunks, context, "sys", "{knowledge}|{language}|{file_path}|{name}|{code}|{other}").collect()}
+        given, "sys", "{knowledge}|{language}|{file_path}|{name}|{code}|{other}").collect()}
     assert made["c"][0]["content"] == "sys" and made["c"][1]["role"] == "user"
     assert made["c"][1]["content"] == want + "|python|a.py|f| 9 | x\n10 | y|{other}"
     assert made["d"][1]["content"] == "|go|b.go|g|1 | z|{other}"
-    default = prompts.build_prompts(chunks, context).collect()
+    lists = chunks.withColumn("hits", F.when(F.col("chunk_id") == "c", F.expr(
+        "array(named_struct('rank', 1, 'id', 'k2', 'sim', 0.9D), named_struct('rank', 2, 'id', 'k1', 'sim', 0.8D), "
+        "named_struct('rank', 3, 'id', 'gone', 'sim', 0.8D))")).otherwise(F.expr(
+            "cast(array() as array<struct<rank:int,id:string,sim:double>>)")))
+    for limit in (1 << 20, 0):
+        got = {r["chunk_id"]: r["context"] for r in prompts.attach_context(lists, known, limit).collect()}
+        assert got == {"c": want, "d": ""}
+    default = prompts.build_prompts(given).collect()
     assert all("{" + slot + "}" not in r["messages"][1]["content"] for r in default for slot in ("language", "code", "knowledge"))

@@ -81,8 +81,6 @@ def test_second_attempt_counts_only_without_a_first(spark):
     rows = [("a", 1, "f1"), ("a", 2, "f2"), ("b", 2, "f3"), ("b", 2, "f4")]
     found = spark.createDataFrame(rows, "chunk_id string, attempt int, f string")
     assert {r["f"] for r in replies.first_attempt_with_findings(found).collect()} == {"f1", "f3", "f4"}
-    prompts = spark.createDataFrame([("a",), ("b",), ("c",)], "chunk_id string")
-    assert [r[0] for r in replies.without_findings(prompts, found).collect()] == ["c"]
 
 
 SCHEMA = "cwe_id string, severity string, line_start bigint, line_end bigint, confidence double, file_path string, seq int"

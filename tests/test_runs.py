@@ -91,7 +91,7 @@ def test_audit(spark, tmp_path):
         "id string, source string, cwe_id string, title string, document string, examples array<string>, "
         "languages array<string>, embedding array<double>")
     ids = spark.createDataFrame([("CWE-89",), ("CWE-22",)], "cwe_id string")
-    run = scan.audit(files.load_files(spark, str(tmp_path)), known, ids, vectors, review, P.AuditParams(embedding_dim=3), spread=3)
+    run = scan.audit(files.load_files(spark, str(tmp_path)), known, ids, vectors, review, P.AuditParams(embedding_dim=3), tasks=3)
     assert {r["stage"]: r["n"] for r in run.funnel().collect()} == {"files": 3, "chunks": 4, "raw": 8, "valid": 2}
     found = {(os.path.basename(r["file_path"]), r["cwe_id"], r["line_start"], r["severity"], r["code_snippet"]) for r in run.findings.collect()}
     assert found == {("db.py", "CWE-89", 4, "high", "    return db.execute('q' + u)"),
