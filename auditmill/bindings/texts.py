@@ -1,11 +1,13 @@
 """Text functions and lookups over the given tables."""
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
 from auditmill import params as P
 from auditmill.bindings.registry import query, spread_table, sql_lines, sql_strip, table
 from auditmill.functions import lookup, text
-from auditmill.session import materialize
 from auditmill.sources import files
 
 
@@ -196,15 +198,14 @@ SELECT lang, count(*) AS n_lines, sum(length(l))::BIGINT AS n_chars
 FROM (SELECT lang, unnest(string_split(text, chr(10))) AS l FROM documents) GROUP BY lang""")
 def source_tree(spark, sf):
     """Texts written to a tree of files (one directory per language), listed and read again."""
-    from pyspark.sql import types as T
-
-    docs = materialize(table(spark, sf, "documents").select("lang", "text"))
-    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    root = f"{folder.removeprefix('file:')}/tree-{spark.sparkContext.applicationId}-{abs(hash((id(docs), sf)))}"
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir()
+    base = folder.get().removeprefix("file:") if folder.isDefined() else tempfile.mkdtemp()
+    root = f"{base}/tree-{uuid.uuid4().hex}"
+    docs = table(spark, sf, "documents").select("lang", "text")
     docs.write.mode("overwrite").option("maxRecordsPerFile", 2000).partitionBy("lang").text(root)
     texts = files.load_texts(spark, root, [".txt"], recursive=True)
     lines = texts.select(
         F.regexp_extract("rel_path", "lang=([^/]*)/", 1).alias("lang"),
         F.explode(F.split(F.regexp_replace("content", r"\n\z", ""), "\n", -1)).alias("line"))
     return lines.groupBy("lang").agg(
-        F.count("*").alias("n_lines"), F.sum(F.length("line")).cast(T.LongType()).alias("n_chars"))
+        F.count("*").alias("n_lines"), F.sum(F.length("line")).cast("bigint").alias("n_chars"))

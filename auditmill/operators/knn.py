@@ -201,43 +201,38 @@ def _scopes(queries: DataFrame, knowledge: DataFrame, p: KnnParams) -> tuple[Dat
     )
 
 
-class _Cells:
-    """Per-cell figures from which a query's candidate cells are found. One entry per cell and
-    scope, and the number of cells is a parameter: the size does not grow with the data."""
-
-    def __init__(self, pivots: np.ndarray, stats: list, k: int):
-        self.pivots = pivots
-        self.scopes: dict[str, dict] = {}
-        for scope, cell, rows, radius, near in stats:
-            entry = self.scopes.setdefault(scope, {"cell": [], "radius": [], "near": [], "rows": []})
-            entry["cell"].append(cell)
-            entry["radius"].append(radius)
-            entry["rows"].append(rows)
-            entry["near"].append((list(near) + [np.inf] * k)[:k])
-        for entry in self.scopes.values():
-            for name in entry:
-                entry[name] = np.array(entry[name])
-
-    def candidates(self, vectors: np.ndarray, usable: np.ndarray, scope: str, k: int):
-        """(query row, cell) pairs of one scope. Cell -1 holds the knowledge vectors of length zero;
-        queries of length zero are near to nothing and go to no cell."""
-        entry = self.scopes.get(scope)
-        if entry is None:
-            return np.zeros(0, dtype=int), np.zeros(0, dtype=int)
-        real = entry["cell"] >= 0
-        cells = entry["cell"][real]
-        need = np.zeros((len(vectors), len(entry["cell"])), dtype=bool)
-        if real.any():
-            angle = np.arccos(np.clip(vectors @ self.pivots[cells].T, -1.0, 1.0))
-            upper = (angle[:, :, None] + entry["near"][real][None]).reshape(len(vectors), -1)
-            bound = np.partition(upper, k - 1, axis=1)[:, k - 1]
-            need[:, real] = angle - entry["radius"][real][None] <= bound[:, None] + SLACK
-        if entry["rows"][real].sum() < k:
-            need[:] = True
-        need[~usable] = False
-        rows, cols = np.nonzero(need)
-        lost = np.flatnonzero(~usable)
-        return np.concatenate([rows, lost]), np.concatenate([entry["cell"][cols], np.full(len(lost), NO_VECTOR)])
+def _cell_figures(stats: list, k: int) -> dict[str, dict[str, np.ndarray]]:
+    """Per scope, the figures of its cells as arrays. One entry per cell and scope, and the number
+    of cells is a parameter: the size does not grow with the data."""
+    scopes: dict[str, dict] = {}
+    for scope, cell, rows, radius, near in stats:
+        entry = scopes.setdefault(scope, {"cell": [], "radius": [], "near": [], "rows": []})
+        entry["cell"].append(cell)
+        entry["radius"].append(radius)
+        entry["rows"].append(rows)
+        entry["near"].append((list(near) + [np.inf] * k)[:k])
+    return {scope: {name: np.array(column) for name, column in entry.items()} for scope, entry in scopes.items()}
+
+
+def _candidates(vectors: np.ndarray, usable: np.ndarray, pivots: np.ndarray, entry: dict | None, k: int):
+    """(query row, cell) pairs of one scope. Cell -1 holds the knowledge vectors of length zero;
+    queries of length zero are near to nothing and go to no cell."""
+    if entry is None:
+        return np.zeros(0, dtype=int), np.zeros(0, dtype=int)
+    real = entry["cell"] >= 0
+    cells = entry["cell"][real]
+    need = np.zeros((len(vectors), len(entry["cell"])), dtype=bool)
+    if real.any():
+        angle = np.arccos(np.clip(vectors @ pivots[cells].T, -1.0, 1.0))
+        upper = (angle[:, :, None] + entry["near"][real][None]).reshape(len(vectors), -1)
+        bound = np.partition(upper, k - 1, axis=1)[:, k - 1]
+        need[:, real] = angle - entry["radius"][real][None] <= bound[:, None] + SLACK
+    if entry["rows"][real].sum() < k:
+        need[:] = True
+    need[~usable] = False
+    rows, cols = np.nonzero(need)
+    lost = np.flatnonzero(~usable)
+    return np.concatenate([rows, lost]), np.concatenate([entry["cell"][cols], np.full(len(lost), NO_VECTOR)])
 
 
 def _join_cells(queries: DataFrame, knowledge: DataFrame, rows: int, dim: int, p: KnnParams, out: T.StructType) -> DataFrame:
@@ -274,7 +269,8 @@ def _join_cells(queries: DataFrame, knowledge: DataFrame, rows: int, dim: int, p
     )
     figures = slim.groupBy("scope", "cell").agg(F.count("*").alias("rows"), F.max("angle").alias("radius"))
     stats = figures.join(near, ["scope", "cell"]).select("scope", "cell", "rows", "radius", "near").collect()
-    cells = sc.broadcast(_Cells(pivots, [tuple(r) for r in stats], p.k))
+    # Plain arrays only: broadcast values are not shipped with their classes.
+    figures_of = sc.broadcast(_cell_figures([tuple(r) for r in stats], p.k))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,7 +278,8 @@ def _join_cells(queries: DataFrame, knowledge: DataFrame, rows: int, dim: int, p
             scopes = np.array(_column(batch, "scope").to_pylist(), dtype=object)
             for scope in sorted(set(scopes)):
                 at = np.flatnonzero(scopes == scope)
-                rows, cell = cells.value.candidates(vectors[at], usable[at], scope, p.k)
+                rows, cell = _candidates(
+                    vectors[at], usable[at], shared_pivots.value, figures_of.value.get(scope), p.k)
                 taken = batch.take(pa.array(at[rows]))
                 yield pa.RecordBatch.from_arrays(
                     [*taken.columns, pa.array(cell.astype(np.int32))], names=[*batch.schema.names, "cell"])

@@ -3,14 +3,14 @@
 Spark's file sources leave out names that start with `_` or `.`, and with them every
 `__init__.py`. Trees are therefore listed and read by tasks through Arrow's file systems:
 directories are expanded level by level, each level as one job over all its directories,
-and the files found are spread evenly by number and size before any content is read.
+and the files found are spread evenly over tasks before any content is read.
 """
 
 from __future__ import annotations
 
 import os
 import sys
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import pandas as pd
 import pyspark.cloudpickle
@@ -27,9 +27,12 @@ from auditmill.sources.ignore import is_ignored
 
 READ_TARGET_BYTES = 128 * 1024 * 1024
 READ_BATCH_BYTES = 32 * 1024 * 1024
+LIST_BATCH_ROWS = 10_000
 
 
 def _open(path: str) -> tuple[arrow_fs.FileSystem, str]:
+    if path.startswith("file:"):
+        return arrow_fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
     if "://" in path:
         return arrow_fs.FileSystem.from_uri(path)
     return arrow_fs.LocalFileSystem(), path
@@ -44,24 +47,42 @@ def path_exists(path: str) -> bool:
     return _info(path).type != arrow_fs.FileType.NotFound
 
 
-def _is_linked_dir(info: arrow_fs.FileInfo, local: bool) -> bool:
-    return local and info.type == arrow_fs.FileType.Directory and os.path.islink(info.path)
+def _entries(path: str) -> Iterator[tuple[str, bool, int | None]]:
+    """(name, is directory, size) of a directory's entries. Links to directories are not followed.
+
+    A mounted directory is read as a stream, so it may hold any number of files."""
+    fs, inner = _open(path)
+    if not isinstance(fs, arrow_fs.LocalFileSystem):
+        for info in fs.get_file_info(arrow_fs.FileSelector(inner)):
+            is_dir = info.type == arrow_fs.FileType.Directory
+            yield info.base_name, is_dir, None if is_dir else info.size
+        return
+    with os.scandir(inner) as found:
+        for entry in found:
+            try:
+                is_dir = entry.is_dir()
+                if not (is_dir and entry.is_symlink()):
+                    yield entry.name, is_dir, None if is_dir else entry.stat().st_size
+            except OSError:
+                continue
 
 
 def _list_directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Direct entries of each directory. Links to directories are not followed."""
+    """Direct entries of each directory, in batches of bounded size."""
+
+    def frame(rows):
+        return pd.DataFrame(rows, columns=["path", "rel_path", "size_bytes", "is_dir"]).astype({"size_bytes": "Int64"})
+
+    rows: list[tuple] = []
     for batch in batches:
         for path, rel_path in zip(batch["path"], batch["rel_path"]):
-            fs, inner = _open(path)
-            local = isinstance(fs, arrow_fs.LocalFileSystem)
-            rows = []
-            for info in fs.get_file_info(arrow_fs.FileSelector(inner)):
-                if info.type == arrow_fs.FileType.NotFound or _is_linked_dir(info, local):
-                    continue
-                is_dir = info.type == arrow_fs.FileType.Directory
-                rel = f"{rel_path}/{info.base_name}" if rel_path else info.base_name
-                rows.append((f"{path.rstrip('/')}/{info.base_name}", rel, None if is_dir else info.size, is_dir))
-            yield pd.DataFrame(rows, columns=["path", "rel_path", "size_bytes", "is_dir"]).astype({"size_bytes": "Int64"})
+            for name, is_dir, size in _entries(path):
+                rows.append((f"{path.rstrip('/')}/{name}", f"{rel_path}/{name}" if rel_path else name, size, is_dir))
+                if len(rows) >= LIST_BATCH_ROWS:
+                    yield frame(rows)
+                    rows = []
+    if rows:
+        yield frame(rows)
 
 
 def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -104,7 +125,7 @@ def list_tree(spark: SparkSession, root: str, recursive: bool = True, skip_dirs:
 
 
 def read_listed(listing: DataFrame) -> DataFrame:
-    """Read the files of a listing, with about the same number of bytes in each task."""
+    """Read the files of a listing, in as many tasks as their bytes call for."""
     spark = listing.sparkSession
     size = listing.agg(F.sum("size_bytes")).first()[0] or 0
     tasks = max(spark.sparkContext.defaultParallelism, -(-size // READ_TARGET_BYTES))
@@ -118,13 +139,14 @@ def wanted(
     excluded: Sequence[str] = P.EXCLUDED_DIRECTORIES,
     ignore_lines: Iterable[str] = (),
     max_bytes: int = P.MAX_FILE_BYTES,
+    extensions: Mapping[str, str] = P.EXTENSION_LANGUAGES,
 ) -> Column:
     """All conditions a file of a tree must meet. They need its name and size only."""
-    allowed = list(languages or P.SUPPORTED_LANGUAGES)
+    allowed = list(languages or dict.fromkeys(extensions.values()))
     inside = F.arrays_overlap(F.split(rel_path, "/"), F.array(*[F.lit(d) for d in excluded]))
     return (
         (size_bytes <= max_bytes)
-        & file_language(rel_path).isin(*allowed)
+        & file_language(rel_path, extensions).isin(*allowed)
         & ~inside
         & ~is_ignored(rel_path, ignore_lines)
     )
@@ -137,12 +159,13 @@ def select_files(
     recursive: bool = True,
     max_bytes: int = P.MAX_FILE_BYTES,
     excluded: Sequence[str] = P.EXCLUDED_DIRECTORIES,
+    extensions: Mapping[str, str] = P.EXTENSION_LANGUAGES,
 ) -> DataFrame:
     """The wanted rows of a table with `rel_path` and `size_bytes`, with their language."""
-    keep = wanted(F.col("rel_path"), F.col("size_bytes"), languages, excluded, ignore_lines, max_bytes)
+    keep = wanted(F.col("rel_path"), F.col("size_bytes"), languages, excluded, ignore_lines, max_bytes, extensions)
     if not recursive:
         keep = keep & ~F.contains(F.col("rel_path"), F.lit("/"))
-    return table.filter(keep).withColumn("language", file_language(F.col("rel_path")))
+    return table.filter(keep).withColumn("language", file_language(F.col("rel_path"), extensions))
 
 
 def load_files(
@@ -151,6 +174,7 @@ def load_files(
     recursive: bool = True,
     languages: Sequence[str] | None = None,
     max_bytes: int = P.MAX_FILE_BYTES,
+    extensions: Mapping[str, str] = P.EXTENSION_LANGUAGES,
 ) -> DataFrame:
     """Source files under a directory, or one single file, as (path, language, content, size_bytes).
 
@@ -160,7 +184,7 @@ def load_files(
     if info.type == arrow_fs.FileType.File:
         rows = [(root, info.base_name, info.size)]
         listing = spark.createDataFrame(rows, "path string, rel_path string, size_bytes bigint")
-        chosen = select_files(listing, languages, max_bytes=max_bytes, excluded=("/",))
+        chosen = select_files(listing, languages, max_bytes=max_bytes, excluded=("/",), extensions=extensions)
     else:
         ignore_lines: list[str] = []
         ignore_file = f"{root.rstrip('/')}/.gitignore"
@@ -169,9 +193,9 @@ def load_files(
             with fs.open_input_stream(inner) as stream:
                 ignore_lines = stream.read().decode("utf-8", errors="ignore").splitlines()
         listing = list_tree(spark, root, recursive, P.EXCLUDED_DIRECTORIES)
-        chosen = select_files(listing, languages, ignore_lines, recursive, max_bytes)
+        chosen = select_files(listing, languages, ignore_lines, recursive, max_bytes, extensions=extensions)
     texts = read_listed(chosen.drop("language"))
-    return texts.select("path", file_language(F.col("path")).alias("language"), "content", "size_bytes")
+    return texts.select("path", file_language(F.col("path"), extensions).alias("language"), "content", "size_bytes")
 
 
 def load_texts(spark: SparkSession, root: str, suffixes: Sequence[str], recursive: bool) -> DataFrame:

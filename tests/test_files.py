@@ -56,6 +56,12 @@ def test_single_file_passes_by_the_exclusions(spark, tree):
     assert files.load_files(spark, str(tree / "over.py")).count() == 0
 
 
+def test_a_further_extension(spark, tree):
+    write(tree, "x.rs")
+    df = files.load_files(spark, "file://" + str(tree), extensions={".rs": "rust"})
+    assert [r["language"] for r in df.collect()] == ["rust"]
+
+
 def test_missing_and_empty_directories(spark, tmp_path):
     assert files.load_texts(spark, str(tmp_path / "none"), [".md"], True).count() == 0
     assert files.load_files(spark, str(tmp_path)).count() == 0

@@ -150,3 +150,13 @@ def test_long_files_do_not_overflow(spark):
     text = 'x = "' + "a\\n" * 200_000 + '"\n/* ' + "* " * 150_000 + "*/\nfunction f(a) {\n" + "  g('}');\n" * 20_000 + "}\n" + "w " * 50_000
     rows = segment.segment_files(spark.createDataFrame([("l.js", "javascript", text)], "path string, language string, content string")).collect()
     assert [(r["name"], r["line_start"], r["line_end"]) for r in rows] == [("f", 3, 20_004)]
+
+
+def test_a_further_language(spark):
+    """A language is an entry in the tables: extensions, and heads of its blocks."""
+    rust = segment.BracedLanguage(segment.BRACED["c"].blanks, (segment.Head("function", r"fn\s+(\w+)\s*\([^(){}]*\)[^{};]*\{"),))
+    files = spark.createDataFrame(
+        [("a.rs", "rust", "use x;\nfn go(a: u8) -> u8 {\n  a\n}\n"), ("b.lua", "tabbed", "fun a\n\tx\nfun b\n\ty\n")],
+        "path string, language string, content string")
+    rows = segment.segment_files(files, braced={"rust": rust}, indented={"tabbed": r"^([ \t]*)(fun)[ \t]+(\w+)"}).collect()
+    assert sorted((r["name"], r["line_start"], r["line_end"]) for r in rows) == [("a", 1, 2), ("b", 3, 4), ("go", 2, 4)]
