@@ -10,6 +10,7 @@ from auditmill import params as P
 from auditmill.bindings.registry import query, spread_table, sql_strip, table
 from auditmill.functions.lookup import to_csv
 from auditmill.operators import knowledge, segment
+from auditmill.session import materialize
 from auditmill.sources import catalogue, guides, rules
 
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
@@ -265,6 +266,30 @@ def source_counts(spark, sf):
     return knowledge.count_by_source(_known(spark, sf))
 
 
+@query(f"""
+WITH cat AS (WITH {RECORDS} SELECT 0 AS rank, 'cwe' AS source, cwe_id, text, '' AS path, doc_id AS pos, languages FROM chunks),
+guide AS (WITH {SECTIONS}, cleaned AS (SELECT doc_id, section_no, {CLEANED} AS body FROM sections)
+  SELECT 1 AS rank, 'owasp' AS source, ['CWE-89', 'CWE-79', 'CWE-22', 'CWE-352', NULL, 'CWE-89'][(1 + doc_id % 6)::INTEGER] AS cwe_id,
+         body[1:2000] AS text, {list(NAMES)!r}[(1 + doc_id % 6)::INTEGER] || '_' || doc_id || '_Cheat_Sheet.md' AS path, section_no AS pos,
+         NULL AS languages FROM cleaned WHERE length(body) >= 50),
+rule AS (WITH {RULES} SELECT 2 AS rank, 'semgrep' AS source, cwe_id, text, lang || '/' || source || '/r' || doc_id || '.yml' AS path,
+         0 AS pos, languages FROM chunks JOIN (SELECT doc_id, lang, source FROM documents) USING (doc_id)),
+united AS (FROM cat UNION ALL FROM guide UNION ALL FROM rule),
+numbered AS (SELECT *, row_number() OVER (ORDER BY rank, path, pos) - 1 AS idx FROM united)
+SELECT source || '-' || lower(replace(coalesce(cwe_id, 'none'), '-', '')) || '-' || idx AS id, md5(text) AS document,
+       CASE WHEN rank <> 1 THEN languages END AS languages FROM numbered""")
+def knowledge_index(spark, sf):
+    """The three corpora parsed, put together and numbered: the rows an index build stores."""
+    united = knowledge.union_sources([
+        catalogue.knowledge(catalogue.parse_records(_records(spark, sf))),
+        guides.knowledge(_marked(spark, sf)),
+        rules.knowledge(rules.explode_rules(_rule_files(spark, sf))),
+    ])
+    records = knowledge.to_records(knowledge.number_rows(materialize(united), ["source_rank", "order_path", "order_pos"]))
+    return records.select(
+        "id", F.md5("document").alias("document"), F.when(F.col("source") != "owasp", F.col("languages_csv")).alias("languages"))
+
+
 @query("""
 WITH new AS (SELECT o_orderkey AS id, 'X' AS status, max(version) AS total FROM
   (SELECT o_orderkey, unnest([1, 2]) AS version FROM orders WHERE o_orderstatus = 'F'

@@ -33,6 +33,7 @@ DIGITS = 9
 SLACK = 1e-6
 SCORE_CELLS = 4_000_000
 NO_VECTOR = -2
+MAX_LANGUAGES = 1000
 
 
 @dataclass(frozen=True)
@@ -185,11 +186,14 @@ def _scopes(queries: DataFrame, knowledge: DataFrame, p: KnnParams) -> tuple[Dat
     """Add `scope`: with mode 'pre' a knowledge row lies in the scope of each of its languages
     and a query looks at the scope of its own one; otherwise there is one scope for all.
 
-    Languages are few, so their distinct list is small; the empty name is that of a language
-    no knowledge row has."""
+    Languages are few, and more than `MAX_LANGUAGES` are taken as a wrong column; the empty name
+    is that of a language no knowledge row has."""
     if p.mode != "pre":
         return queries.withColumn("scope", F.lit("")), knowledge.withColumn("scope", F.lit(""))
-    known = [r[0] for r in knowledge.select(F.explode("tags").alias("t")).distinct().orderBy("t").collect()]
+    listed = knowledge.select(F.explode("tags").alias("t")).filter("t is not null").distinct()
+    known = [r[0] for r in listed.limit(MAX_LANGUAGES + 1).collect()]
+    if len(known) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     named = F.array(*[F.lit(t) for t in known]).cast("array<string>")
     tags = F.array_distinct("tags").cast("array<string>")
     if p.empty_means_all:

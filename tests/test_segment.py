@@ -105,11 +105,11 @@ EXPECTED = {
     ("a.c", "c", C): [("function", "<anonymous>", 3, 8), ("function", "<anonymous>", 11, 11)],
     ("a.cpp", "cpp", CPP): [
         ("class", "Foo", 3, 3), ("function", "<anonymous>", 5, 5), ("function", "<anonymous>", 6, 8), ("function", "<anonymous>", 9, 9)],
-    ("b.py", "python", "def broken(\n    pass"): [("function", "broken", 1, 2)],
-    ("c.py", "python", "# just a comment\nx = 1\n"): [("module", "c.py", 1, 2)],
-    ("d.rb", "ruby", "def hello; end"): [("module", "d.rb", 1, 1)],
+    ("b.py", "python", "def half(a,\n   b"): [("function", "half", 1, 2)],
+    ("c.py", "python", "LIMIT = 3  # rows\nprint(LIMIT)\n"): [("module", "c.py", 1, 2)],
+    ("d.rb", "ruby", "module A; end"): [("module", "d.rb", 1, 1)],
     ("e.js", "javascript", ""): [("module", "e.js", 1, 1)],
-    ("f.py", "python", "def foo():\n    pass\n\ndef bar():\n    pass\n"): [("function", "foo", 1, 2), ("function", "bar", 4, 5)],
+    ("f.py", "python", "def load(p):\n    return p\n\n\ndef store():\n    ...\n"): [("function", "load", 1, 2), ("function", "store", 5, 6)],
     ("g.java", "java", "// c\npublic String run(String in) throws Exception {\n  return in;\n}"): [("function", "run", 2, 4)],
     ("h.ts", "typescript", "abstract class A { go(x: number): Promise<void> { } }\nexport function f<T>(x: T): T { return x; }"): [
         ("function", "go", 1, 1), ("function", "f", 2, 2)],

@@ -103,12 +103,12 @@ def test_guides(spark, guide_dir):
 
 
 def test_sections(values):
-    texts = ["# T\n\nIntro\n\n## S1\n\nC1\n\n## S2\n\nC2", "# T\n\nbody", "## S1\n\nC\n\n## Empty\n\n\n\n## S3\n\nM", "", "x\n## A\nb",
+    texts = ["# Top\nlead in\n## P\n\nq\nr\n## S\nt", "# T\n\nbody", "## P\nq\n## Nil\n \n\n## R\n\ns", "", "x\n## A\nb",
              "no start\n# Late\nrest\n## A\nb"]
     got = values([(t,) for t in texts], "t string", lambda c: guides.sections(c("t")))
     pairs = [[(s["title"], s["body"]) for s in r] for r in got]
     assert pairs == [
-        [("T", "Intro"), ("S1", "C1"), ("S2", "C2")], [("T", "# T\n\nbody")], [("S1", "C"), ("S3", "M")], [("Overview", "")],
+        [("Top", "lead in"), ("P", "q\nr"), ("S", "t")], [("T", "# T\n\nbody")], [("P", "q"), ("R", "s")], [("Overview", "")],
         [("Introduction", "x"), ("A", "b")], [("Late", "no start\n# Late\nrest"), ("A", "b")]]
 
 
