@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 DIGITS = 9
 SLACK = 1e-6
 SCORE_CELLS = 4_000_000
+ROUTE_ROWS = 4096
 NO_VECTOR = -2
 MAX_LANGUAGES = 1000
 
@@ -281,12 +282,16 @@ def _join_cells(queries: DataFrame, knowledge: DataFrame, rows: int, dim: int, p
             vectors, usable = _unit(_column(batch, "vec"), dim)
             scopes = np.array(_column(batch, "scope").to_pylist(), dtype=object)
             for scope in sorted(set(scopes)):
-                at = np.flatnonzero(scopes == scope)
-                rows, cell = _candidates(
-                    vectors[at], usable[at], shared_pivots.value, figures_of.value.get(scope), p.k)
-                taken = batch.take(pa.array(at[rows]))
-                yield pa.RecordBatch.from_arrays(
-                    [*taken.columns, pa.array(cell.astype(np.int32))], names=[*batch.schema.names, "cell"])
+                entry, mine = figures_of.value.get(scope), np.flatnonzero(scopes == scope)
+                step = max(1, SCORE_CELLS // (p.k * max(1, len(shared_pivots.value))))
+                for first in range(0, len(mine), step):
+                    at = mine[first:first + step]
+                    rows, cell = _candidates(vectors[at], usable[at], shared_pivots.value, entry, p.k)
+                    for low in range(0, len(rows), ROUTE_ROWS):  # a query may go to very many cells
+                        part = slice(low, low + ROUTE_ROWS)
+                        taken = batch.take(pa.array(at[rows[part]]))
+                        yield pa.RecordBatch.from_arrays(
+                            [*taken.columns, pa.array(cell[part].astype(np.int32))], names=[*batch.schema.names, "cell"])
 
     routed = queries.mapInArrow(route, T.StructType([*queries.schema.fields, T.StructField("cell", T.IntegerType())]))
     asked = {(r["scope"], r["cell"]): r["n"] for r in
@@ -374,10 +379,12 @@ def _knowledge_side(knowledge: DataFrame, p: KnnParams, id_column: str, vector:
     return knowledge.select(F.col(id_column).alias("id"), F.col(vector).alias("vec"), *tags)
 
 
-def _measure(known: DataFrame) -> tuple[int, int]:
-    """(rows, width) of the knowledge table: one small job."""
-    size = known.agg(F.count("*").alias("rows"), F.max(F.size("vec")).alias("dim")).first()
-    return size["rows"], max(1, size["dim"] or 1)
+def _measure(known: DataFrame) -> tuple[int, int, int]:
+    """(rows, width, bytes as doubles) of the knowledge table: one small job. The width is that of
+    most vectors, so a broken row does not decide it."""
+    width = F.when(F.col("vec").isNotNull(), F.size("vec"))
+    size = known.agg(F.count("*").alias("rows"), F.mode(width).alias("dim"), F.sum(width).alias("cells")).first()
+    return size["rows"], max(1, size["dim"] or 1), 8 * (size["cells"] or 0)
 
 
 def knn_join(
@@ -404,8 +411,8 @@ def knn_join(
         T.StructField("sim", T.DoubleType()),
         T.StructField("rank", T.IntegerType()),
     ])
-    rows, dim = _measure(known)
-    if rows * dim * 8 > params.broadcast_bytes:
+    rows, dim, size = _measure(known)
+    if size > params.broadcast_bytes:
         return _join_cells(asking, known, rows, dim, params, out)
     hits = _broadcast_hits(known, dim, params, F.col("vec"), F.col("tag"))
     found = asking.select("qid", hits.alias("hits")).select("qid", F.inline("hits"))
@@ -417,8 +424,8 @@ def attach_hits(queries: DataFrame, knowledge: DataFrame, params: KnnParams = Kn
     knowledge rows as (rank, id, sim). With a small knowledge table no row is shuffled; with a
     large one the lists, of at most k entries, are made from the join and joined back."""
     known = _knowledge_side(knowledge, params, "id", "embedding", "languages")
-    rows, dim = _measure(known)
-    if rows * dim * 8 <= params.broadcast_bytes:
+    _, dim, size = _measure(known)
+    if size <= params.broadcast_bytes:
         return queries.withColumn("hits", _broadcast_hits(known, dim, params, F.col("embedding"), F.col("language")))
     lists = knn_join(queries, knowledge, params).groupBy("chunk_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "id", "sim"))).alias("hits"))

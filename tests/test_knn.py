@@ -24,6 +24,8 @@ def make(seed, n, dim=6, hot=True):
             value = None
         if i % 31 == 9:
             value = value and value[:2]
+        if i == 10:
+            value = value + value
         tags = [["a"], ["b"], ["a", "b"], [], None][int(rng.integers(5))]
         rows.append((i, value, ["a", "b", "c", None][int(rng.integers(4))], tags))
     return rows
