@@ -31,7 +31,9 @@ from pyspark.sql import types as T
 
 DIGITS = 9
 SLACK = 1e-6
-SCORE_CELLS = 4_000_000
+SCORE_CELLS = 1_000_000
+# Below any cosine: a pair without similarity ranks last, an excluded one is never taken.
+NO_SIMILARITY, EXCLUDED = -3.0, -4.0
 ROUTE_ROWS = 4096
 NO_VECTOR = -2
 MAX_LANGUAGES = 1000
@@ -76,22 +78,27 @@ def _unit(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return raw / np.where(usable, length, 1.0)[:, None], usable
 
 
-def _best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, column, rank) of the k highest values per row; ties go to the lower column.
-
-    Columns stand in id order. Minus infinity means no similarity, NaN not to be taken."""
-    key = np.where(np.isnan(sims), np.inf, -sims)
-    taken = ~np.isnan(sims)
-    if sims.shape[1] > k:
-        bar = np.partition(key, k - 1, axis=1)[:, k - 1]
-        taken &= key <= bar[:, None]
-    rows, cols = np.nonzero(taken)
-    order = np.lexsort((cols, key[rows, cols], rows))
-    rows, cols = rows[order], cols[order]
-    first = np.searchsorted(rows, np.arange(sims.shape[0]))
-    rank = np.arange(len(rows)) - first[rows] + 1
+def _best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, similarity, rank) of the k highest values per row; ties go to the lower column.
+
+    Columns stand in id order. The k-th highest of the maxima of column groups is a lower bound
+    for the k-th value; only what reaches it is rounded and sorted."""
+    count = sims.shape[1]
+    width = max(1, count // (32 * k))
+    groups = count // width
+    bar = np.full(len(sims), EXCLUDED)
+    if groups > k:
+        tops = sims[:, :groups * width].reshape(len(sims), groups, width).max(axis=2)
+        bar = np.partition(tops, groups - k, axis=1)[:, groups - k]
+    rows, cols = np.nonzero(sims >= (bar - 2 * 10.0**-DIGITS)[:, None])
+    values = np.round(sims[rows, cols], DIGITS)
+    taken = values > EXCLUDED
+    rows, cols, values = rows[taken], cols[taken], values[taken]
+    order = np.lexsort((cols, -values, rows))
+    rows, cols, values = rows[order], cols[order], values[order]
+    rank = np.arange(len(rows)) - np.searchsorted(rows, np.arange(sims.shape[0]))[rows] + 1
     keep = rank <= k
-    return rows[keep], cols[keep], rank[keep]
+    return rows[keep], cols[keep], values[keep], rank[keep]
 
 
 class _Block:
@@ -116,16 +123,17 @@ class _Block:
         step = max(1, SCORE_CELLS // max(1, len(self.ids)))
         for at in range(0, len(vectors), step):
             part = slice(at, at + step)
-            sims = np.round(vectors[part] @ self.units.T, DIGITS)
-            sims[:, ~self.usable] = -np.inf
-            sims[~usable[part]] = -np.inf
+            sims = vectors[part] @ self.units.T
+            if not self.usable.all():
+                sims[:, ~self.usable] = NO_SIMILARITY
+            if not usable[part].all():
+                sims[~usable[part]] = NO_SIMILARITY
             fit = None
             if tags is not None and p.mode != "none":
                 fit = np.stack([self.fits(t, p.empty_means_all) for t in tags[part]])
             if p.mode == "pre":
-                sims = np.where(fit, sims, np.nan)
-            rows, cols, rank = _best(sims, p.k)
-            sim = sims[rows, cols]
+                sims[~fit] = EXCLUDED
+            rows, cols, sim, rank = _best(sims, p.k)
             good = np.ones(len(rows), dtype=bool) if fit is None else fit[rows, cols]
             yield rows + at, cols, sim, rank, good
 
@@ -149,7 +157,7 @@ def _hit_lists(block: _Block, parts, queries: int, post: bool) -> pa.Array:
     rows, cols, sim, rank = rows[keep].astype(int), cols[keep].astype(int), sim[keep], rank[keep]
     offsets = np.searchsorted(rows, np.arange(queries + 1)).astype(np.int32)
     hits = pa.StructArray.from_arrays(
-        [pa.array(rank.astype(np.int32)), block.ids.take(pa.array(cols)), pa.array(sim, mask=np.isneginf(sim))],
+        [pa.array(rank.astype(np.int32)), block.ids.take(pa.array(cols)), pa.array(sim, mask=sim == NO_SIMILARITY)],
         names=["rank", "id", "sim"])
     return pa.ListArray.from_arrays(pa.array(offsets), hits)
 
@@ -328,7 +336,7 @@ def _join_cells(queries: DataFrame, knowledge: DataFrame, rows: int, dim: int, p
         for rows, cols, sim, rank, good in block.top(vectors, usable, tags, inner):
             batches.append(pa.RecordBatch.from_arrays(
                 [qids.take(pa.array(rows)), block.ids.take(pa.array(cols)),
-                 pa.array(sim, mask=np.isneginf(sim)), pa.array(rank.astype(np.int32)), pa.array(good)],
+                 pa.array(sim, mask=sim == NO_SIMILARITY), pa.array(rank.astype(np.int32)), pa.array(good)],
                 names=[*names, "sim", "rank", "fits"]))
         return pa.Table.from_batches(batches)
 

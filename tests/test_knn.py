@@ -67,6 +67,18 @@ def test_against_brute_force(spark, form, mode, all_langs):
     assert got == brute(queries, known, 4, mode, all_langs)
 
 
+@pytest.mark.parametrize("n,k", [(1, 3), (7, 7), (700, 2), (1000, 5), (999, 1)])
+def test_best_of_a_row(n, k):
+    rng = np.random.default_rng(n)
+    sims = np.round(rng.uniform(-1, 1, size=(20, n)), 2)
+    sims[3], sims[4, : n // 2], sims[5, n // 2:] = 0.25, knn.NO_SIMILARITY, knn.EXCLUDED
+    rows, cols, values, rank = knn._best(sims, k)
+    for row in range(20):
+        order = [c for c in np.lexsort((np.arange(n), -sims[row])) if sims[row, c] > knn.EXCLUDED][:k]
+        assert cols[rows == row].tolist() == order and rank[rows == row].tolist() == list(range(1, len(order) + 1))
+        assert values[rows == row].tolist() == sims[row, order].tolist()
+
+
 @pytest.mark.parametrize("form", list(FORMS))
 def test_lists_hold_the_same_hits(spark, form):
     asking = spark.createDataFrame(make(1, 40), SCHEMA).withColumnRenamed("id", "chunk_id")
