@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,3 +53,27 @@ def materialize(df: DataFrame) -> DataFrame:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="auditmill-ckpt-"))
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for stored stages that driver and executors share.
+
+    `spark.checkpoint.dir` names it, or the checkpoint folder of the session. A local session
+    without either gets a folder of its own; on a cluster that would lose rows, so it raises."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="auditmill-stages-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Write `df` once as Parquet in the shared folder and go on from the stored columns.
+
+    Cuts the lineage, survives lost executors, and later scans read only the columns they name."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/auditmill/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
