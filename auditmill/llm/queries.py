@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from auditmill.llm import jaccard_join
+from auditmill.llm import jaccard_join, mixing, personal, pieces, shards
+from auditmill.llm.draws import unit_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,18 +30,63 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+TREE = shards.Tree(40)
+
+
+@query()
+def op3_hash_tree_shards(spark, sf):
+    return shards.assign(table(spark, sf, "documents"), TREE)
+
+
+@query()
+def op5_piece_prefix_table(spark, sf):
+    import public_tokenizers
+    return pieces.token_digests(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query(r"""
 WITH RECURSIVE tokens AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                     '[^\x20\x09-\x0D]+') AS w FROM documents),
 grams AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), k -> array_to_string(w[k:k+4], ' '))
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k+4], ' '))
                                       WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM tokens),
 sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
-shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
-links AS (SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * both >= 80 * (p.n + q.n - both)),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n_both FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * n_both >= 80 * (p.n + q.n - n_both)),
 reach AS (SELECT doc_id AS a, doc_id AS c FROM documents UNION SELECT l.b, r.c FROM reach r JOIN links l ON l.a = r.a)
 SELECT d.doc_id, coalesce(max(s.n), 0)::BIGINT AS n_shingles, min(r.c) AS component_id
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN reach r ON r.a = d.doc_id GROUP BY d.doc_id""")
 def op6_ngram_jaccard_join(spark, sf):
     return jaccard_join.near_groups(table(spark, sf, "documents"))
+
+
+@query()
+def op8_personal_data(spark, sf):
+    return personal.find(table(spark, sf, "documents"))
+
+
+LISTED = "[" + ", ".join(map(str, mixing.WEIGHTS)) + "]"
+
+
+@query(rf"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         -ln({unit_sql(f"'{mixing.SEED}:' || coalesce(doc_id::VARCHAR, md5(text), '')")})
+         / greatest({mixing.LEAST_QUALITY}, coalesce(len(regexp_extract_all(text, '[\p{{Ll}}\x20]')) / nullif(length(text), 0), 0)) AS key
+  FROM documents),
+sources AS (SELECT source, sum(size)::BIGINT AS source_size, {LISTED}[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1)::INT] AS w
+            FROM sized GROUP BY source),
+levels AS (SELECT *, (sum(source_size) OVER () - {mixing.MOST} * coalesce(sum(source_size) OVER before, 0))
+                     / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS level
+           FROM sources WINDOW before AS (ORDER BY source_size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+targets AS (SELECT source, source_size, least({float(mixing.MOST)} * source_size,
+                   w * (SELECT min(level) FROM levels WHERE level <= {mixing.MOST} * source_size / w)) AS target FROM levels),
+plan AS (SELECT s.doc_id, s.size, s.source, t.source_size, t.target, floor(t.target / nullif(t.source_size, 0))::BIGINT AS epochs,
+                coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+         FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+cut AS (SELECT *, least(size, greatest(0, round(target - epochs * source_size)::BIGINT - before))::BIGINT AS part FROM plan)
+SELECT doc_id, size, source, source_size, round(target, 6) AS target, coalesce(epochs, 0) * size + coalesce(part, 0) AS taken FROM cut""")
+def op10_source_mix(spark, sf):
+    mixed = mixing.mix(table(spark, sf, "documents"))
+    return mixed.select("doc_id", "size", "source", "source_size", F.round("target", 6).alias("target"), "taken")
