@@ -21,6 +21,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MARK = "▁"
 MEMO = 300_000       # parts remembered by a worker, in two generations, and pairs; the older go first
@@ -194,8 +195,7 @@ def encode_table(documents: DataFrame, model_path: str, text_column: str = "text
             yield batch.append_column(ids_column, pa.array(ids, pa.list_(pa.int32())))
     if ids_column in documents.columns:
         raise ValueError(f"the table has a column {ids_column}")
-    schema = documents.schema.add(ids_column, "array<int>")
-    return documents.mapInArrow(run, schema)
+    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField(ids_column, T.ArrayType(T.IntegerType()))]))
 
 
 def decode_table(tokens: DataFrame, model_path: str, ids_column: str = "ids", text_column: str = "decoded") -> DataFrame:
@@ -207,7 +207,7 @@ def decode_table(tokens: DataFrame, model_path: str, ids_column: str = "ids", te
             yield batch.append_column(text_column, pa.array([table.decode(x.as_py() or []) for x in lists], pa.string()))
     if text_column in tokens.columns:
         raise ValueError(f"the table has a column {text_column}")
-    return tokens.mapInArrow(run, tokens.schema.add(text_column, "string"))
+    return tokens.mapInArrow(run, T.StructType([*tokens.schema.fields, T.StructField(text_column, T.StringType())]))
 
 
 def token_digests(documents: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -106,7 +106,9 @@ def lines_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     start = np.unique(np.concatenate([offsets[:-1][np.diff(offsets) > 0], breaks + 1]))
     start = start[start < len(data)]
     stop = np.unique(np.concatenate([breaks, offsets[1:]]))
-    end = stop[np.searchsorted(stop, start, side="left")] if len(start) else start
+    end = start.copy()
+    filled = data[start] != 10
+    end[filled] = stop[np.searchsorted(stop, start[filled], side="right")]
     text = np.searchsorted(offsets, start, side="right") - 1
     # Bytes of an empty line hold a line feed only, which hashes to 0 and ends the piece before.
     hashes = _hash_pieces(data, start, end - start, _LINE_HASH)
