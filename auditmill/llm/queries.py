@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditmill.llm import jaccard_join, mixing, personal, pieces, quality, shards
+from auditmill.llm import jaccard_join, language, mixing, parsing, personal, pieces, quality, shards
 from auditmill.llm.draws import unit_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,11 @@ def op3_hash_tree_shards(spark, sf):
     return shards.assign(table(spark, sf, "documents"), TREE)
 
 
+@query()
+def op4_consistent_parsing(spark, sf):
+    return parsing.compare_neighbours(table(spark, sf, "documents"))
+
+
 @query()
 def op5_piece_prefix_table(spark, sf):
     import public_tokenizers
@@ -71,6 +76,14 @@ def op8_personal_data(spark, sf):
     return personal.find(table(spark, sf, "documents"))
 
 
+@query()
+def op9_language_mixture(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    held = language.held_out(F.col("doc_id"))
+    model = language.learn(docs, ~held)
+    return language.identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "languages")
+
+
 LISTED = "[" + ", ".join(map(str, mixing.WEIGHTS)) + "]"
 
 
