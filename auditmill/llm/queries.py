@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditmill.llm import jaccard_join, language, mixing, parsing, personal, pieces, quality, shards
+from auditmill.llm import jaccard_join, language, mixing, parsing, personal, pieces, quality, shards, spans
 from auditmill.llm.draws import unit_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,11 @@ def op6_ngram_jaccard_join(spark, sf):
     return jaccard_join.near_groups(table(spark, sf, "documents"))
 
 
+@query()
+def op7_sentence_spans(spark, sf):
+    return spans.remove_repeats(table(spark, sf, "documents"))
+
+
 @query()
 def op8_personal_data(spark, sf):
     return personal.find(table(spark, sf, "documents"))
