@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditmill.llm import jaccard_join, language, mixing, parsing, personal, pieces, quality, shards, spans
+from auditmill.llm import jaccard_join, language, mixing, pages, parsing, personal, pieces, quality, shards, spans
 from auditmill.llm.draws import unit_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query()
+def op1_block_tree_text(spark, sf):
+    return pages.extract(table(spark, sf, "pages"))
+
+
 @query()
 def op2_robust_outliers(spark, sf):
     return quality.judge(table(spark, sf, "documents"))

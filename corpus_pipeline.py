@@ -1,7 +1,7 @@
 """The corpus pipeline: quality rules, near duplicates, personal data, mixing, tokens.
 
-Each stage takes (spark, docs, sf_dir), works on all rows of the stage before and returns a DataFrame;
-all but the last return the columns of `documents`. `run` stores each stage as Parquet."""
+Each stage takes (spark, docs, sf_dir), works on all rows of the stage before and returns a DataFrame; all but the
+last return the columns of `documents`. `run` stores each stage as Parquet and reads it again."""
 
 from __future__ import annotations
 
@@ -10,23 +10,52 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditmill.llm import jaccard_join
+from auditmill.llm import jaccard_join, mixing, personal, pieces, quality
 from auditmill.session import store
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _recounted(docs: DataFrame) -> DataFrame:
+    """n_chars of the text as it is now."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the plain rules or the robust distance reject go."""
+    return quality.keep_good(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays; of equal rows with it, one."""
+    """Of each group of near copies the document with the smallest id stays; of rows with that id, one.
+    Rows with a null id are in no group and stay."""
     groups = jaccard_join.near_groups(docs)
     first = groups.filter("doc_id = component_id").select("doc_id").distinct()
     kept = docs.filter("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.filter("doc_id IS NULL")).select(docs.columns)
 
 
-STAGES: list[tuple[str, Stage]] = [("near_duplicates", near_duplicates)]
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by the name of its kind."""
+    return _recounted(personal.redact(docs))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources: documents as often as they are taken."""
+    return _recounted(mixing.mixture(docs))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Number of ids and digests of the ids and of the decoded text of each row of the mix."""
+    import public_tokenizers
+    return pieces.token_digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", quality_rules), ("near duplicates", near_duplicates), ("personal data", personal_data),
+    ("source mix", source_mix), ("tokens", tokens)]
 
-# The stages fit robust estimates, draw hashes and merge tokens: SQL cannot state their rows.
+# The stages fit robust estimates, verify sketches and merge tokens: SQL cannot state their rows.
 ORACLE_SQL: str | None = None
 
 
