@@ -45,8 +45,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: f
     rest = F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
     left = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
     levels = weighed.withColumn("level", rest / left)
-    level = F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(every)
-    return levels.withColumn("at", level).select(
+    first = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "source", "level"))).over(every)
+    return levels.withColumn("at", first["level"]).select(
         "source", "source_size", F.least("cap", F.col("at") * F.col("weight")).alias("target"))
 
 

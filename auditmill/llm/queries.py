@@ -109,7 +109,7 @@ levels AS (SELECT *, (sum(source_size) OVER () - {mixing.MOST} * coalesce(sum(so
                      / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS level
            FROM sources WINDOW before AS (ORDER BY source_size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 targets AS (SELECT source, source_size, least({float(mixing.MOST)} * source_size,
-                   w * (SELECT min(level) FROM levels WHERE level <= {mixing.MOST} * source_size / w)) AS target FROM levels),
+                   w * (SELECT level FROM levels WHERE level <= {mixing.MOST} * source_size / w ORDER BY source_size / w, source LIMIT 1)) AS target FROM levels),
 plan AS (SELECT s.doc_id, s.size, s.source, t.source_size, t.target, floor(t.target / nullif(t.source_size, 0))::BIGINT AS epochs,
                 coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
          FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
