@@ -8,7 +8,8 @@ by an order that is a function of the word alone (shingles that few documents sh
 equal word is then kept on both sides, so no link is lost and words of common passages stay out.
 
 Sets that share a word are compared with the smallest set of the bucket; then, in buckets that still hold
-several components, with each other, block by block. A second parity sketch with one bit a shingle bounds
+several components, with the nearest set of another component, twice; then all pairs that are left, block by
+block. A second parity sketch with one bit a shingle bounds
 the symmetric difference from below and rejects most candidates; the rest are verified on the whole texts.
 """
 
@@ -272,64 +273,86 @@ def _links(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     return store(both.mapInArrow(_verify, "a long, b long"))
 
 
-def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in a bucket block whose sketches allow a link. Rows come sorted by group."""
-    rest = None
-
-    def pairs(t: pa.Table):
-        group, sid = t.column("grp").to_numpy(), t.column("sid").to_numpy()
-        comp, n, side = t.column("comp").to_numpy(), t.column("n").to_numpy(), t.column("side").to_numpy()
-        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint64).reshape(-1, MINI_WORDS)
-        for d in range(1, len(group)):
-            i = np.flatnonzero(group[d:] == group[:-d])
-            if not len(i):
-                break
-            j = i + d
-            ok = (comp[i] != comp[j]) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])) & ((side[i] != side[j]) | (side[i] == 2))
-            i, j = i[ok], j[ok]
-            apart = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1)
-            ok = 9 * apart <= n[i] + n[j]
-            yield np.minimum(sid[i[ok]], sid[j[ok]]), np.maximum(sid[i[ok]], sid[j[ok]])
-
-    def emit(t: pa.Table):
-        known = set()
-        for a, b in pairs(t):
-            if len(a):
-                found = np.unique(np.stack([a, b], axis=1), axis=0)
-                fresh = [tuple(x) for x in found.tolist() if tuple(x) not in known]
-                if len(known) < 200_000:
-                    known.update(fresh)
-                if fresh:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in fresh], pa.int64()), pa.array([x[1] for x in fresh], pa.int64())], names=["a", "b"])
+def _apart(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, row, Hamming distance) of pairs of different components in a bucket block whose sizes and sketches
+    allow a link. Rows come sorted by group."""
+    group, comp, n, side = (t.column(c).to_numpy() for c in ("grp", "comp", "n", "side"))
+    sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint64).reshape(-1, MINI_WORDS)
+    for d in range(1, len(group)):
+        i = np.flatnonzero(group[d:] == group[:-d])
+        if not len(i):
+            break
+        j = i + d
+        ok = ((comp[i] != comp[j]) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
+              & ((side[i] != side[j]) | (side[i] == 2)))
+        i, j = i[ok], j[ok]
+        apart = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1)
+        ok = 9 * apart <= n[i] + n[j]
+        yield i[ok], j[ok], apart[ok]
+
+
+def _nearest(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each row the pair with the nearest sketch."""
+    rows = np.arange(t.num_rows)
+    best, partner = np.full(t.num_rows, np.iinfo(np.int64).max), np.full(t.num_rows, -1)
+    for i, j, apart in _apart(t):
+        for one, other in ((i, j), (j, i)):  # a row occurs once on a side
+            nearer = apart < best[one]
+            best[one[nearer]], partner[one[nearer]] = apart[nearer], other[nearer]
+    has = partner >= 0
+    yield rows[has], partner[has]
+
+
+def _all(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for i, j, _ in _apart(t):
+        yield i, j
+
+
+def _cross(choose):
+    """Pairs of set ids that `choose` takes from each bucket block; the same pair is given once a batch or so."""
+    def emit(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        sid = t.column("sid").to_numpy()
+        for i, j in choose(t):
+            if len(i):
+                a, b = np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])
+                once = np.unique(np.stack([a, b], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(once[:, 0]), pa.array(once[:, 1])], names=["a", "b"])
 
-    for batch in batches:
-        t = pa.Table.from_batches([batch])
-        rest = t if rest is None else pa.concat_tables([rest, t])
-        group = rest.column("grp").to_numpy()
-        cut = int(np.flatnonzero(group != group[-1])[-1]) + 1 if len(group) and (group != group[-1]).any() else 0
-        if cut:
-            yield from emit(rest.slice(0, cut).combine_chunks())
-            rest = rest.slice(cut)
-    if rest is not None and rest.num_rows:
-        yield from emit(rest.combine_chunks())
-
-
-def _open_pairs(shared: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of sets that share a bucket but not yet a component, within the sketch bound."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            rest = t if rest is None else pa.concat_tables([rest, t])
+            group = rest.column("grp").to_numpy()
+            cut = int(np.flatnonzero(group != group[-1])[-1]) + 1 if len(group) and (group != group[-1]).any() else 0
+            if cut:
+                yield from emit(rest.slice(0, cut).combine_chunks())
+                rest = rest.slice(cut)
+        if rest is not None and rest.num_rows:
+            yield from emit(rest.combine_chunks())
+    return run
+
+
+def _open_rows(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, sid, comp, m): the rows of buckets that hold several components, m of them in a bucket."""
     labelled = (shared.join(labels.toDF("sid", "comp"), "sid", "left")
                 .select("key", "sid", F.coalesce("comp", "sid").alias("comp")))
-    spread_ = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+    several = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
                                           F.count("*").alias("m")).filter("lo <> hi").select("key", "m")
-    open_ = labelled.join(spread_, "key").dropDuplicates(["key", "sid"])
+    return labelled.join(several, "key").dropDuplicates(["key", "sid"])
+
+
+def _open_pairs(rows: DataFrame, sets: DataFrame, choose) -> DataFrame:
+    """Pairs of sets that share a bucket but not yet a component, within the sketch bound. A bucket is cut into
+    blocks of about BLOCK rows; each pair of blocks is a group, so no task holds a whole bucket."""
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("sid"), blocks).cast("int")
-    rows = (open_.withColumn("own", own)
-            .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            .select("sid", "comp", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("grp"),
-                    F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side")))
-    rows = rows.join(sets.select("sid", "n", "sketch"), "sid")
-    return (rows.repartition("grp").sortWithinPartitions("grp", "sid")
-            .select("grp", "sid", "comp", "n", "side", "sketch").mapInArrow(_cross, "a long, b long").distinct())
+    dealt = (rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+             .select("sid", "comp", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("grp"),
+                     F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side")))
+    dealt = dealt.join(sets.select("sid", "n", "sketch"), "sid")
+    return (dealt.repartition("grp").sortWithinPartitions("grp", "sid")
+            .select("grp", "sid", "comp", "n", "side", "sketch").mapInArrow(_cross(choose), "a long, b long").distinct())
 
 
 def near_groups(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -352,10 +375,16 @@ def near_groups(documents: DataFrame, id_column: str = "doc_id", text_column: st
                    .withColumns({"lo": F.min("sid").over(bucket), "hi": F.max("sid").over(bucket)})
                    .filter("lo <> hi").select("key", "sid", "lo"))
     first = store(shared.filter("sid <> lo").select(F.col("lo").alias("a"), F.col("sid").alias("b")).distinct())
-    links = _links(first, sets, docs)
-    more = _open_pairs(shared.select("key", "sid"), components(links), sets)
-    more = store(more.join(first, ["a", "b"], "left_anti"))
-    labels = components(links.union(_links(more, sets, docs)))
+    links, known = _links(first, sets, docs), first
+    buckets, labels = shared.select("key", "sid"), components(links)
+    for choose in (_nearest, _nearest, _all):
+        rows = store(_open_rows(buckets, labels))
+        found = store(_open_pairs(rows, sets, choose))
+        if found.isEmpty():
+            break
+        more = store(found.join(known, ["a", "b"], "left_anti"))
+        links, known = links.union(_links(more, sets, docs)), known.union(more)
+        buckets, labels = rows.select("key", "sid"), components(links)
     named = (sets.join(labels.toDF("sid", "comp"), "sid", "left")
              .select("sid", "rep", F.coalesce("comp", "sid").alias("comp")))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
