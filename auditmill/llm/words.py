@@ -68,7 +68,7 @@ def _hash_pieces(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, tabl
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
     spans = np.diff(np.concatenate([[0], starts, [len(data)]]))
-    place = np.arange(len(data), dtype=np.int64) - np.repeat(np.concatenate([[0], starts]), spans)
+    place = np.arange(len(data), dtype=np.int32) - np.repeat(np.concatenate([[0], starts]).astype(np.int32), spans)
     powers = np.full(int(place.max()) + 1, BASE, dtype=np.uint64)
     powers[0] = 1
     np.cumprod(powers, out=powers)
