@@ -24,7 +24,7 @@ from auditmill.llm.words import BASE, mix
 LEAST_LEVEL = 2
 SKETCH = 48
 TOSSES = 3
-CHARS = 1 << 20        # code points worked on at once; a longer text is worked on alone
+CHARS = 1 << 16        # code points worked on at once, for the processor's cache; a longer text is worked on alone
 BUCKETS_PER_TASK = 4
 
 
@@ -120,7 +120,8 @@ def fingerprints(texts: list[str]) -> list[tuple[int, np.ndarray]]:
         symbols = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
         lengths = np.array([len(t) for t in part], dtype=np.int64)
         roots, owners, names = parse(symbols, np.repeat(np.arange(len(part)), lengths), len(part))
-        key = np.unique((owners.astype(np.uint64) << np.uint64(32)) | (mix(names) >> np.uint64(32)))
+        key = np.sort((owners.astype(np.uint64) << np.uint64(32)) | (mix(names) >> np.uint64(32)))
+        key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
         cut = np.searchsorted(key, np.arange(len(part) + 1, dtype=np.uint64) << np.uint64(32))
         low = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         out.extend((int(roots[i]), low[cut[i]:cut[i + 1]][:SKETCH]) for i in range(len(part)))
@@ -153,7 +154,7 @@ def read(fingerprint: str) -> tuple[int, np.ndarray]:
 
 
 RESULT = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-GROUP = 256            # documents fingerprinted together
+GROUP, GROUP_CHARS = 256, 1 << 22  # documents, and code points of their texts, compared together
 
 
 def _dealt(bounds: np.ndarray, least: int | None):
@@ -218,7 +219,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size += 3 * len(text)
         elif kind == 0:
             waiting = (bucket, key, text)
-        if len(group) >= GROUP or size > 4 * CHARS:
+        if len(group) >= GROUP or size > GROUP_CHARS:
             yield result(group)
             group, size = [], 0
     if group:
