@@ -3,12 +3,13 @@
 A row descends from region to rack to shard. At each level every child draws ln(u) / weight with u hashed from the
 row's key and the child; the largest draw wins, so a child gets rows in proportion to its weight. A child's weight
 is the sum of its shards' weights. If weights change below one child only, all other draws stay, so rows move only
-into or out of that subtree: adding a shard takes rows only into the new shard.
+into or out of that subtree. A shard that is added to a tree in use opens a region of its own: rows then move only
+into it (in an old rack, rows would also move to its neighbours, since the rack's weight grows).
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,18 +21,29 @@ from auditmill.session import store
 
 @dataclass(frozen=True)
 class Tree:
-    """Shards 0 .. shards-1; shard s is in rack s // rack_size, rack r in region r // region_size."""
+    """Shards 0 .. shards-1 in racks of rack_size and regions of region_size racks, then `added` ones, each in a
+    rack and region of its own."""
 
     shards: int
     rack_size: int = 5
     region_size: int = 4
     weights: dict[int, float] = field(default_factory=dict)  # of shards; 1 where none is given, 0 takes no rows
+    added: int = 0
+
+    @property
+    def total(self) -> int:
+        return self.shards + self.added
+
+    def grown(self) -> Tree:
+        """The tree with one more shard."""
+        return replace(self, added=self.added + 1)
 
     def levels(self) -> list[list[list[tuple[int, float]]]]:
         """For each level and parent the children with their weights; the first level has one parent."""
-        shard = [(s, float(self.weights.get(s, 1.0))) for s in range(self.shards)]
+        shard = [(s, float(self.weights.get(s, 1.0))) for s in range(self.total)]
         def group(nodes: list[tuple[int, float]], size: int) -> list[list[tuple[int, float]]]:
-            return [nodes[at:at + size] for at in range(0, len(nodes), size)]
+            old = len(nodes) - self.added
+            return [nodes[at:min(at + size, old)] for at in range(0, old, size)] + [[node] for node in nodes[old:]]
         racks = group(shard, self.rack_size)
         rack = [(r, sum(w for _, w in children)) for r, children in enumerate(racks)]
         regions = group(rack, self.region_size)
@@ -60,8 +72,8 @@ def assign(documents: DataFrame, tree: Tree, grown: Tree | None = None, id_colum
 
     The id alone decides the shard (law `key`); rows with a null id share one shard, as do repeated rows. size is
     the UTF-8 length of the text plus 16, a null text counts as empty. Slots number the rows of a shard from 0 by id;
-    `grown` is the tree with one more shard by default. An empty table gives an empty one."""
-    grown = grown or Tree(tree.shards + 1, tree.rack_size, tree.region_size, tree.weights)
+    `grown` is the tree with one more shard, by default. An empty table gives an empty one."""
+    grown = grown or tree.grown()
     text = F.coalesce(F.col(text_column), F.lit(""))
     key = F.col(id_column)
     rows = store(documents.select(
@@ -76,4 +88,4 @@ def write(documents: DataFrame, path: str, tree: Tree, tasks_per_shard: int = 8,
     """Write `documents` under path/_shard=N; each shard is written by `tasks_per_shard` tasks."""
     salt = F.pmod(F.xxhash64(F.lit("salt"), F.col(id_column), F.monotonically_increasing_id()), F.lit(tasks_per_shard))
     (documents.withColumn("_shard", place(F.col(id_column), tree)).withColumn("_salt", salt)
-     .repartition(tree.shards * tasks_per_shard, "_shard", "_salt").drop("_salt").write.partitionBy("_shard").parquet(path))
+     .repartition(tree.total * tasks_per_shard, "_shard", "_salt").drop("_salt").write.partitionBy("_shard").parquet(path))

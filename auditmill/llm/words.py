@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 18
 WORD = r"[^\x20\x09-\x0D]+"
 
 _MIX_A, _MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -43,11 +43,13 @@ def slices(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray,
     """(first row, bytes, offsets) of runs of rows; a null text is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_string())
     if texts.null_count:
         texts = texts.fill_null("")
+    if not len(texts):
+        return
     _, offsets, data = texts.buffers()
-    offsets = np.frombuffer(offsets, dtype=np.int64)[texts.offset: texts.offset + len(texts) + 1]
+    width = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    offsets = np.frombuffer(offsets, dtype=width)[texts.offset: texts.offset + len(texts) + 1].astype(np.int64)
     data = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     first = 0
     while first < len(texts):
