@@ -37,7 +37,7 @@ parts AS (
   SELECT doc_id, 'CWE-' || doc_id AS cwe_id, source || CASE lang WHEN 'de' THEN ' SQL Injection' ELSE ' & <' || lang || '>' END AS name,
          CASE WHEN doc_id % 11 = 0 THEN 'Deprecated' ELSE 'Draft' END AS status,
          {sql_strip('clean')} AS description, source || ' ' || {sql_strip('clean')} AS details,
-         [lang, {sql_strip('clean[1:300]')}] AS mitigations,
+         [lang, ({sql_strip('clean')})[1:300]] AS mitigations,
          CASE WHEN lang = 'en' THEN [{sql_strip('clean')}[1:500], 'a < b && c'] ELSE [] END AS examples,
          CASE lang WHEN 'en' THEN 'cpp,python' WHEN 'fr' THEN 'csharp' ELSE 'python,java,javascript,go,c,cpp' END AS languages
   FROM base),
@@ -57,7 +57,6 @@ def _records(spark, sf):
         return out
 
     body, lang = escaped(F.col("text")), F.col("lang")
-    short = escaped(F.left(F.regexp_replace("text", CONTROL, ""), F.lit(300)))
     name = F.when(lang == "de", " SQL Injection").otherwise(F.concat(F.lit(" &amp; &lt;"), lang, F.lit("&gt;")))
     languages = (
         F.when(lang == "en", '<Language Name="C++"/><Language Name="Python"/><Language Name="COBOL"/>')
@@ -73,7 +72,7 @@ def _records(spark, sf):
         F.lit("</xhtml:p></Extended_Description><Applicable_Platforms>"), languages,
         F.lit("</Applicable_Platforms><Demonstrative_Examples><Demonstrative_Example>"), code,
         F.lit("</Demonstrative_Example></Demonstrative_Examples><Potential_Mitigations><Mitigation><Description>"), lang,
-        F.lit('</Description></Mitigation><Mitigation Mitigation_ID="M1"><Description><xhtml:p>'), short,
+        F.lit('</Description></Mitigation><Mitigation Mitigation_ID="M1"><Description><xhtml:p>'), body,
         F.lit("</xhtml:p></Description></Mitigation></Potential_Mitigations>"))
     return catalogue.cut_records(_spread_docs(spark, sf), record)
 
@@ -102,7 +101,7 @@ def id_dictionary(spark, sf):
 # --- Guides --------------------------------------------------------------------------
 
 NAMES = ("SQL_Injection", "XSS-Prevention", "Path Traversal", "CSRF", "Unknown", "LDAP_Injection")
-TALKS = {"en": "Uses Python, C++ and Node.js here.", "fr": "Golang / Java", "de": "TS; rails and [cpp](http://x)", "es": "PHP_x <b>c#</b>"}
+TALKS = {"en": "Uses Python, C++ and Node.js here.", "fr": "Golang / Java, C++11", "de": "TS; rails and [cpp](http://x)", "es": "PHP_x <b>c#</b>"}
 
 SECTIONS = rf"""
 marked AS (
@@ -144,8 +143,13 @@ def guide_sections(spark, sf):
         "doc_id", "section_no", F.col("s.title").alias("title"), F.md5("s.body").alias("body"))
 
 
-def _talk_case(lang: str, words: str) -> str:
-    return rf"CASE WHEN regexp_matches(body, '(?i)(^|[^\p{{L}}\p{{N}}_])({words})($|[^\p{{L}}\p{{N}}_])') THEN '{lang}' END"
+# Stated apart from the library's table, so that a wrong entry there shows.
+TALK_CASES = ", ".join(
+    rf"CASE WHEN regexp_matches(body, '(?i)(^|[^\p{{L}}\p{{N}}_])({words})') THEN '{lang}' END" for lang, words in (
+        (lang, rf"({words})($|[^\p{{L}}\p{{N}}_]){more}") for lang, words, more in (
+            ("python", "python", ""), ("javascript", r"javascript|node\.?js|js", ""), ("typescript", "typescript|ts", ""),
+            ("java", "java", ""), ("go", "golang|go", ""), ("cpp", "cpp", r"|c\+\+[\p{L}\p{N}_]"), ("c", "c", ""),
+            ("php", "php", ""), ("ruby", "ruby|rails", ""))))
 
 
 CLEANED = sql_strip(
@@ -158,7 +162,7 @@ cut AS (SELECT doc_id, section_no, title, body[1:2000] AS body FROM cleaned WHER
 SELECT ['CWE-89', 'CWE-79', 'CWE-22', 'CWE-352', NULL, 'CWE-89'][(1 + doc_id % 6)::INTEGER] AS cwe_id,
        'OWASP: ' || replace({list(NAMES)!r}[(1 + doc_id % 6)::INTEGER] || '_' || doc_id, '_', ' ') || ' — ' || title AS title,
        md5(body) AS body, section_no::BIGINT AS order_pos, array_to_string(list_sort(list_filter([
-         {', '.join(_talk_case(lang, '|'.join(words)) for lang, words in P.LANGUAGE_WORDS)}], lambda x: x IS NOT NULL)), ',') AS languages
+         {TALK_CASES}], lambda x: x IS NOT NULL)), ',') AS languages
 FROM cut""")
 def guide_corpus(spark, sf):
     return guides.knowledge(_marked(spark, sf)).select(

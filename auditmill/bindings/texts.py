@@ -1,6 +1,5 @@
 """Text functions and lookups over the given tables."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -8,6 +7,7 @@ from pyspark.sql import functions as F
 from auditmill import params as P
 from auditmill.bindings.registry import query, spread_table, sql_lines, sql_strip, table
 from auditmill.functions import lookup, text
+from auditmill.session import shared_folder
 from auditmill.sources import files
 
 
@@ -198,9 +198,7 @@ SELECT lang, count(*) AS n_lines, sum(length(l))::BIGINT AS n_chars
 FROM (SELECT lang, unnest(string_split(text, chr(10))) AS l FROM documents) GROUP BY lang""")
 def source_tree(spark, sf):
     """Texts written to a tree of files (one directory per language), listed and read again."""
-    folder = spark.sparkContext._jsc.sc().getCheckpointDir()
-    base = folder.get().removeprefix("file:") if folder.isDefined() else tempfile.mkdtemp()
-    root = f"{base}/tree-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark).removeprefix('file://').removeprefix('file:')}/tree-{uuid.uuid4().hex}"
     docs = table(spark, sf, "documents").select("lang", "text")
     docs.write.mode("overwrite").option("maxRecordsPerFile", 2000).partitionBy("lang").text(root)
     texts = files.load_texts(spark, root, [".txt"], recursive=True)

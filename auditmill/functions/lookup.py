@@ -64,8 +64,11 @@ def canonical_names(names: Column, table: Mapping[str, str], default: Sequence[s
 
 def mentioned(c: Column, bank: Sequence[tuple[str, Sequence[str]]] = P.LANGUAGE_WORDS) -> Column:
     """Sorted names of the bank of which a word occurs in the text, in any letter case."""
+    # A word's edge after "+" is before a word character: c++11 names the language, "c++ " does not.
+    def edged(word: str) -> str:
+        return f"{word}(?={WORD})" if word.endswith("+") else f"{word}(?!{WORD})"
     hits = [
-        F.when(c.rlike(rf"(?iu)(?<!{WORD})(?:{'|'.join(words)})(?!{WORD})"), name)
+        F.when(c.rlike(rf"(?iu)(?<!{WORD})(?:{'|'.join(map(edged, words))})"), name)
         for name, words in sorted(bank)
     ]
     return F.filter(F.array(*hits), lambda n: n.isNotNull())

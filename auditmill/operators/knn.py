@@ -36,7 +36,6 @@ SCORE_CELLS = 1_000_000
 NO_SIMILARITY, EXCLUDED = -3.0, -4.0
 ROUTE_ROWS = 4096
 NO_VECTOR = -2
-MAX_LANGUAGES = 1000
 
 
 @dataclass(frozen=True)
@@ -177,7 +176,8 @@ def _broadcast_hits(knowledge: DataFrame, dim: int, p: KnnParams, vector: Column
         asked = None if p.mode == "none" else tags.to_pylist()
         return _hit_lists(made[0], made[0].top(vectors, usable, asked, p), len(vec), p.mode == "post")
 
-    return nearest(vector, tag)
+    # A filter on the hits would be pushed below this column and score everything a second time.
+    return nearest.asNondeterministic()(vector, tag)
 
 
 def _pack(table: pa.Table) -> bytes:
@@ -195,14 +195,12 @@ def _scopes(queries: DataFrame, knowledge: DataFrame, p: KnnParams) -> tuple[Dat
     """Add `scope`: with mode 'pre' a knowledge row lies in the scope of each of its languages
     and a query looks at the scope of its own one; otherwise there is one scope for all.
 
-    Languages are few, and more than `MAX_LANGUAGES` are taken as a wrong column; the empty name
-    is that of a language no knowledge row has."""
+    The names of the languages, one row each, come to the driver; the empty name is that of a
+    language no knowledge row has."""
     if p.mode != "pre":
         return queries.withColumn("scope", F.lit("")), knowledge.withColumn("scope", F.lit(""))
     listed = knowledge.select(F.explode("tags").alias("t")).filter("t is not null").distinct()
-    known = [r[0] for r in listed.limit(MAX_LANGUAGES + 1).collect()]
-    if len(known) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    known = [r[0] for r in listed.collect()]
     named = F.array(*[F.lit(t) for t in known]).cast("array<string>")
     tags = F.array_distinct("tags").cast("array<string>")
     if p.empty_means_all:

@@ -115,15 +115,15 @@ GUIDE_WEAKNESSES = (
     ("prototype_pollution", "CWE-1321"),
 )
 
-# Words that show a language is talked about. "+" is no word character, so "c++" in
-# prose is read as "c"; this is the expected result.
+# Words that show a language is talked about. "+" is no word character, so "c++" counts only
+# where a word character follows, as in "C++11"; otherwise it is read as "c".
 LANGUAGE_WORDS = (
     ("python", (r"python",)),
     ("javascript", (r"javascript", r"node\.?js", r"js")),
     ("typescript", (r"typescript", r"ts")),
     ("java", (r"java",)),
     ("go", (r"golang", r"go")),
-    ("cpp", (r"cpp",)),
+    ("cpp", (r"c\+\+", r"cpp")),
     ("c", (r"c",)),
     ("php", (r"php",)),
     ("ruby", (r"ruby", r"rails")),

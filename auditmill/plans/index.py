@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from auditmill import params as P
 from auditmill.operators import hooks, knowledge
-from auditmill.session import materialize
+from auditmill.session import store
 from auditmill.sources import catalogue, guides, rules
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -38,7 +38,7 @@ def collect_knowledge(spark: SparkSession, paths: Mapping[str, str], sources: Ma
     """Knowledge records of all corpora that have a path, in the order of the registry."""
     built = [build(spark, paths[name]) for name, build in sources.items() if name in paths]
     # Sorting by ranges reads its input twice; stored rows are not parsed again for it.
-    rows = materialize(knowledge.union_sources(built))
+    rows = store(knowledge.union_sources(built))
     numbered = knowledge.number_rows(rows, ["source_rank", "order_path", "order_pos"])
     return knowledge.to_records(numbered)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from auditmill import params as P
 from auditmill.operators import evaluate, findings, hooks, knn, prompts, replies, report, segment
-from auditmill.session import materialize
+from auditmill.session import store
 
 # Arrival order of findings: file, place in the file, attempt, place in the reply.
 SEQ = ("file_path", "chunk_start", "chunk_id", "attempt", "item_no")
@@ -59,7 +59,7 @@ def ask(prompts_: DataFrame, detector: hooks.Detector, attempts: int = 2) -> Dat
     for attempt in range(1, attempts + 1):
         parsed = replies.parse(hooks.detect(waiting, detector, attempt)).withColumn(
             "again", ~replies.has_finding(F.col("items")) & F.lit(attempt < attempts))
-        kept = materialize(parsed.withColumns({c: F.when(F.col("again"), F.col(c)) for c in ("code", "messages")}))
+        kept = store(parsed.withColumns({c: F.when(F.col("again"), F.col(c)) for c in ("code", "messages")}))
         answered = kept.drop("code", "messages", "again")
         done = answered if done is None else done.unionByName(answered)
         waiting = kept.filter("again").select(*waiting.columns)
@@ -83,7 +83,7 @@ def audit(
     hits, context, messages, replies and items are columns added to the rows where they are."""
     chunks = segment.segment_files(files, params.max_chunk_lines)
     even = chunks.repartition(tasks, "chunk_id") if tasks else chunks
-    embedded = materialize(hooks.embed(even, "code", embedder, params.embedding_dim, params.embed_batch))
+    embedded = store(hooks.embed(even, "code", embedder, params.embedding_dim, params.embed_batch))
     with_hits = knn.attach_hits(embedded, knowledge, knn_params(params))
     messages = prompts.build_prompts(prompts.attach_context(with_hits, knowledge), system, template)
     answered = ask(messages, detector, params.attempts)

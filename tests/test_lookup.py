@@ -58,3 +58,8 @@ def test_file_languages_and_severities(values):
     names = ["critical", "info", "odd"]
     assert values([(s,) for s in names], "s string", lambda c: lookup.severity_rank(c("s"))) == [1, 5, None]
     assert values([(s,) for s in names], "s string", lambda c: lookup.severity_icon(c("s"))) == ["🔴", "⚪", "?"]
+
+
+def test_plus_plus_counts_before_a_word_character(values):
+    rows = [("Use C++11 here",), ("C++ and more",), ("cpp",), ("xc++1",)]
+    assert values(rows, "a string", lambda c: lookup.mentioned(c("a"))) == [["c", "cpp"], ["c"], ["cpp"], []]

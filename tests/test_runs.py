@@ -107,3 +107,25 @@ def test_audit(spark, tmp_path):
     # Only knowledge in the language of the chunk gets into its context.
     hits = {(r["id"], r["language"]) for r in run.retrieved.join(run.chunks, "chunk_id").select("id", "language").collect()}
     assert hits == {("k1", "python"), ("k2", "python"), ("k2", "go")}
+
+
+def test_nearest_rows_are_scored_once(spark):
+    import __spark_entry__ as entry
+    for name in ("knn_top5", "knn_label_post", "knn_label_pre"):
+        plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1
+
+
+def test_stored_stages_need_a_shared_folder(spark, monkeypatch):
+    import pytest
+    from auditmill import session
+
+    class Bare:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+    with pytest.raises(ValueError):
+        session.shared_folder(Bare)
