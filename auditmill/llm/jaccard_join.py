@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from auditmill.llm import words as W
 from auditmill.llm.components import components
-from auditmill.session import store
+from auditmill.session import bound_batches, store
 
 SHINGLE = 5
 SPARE = 0.25          # E as a share of D + 1
@@ -366,6 +366,7 @@ def near_groups(documents: DataFrame, id_column: str = "doc_id", text_column: st
     is linked with nothing and its component is null. Repeated rows give repeated rows, an empty table an empty
     one; further columns are not read.
     """
+    bound_batches(documents.sparkSession)
     docs = documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     raw = store(docs.mapInArrow(_sets, "id long, n long, sid long, sketch binary"))
     docs = docs.filter("id IS NOT NULL")

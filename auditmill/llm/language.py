@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditmill.llm import words as W
+from auditmill.session import bound_batches
 
 BINS = 1 << 16
 SMOOTHING = 0.5
@@ -69,6 +70,7 @@ class Model:
 
 def learn(documents: DataFrame, training: Column, text_column: str = "text", lang_column: str = "lang") -> Model:
     """The model of the texts that `training` marks and that have a text and a language."""
+    bound_batches(documents.sparkSession)
     rows = documents.filter(training & F.col(lang_column).isNotNull() & F.col(text_column).isNotNull()).select(
         F.col(lang_column).alias("lang"), F.col(text_column).alias("text"))
     counts = rows.mapInArrow(_counts, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
@@ -126,6 +128,7 @@ def identify(documents: DataFrame, model: Model, id_column: str = "doc_id", text
 
     A null text, one without a letter, and every text under a model without languages are `und` with score 0. Ties
     go to the language first by code point. Null ids and repeated rows are kept; an empty table gives an empty one."""
+    bound_batches(documents.sparkSession)
     docs = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     shared = documents.sparkSession.sparkContext.broadcast(model)
 

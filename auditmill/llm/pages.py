@@ -19,6 +19,8 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditmill.session import bound_batches
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.DOTALL)
@@ -258,6 +260,7 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
     A null or empty page has an empty text. White space in a block becomes one space; character references are
     decoded. Null ids and urls and repeated rows are kept; an empty table gives an empty one; further columns are not
     read. A tag that is not closed ends with its container or the page."""
+    bound_batches(pages.sparkSession)
     rows = pages.select(F.col(id_column).alias("id"), F.col(url_column).alias("url"), F.col(html_column).alias("html"))
     tree = train(pages.sparkSession)
 

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditmill.llm.words import BASE, mix
+from auditmill.session import bound_batches
 
 LEAST_LEVEL = 2
 SKETCH = 48
@@ -236,6 +237,7 @@ def compare_neighbours(documents: DataFrame, id_column: str = "doc_id", text_col
     table gives an empty one; further columns are not read.
 
     Texts are shuffled once, by ranges of ids; a task needs some 100 bytes a code point of its longest text."""
+    bound_batches(documents.sparkSession)
     spark = documents.sparkSession
     docs = documents.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))

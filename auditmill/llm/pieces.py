@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from auditmill.session import bound_batches
+
 MARK = "▁"
 MEMO = 300_000       # parts remembered by a worker, in two generations, and pairs; the older go first
 MEMO_LENGTH = 64     # longer parts are not remembered
@@ -230,6 +232,7 @@ def token_digests(documents: DataFrame, model_path: str, id_column: str = "doc_i
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())],
                 names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    bound_batches(documents.sparkSession)
     docs = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     schema = docs.schema["id"].dataType.simpleString()
     return (docs.mapInArrow(run, f"id {schema}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditmill.llm import words as W
-from auditmill.session import store
+from auditmill.session import bound_batches, store
 
 KEEP = 0.75             # share of a group's rows that the estimate rests on
 LEAST_ROWS = 100
@@ -77,6 +77,7 @@ def with_counts(documents: DataFrame, text_column: str, out: str) -> DataFrame:
         for batch in batches:
             counts = count_words(batch.column(batch.schema.get_field_index(text_column)))
             yield batch.append_column(out, pa.StructArray.from_arrays([pa.array(c) for c in counts], names=list(COUNTS)))
+    bound_batches(documents.sparkSession)
     if out in documents.columns:
         raise ValueError(f"the table has a column {out}")
     counts = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS])

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditmill.llm import words as W
-from auditmill.session import store
+from auditmill.session import bound_batches, store
 
 RUN = 3
 LEAST_WORDS = 8
@@ -120,6 +120,7 @@ def remove_repeats(documents: DataFrame, id_column: str = "doc_id", text_column:
     same id count as one document, as do those with a null id, which comes last; what repeats between them stays.
     A document all of whose sentences repeat keeps its row with an empty text. An empty table gives an empty one;
     further columns are not read."""
+    bound_batches(documents.sparkSession)
     docs = documents.select(F.coalesce(F.col(id_column).cast("long"), F.lit(LAST)).alias("id"), F.col(text_column).alias("text"))
     rows = store(docs.mapInArrow(_hashes, "h long, id long"))
     firsts = rows.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("h", "first")
