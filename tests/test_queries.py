@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from auditmill.bindings.registry import QUERIES
 from tools import check_queries
 
 FOLDER = "/root/testdata/sf0.001"
@@ -16,7 +17,7 @@ def db():
     return check_queries.connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, db, name):
     assert name in entry.oracle_sql()
     assert check_queries.compare(spark, db, FOLDER, name) is None
@@ -32,7 +33,7 @@ FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "SinglePartition")
 WHOLE_TABLE_ROWS = {"severity_summary", "stage_funnel", "audit_funnel", "report_blocks", "id_dictionary"}
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - {"source_tree"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"source_tree"}))
 def test_plan(spark, name):
     plan = entry.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     for word in FORBIDDEN:
