@@ -50,6 +50,11 @@ chunks AS (
 
 
 def _records(spark, sf):
+    return catalogue.cut_records(_spread_docs(spark, sf), _record_text(), F.lit(""), F.col("doc_id"))
+
+
+def _record_text():
+    """A text as a catalogue element without its end tag."""
     def escaped(c):
         out = F.regexp_replace(c, CONTROL, "")
         for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
@@ -65,7 +70,7 @@ def _records(spark, sf):
         F.lit('<Example_Code Nature="bad" Language="C"><xhtml:div>'), body,
         F.lit('</xhtml:div></Example_Code><Example_Code Nature="good">no</Example_Code>'
               '<Example_Code Language="C" Nature="bad"><xhtml:br/> a &lt; b &amp;&amp; c </Example_Code>'))).otherwise("")
-    record = F.concat(
+    return F.concat(
         F.lit('<x:y>\n<Weakness ID="'), _text("doc_id"), F.lit('" Name="'), F.col("source"), name, F.lit('" Status="'),
         F.when(F.col("doc_id") % 11 == 0, "Deprecated").otherwise("Draft"), F.lit('">\n<Description>'), body,
         F.lit("</Description>\n<Extended_Description><xhtml:p> "), F.col("source"), F.lit("</xhtml:p><xhtml:p>"), body,
@@ -74,7 +79,6 @@ def _records(spark, sf):
         F.lit("</Demonstrative_Example></Demonstrative_Examples><Potential_Mitigations><Mitigation><Description>"), lang,
         F.lit('</Description></Mitigation><Mitigation Mitigation_ID="M1"><Description><xhtml:p>'), body,
         F.lit("</xhtml:p></Description></Mitigation></Potential_Mitigations>"))
-    return catalogue.cut_records(_spread_docs(spark, sf), record)
 
 
 @query(rf"""WITH {RECORDS}

@@ -6,6 +6,7 @@ from auditmill import params as P
 from auditmill.bindings.registry import query, spread_table, sql_lines, table
 from auditmill.functions import lookup
 from auditmill.operators import evaluate, findings, replies, report
+from auditmill.session import store
 
 TIERS = (("critical", ("token = ", "password")), ("high", ("@",)), ("medium", ("license", "the ")))
 
@@ -170,44 +171,58 @@ UNION ALL SELECT 1, file_path, line_start, seq, md5(
   || '{LABELS.description}' || description || chr(10) || chr(10) || chr(10)
   || '{LABELS.recommendation}' || recommendation || chr(10) || chr(10) || '---' || chr(10)) FROM valid""")
 def report_blocks(spark, sf):
-    return report.report_blocks(_valid(spark, sf)).withColumn("value", F.md5("value"))
-
-
-# One reply per event, in eight shapes.
-ITEMS_SQL = """
-SELECT event_id AS chunk_id, 0 AS item_no, 'CWE-' || user_id AS cwe_id, 'high' AS severity, user_id AS line_start,
-       user_id + 2 AS line_end, 0.75 AS confidence, NULL AS reason FROM events WHERE event_id % 8 = 0
-UNION ALL SELECT event_id, 0, 'CWE-1', 'medium', 11, 12, 0.9, NULL FROM events WHERE event_id % 8 = 1
-UNION ALL SELECT event_id, 0, NULL, 'medium', user_id, user_id, 0.5, 'missing_id' FROM events WHERE event_id % 8 = 2
-UNION ALL SELECT event_id, 0, 'CWE-3', 'urgent', user_id, user_id, 0.5, 'bad_severity' FROM events WHERE event_id % 8 = 3
-UNION ALL SELECT event_id, 0, 'CWE-4', 'medium', user_id, user_id, 1.5, 'bad_confidence' FROM events WHERE event_id % 8 = 4
-UNION ALL SELECT event_id, 0, 'CWE-5', 'medium', user_id, user_id, 0.5, NULL FROM events WHERE event_id % 8 = 5
-UNION ALL SELECT event_id, 0, 'CWE-7', 'medium', NULL, NULL, 0.5, 'bad_line' FROM events WHERE event_id % 8 = 7
-UNION ALL SELECT event_id, 1, 'CWE-8', 'info', 3, 3, 1.0, NULL FROM events WHERE event_id % 8 = 7
+    return report.report_blocks(store(_valid(spark, sf))).withColumn("value", F.md5("value"))
+
+
+# One reply per document, in ten shapes; its text is the finding's title.
+REPLY_KINDS = """
+WITH base AS (SELECT doc_id AS chunk_id, doc_id % 10 AS kind, n_chars AS place, md5(text) AS body, md5('') AS blank FROM documents)
+SELECT chunk_id, 0 AS item_no, 'CWE-' || place AS cwe_id, 'high' AS severity, body AS title, place AS line_start, place + 2 AS line_end,
+       0.75 AS confidence, NULL AS reason FROM base WHERE kind = 0
+UNION ALL SELECT chunk_id, 0, 'CWE-1', 'medium', body, 11, 12, 0.9, NULL FROM base WHERE kind = 1
+UNION ALL SELECT chunk_id, 0, NULL, 'medium', body, place, place, 0.5, 'missing_id' FROM base WHERE kind = 2
+UNION ALL SELECT chunk_id, 0, 'CWE-3', 'urgent', body, place, place, 0.5, 'bad_severity' FROM base WHERE kind = 3
+UNION ALL SELECT chunk_id, 0, 'CWE-4', 'medium', body, place, place, 1.5, 'bad_confidence' FROM base WHERE kind = 4
+UNION ALL SELECT chunk_id, 0, 'CWE-5', 'medium', blank, place, place, 0.5, NULL FROM base WHERE kind = 5
+UNION ALL SELECT chunk_id, 0, 'CWE-7', 'medium', body, NULL, NULL, 0.5, 'bad_line' FROM base WHERE kind = 7
+UNION ALL SELECT chunk_id, 1, 'CWE-8', 'info', blank, 3, 3, 1.0, NULL FROM base WHERE kind = 7
+UNION ALL SELECT chunk_id, 0, 'CWE-1', 'medium', body, place, place, NULL, 'bad_confidence' FROM base WHERE kind = 8
+UNION ALL SELECT chunk_id, 1, 'CWE-2', 'low', body, place, place, 0.5, NULL FROM base WHERE kind = 8
+UNION ALL SELECT chunk_id, 0, 'CWE-9', 'medium', body, place, place, 0.5, NULL FROM base WHERE kind = 9
 """
 
 
-@query(f"""SELECT chunk_id, item_no::INTEGER AS item_no, cwe_id, severity, line_start::BIGINT AS line_start, line_end::BIGINT AS line_end,
-       confidence::DOUBLE AS confidence, reason FROM ({ITEMS_SQL})""")
+@query(f"""SELECT chunk_id, item_no::INTEGER AS item_no, cwe_id, severity, title, line_start::BIGINT AS line_start,
+       line_end::BIGINT AS line_end, confidence::DOUBLE AS confidence, reason FROM ({REPLY_KINDS})""")
 def reply_items(spark, sf):
-    """Replies with plain, text and missing numbers, bad members, no JSON, and mixed lists."""
-    event, user = F.col("event_id"), F.col("user_id").cast("string")
+    """Replies with plain, text and missing numbers, numbers that are none, members given twice, bad members, no
+    JSON, text after the JSON, and mixed lists."""
+    at, quoted = F.col("n_chars").cast("string"), F.to_json(F.array("text"))
+    title = F.concat(F.lit('"title": '), F.substring(quoted, F.lit(2), F.length(quoted) - 2))
+
+    def shape(*parts):
+        return F.concat(F.lit('{"findings": ['), *[F.lit(p) if isinstance(p, str) else p for p in parts], F.lit("]}"))
+
     shapes = [
-        F.concat(F.lit('{"findings": [{"cwe_id": "CWE-'), user, F.lit('", "severity": "HIGH", "line_start": '), user,
-                 F.lit('.7, "line_end": '), (F.col("user_id") + 2).cast("string"), F.lit(', "confidence": 0.75}]}')),
-        F.lit('{"findings": [{"cwe_id": "CWE-1", "line_start": " 11 ", "line_end": "12", "confidence": "0.9"}]}'),
-        F.lit('{"findings": [{"title": "x"}]}'),
-        F.lit('{"findings": [{"cwe_id": "CWE-3", "severity": "Urgent"}]}'),
-        F.lit('{"findings": [{"cwe_id": "CWE-4", "confidence": 1.5}]}'),
-        F.lit('{"findings": [{"cwe_id": "CWE-5"}]}'),
-        F.lit("no json {"),
-        F.lit('{"findings": [{"cwe_id": "CWE-7", "line_start": null}, '
-              '{"cwe_id": "CWE-8", "severity": "INFO", "line_start": 3, "confidence": true}]}'),
+        shape('{"cwe_id": "CWE-', at, '", "severity": "HIGH", "line_start": ', at, '.7, "line_end": ',
+              (F.col("n_chars") + 2).cast("string"), ', "confidence": 0.75, ', title, "}"),
+        shape('{"cwe_id": "CWE-1", "line_start": " 11 ", "line_end": "12", "confidence": "0.9", ', title, "}"),
+        shape("{", title, "}"),
+        shape('{"cwe_id": "CWE-3", "severity": "Urgent", ', title, "}"),
+        shape('{"cwe_id": "CWE-4", "confidence": 1.5, ', title, "}"),
+        shape('{"cwe_id": "CWE-5"}'),
+        F.concat(shape('{"cwe_id": "CWE-6", ', title, "}"), F.lit(" as asked")),
+        shape('{"cwe_id": "CWE-7", "line_start": null, ', title,
+              '}, {"cwe_id": "CWE-8", "severity": "INFO", "line_start": 3, "confidence": true}'),
+        shape('{"cwe_id": "CWE-1", "confidence": NaN, ', title, '}, {"cwe_id": "CWE-2", "severity": "low", ', title, "}"),
+        shape('{"cwe_id": "CWE-8", "title": "x", "cwe_id": "CWE-9", ', title, "}"),
     ]
-    raw = F.element_at(F.array(*shapes), (1 + event % 8).cast("int"))
-    given = spread_table(spark, sf, "events", "event_id", "user_id").select(event.alias("chunk_id"), F.col("user_id").alias("chunk_start"), raw.alias("raw"))
+    raw = F.element_at(F.array(*shapes), (1 + F.col("doc_id") % 10).cast("int"))
+    given = spread_table(spark, sf, "documents", "doc_id", "text", "n_chars").select(
+        F.col("doc_id").alias("chunk_id"), F.col("n_chars").cast("bigint").alias("chunk_start"), raw.alias("raw"))
     items = replies.explode_items(replies.parse(given.withColumn("code", F.lit(""))))
-    return items.select("chunk_id", "item_no", "cwe_id", "severity", "line_start", "line_end", "confidence", "reason")
+    return items.select("chunk_id", "item_no", "cwe_id", "severity", F.md5("title").alias("title"), "line_start", "line_end",
+                        F.when(~F.isnan("confidence"), F.col("confidence")).alias("confidence"), "reason")
 
 
 @query("""
@@ -241,12 +256,12 @@ def reply_findings(spark, sf):
 
 
 @query("""
-WITH f AS (SELECT event_id, user_id AS chunk_id, (1 + hour(ts) % 2)::INTEGER AS attempt FROM events WHERE event_type = 'error' AND value > 30),
+WITH f AS (SELECT event_id, user_id AS chunk_id, (1 + hour(ts) % 2)::INTEGER AS attempt FROM events),
 m AS (SELECT chunk_id, min(attempt) AS attempt FROM f GROUP BY chunk_id)
 SELECT event_id, chunk_id, attempt FROM f JOIN m USING (chunk_id, attempt)""")
 def retry_findings(spark, sf):
-    """Errors as findings: the second attempt counts only where the first had none."""
-    found = table(spark, sf, "events").filter("event_type = 'error' and value > 30").select(
+    """Events as findings: the second attempt counts only where the first had none."""
+    found = table(spark, sf, "events").select(
         "event_id", F.col("user_id").alias("chunk_id"), (1 + F.hour(F.col("ts").cast("timestamp")) % 2).alias("attempt"))
     return replies.first_attempt_with_findings(found).select("event_id", "chunk_id", "attempt")
 
@@ -269,4 +284,4 @@ UNION ALL SELECT 2, 'raw', count(*) FROM raw UNION ALL SELECT 3, 'valid', count(
 def stage_funnel(spark, sf):
     raw = _raw(spark, sf)
     return evaluate.funnel([
-        ("files", raw.select("file_path").distinct()), ("raw", raw), ("valid", _valid(spark, sf))])
+        ("files", raw.select("file_path").distinct()), ("raw", raw), ("valid", findings.validate(raw, _ids(spark, sf), ["seq"]))])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from auditmill import params as P
 from auditmill.functions.lookup import to_csv
-from auditmill.session import materialize
+from auditmill.session import materialize, store
 from auditmill.sources.files import path_exists
 
 LIMITS = P.TextLimits()
@@ -101,12 +101,18 @@ def write_table(df: DataFrame, path: str, rebuild: bool = False) -> int:
     return read_table(spark, path).count()
 
 
-def upsert_table(current_path: str, new: DataFrame, next_path: str) -> DataFrame:
-    """Write the merged table to `next_path`; a table in place cannot be read and replaced at once."""
+def upsert_table(new: DataFrame, path: str, key: str = "id", version: str | None = None) -> int:
+    """Put the rows of `new` into the table by key; gives its row count.
+
+    The merged rows are stored first, so the table is replaced without reading it, and a replacement that was broken
+    off can be repeated from them. If `new` has a key more than once, the row of the highest `version` counts;
+    without a version one of them does."""
     spark = new.sparkSession
-    current = read_table(spark, current_path) if path_exists(current_path) else new.limit(0)
-    upsert(current, new).write.mode("overwrite").parquet(next_path)
-    return read_table(spark, next_path)
+    if version is None:
+        new = new.dropDuplicates([key])
+    current = read_table(spark, path) if has_rows(spark, path) else new.limit(0)
+    store(upsert(current, new, key, version)).write.mode("overwrite").parquet(path)
+    return read_table(spark, path).count()
 
 
 def peek(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
@@ -117,8 +123,8 @@ def id_lines(ids: DataFrame, column: str = "cwe_id") -> DataFrame:
     """Lines of a JSON array of the distinct ids in text order, one id per line.
 
     Sorted by ranges, so the list is never held by one task. A comma stands before each id
-    but the first, which is found by an aggregate."""
-    distinct = ids.select(F.col(column).alias("id")).filter("id is not null").distinct()
+    but the first, which is found by an aggregate. The ids are stored, as three steps read them."""
+    distinct = store(ids.select(F.col(column).alias("id")).filter("id is not null").distinct())
     quoted = F.to_json(F.array("id"))
     bare = F.substring(quoted, F.lit(2), F.length(quoted) - 2)
     first = distinct.agg(F.min("id").alias("id")).filter("id is not null").withColumn("_first", F.lit(True))

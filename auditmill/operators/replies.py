@@ -1,7 +1,9 @@
 """Model replies (JSON) as findings.
 
-A reply is parsed as VARIANT, item by item, so one bad item never hides the good ones.
-Each item is either a finding or has a `reason` why it is none.
+A reply is cut into the texts of its items and each item is parsed alone, so one bad item never hides the good
+ones: neither a number that is none (`NaN`) nor a member given twice (the last one counts) costs more than its
+item. None of it depends on the settings of the session. Each item is either a finding or has a `reason` why it
+is none. An item that is itself a text is read as what it spells.
 """
 
 from __future__ import annotations
@@ -15,23 +17,34 @@ from auditmill.functions.text import chunk_snippet, let
 NUMBER = r"(?i)\A\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?\s*\z"
 
 
+STRICT = {"allowSingleQuotes": "false"}
+MEMBERS = ("cwe_id", "severity", "title", "description", "recommendation", "line_start", "line_end", "confidence")
+
+
 def reply_items(raw: Column) -> Column:
-    """array<variant> of the findings in a reply; empty if it is no JSON or has no such list."""
-    found = F.try_variant_get(F.try_parse_json(raw), "$.findings", "array<variant>")
-    return F.coalesce(found, F.array().cast("array<variant>"))
+    """array<string>: JSON of each finding in a reply; empty if it is no JSON or has no such list.
+
+    A second value is put after the reply, so that what follows a whole JSON text is not overlooked."""
+    both = F.from_json(F.concat(F.lit("["), raw, F.lit(",{}]")), "array<struct<findings: array<string>>>", STRICT)
+    found = let(both, lambda t: F.when(F.size(t) == 2, F.get(t, F.lit(0))["findings"]))
+    return F.coalesce(found, F.array().cast("array<string>"))
+
+
+def item_members(item: Column) -> Column:
+    """The members of one item, each a VARIANT; null where missing."""
+    return F.from_json(item, ", ".join(f"{name} variant" for name in MEMBERS), STRICT)
 
 
 class _Field:
     """One member of an item: missing, of a usable type, or neither."""
 
-    def __init__(self, item: Column, name: str):
-        self.item, self.path = item, f"$.{name}"
-        self.raw = F.try_variant_get(item, self.path, "variant")
+    def __init__(self, members: Column, name: str):
+        self.raw = members[name]
         self.kind = F.schema_of_variant(self.raw)
         self.missing = self.raw.isNull()
 
     def value(self, kind: str) -> Column:
-        return F.try_variant_get(self.item, self.path, kind)
+        return F.try_variant_get(self.raw, "$", kind)
 
     def text(self, default: Column | str) -> Column:
         """The text, or the default if missing; null if it is no text."""
@@ -51,11 +64,14 @@ TYPED = ("cwe_id", "severity", "title", "description", "recommendation", "line_s
 
 
 def read_item(item: Column, chunk_start: Column, code: Column) -> Column:
-    """Typed members of one item, the cited lines, and the `reason` it is no finding (null if
+    """Typed members of one item (JSON), the cited lines, and the `reason` it is no finding (null if
     it is one)."""
+    return let(item_members(item), lambda m: _read(item, m, chunk_start, code))
+
 
+def _read(item: Column, members: Column, chunk_start: Column, code: Column) -> Column:
     def field(name: str) -> _Field:
-        return _Field(item, name)
+        return _Field(members, name)
 
     typed = F.struct(
         field("cwe_id").text(F.lit(None)).alias("cwe_id"),
@@ -74,7 +90,7 @@ def read_item(item: Column, chunk_start: Column, code: Column) -> Column:
     def with_reason(t: Column) -> Column:
         no_text = t["title"].isNull() | t["description"].isNull() | t["recommendation"].isNull()
         reason = (
-            F.when(~F.startswith(F.schema_of_variant(item), F.lit("OBJECT")), "not_an_object")
+            F.when(~F.coalesce(F.startswith(item, F.lit("{")), F.lit(False)), "not_an_object")
             .when(field("cwe_id").missing, "missing_id")
             .when(t["line_start"].isNull() | t["line_end"].isNull(), "bad_line")
             .when(t["confidence"].isNull() | ~t["confidence"].between(0.0, 1.0), "bad_confidence")
@@ -104,7 +120,9 @@ def has_finding(items: Column) -> Column:
 def explode_items(parsed: DataFrame) -> DataFrame:
     """One row per item, with its number in the reply."""
     others = [c for c in parsed.columns if c not in ("raw", "code", "items")]
-    return parsed.select(*others, F.posexplode("items").alias("item_no", "item")).select(*others, "item_no", "item.*")
+    # The outer form: the plain one lets Spark test the list's size below the projection, which parses twice.
+    exploded = parsed.select(*others, F.posexplode_outer("items").alias("item_no", "item"))
+    return exploded.filter("item_no is not null").select(*others, "item_no", "item.*")
 
 
 def parse_replies(replies: DataFrame, chunks: DataFrame) -> DataFrame:

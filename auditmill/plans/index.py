@@ -52,16 +52,23 @@ def build_knowledge_base(
     rebuild: bool = False,
     params: P.AuditParams = P.AuditParams(),
     sources: Mapping[str, Builder] = SOURCES,
+    merge: bool = False,
 ) -> int:
-    """Build and write the knowledge table unless it has rows; gives its row count."""
-    if not rebuild and knowledge.has_rows(spark, table_path):
+    """Build and write the knowledge table unless it has rows; gives its row count.
+
+    `rebuild` replaces the rows of a filled table, `merge` puts the new ones in by id."""
+    if not (rebuild or merge) and knowledge.has_rows(spark, table_path):
         return knowledge.read_table(spark, table_path).count()
-    records = collect_knowledge(spark, paths, sources)
+    parsed = None
+    if "cwe" in paths and sources.get("cwe") is catalogue_source:  # one parse for the rows and the ids
+        parsed = store(catalogue.parse_records(catalogue.read_catalogue(spark, paths["cwe"])))
+        sources = {**sources, "cwe": lambda _spark, _path: catalogue.knowledge(parsed)}
+    records = store(collect_knowledge(spark, paths, sources))
     if records.isEmpty():
         return 0
-    count = knowledge.write_table(
-        hooks.embed(records, "document", embedder, params.embedding_dim, params.embed_batch), table_path, rebuild=True)
-    if "cwe" in paths:
-        parsed = catalogue.parse_records(catalogue.read_catalogue(spark, paths["cwe"]))
+    embedded = hooks.embed(records, "document", embedder, params.embedding_dim, params.embed_batch)
+    count = (knowledge.upsert_table(embedded, table_path) if merge and not rebuild
+             else knowledge.write_table(embedded, table_path, rebuild=True))
+    if parsed is not None:
         knowledge.write_ids(catalogue.valid_ids(parsed), ids_path)
     return count

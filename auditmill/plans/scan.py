@@ -76,12 +76,18 @@ def audit(
     system: str = P.SYSTEM_PROMPT,
     template: str = P.USER_PROMPT,
     tasks: int | None = None,
+    braced=None,
+    indented=None,
 ) -> Audit:
-    """All stages. `tasks` sets the number of tasks that share the model calls.
+    """All stages. `tasks` sets the number of tasks that share the model calls. `braced` and `indented` are the
+    rules of the languages, as `segment.segment_files` takes them; files of other languages than
+    `params.languages` and those with rules of their own are left out.
 
     With a knowledge table of ordinary size, code is shuffled only to spread it over `tasks`:
     hits, context, messages, replies and items are columns added to the rows where they are."""
-    chunks = segment.segment_files(files, params.max_chunk_lines)
+    known = {*params.languages, *(braced or ()), *(indented or ())}
+    files = files.filter(F.col("language").isin(*sorted(known)))
+    chunks = segment.segment_files(files, params.max_chunk_lines, braced, indented)
     even = chunks.repartition(tasks, "chunk_id") if tasks else chunks
     embedded = store(hooks.embed(even, "code", embedder, params.embedding_dim, params.embed_batch))
     with_hits = knn.attach_hits(embedded, knowledge, knn_params(params))

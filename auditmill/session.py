@@ -20,7 +20,6 @@ def build_session(cores: str = "*", shuffle_partitions: int | None = None) -> Sp
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.sql.variant.allowDuplicateKeys", "true")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if shuffle_partitions:

@@ -22,17 +22,22 @@ LIMITS = P.TextLimits()
 
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """One row (`record`) per weakness element. A missing file is an error."""
+    """One row (`record`) per weakness element, with its place in the document. A missing file is an error."""
     if not path_exists(path):
         raise FileNotFoundError(path)
     raw = spark.read.option("lineSep", RECORD_END).text(path)
-    return cut_records(raw, F.col("value"))
+    # Rows of one block stand in one task in the order of the file, so their ids rise.
+    start = F.lpad(F.col("_metadata.file_block_start").cast("string"), 19, "0")
+    placed = raw.select("value", F.concat_ws(":", "_metadata.file_path", start).alias("path"),
+                        F.monotonically_increasing_id().alias("pos"))
+    return cut_records(placed, F.col("value"), F.col("path"), F.col("pos"))
 
 
-def cut_records(df: DataFrame, text: Column) -> DataFrame:
-    """The element in each text that the missing end tag would close; no row where none starts."""
-    return df.select(F.explode(F.regexp_extract_all(
-        F.concat(text, F.lit(RECORD_END)), F.lit(r"(?s)<Weakness\s.*\z"), F.lit(0))).alias("record"))
+def cut_records(df: DataFrame, text: Column, path: Column, pos: Column) -> DataFrame:
+    """The element in each text that the missing end tag would close; no row where none starts. `path` and `pos`
+    give the order of the records."""
+    found = F.regexp_extract_all(F.concat(text, F.lit(RECORD_END)), F.lit(r"(?s)<Weakness\s.*\z"), F.lit(0))
+    return df.select(F.explode(found).alias("record"), path.alias("order_path"), pos.cast("bigint").alias("order_pos"))
 
 
 def _decoded(c: Column) -> Column:
@@ -113,6 +118,8 @@ def parse_records(records: DataFrame) -> DataFrame:
         canonical_names(names, P.CATALOGUE_LANGUAGES, P.CATALOGUE_DEFAULT_LANGUAGES).alias("languages"),
         F.slice(_cut_texts(bad_code, LIMITS.catalogue_example), 1, LIMITS.catalogue_examples).alias("examples"),
         _cut_texts(advice, LIMITS.catalogue_mitigation).alias("mitigations"),
+        "order_path",
+        "order_pos",
     )
 
 
@@ -148,6 +155,6 @@ def knowledge(parsed: DataFrame) -> DataFrame:
             F.lit("cwe_id"), F.col("cwe_id"),
             F.lit("severity_hint"), guess_severity(F.col("name"), F.col("description")),
         ).alias("metadata"),
-        F.lit("").alias("order_path"),
-        F.expr("try_cast(number as bigint)").alias("order_pos"),
+        "order_path",
+        "order_pos",
     ).to(schemas.KNOWLEDGE)

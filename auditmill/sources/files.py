@@ -175,6 +175,7 @@ def load_files(
     languages: Sequence[str] | None = None,
     max_bytes: int = P.MAX_FILE_BYTES,
     extensions: Mapping[str, str] = P.EXTENSION_LANGUAGES,
+    excluded: Sequence[str] = P.EXCLUDED_DIRECTORIES,
 ) -> DataFrame:
     """Source files under a directory, or one single file, as (path, language, content, size_bytes).
 
@@ -192,8 +193,8 @@ def load_files(
             fs, inner = _open(ignore_file)
             with fs.open_input_stream(inner) as stream:
                 ignore_lines = stream.read().decode("utf-8", errors="ignore").splitlines()
-        listing = list_tree(spark, root, recursive, P.EXCLUDED_DIRECTORIES)
-        chosen = select_files(listing, languages, ignore_lines, recursive, max_bytes, extensions=extensions)
+        listing = list_tree(spark, root, recursive, excluded)
+        chosen = select_files(listing, languages, ignore_lines, recursive, max_bytes, excluded, extensions)
     texts = read_listed(chosen.drop("language"))
     return texts.select("path", file_language(F.col("path"), extensions).alias("language"), "content", "size_bytes")
 

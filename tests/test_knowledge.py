@@ -45,13 +45,15 @@ def test_upsert_and_writing(spark, tmp_path):
     new = spark.createDataFrame([("b", 2, 2), ("b", 3, 3), ("c", 9, 1)], schema)
     merged = {r["id"]: r["v"] for r in knowledge.upsert(old, new, version="version").collect()}
     assert merged == {"a": 1, "b": 3, "c": 9}
-    path, nxt = str(tmp_path / "kb"), str(tmp_path / "kb2")
+    path = str(tmp_path / "kb")
     assert knowledge.write_table(old.limit(0), path) == 0
     assert knowledge.write_table(old, path) == 2, "a table without rows is not a filled one"
     assert knowledge.write_table(new, path) == 2
     assert {r["v"] for r in knowledge.read_table(spark, path).collect()} == {1}
-    unique = new.filter("v <> 3")
-    assert {r["id"]: r["v"] for r in knowledge.upsert_table(path, unique, nxt).collect()} == {"a": 1, "b": 2, "c": 9}
+    for _ in range(2):  # once more gives the same
+        assert knowledge.upsert_table(new, path, version="version") == 3
+    assert {r["id"]: r["v"] for r in knowledge.read_table(spark, path).collect()} == {"a": 1, "b": 3, "c": 9}
+    assert knowledge.upsert_table(new, str(tmp_path / "fresh")) == 2
     assert knowledge.write_table(new, path, rebuild=True) == 3
 
 
@@ -94,12 +96,15 @@ def test_knowledge_base_build(spark, corpora, tmp_path):
     assert len({r["id"] for r in rows}) == count
     first = sorted(rows, key=lambda r: int(r["id"].rsplit("-", 1)[1]))
     assert [r["source"] for r in first] == ["cwe"] * 3 + ["owasp"] * 5 + ["semgrep"] * 5
-    assert first[0]["id"] == "cwe-cwe7-0" and first[0]["embedding"] == [0.0, 0.0]
+    assert [r["id"] for r in first[:3]] == ["cwe-cwe89-0", "cwe-cwe7-1", "cwe-cwe10-2"], "the order of the document"
+    assert first[1]["embedding"] == [0.0, 0.0]
     assert first[2]["embedding"] == [float(len(first[2]["document"])), 1.0]
     assert knowledge.read_ids(spark, ids).count() == 4
     only = {"owasp": corpora["owasp"]}
     assert index.build_knowledge_base(spark, only, table, ids, vectors, params=params) == count, "filled tables stay"
     assert index.build_knowledge_base(spark, only, table, ids, vectors, rebuild=True, params=params) == 5
+    rules_too = {**only, "semgrep": corpora["semgrep"]}
+    assert index.build_knowledge_base(spark, rules_too, table, ids, vectors, params=params, merge=True) == 10
     missing = {"owasp": str(tmp_path / "none"), "semgrep": str(tmp_path / "none")}
     assert index.build_knowledge_base(spark, missing, str(tmp_path / "kb3"), ids, vectors) == 0
 

@@ -33,7 +33,7 @@ FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "SinglePartition")
 WHOLE_TABLE_ROWS = {"severity_summary", "stage_funnel", "audit_funnel", "report_blocks", "id_dictionary"}
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"source_tree"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES)))
 def test_plan(spark, name):
     plan = entry.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     for word in FORBIDDEN:
@@ -48,4 +48,9 @@ def test_scans_read_only_what_they_need(spark):
     assert "ReadSchema: struct<l_partkey:bigint>" in plan
     assert "PushedFilters: [IsNotNull(p_size), LessThan(p_size,10)" in plan
     plan = entry.queries()["retry_findings"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(event_type,error)" in plan and "GreaterThan(value,30.0)" in plan and "props" not in plan
+    assert "ReadSchema: struct<event_id:bigint,ts:" in plan and "props" not in plan
+
+
+def test_replies_are_parsed_once(spark):
+    plan = entry.queries()["reply_items"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(StructField(cwe_id") == 1
