@@ -30,6 +30,8 @@ STEPS = 10              # most concentration steps; they end before when no dete
 CUT = 40.0              # squared distance; about the 1 - 1.5e-7 quantile of chi-square with 5 degrees of freedom
 CHI_MEDIAN = 4.351      # median of chi-square with 5 degrees of freedom
 BINS = 32               # distance bins per doubling
+FIT_TASKS = 16          # tasks that fit estimates; one more for every GROUPS_PER_TASK groups beyond
+GROUPS_PER_TASK = 100
 # Least standard deviation of each statistic: spreads below it are no ground to reject.
 FLOORS = {"word_length": 0.08, "symbols": 0.07, "marks": 0.045, "capitals": 0.07, "repeats": 0.18}
 NAMES = tuple(FLOORS)
@@ -174,7 +176,14 @@ def _closest(members: DataFrame, estimate: DataFrame) -> DataFrame:
     return inner.groupBy("start", "grp").agg(*[F.sum(c).alias(c) for c in names])
 
 
-def _starts(members: DataFrame) -> DataFrame:
+def _fitted(moments: DataFrame, scale: Column, groups: int) -> DataFrame:
+    """The estimates of `groups` groups, in as many tasks as their number calls for: each row is a group's moments,
+    so the partitions of the shuffle before, whose number follows the input, would be all but empty."""
+    tasks = FIT_TASKS + groups // GROUPS_PER_TASK
+    return _packed(moments, scale).coalesce(tasks).mapInPandas(_fit, ESTIMATE)
+
+
+def _starts(members: DataFrame, groups: int) -> DataFrame:
     """Two robust first estimates of each group: medians with median deviations, and medians with the scatter of
     bounded deviations."""
     def medians(rows: DataFrame, prefix: str) -> DataFrame:
@@ -187,7 +196,7 @@ def _starts(members: DataFrame) -> DataFrame:
     bounded = members.join(both, "grp").select("grp", "mad", "centre", F.transform(F.arrays_zip("x", "centre", "mad"), lambda z: (
         F.tanh((z["x"] - z["centre"]) / z["mad"]) * z["mad"])).alias("x"))
     scatter = _moments(bounded, "grp").withColumn("start", F.lit(1))
-    second = _packed(scatter, F.lit(1.0)).mapInPandas(_fit, ESTIMATE).drop("centre").join(centre, "grp")
+    second = _fitted(scatter, F.lit(1.0), groups).drop("centre").join(centre, "grp")
     def diagonal(mad: Column) -> Column:
         cells = [F.lit(1.0) / (F.get(mad, F.lit(i)) * F.get(mad, F.lit(i))) if i == j else F.lit(0.0) for i in range(D) for j in range(D)]
         return F.array(*cells)
@@ -200,10 +209,11 @@ def estimates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     centre and inverse scatter."""
     levels = store(_levels(rows))
     members = store(_members(rows, levels))
-    now = store(_starts(members))
+    groups = levels.select("grp").distinct().count()
+    now = store(_starts(members, groups))
     for _ in range(STEPS):
         closest = _closest(members, now)
-        nxt = store(_packed(closest, F.lit(1.0)).mapInPandas(_fit, ESTIMATE))
+        nxt = store(_fitted(closest, F.lit(1.0), groups))
         moved = nxt.join(now.select("start", "grp", F.col("logdet").alias("was")), ["start", "grp"]).agg(
             F.max(F.abs(F.col("logdet") - F.col("was"))).alias("most")).first().most
         now = nxt
@@ -219,7 +229,7 @@ def estimates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
               .filter("before < 0.5 * all").groupBy("grp").agg(F.max("bin").alias("bin")))
     scale = middle.select("grp", F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("bin") + 0.5) / BINS) / CHI_MEDIAN).alias("scale"))
     final = _closest(members, now).join(scale, "grp")
-    return levels, store(_packed(final, F.col("scale")).mapInPandas(_fit, ESTIMATE).select("grp", "centre", "inverse"))
+    return levels, store(_fitted(final, F.col("scale"), groups).select("grp", "centre", "inverse"))
 
 
 def verdicts(rows: DataFrame, levels: DataFrame, estimate: DataFrame) -> DataFrame:
