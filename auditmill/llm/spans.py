@@ -1,6 +1,9 @@
 """Substring deduplication by sliding sentence spans (operator 7).
 
-Sentences end at a word that ends in . ! or ?, at a line end, or after LONGEST words. Every run of RUN consecutive
+Sentences end at a word that ends in . ! or ?, at a line end, or after LONGEST words. With local cuts, long ones are
+instead cut where their own words decide: after the word of the least hash (of equal ones the last) of every WINDOW
+words within a sentence. So a cut depends on the WINDOW - 1 words on either side only, a passage is cut alike wherever
+it stands, and no piece has more than WINDOW words. Every run of RUN consecutive
 sentences with at least LEAST_WORDS words is hashed; runs are joined over all documents, and sentences covered by a
 run that occurred before, in a document with a smaller id or earlier in the same one, are removed.
 """
@@ -22,6 +25,7 @@ from auditmill.session import bound_batches, store
 RUN = 3
 LEAST_WORDS = 8
 LONGEST = 16
+WINDOW = 8             # words among which local cuts choose
 LAST = (1 << 63) - 1   # stands for a null id, which comes after all others
 
 _END = np.zeros(256, dtype=bool)
@@ -39,7 +43,25 @@ class Runs:
     hash: np.ndarray
 
 
-def runs_of(data: np.ndarray, offsets: np.ndarray) -> Runs:
+def _local_cuts(hashes: np.ndarray, opens: np.ndarray) -> np.ndarray:
+    """`opens` with the words after the cuts of each sentence marked too."""
+    out = opens.copy()
+    count = len(hashes) - WINDOW + 1
+    if count <= 0:
+        return out
+    least, at = hashes[:count].copy(), np.zeros(count, dtype=np.int64)
+    for k in range(1, WINDOW):
+        lower = hashes[k:k + count] <= least
+        least[lower] = hashes[k:k + count][lower]
+        at[lower] = k
+    sentence = np.cumsum(opens)
+    whole = np.flatnonzero(sentence[:count] == sentence[WINDOW - 1:])
+    after = whole + at[whole] + 1
+    out[after[after < len(hashes)]] = True
+    return out
+
+
+def runs_of(data: np.ndarray, offsets: np.ndarray, local_cuts: bool = False) -> Runs:
     words = W.words_of(data, offsets)
     n = len(words.start)
     if not n:
@@ -50,6 +72,8 @@ def runs_of(data: np.ndarray, offsets: np.ndarray) -> Runs:
     opens = np.ones(n, dtype=bool)
     opens[1:] = ((words.text[1:] != words.text[:-1]) | _END[data[words.end[:-1] - 1]]
                  | (breaks[words.start[1:]] > breaks[words.end[:-1]]))
+    if local_cuts:
+        opens = _local_cuts(words.hash, opens)
     start = np.flatnonzero(opens)
     place = np.arange(n) - np.repeat(start, np.diff(np.append(start, n)))
     start = np.flatnonzero(place % LONGEST == 0)
@@ -66,66 +90,72 @@ def runs_of(data: np.ndarray, offsets: np.ndarray) -> Runs:
     return Runs(text, words.start[start], first, text[first], run)
 
 
-def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hashes(local_cuts: bool):
     """Each document's distinct runs."""
-    for batch in batches:
-        for at, data, offsets in W.slices(batch.column(1)):
-            runs = runs_of(data, offsets)
-            once = ~W.seen_before(W.of_text(runs.text, runs.hash))
-            ids = batch.column(0).slice(at, len(offsets) - 1).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(runs.hash[once].view(np.int64)), pa.array(ids[runs.text[once]])], names=["h", "id"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, data, offsets in W.slices(batch.column(1)):
+                runs = runs_of(data, offsets, local_cuts)
+                once = ~W.seen_before(W.of_text(runs.text, runs.hash))
+                ids = batch.column(0).slice(at, len(offsets) - 1).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(runs.hash[once].view(np.int64)), pa.array(ids[runs.text[once]])], names=["h", "id"])
+    return run
 
 
-def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _apply(local_cuts: bool):
     """Texts without covered sentences; column 2 lists the document's runs that occur in earlier ones."""
-    for batch in batches:
-        for at, data, offsets in W.slices(batch.column(1)):
-            rows = len(offsets) - 1
-            runs = runs_of(data, offsets)
-            lists = batch.column(2).slice(at, rows)
-            sizes = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-            earlier = lists.flatten().to_numpy().view(np.uint64)
-            owner = np.repeat(np.arange(rows), sizes)
-            gone = W.seen_before(W.of_text(runs.text, runs.hash))
-            gone |= np.isin(W.of_text(runs.text, runs.hash), W.of_text(owner, earlier))
-            covered = np.zeros(len(runs.sentence_text) + RUN, dtype=bool)
-            for k in range(RUN):
-                covered[runs.first[gone] + k] = True
-            covered = covered[:len(runs.sentence_text)]
-            n = np.bincount(runs.sentence_text, minlength=rows)
-            n_gone = np.bincount(runs.sentence_text[covered], minlength=rows)
-            begin = runs.sentence_start.copy()
-            opens = np.ones(len(begin), dtype=bool)
-            opens[1:] = runs.sentence_text[1:] != runs.sentence_text[:-1]
-            begin[opens] = offsets[runs.sentence_text[opens]]  # blanks before the first sentence belong to it
-            end = np.append(begin[1:], len(data))
-            closes = np.append(opens[1:], True)
-            end[closes] = offsets[runs.sentence_text[closes] + 1]
-            edge = np.zeros(len(data) + 1, dtype=np.int32)
-            np.add.at(edge, begin[covered], 1)
-            np.add.at(edge, end[covered], -1)
-            keep = np.cumsum(edge[:-1]) == 0
-            sizes = np.concatenate([[0], np.cumsum(W.count_in_texts(keep, offsets))])
-            null = batch.column(1).slice(at, rows).is_null()
-            texts = pa.LargeStringArray.from_buffers(rows, pa.py_buffer(sizes.astype(np.int64)), pa.py_buffer(data[keep].tobytes()))
-            texts = pc.if_else(null, pa.scalar(None, pa.large_string()), texts).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, rows), texts, pa.array(n), pa.array(n_gone)],
-                                             names=["id", "text", "n_sentences", "n_removed"])
-
-
-def remove_repeats(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, data, offsets in W.slices(batch.column(1)):
+                rows = len(offsets) - 1
+                runs = runs_of(data, offsets, local_cuts)
+                lists = batch.column(2).slice(at, rows)
+                sizes = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+                earlier = lists.flatten().to_numpy().view(np.uint64)
+                owner = np.repeat(np.arange(rows), sizes)
+                gone = W.seen_before(W.of_text(runs.text, runs.hash))
+                gone |= np.isin(W.of_text(runs.text, runs.hash), W.of_text(owner, earlier))
+                covered = np.zeros(len(runs.sentence_text) + RUN, dtype=bool)
+                for k in range(RUN):
+                    covered[runs.first[gone] + k] = True
+                covered = covered[:len(runs.sentence_text)]
+                n = np.bincount(runs.sentence_text, minlength=rows)
+                n_gone = np.bincount(runs.sentence_text[covered], minlength=rows)
+                begin = runs.sentence_start.copy()
+                opens = np.ones(len(begin), dtype=bool)
+                opens[1:] = runs.sentence_text[1:] != runs.sentence_text[:-1]
+                begin[opens] = offsets[runs.sentence_text[opens]]  # blanks before the first sentence belong to it
+                end = np.append(begin[1:], len(data))
+                closes = np.append(opens[1:], True)
+                end[closes] = offsets[runs.sentence_text[closes] + 1]
+                edge = np.zeros(len(data) + 1, dtype=np.int32)
+                np.add.at(edge, begin[covered], 1)
+                np.add.at(edge, end[covered], -1)
+                keep = np.cumsum(edge[:-1]) == 0
+                sizes = np.concatenate([[0], np.cumsum(W.count_in_texts(keep, offsets))])
+                null = batch.column(1).slice(at, rows).is_null()
+                texts = pa.LargeStringArray.from_buffers(rows, pa.py_buffer(sizes.astype(np.int64)), pa.py_buffer(data[keep].tobytes()))
+                texts = pc.if_else(null, pa.scalar(None, pa.large_string()), texts).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, rows), texts, pa.array(n), pa.array(n_gone)],
+                                                 names=["id", "text", "n_sentences", "n_removed"])
+    return run
+
+
+def remove_repeats(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", local_cuts: bool = False) -> DataFrame:
     """(id, text, n_sentences, n_removed) of each row, the text without sentences of repeated runs.
 
+    `local_cuts` cuts long sentences where their own words decide, instead of every LONGEST words from their first.
+
     The first occurrence, by id and then by place, stays. A null text stays null, an empty one empty. Rows with the
     same id count as one document, as do those with a null id, which comes last; what repeats between them stays.
     A document all of whose sentences repeat keeps its row with an empty text. An empty table gives an empty one;
     further columns are not read."""
     bound_batches(documents.sparkSession)
     docs = documents.select(F.coalesce(F.col(id_column).cast("long"), F.lit(LAST)).alias("id"), F.col(text_column).alias("text"))
-    rows = store(docs.mapInArrow(_hashes, "h long, id long"))
+    rows = store(docs.mapInArrow(_hashes(local_cuts), "h long, id long"))
     firsts = rows.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("h", "first")
     later = rows.join(firsts, "h").filter("id > first").select("id", "h")
     lists = later.groupBy("id").agg(F.collect_set("h").alias("earlier"))  # at most a document's own runs
     joined = docs.join(lists, "id", "left").select("id", "text", F.coalesce("earlier", F.array().cast("array<bigint>")).alias("earlier"))
-    out = joined.mapInArrow(_apply, "id long, text string, n_sentences long, n_removed long")
+    out = joined.mapInArrow(_apply(local_cuts), "id long, text string, n_sentences long, n_removed long")
     return out.select(F.when(F.col("id") != LAST, F.col("id")).alias(id_column), F.col("text").alias(text_column), "n_sentences", "n_removed")

@@ -168,3 +168,22 @@ def test_spans_of_awkward_rows(awkward, empty):
     got = sorted(((r.doc_id or 0, r.text) for r in spans.remove_repeats(awkward).collect()), key=str)
     assert (1, None) in got and (2, "") in got and (3, " \n\t") in got and got.count((5, "same row")) == 2 and len(got) == 11
     assert spans.remove_repeats(empty).collect() == []
+
+
+def test_spans_find_passages_pasted_in_mid_sentence(docs):
+    rng = random.Random(6)
+
+    def words(n):
+        return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+    rows = []
+    for i in range(40):
+        passage = words(50)
+        rows += [(2 * i, " ".join([*words(rng.randint(0, 15)), *passage, *words(9)])),
+                 (2 * i + 1, " ".join([*words(rng.randint(0, 15)), *passage, *words(9)]))]
+    got = {r.doc_id: r for r in spans.remove_repeats(docs(rows), local_cuts=True).collect()}
+    assert all(got[i].text == t for i, t in rows if i % 2 == 0)
+    for i, t in rows:
+        if i % 2:
+            gone = Counter(t.split()) - Counter(got[i].text.split())
+            assert gone and set(gone) <= set(rows[i - 1][1].split())
