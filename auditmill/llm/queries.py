@@ -78,7 +78,7 @@ def op6_ngram_jaccard_join(spark, sf):
 
 @query()
 def op7_sentence_spans(spark, sf):
-    return spans.remove_repeats(table(spark, sf, "documents"), local_cuts=True)
+    return spans.remove_repeats(table(spark, sf, "documents"), local_cuts=True, grow=True)
 
 
 @query()

@@ -3,9 +3,10 @@
 Sentences end at a word that ends in . ! or ?, at a line end, or after LONGEST words. With local cuts, long ones are
 instead cut where their own words decide: after the word of the least hash (of equal ones the last) of every WINDOW
 words within a sentence. So a cut depends on the WINDOW - 1 words on either side only, a passage is cut alike wherever
-it stands, and no piece has more than WINDOW words. Every run of RUN consecutive
-sentences with at least LEAST_WORDS words is hashed; runs are joined over all documents, and sentences covered by a
-run that occurred before, in a document with a smaller id or earlier in the same one, are removed.
+it stands, and no piece has more than WINDOW words. Every run of RUN consecutive sentences with at least LEAST_WORDS
+words is hashed, or, where runs grow, from each sentence on the shortest run of RUN sentences or more that has so many
+words; runs are joined over all documents, and sentences covered by a run that occurred before, in a document with a
+smaller id or earlier in the same one, are removed.
 """
 
 from __future__ import annotations
@@ -34,13 +35,31 @@ _END[list(b".!?")] = True
 
 @dataclass
 class Runs:
-    """Sentences of a slice (text number, first byte) and its runs (first sentence, text number, hash)."""
+    """Sentences of a slice (text number, first byte) and its runs (first sentence, text number, hash, sentences)."""
 
     sentence_text: np.ndarray
     sentence_start: np.ndarray
     first: np.ndarray
     text: np.ndarray
     hash: np.ndarray
+    length: np.ndarray
+
+
+def _grown(text: np.ndarray, hashes: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first sentence, hash, sentences) of the shortest run from each sentence on that has RUN sentences and
+    LEAST_WORDS words and ends in its text."""
+    n = len(text)
+    length = np.maximum(RUN, np.searchsorted(total, total[:-1] + LEAST_WORDS) - np.arange(n))
+    first = np.flatnonzero(np.arange(n) + length <= np.searchsorted(text, text, side="right"))
+    length = length[first]
+    run = np.zeros(len(first), dtype=np.uint64)
+    factor = np.uint64(1)
+    with np.errstate(over="ignore"):
+        for k in range(int(length.max(initial=0))):
+            some = length > k
+            run[some] += hashes[first[some] + k] * factor
+            factor = factor * W.BASE
+        return first, W.mix(run + W.mix(length.astype(np.uint64))), length
 
 
 def _local_cuts(hashes: np.ndarray, opens: np.ndarray) -> np.ndarray:
@@ -61,12 +80,12 @@ def _local_cuts(hashes: np.ndarray, opens: np.ndarray) -> np.ndarray:
     return out
 
 
-def runs_of(data: np.ndarray, offsets: np.ndarray, local_cuts: bool = False) -> Runs:
+def runs_of(data: np.ndarray, offsets: np.ndarray, local_cuts: bool = False, grow: bool = False) -> Runs:
     words = W.words_of(data, offsets)
     n = len(words.start)
     if not n:
         none = np.zeros(0, np.int64)
-        return Runs(none, none, none, none, np.zeros(0, np.uint64))
+        return Runs(none, none, none, none, np.zeros(0, np.uint64), none)
     breaks = np.zeros(len(data) + 1, dtype=np.int32)
     np.cumsum(data == 10, out=breaks[1:])
     opens = np.ones(n, dtype=bool)
@@ -83,42 +102,46 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, local_cuts: bool = False) ->
         powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(LONGEST - 1, W.BASE, np.uint64)]))
         hashes = W.mix(np.add.reduceat(words.hash * powers[place], start) + length.astype(np.uint64))
     text = words.text[start]
-    first, run = W.windows(W.Words(text, start, start, hashes), RUN)
     total = np.concatenate([[0], np.cumsum(length)])
-    enough = total[first + RUN] - total[first] >= LEAST_WORDS
-    first, run = first[enough], run[enough]
-    return Runs(text, words.start[start], first, text[first], run)
+    if grow:
+        first, run, sentences = _grown(text, hashes, total)
+    else:
+        first, run = W.windows(W.Words(text, start, start, hashes), RUN)
+        enough = total[first + RUN] - total[first] >= LEAST_WORDS
+        first, run = first[enough], run[enough]
+        sentences = np.full(len(first), RUN)
+    return Runs(text, words.start[start], first, text[first], run, sentences)
 
 
-def _hashes(local_cuts: bool):
+def _hashes(local_cuts: bool, grow: bool):
     """Each document's distinct runs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, data, offsets in W.slices(batch.column(1)):
-                runs = runs_of(data, offsets, local_cuts)
+                runs = runs_of(data, offsets, local_cuts, grow)
                 once = ~W.seen_before(W.of_text(runs.text, runs.hash))
                 ids = batch.column(0).slice(at, len(offsets) - 1).to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(runs.hash[once].view(np.int64)), pa.array(ids[runs.text[once]])], names=["h", "id"])
     return run
 
 
-def _apply(local_cuts: bool):
+def _apply(local_cuts: bool, grow: bool):
     """Texts without covered sentences; column 2 lists the document's runs that occur in earlier ones."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, data, offsets in W.slices(batch.column(1)):
                 rows = len(offsets) - 1
-                runs = runs_of(data, offsets, local_cuts)
+                runs = runs_of(data, offsets, local_cuts, grow)
                 lists = batch.column(2).slice(at, rows)
                 sizes = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
                 earlier = lists.flatten().to_numpy().view(np.uint64)
                 owner = np.repeat(np.arange(rows), sizes)
                 gone = W.seen_before(W.of_text(runs.text, runs.hash))
                 gone |= np.isin(W.of_text(runs.text, runs.hash), W.of_text(owner, earlier))
-                covered = np.zeros(len(runs.sentence_text) + RUN, dtype=bool)
-                for k in range(RUN):
-                    covered[runs.first[gone] + k] = True
-                covered = covered[:len(runs.sentence_text)]
+                depth = np.zeros(len(runs.sentence_text) + 1, dtype=np.int32)
+                np.add.at(depth, runs.first[gone], 1)
+                np.add.at(depth, runs.first[gone] + runs.length[gone], -1)
+                covered = np.cumsum(depth[:-1]) > 0
                 n = np.bincount(runs.sentence_text, minlength=rows)
                 n_gone = np.bincount(runs.sentence_text[covered], minlength=rows)
                 begin = runs.sentence_start.copy()
@@ -141,10 +164,12 @@ def _apply(local_cuts: bool):
     return run
 
 
-def remove_repeats(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", local_cuts: bool = False) -> DataFrame:
+def remove_repeats(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", local_cuts: bool = False,
+                   grow: bool = False) -> DataFrame:
     """(id, text, n_sentences, n_removed) of each row, the text without sentences of repeated runs.
 
     `local_cuts` cuts long sentences where their own words decide, instead of every LONGEST words from their first.
+    `grow` lets a run of fewer than LEAST_WORDS words go on to further sentences, instead of leaving it out.
 
     The first occurrence, by id and then by place, stays. A null text stays null, an empty one empty. Rows with the
     same id count as one document, as do those with a null id, which comes last; what repeats between them stays.
@@ -152,10 +177,10 @@ def remove_repeats(documents: DataFrame, id_column: str = "doc_id", text_column:
     further columns are not read."""
     bound_batches(documents.sparkSession)
     docs = documents.select(F.coalesce(F.col(id_column).cast("long"), F.lit(LAST)).alias("id"), F.col(text_column).alias("text"))
-    rows = store(docs.mapInArrow(_hashes(local_cuts), "h long, id long"))
+    rows = store(docs.mapInArrow(_hashes(local_cuts, grow), "h long, id long"))
     firsts = rows.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("h", "first")
     later = rows.join(firsts, "h").filter("id > first").select("id", "h")
     lists = later.groupBy("id").agg(F.collect_set("h").alias("earlier"))  # at most a document's own runs
     joined = docs.join(lists, "id", "left").select("id", "text", F.coalesce("earlier", F.array().cast("array<bigint>")).alias("earlier"))
-    out = joined.mapInArrow(_apply(local_cuts), "id long, text string, n_sentences long, n_removed long")
+    out = joined.mapInArrow(_apply(local_cuts, grow), "id long, text string, n_sentences long, n_removed long")
     return out.select(F.when(F.col("id") != LAST, F.col("id")).alias(id_column), F.col("text").alias(text_column), "n_sentences", "n_removed")

@@ -187,3 +187,22 @@ def test_spans_find_passages_pasted_in_mid_sentence(docs):
         if i % 2:
             gone = Counter(t.split()) - Counter(got[i].text.split())
             assert gone and set(gone) <= set(rows[i - 1][1].split())
+
+
+def test_spans_of_short_sentences(docs):
+    rng = random.Random(7)
+    words = [f"W{rng.randrange(10**6)}" for _ in range(60)]
+    shouted, lines = "!! ".join(words[:30]) + "!!", "\n".join(words[30:])
+    mixed = f"One of its own. {shouted} Two of its own."
+    got = {r.doc_id: r.text for r in spans.remove_repeats(
+        docs([(1, shouted), (2, shouted), (3, lines), (4, lines), (5, mixed), (6, "A few. Short. Ones.")]), grow=True).collect()}
+    assert got[1] == shouted and got[3] == lines and got[6] == "A few. Short. Ones."
+    assert got[2] == "" and got[4] == "" and got[5] == "One of its own. Two of its own."
+
+
+def test_grown_runs():
+    text = np.array([0] * 12 + [1] * 4 + [2] * 2)
+    size = np.array([1] * 12 + [5, 1, 1, 3] + [9, 9])
+    hashes = np.arange(len(text), dtype=np.uint64)
+    first, _, length = spans._grown(text, hashes, np.concatenate([[0], np.cumsum(size)]))
+    assert list(zip(first, length)) == [(0, 8), (1, 8), (2, 8), (3, 8), (4, 8), (12, 4)]
