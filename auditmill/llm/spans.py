@@ -6,7 +6,8 @@ words within a sentence. So a cut depends on the WINDOW - 1 words on either side
 it stands, and no piece has more than WINDOW words. Every run of RUN consecutive sentences with at least LEAST_WORDS
 words is hashed, or, where runs grow, from each sentence on the shortest run of RUN sentences or more that has so many
 words; runs are joined over all documents, and sentences covered by a run that occurred before, in a document with a
-smaller id or earlier in the same one, are removed.
+smaller id or earlier in the same one, are removed. Documents are rows: those of one id are ordered by the hash of
+their text, equal ones by a stored number.
 """
 
 from __future__ import annotations
@@ -120,8 +121,8 @@ def _hashes(local_cuts: bool, grow: bool):
             for at, data, offsets in W.slices(batch.column(1)):
                 runs = runs_of(data, offsets, local_cuts, grow)
                 once = ~W.seen_before(W.of_text(runs.text, runs.hash))
-                ids = batch.column(0).slice(at, len(offsets) - 1).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(runs.hash[once].view(np.int64)), pa.array(ids[runs.text[once]])], names=["h", "id"])
+                of_rows = [batch.column(c).slice(at, len(offsets) - 1).take(pa.array(runs.text[once])) for c in (0, 2)]
+                yield pa.RecordBatch.from_arrays([pa.array(runs.hash[once].view(np.int64)), *of_rows], names=["h", "row", "at"])
     return run
 
 
@@ -171,16 +172,22 @@ def remove_repeats(documents: DataFrame, id_column: str = "doc_id", text_column:
     `local_cuts` cuts long sentences where their own words decide, instead of every LONGEST words from their first.
     `grow` lets a run of fewer than LEAST_WORDS words go on to further sentences, instead of leaving it out.
 
-    The first occurrence, by id and then by place, stays. A null text stays null, an empty one empty. Rows with the
-    same id count as one document, as do those with a null id, which comes last; what repeats between them stays.
-    A document all of whose sentences repeat keeps its row with an empty text. An empty table gives an empty one;
-    further columns are not read."""
+    The first occurrence, by id, hash of the text and then place, stays. A null text stays null, an empty one empty.
+    Rows with a null id come last; each row is a document of its own, whether its id is null, shared or neither, so of
+    equal rows one stays whole. A document all of whose sentences repeat keeps its row with an empty text. An empty
+    table gives an empty one; further columns are not read."""
     bound_batches(documents.sparkSession)
-    docs = documents.select(F.coalesce(F.col(id_column).cast("long"), F.lit(LAST)).alias("id"), F.col(text_column).alias("text"))
-    rows = store(docs.mapInArrow(_hashes(local_cuts, grow), "h long, id long"))
-    firsts = rows.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("h", "first")
-    later = rows.join(firsts, "h").filter("id > first").select("id", "h")
-    lists = later.groupBy("id").agg(F.collect_set("h").alias("earlier"))  # at most a document's own runs
-    joined = docs.join(lists, "id", "left").select("id", "text", F.coalesce("earlier", F.array().cast("array<bigint>")).alias("earlier"))
+    text = F.col(text_column)
+    docs = store(documents.select(F.monotonically_increasing_id().alias("row"), text.alias("text"), F.col(id_column).cast("long").alias("id"),
+                                  F.xxhash64(text).alias("th")))
+    # Hashed twice, which takes less than to store the runs.
+    rows = docs.select("row", "text", F.coalesce("id", F.lit(LAST)).alias("at")).mapInArrow(_hashes(local_cuts, grow), "h long, row long, at long")
+    firsts = rows.groupBy("h").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "first")
+    met = store(rows.join(firsts, "h").select("h", "row", (F.col("at") > F.col("first")).alias("later")))
+    ties = met.filter("NOT later").select("h", "row")
+    winners = ties.join(docs.select("row", "th"), "row").groupBy("h").agg(F.min(F.struct("th", "row"))["row"].alias("first"))
+    later = met.filter("later").select("row", "h").union(ties.join(winners, "h").filter("row <> first").select("row", "h"))
+    lists = later.groupBy("row").agg(F.collect_set("h").alias("earlier"))  # at most a row's own runs
+    joined = docs.join(lists, "row", "left").select("id", "text", F.coalesce("earlier", F.array().cast("array<bigint>")).alias("earlier"))
     out = joined.mapInArrow(_apply(local_cuts, grow), "id long, text string, n_sentences long, n_removed long")
-    return out.select(F.when(F.col("id") != LAST, F.col("id")).alias(id_column), F.col("text").alias(text_column), "n_sentences", "n_removed")
+    return out.select(F.col("id").alias(id_column), F.col("text").alias(text_column), "n_sentences", "n_removed")

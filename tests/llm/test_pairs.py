@@ -206,3 +206,17 @@ def test_grown_runs():
     hashes = np.arange(len(text), dtype=np.uint64)
     first, _, length = spans._grown(text, hashes, np.concatenate([[0], np.cumsum(size)]))
     assert list(zip(first, length)) == [(0, 8), (1, 8), (2, 8), (3, 8), (4, 8), (12, 4)]
+
+
+def test_spans_of_rows_that_share_an_id(docs):
+    rng = random.Random(8)
+
+    def passage():
+        return " ".join(" ".join(f"w{rng.randrange(10**6)}" for _ in range(6)) + "." for _ in range(4))
+
+    a, b, c = passage(), passage(), passage()
+    rows = [(None, f"{a} {passage()}") for _ in range(5)] + [(7, f"{b} {passage()}") for _ in range(3)] + [(9, c)] * 3 + [(8, c)]
+    got = [(r.doc_id, r.text) for r in spans.remove_repeats(docs(rows)).collect()]
+    assert len(got) == len(rows) and sorted(i or 0 for i, _ in got) == sorted(i or 0 for i, _ in rows)
+    assert [i for i, t in got if a in t] == [None] and [i for i, t in got if b in t] == [7] and [i for i, t in got if c in t] == [8]
+    assert sum(t == "" for i, t in got if i == 9) == 3
