@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditmill.llm import words as W
@@ -102,6 +102,7 @@ def _mini(text: np.ndarray, hashes: np.ndarray, texts: int) -> np.ndarray:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size, identity and sketch of each text's set; columns from the third on pass through."""
     for batch in batches:
         for first, data, offsets in W.slices(batch.column(1)):
             n = len(offsets) - 1
@@ -110,7 +111,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sketch = _mini(text, hashes, n)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).slice(first, n), pa.array(sizes.astype(np.int64)), pa.array(ids.view(np.int64)),
-                pa.array([row.tobytes() for row in sketch], pa.binary())], names=["id", "n", "sid", "sketch"])
+                pa.array([row.tobytes() for row in sketch], pa.binary()), *[c.slice(first, n) for c in batch.columns[2:]]],
+                names=["id", "n", "sid", "sketch", *batch.schema.names[2:]])
 
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,20 +360,16 @@ def _open_pairs(rows: DataFrame, sets: DataFrame, choose) -> DataFrame:
             .select("grp", "sid", "comp", "n", "side", "sketch").mapInArrow(_cross(choose), "a long, b long").distinct())
 
 
-def near_groups(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) of each row of `documents`: groups of documents linked by a 5-word shingle
-    Jaccard similarity of 0.8 or more, named by their smallest id.
+LINKABLE = "n > 0 AND id IS NOT NULL"
 
-    A null or blank text has no shingles and is linked with nothing; equal sets are linked. A row with a null id
-    is linked with nothing and its component is null. Repeated rows give repeated rows, an empty table an empty
-    one; further columns are not read.
-    """
-    bound_batches(documents.sparkSession)
-    docs = documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    raw = store(docs.mapInArrow(_sets, "id long, n long, sid long, sketch binary"))
+
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, n, sid, sketch, ...) of each row of `docs` (id, text, ... of longs) and (sid, comp, component_id) of each
+    set: its component, told apart by a set id, and the smallest id in it."""
+    bound_batches(docs.sparkSession)
+    raw = store(docs.mapInArrow(_sets, ", ".join(["id long, n long, sid long, sketch binary", *[f"{c} long" for c in docs.columns[2:]]])))
     docs = docs.filter("id IS NOT NULL")
-    linkable = F.expr("n > 0 AND id IS NOT NULL")
-    sets = store(raw.filter(linkable).groupBy("sid").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"),
+    sets = store(raw.filter(LINKABLE).groupBy("sid").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"),
                                                         F.min("id").alias("rep")))
     common = common_shingles(docs.select("text"))
     bucket = Window.partitionBy("key")
@@ -392,7 +390,30 @@ def near_groups(documents: DataFrame, id_column: str = "doc_id", text_column: st
     named = (sets.join(labels.toDF("sid", "comp"), "sid", "left")
              .select("sid", "rep", F.coalesce("comp", "sid").alias("comp")))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "comp").select("sid", "component_id")
-    grouped = raw.filter(linkable).select("id", "n", "sid").join(named, "sid").select("id", "n", "component_id")
+    return raw, named.join(least, "comp")
+
+
+def near_groups(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id) of each row of `documents`: groups of documents linked by a 5-word shingle
+    Jaccard similarity of 0.8 or more, named by their smallest id.
+
+    A null or blank text has no shingles and is linked with nothing; equal sets are linked. A row with a null id
+    is linked with nothing and its component is null. Repeated rows give repeated rows, an empty table an empty
+    one; further columns are not read.
+    """
+    raw, named = _grouped(documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")))
+    linkable = F.expr(LINKABLE)
+    grouped = raw.filter(linkable).select("id", "n", "sid").join(named.select("sid", "component_id"), "sid").select("id", "n", "component_id")
     alone = raw.filter(~linkable | F.col("id").isNull()).select("id", "n", F.col("id").alias("component_id"))
     return grouped.union(alone).select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), "component_id")
+
+
+def firsts(documents: DataFrame, mark: Column, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, mark) of the row with the smallest id, then the smallest `mark` (a long that tells rows of one id apart),
+    of each group of `near_groups`, and of each row without shingles. Rows with a null id are left out."""
+    raw, named = _grouped(documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), mark.alias("mark")))
+    least = F.min(F.struct("id", "mark")).alias("row")
+    of_sets = raw.filter(LINKABLE).groupBy("sid").agg(least).select("sid", "row.*")
+    of_groups = of_sets.join(named.select("sid", "comp"), "sid").groupBy("comp").agg(least).select("row.*")
+    alone = raw.filter("n = 0 AND id IS NOT NULL").select("id", "mark").distinct()
+    return of_groups.union(alone).toDF(id_column, "mark")

@@ -27,12 +27,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays; of rows with that id, one.
-    Rows with a null id are in no group and stay."""
-    groups = jaccard_join.near_groups(docs)
-    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.filter("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id IS NULL")).select(docs.columns)
+    """Of each group of near copies the row with the smallest id stays, of several with that id the one with the least
+    hash; rows that share an id only are not copies. Rows with a null id are in no group and stay."""
+    mark = F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
+    first = jaccard_join.firsts(docs, mark).withColumnRenamed("mark", "_mark")
+    named = docs.filter("doc_id IS NOT NULL").withColumn("_mark", mark)
+    kept = named.join(first, ["doc_id", "_mark"], "left_semi").dropDuplicates(["doc_id", "_mark"])
+    return kept.select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,3 +35,12 @@ def test_awkward_rows(spark, awkward, empty):
         for _, stage in corpus_pipeline.STAGES:
             table = store(stage(spark, table, ""))
     assert table.columns[0] == "doc_id"
+
+
+def test_near_duplicates_of_rows_that_share_an_id(spark, docs):
+    one, two, three = (" ".join(f"{c}{k}" for k in range(60)) for c in "abc")
+    near = one + " end"
+    table = docs([(1, one), (2, near), (2, two), (2, two), (3, three), (3, three + " end"), (4, None), (4, ""), (4, ""), (None, one)])
+    got = sorted(((r.doc_id or 0, r.text) for r in corpus_pipeline.near_duplicates(spark, table, "").collect()), key=str)
+    assert [r for r in got if r[0] not in (3, 4)] == [(0, one), (1, one), (2, two)]
+    assert len([r for r in got if r[0] == 3]) == 1 and sorted((r for r in got if r[0] == 4), key=str) == [(4, ""), (4, None)]
