@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditmill.llm import jaccard_join, language, mixing, pages, parsing, personal, pieces, quality, shards, spans
+from auditmill.llm import jaccard_join, language, mixing, pages, parsing, personal, pieces, quality, repair, shards, spans
 from auditmill.llm.draws import unit_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,3 +118,59 @@ SELECT doc_id, size, source, source_size, round(target, 6) AS target, coalesce(e
 def op10_source_mix(spark, sf):
     mixed = mixing.mix(table(spark, sf, "documents"))
     return mixed.select("doc_id", "size", "source", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
+CRC_TABLE = "[list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) for n in range(256)]"
+
+
+def crc32_sql(bytes_list: str) -> str:
+    """CRC-32 of a list of byte values; the column crc_table of the row must hold CRC_TABLE."""
+    step = "xor(c >> 8, crc_table[xor(c & 255, b) + 1])"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {bytes_list}), lambda c, b: {step}), 4294967295)"
+
+
+@query(rf"""
+WITH RECURSIVE tables AS (SELECT {CRC_TABLE} AS crc_table),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                 [ord(c)::BIGINT for c in string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '')] AS bytes FROM conversations),
+kinds AS (SELECT *, {crc32_sql("bytes")} % 20 AS kind FROM keyed, tables),
+damaged AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+                   CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                   unnest(CASE kind WHEN 0 THEN []::INT[] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM kinds),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS nth, left(role, 1) AS r,
+                  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+                  regexp_replace(text, '[\x20\x09-\x0D]+\z', '') AS bare FROM damaged),
+faults AS (SELECT *, bare = '' AS is_blank, bare <> '' AND again AS is_dup, bare <> '' AND NOT again AND right(bare, 1) NOT IN ('.', '!', '?') AS is_cut,
+                  coalesce(lag(r) OVER (PARTITION BY conv_id ORDER BY nth) || r NOT IN ('su', 'ua', 'au'), false) AS is_illegal FROM placed),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum(is_blank::INT) AS blank, sum(is_dup::INT) AS duplicate,
+                  sum(is_cut::INT) AS truncated, sum(is_illegal::INT) AS illegal, max(nth) AS n FROM faults GROUP BY conv_id),
+turns(state, needed, after) AS (VALUES (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+moves AS (SELECT state AS before, state, 0 AS price, '' AS letters, '' AS put FROM turns
+          UNION ALL SELECT state, after, 5, 'I', CASE needed WHEN 'u' THEN 'user:' ELSE 'assistant:' END || chr(10) FROM turns
+          UNION ALL SELECT a.state, b.after, 10, 'II', CASE a.needed WHEN 'u' THEN 'user:' || chr(10) || 'assistant:' ELSE 'assistant:' || chr(10) || 'user:' END || chr(10)
+                    FROM turns a JOIN turns b ON b.state = a.after),
+edits AS (
+  SELECT f.conv_id, f.nth, t.state, e.*
+  FROM faults f, turns t, LATERAL (
+    SELECT t.state AS after, 2 AS price, 'D' AS letter, '' AS put
+    UNION ALL SELECT CASE WHEN f.r = 's' THEN 1 ELSE t.after END, 5 * f.is_cut::INT, 'K', f.role || ':' || f.text || chr(10)
+              WHERE NOT f.is_blank AND NOT f.is_dup AND (f.r = t.needed OR f.r = 's' AND t.state = 0)
+    UNION ALL SELECT t.after, 1 + 5 * f.is_cut::INT, 'R', CASE t.needed WHEN 'u' THEN 'user:' ELSE 'assistant:' END || f.text || chr(10)
+              WHERE NOT f.is_blank AND NOT f.is_dup) e),
+paths AS (
+  SELECT conv_id, 0::BIGINT AS nth, 0 AS state, {{'cost': 0, 'audit': '', 'put': ''}} AS best FROM counts
+  UNION ALL
+  SELECT p.conv_id, p.nth + 1, e.after, min({{'cost': (p.best).cost + m.price + e.price, 'audit': (p.best).audit || m.letters || e.letter, 'put': (p.best).put || m.put || e.put}})
+  FROM paths p JOIN moves m ON m.before = p.state JOIN edits e ON e.conv_id IS NOT DISTINCT FROM p.conv_id AND e.nth = p.nth + 1 AND e.state = m.state
+  GROUP BY p.conv_id, p.nth, e.after),
+ends AS (SELECT p.conv_id, min({{'cost': (p.best).cost + m.price, 'audit': (p.best).audit || m.letters, 'put': (p.best).put || m.put}}) AS best
+         FROM paths p JOIN counts c ON c.conv_id IS NOT DISTINCT FROM p.conv_id AND c.n = p.nth JOIN moves m ON m.before = p.state
+         WHERE m.state IN (0, 3) GROUP BY p.conv_id)
+SELECT i.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce((best).cost, 0)::BIGINT AS cost,
+       coalesce((best).audit, '') AS audit, sha256(coalesce(left((best).put, -1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM i.conv_id
+LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM i.conv_id""")
+def op13_block_table_repair(spark, sf):
+    damaged = repair.damage(table(spark, sf, "conversations"))
+    return repair.repair(damaged, there_column="there").conversations
