@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditmill.llm import jaccard_join, language, mixing, pages, parsing, personal, pieces, quality, repair, shards, spans
+from auditmill.llm import codes, jaccard_join, language, mixing, pages, parsing, personal, pieces, quality, repair, shards, spans
 from auditmill.llm.draws import unit_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,6 +120,33 @@ def op10_source_mix(spark, sf):
     return mixed.select("doc_id", "size", "source", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def _assigned(number: int) -> str:
+    """The CTEs that give every part to its nearest entry and move the entries."""
+    book, out = f"book{number}", f"given{number}"
+    gap = "(p.x[k] - b.c[k])"
+    return f"""
+{out} AS (SELECT rid, p.part, min({{'far': list_sum([{gap} * {gap} for k in range(1, len(p.x) + 1)])::BIGINT, 'entry': b.entry}}) AS best, any_value(p.x) AS x
+          FROM parts p JOIN {book} b ON b.part = p.part GROUP BY rid, p.part),
+sums{number} AS (SELECT part, (best).entry AS entry, pos, sum(x[pos])::HUGEINT AS s, count(*) AS n FROM (SELECT *, unnest(range(1, len(x) + 1)) AS pos FROM {out}) GROUP BY ALL),
+book{number + 1} AS (SELECT b.part, b.entry, coalesce(m.c, b.c) AS c FROM {book} b LEFT JOIN (
+          SELECT part, entry, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY pos) AS c FROM sums{number} GROUP BY ALL) m ON m.part = b.part AND m.entry = b.entry)"""
+
+
+@query(rf"""
+WITH kept AS (SELECT row_number() OVER () AS rid, row_number() OVER (ORDER BY vec_id) - 1 AS nth, vec_id, label, [floor(256 * x::DOUBLE)::BIGINT for x in embedding] AS v
+              FROM embeddings WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+parts AS (SELECT rid, nth, part, v[part * (len(v) // {codes.PARTS}) + 1 : (part + 1) * (len(v) // {codes.PARTS})] AS x
+          FROM (SELECT *, unnest(range({codes.PARTS})) AS part FROM kept)),
+book0 AS (SELECT part, nth AS entry, x AS c FROM parts WHERE nth < {codes.ENTRIES}),
+{_assigned(0)}, {_assigned(1)}, {_assigned(2)},
+coded AS (SELECT rid, string_agg(lower(printf('%02x', (best).entry)), '' ORDER BY part) AS code, sum((best).far)::BIGINT AS error FROM given2 GROUP BY rid)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) FROM book2) AS codebooks_sha256
+FROM coded JOIN kept USING (rid)""")
+def op12_adaptive_bounds_codes(spark, sf):
+    return codes.with_label_error(codes.encode(table(spark, sf, "embeddings")))
+
+
 CRC_TABLE = "[list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) for n in range(256)]"
 
 
