@@ -23,7 +23,7 @@ def _new_folder(spark):
 def _write_files(batches):
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
-            fs, inner = files._open(path)
+            fs, inner = files.open_path(path)
             fs.create_dir(inner.rpartition("/")[0], recursive=True)
             with fs.open_output_stream(inner) as out:
                 out.write(content.encode("utf-8"))

@@ -30,7 +30,7 @@ READ_BATCH_BYTES = 32 * 1024 * 1024
 LIST_BATCH_ROWS = 10_000
 
 
-def _open(path: str) -> tuple[arrow_fs.FileSystem, str]:
+def open_path(path: str) -> tuple[arrow_fs.FileSystem, str]:
     if path.startswith("file:"):
         return arrow_fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
     if "://" in path:
@@ -39,7 +39,7 @@ def _open(path: str) -> tuple[arrow_fs.FileSystem, str]:
 
 
 def _info(path: str) -> arrow_fs.FileInfo:
-    fs, inner = _open(path)
+    fs, inner = open_path(path)
     return fs.get_file_info(inner)
 
 
@@ -51,7 +51,7 @@ def _entries(path: str) -> Iterator[tuple[str, bool, int | None]]:
     """(name, is directory, size) of a directory's entries. Links to directories are not followed.
 
     A mounted directory is read as a stream, so it may hold any number of files."""
-    fs, inner = _open(path)
+    fs, inner = open_path(path)
     if not isinstance(fs, arrow_fs.LocalFileSystem):
         for info in fs.get_file_info(arrow_fs.FileSelector(inner)):
             is_dir = info.type == arrow_fs.FileType.Directory
@@ -92,7 +92,7 @@ def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, rel_path, size in zip(batch["path"], batch["rel_path"], batch["size_bytes"]):
             try:
-                fs, inner = _open(path)
+                fs, inner = open_path(path)
                 with fs.open_input_stream(inner) as stream:
                     data = stream.read()
             except OSError:
@@ -190,7 +190,7 @@ def load_files(
         ignore_lines: list[str] = []
         ignore_file = f"{root.rstrip('/')}/.gitignore"
         if path_exists(ignore_file):
-            fs, inner = _open(ignore_file)
+            fs, inner = open_path(ignore_file)
             with fs.open_input_stream(inner) as stream:
                 ignore_lines = stream.read().decode("utf-8", errors="ignore").splitlines()
         listing = list_tree(spark, root, recursive, excluded)
