@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditmill.llm import codes, jaccard_join, language, mixing, pages, parsing, personal, pieces, quality, repair, shards, spans
+from auditmill.llm import codes, jaccard_join, language, mixing, pages, parsing, personal, pieces, quality, repair, shards, spans, warc
 from auditmill.llm.draws import unit_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,6 +120,18 @@ def op10_source_mix(spark, sf):
     return mixed.select("doc_id", "size", "source", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+@query(f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes FROM pages),
+r AS (SELECT *, sha256(h) AS payload_digest, payload_bytes >= {warc.LEAST_SHARED} AND row_number() OVER same > 1 AS again, first_value(page_id) OVER same AS first_id
+      FROM p WINDOW same AS (PARTITION BY sha256(h) ORDER BY page_id NULLS LAST))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first_id END AS refers_to FROM r""")
+def op11_seekable_bundles(spark, sf):
+    pages_table = table(spark, sf, "pages")
+    place = F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+    archive = warc.write(pages_table, uid=F.md5(place.cast("binary")))
+    return warc.summary(archive.records(with_payload=False))
+
+
 def _assigned(number: int) -> str:
     """The CTEs that give every part to its nearest entry and move the entries."""
     book, out = f"book{number}", f"given{number}"
