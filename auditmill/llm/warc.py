@@ -30,6 +30,7 @@ from auditmill.sources.files import open_path
 FRAME_BYTES = 1 << 18
 BUNDLE_BYTES = 1 << 27
 BUNDLE_RECORDS = 100_000   # index rows a task holds until its bundle is closed
+TASK_BYTES = 1 << 26       # plain bytes that a task reads back; rows of places are too small to deal out by their own size
 LEAST_SHARED = 100         # bytes of a payload that revisits may stand for
 LEVEL = 3
 DATE = "2000-01-01T00:00:00Z"
@@ -274,13 +275,17 @@ class Archive:
     def records(self, with_payload: bool = True) -> DataFrame:
         """All records, read back from the bundles by their seek tables: a frame is the unit of work. Payloads are checked
         against their digests; revisits have none (null)."""
-        frames = self.index.select("bundle").distinct().mapInArrow(_frames, "bundle string, frame int, at long, packed long, plain long, checksum long")
-        return frames.repartition("bundle", "frame").mapInArrow(_records(with_payload), RECORD)
+        frames = store(self.index.select("bundle").distinct().mapInArrow(_frames, "bundle string, frame int, at long, packed long, plain long, checksum long"))
+        plain = frames.agg(F.sum("plain")).first()[0] or 0
+        tasks = max(frames.sparkSession.sparkContext.defaultParallelism, -(-plain // TASK_BYTES))
+        return frames.repartition(tasks, "bundle", "frame").mapInArrow(_records(with_payload), RECORD)
 
     def fetch(self, identifiers: DataFrame) -> DataFrame:
         """The records whose `record_id` is among the identifiers, reading only their frames."""
-        wanted = self.index.join(identifiers.select("record_id").distinct(), "record_id", "left_semi")
-        return wanted.repartition("bundle", "frame").sortWithinPartitions("bundle", "frame", "offset").mapInArrow(_picked, RECORD)
+        wanted = store(self.index.join(identifiers.select("record_id").distinct(), "record_id", "left_semi").select("bundle", "frame", "offset", "length"))
+        size = wanted.agg(F.sum("length")).first()[0] or 0
+        tasks = max(wanted.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+        return wanted.repartition(tasks, "bundle", "frame").sortWithinPartitions("bundle", "frame", "offset").mapInArrow(_picked, RECORD)
 
 
 def write(pages: DataFrame, folder: str | None = None, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html",
