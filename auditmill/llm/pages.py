@@ -1,13 +1,15 @@
 """Main text of web pages from flat text blocks (operator 1).
 
 A page is cut into blocks of text at block-level tags. Each block has its word count and link density, those of the
-block before and after, whether it is a heading, and what the innermost telling container around it is. A decision
-tree, trained on the small labelled table below, says which blocks are the article.
+blocks before and after it, and those of the innermost container it lies in, set against the page. A decision tree,
+trained on the small labelled table below, says which blocks are the article. What tags and class names say of a container
+is a further feature of a block, and half of the labelled pages say nothing there: names help where counts cannot tell.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -21,11 +23,12 @@ from pyspark.sql import functions as F
 
 from auditmill.session import bound_batches
 
+# A tag's attributes hold no "<" outside quotes, so a search never goes far beyond the next one.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.DOTALL)
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    r"|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>|<[!?/][^<>]*+>", re.DOTALL)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden|href)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
-PARTS = re.compile(r"[\s_\-]+")
+MOST_OPEN = 512  # containers kept open at a time; deeper ones still cut blocks, as parsers of browsers have it
 
 RAW = frozenset("script style title textarea noscript template iframe svg math object noembed noframes xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -36,20 +39,21 @@ PLAIN_INLINE = INLINE - {"label"}
 ENDS_ALONE = {"p": frozenset(), "li": frozenset(("ul", "ol", "menu")), "dt": frozenset(("dl",)), "dd": frozenset(("dl",)),
               "td": frozenset(("table", "tr")), "th": frozenset(("table", "tr")), "tr": frozenset(("table",)),
               "option": frozenset(("select",))}
+GROUPS = frozenset("article aside body center dialog div footer form header main menu nav ol section table ul".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
-# What a container says about the text in it: 0 nothing, 1 article, 2 page furniture unless an article is inside,
-# 3 never article.
-NOTHING, ARTICLE, FURNITURE, NEVER = range(4)
-TAGS = {"article": ARTICLE, "main": ARTICLE, "header": FURNITURE, "form": FURNITURE, "fieldset": FURNITURE, "menu": NEVER,
-        "nav": NEVER, "aside": NEVER, "footer": NEVER, "dialog": NEVER, "button": NEVER, "select": NEVER, "label": NEVER,
-        "option": NEVER, "datalist": NEVER, "head": NEVER}
+# What a container says about the text in it.
+NOTHING, ARTICLE, FURNITURE, NEVER, REPLIES = range(5)
+TAGS = {"article": ARTICLE, "main": ARTICLE, "header": FURNITURE, "form": FURNITURE, "fieldset": FURNITURE, "menu": REPLIES,
+        "nav": REPLIES, "aside": REPLIES, "footer": REPLIES, "dialog": REPLIES, "button": REPLIES, "select": REPLIES, "label": REPLIES,
+        "option": REPLIES, "datalist": REPLIES, "head": REPLIES}
 WORDS = dict.fromkeys("article content post entry story main body text articlebody".split(), ARTICLE) | dict.fromkeys(
     "sidebar header banner masthead topbar toolbar layout wrapper".split(), FURNITURE) | dict.fromkeys(
     "nav navbar navigation menu breadcrumb breadcrumbs footer ad ads advert adverts advertisement sponsor sponsored promo promotion "
-    "comment comments reply replies respond disqus notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe "
+    "notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe "
     "signup login search share sharing social related recommended widget tags pagination pager skip copyright legal disclaimer form "
-    "complementary contentinfo dialog hidden".split(), NEVER)
+    "complementary contentinfo dialog hidden".split(), NEVER) | dict.fromkeys("comment comments reply replies respond disqus".split(), REPLIES)
+LABELS = frozenset("category tag has is no with js type status format theme page".split())  # what follows them names a topic or state
 
 
 @dataclass
@@ -59,29 +63,49 @@ class Block:
     linked: int
     says: int
     heading: bool
+    container: int  # number of the innermost container
+
+
+def _name_says(name: str) -> tuple[int, int]:
+    """(what a class name says, how plainly): a listed word as such, as the last part, or as the first one."""
+    if name in WORDS:
+        return WORDS[name], 3
+    parts = [x for x in re.split(r"[_\-]+", name) if x]
+    if len(parts) < 2 or parts[0] in LABELS:
+        return NOTHING, 0
+    if parts[-1] in WORDS:
+        return WORDS[parts[-1]], 2
+    return (WORDS[parts[0]], 1) if parts[0] in WORDS else (NOTHING, 0)
 
 
 def _says(tag: str, attributes: str) -> int:
-    """What a tag and the words of its class, id and role say."""
+    """What a tag and the words of its class, id and role say. An article tag or word outranks words of furniture, unless
+    a name as a whole is a word for readers' replies."""
     own = TAGS.get(tag, NOTHING)
     if tag in ("html", "body") or not attributes or "=" not in attributes and "hidden" not in attributes:
         return own
+    heard = {}
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id", "role"):
-            for word in PARTS.split(value):
-                says = WORDS.get(word, NOTHING)
-                if says == NEVER:
-                    return NEVER
-                own = own or says
+            for word in value.split():
+                says, plain = _name_says(word)
+                heard[says] = max(heard.get(says, 0), plain)
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-            return NEVER
-    return own
+            return REPLIES
+    if heard.get(REPLIES, 0) == 3:
+        return REPLIES
+    if own == ARTICLE or own == NOTHING and ARTICLE in heard:
+        return ARTICLE
+    return own or next((says for says in (REPLIES, NEVER, FURNITURE) if says in heard), NOTHING)
 
 
-def _inherit(outer: int, own: int) -> int:
-    if outer == NEVER or own == NOTHING or (outer == ARTICLE and own == FURNITURE):
+def _inherit(outer: int, own: int, tag: str) -> int:
+    """What holds inside: a tag for articles undoes what a class name around it said, not what a tag or replies say."""
+    if outer == REPLIES or own == NOTHING or (outer == ARTICLE and own == FURNITURE):
         return outer
+    if outer == NEVER:
+        return own if own == REPLIES or tag in ("article", "main") else outer
     return own
 
 
@@ -89,7 +113,9 @@ def blocks(html: str | None) -> list[Block]:
     """The text blocks of a page in order. Scripts, styles, comments and the like hold no text."""
     html = html or ""
     out: list[Block] = []
-    stack: list[tuple[str, int, bool]] = []
+    stack: list[tuple[str, int, bool, int]] = []
+    opened: Counter[str] = Counter()
+    containers = 0
     pieces: list[str] = []
     linked = 0
     in_link = False
@@ -98,8 +124,8 @@ def blocks(html: str | None) -> list[Block]:
         nonlocal linked
         words = "".join(pieces).split()
         if words:
-            says, heading = (stack[-1][1], stack[-1][2]) if stack else (NOTHING, False)
-            out.append(Block(" ".join(words), len(words), min(linked, len(words)), says, heading))
+            _, says, heading, container = stack[-1] if stack else ("", NOTHING, False, 0)
+            out.append(Block(" ".join(words), len(words), min(linked, len(words)), says, heading, container))
         pieces.clear()
         linked = 0
 
@@ -126,11 +152,14 @@ def blocks(html: str | None) -> list[Block]:
                 if tag in ("br", "hr"):
                     close()
             elif ending:
-                if any(tag == t for t, _, _ in reversed(stack)):
+                if opened[tag]:
                     if tag != "span" or stack[-1][1] != (stack[-2][1] if len(stack) > 1 else NOTHING):
                         close()
-                    while stack.pop()[0] != tag:
-                        pass
+                    while True:
+                        gone = stack.pop()[0]
+                        opened[gone] -= 1
+                        if gone == tag:
+                            break
                 elif tag != "span":
                     close()
             else:
@@ -141,21 +170,29 @@ def blocks(html: str | None) -> list[Block]:
                     end = re.compile(rf"</{re.escape(tag)}[^>]*>", re.IGNORECASE).search(html, at)
                     at = end.end() if end else len(html)
                 elif tag == "span" and own == NOTHING:
-                    outer = stack[-1] if stack else ("", NOTHING, False)
-                    stack.append((tag, outer[1], outer[2]))
+                    if len(stack) < MOST_OPEN:
+                        outer = stack[-1] if stack else ("", NOTHING, False, 0)
+                        stack.append((tag, *outer[1:]))
+                        opened[tag] += 1
                 else:
                     close()
-                    if tag != "span" and tag in ENDS_ALONE or any(t == "p" for t, _, _ in stack[-3:]):
+                    if tag != "span" and tag in ENDS_ALONE or any(x[0] == "p" for x in stack[-3:]):
                         for name in ({tag} & ENDS_ALONE.keys()) | {"p"}:
                             for depth in range(len(stack) - 1, -1, -1):
                                 if stack[depth][0] == name:
+                                    opened.subtract(x[0] for x in stack[depth:])
                                     del stack[depth:]
                                     break
                                 if stack[depth][0] in ENDS_ALONE[name] or stack[depth][0] in ("div", "section", "article", "body", "table", "aside", "blockquote"):
                                     break
-                    outer = stack[-1] if stack else ("", NOTHING, False)
-                    if not attributes.endswith("/") or tag not in TAGS:
-                        stack.append((tag, _inherit(outer[1], own), outer[2] or tag in HEADINGS))
+                    outer = stack[-1] if stack else ("", NOTHING, False, 0)
+                    if (not attributes.endswith("/") or tag not in TAGS) and len(stack) < MOST_OPEN:
+                        says = _inherit(outer[1], own, tag)
+                        if tag in GROUPS or says != outer[1]:
+                            containers += 1
+                            outer = (*outer[:3], containers)
+                        stack.append((tag, says, outer[2] or tag in HEADINGS, outer[3]))
+                        opened[tag] += 1
         found = TOKEN.search(html, at)
     add(html[at:])
     close()
@@ -163,14 +200,19 @@ def blocks(html: str | None) -> list[Block]:
 
 
 FEATURES = ("words", "link density", "words before", "link density before", "words after", "link density after",
-            "in an article", "in furniture", "in what is never article", "heading")
+            "container's share of the page", "container's link density", "what the container says", "heading")
+SAID = {NOTHING: 0.0, ARTICLE: 1.0, FURNITURE: -1.0, NEVER: -2.0, REPLIES: -2.0}
 
 
 def features(page: list[Block]) -> list[list[float]]:
     """The features of each block, in the order of FEATURES; nothing lies before the first and after the last."""
     own = [(float(min(b.words, 200)), b.linked / b.words) for b in page]
     edge = [(0.0, 0.0)]
-    return [[*own[i], *before, *after, float(b.says == ARTICLE), float(b.says == FURNITURE), float(b.says == NEVER), float(b.heading)]
+    words, linked, total = Counter(), Counter(), max(1, sum(b.words for b in page))
+    for b in page:
+        words[b.container] += b.words
+        linked[b.container] += b.linked
+    return [[*own[i], *before, *after, words[b.container] / total, linked[b.container] / words[b.container], SAID[b.says], float(b.heading)]
             for i, (b, before, after) in enumerate(zip(page, edge + own, own[1:] + edge))]
 
 
@@ -198,15 +240,38 @@ LABELLED = (
     "<div class=cookie>{25}</div><h1>+{5}</h1><p>+{50}</p><div class=related>{6}</div><p>+{45}</p><footer>{30}</footer>",
     "<form><p>{12}</p></form><h2>+{4}</h2><p>+{75}</p><h2>+{3}</h2><p>+{35}</p><p>+{4}</p><p>+{90}</p><menu><p>{8}</p><p>{40}</p></menu>",
     "<aside><p>{70}</p><p>{80}</p></aside><p>+{85}</p><div class=promo><p>{30}</p><p>{60}</p></div><p>+{40}</p>",
+    "<nav><a href=x>{2}</a></nav><article><h1>+{3}</h1><p>+{300}</p><p>+{2}</p><p>+{4}</p><p>+{1}</p><p>+{5}</p></article><footer>{5}</footer>",
+    "<article><p>+{1}</p><p>+{150}</p><p>+{3} <a href=x>{2}</a></p><p>+<a href=x>{4}</a></p><p>+{2}</p></article><div class=ad>{3}</div>",
+    "<main><p>+{400}</p><p>+{3}</p><p>+<a href=x>{1}</a></p><p>+{5}</p><p>+<a href=x>{30}</a></p></main><footer>{4}</footer>",
+    "<div class=entry><p>+{5}</p><p>+{2}</p><p>+{90}</p><p>+<a href=x>{12}</a></p><p>+<a href=x>{40}</a></p></div>",
+    "<div class=post><p>+{4}</p><p>+<a href=x>{5}</a> {1}</p><p>+<a href=x>{3}</a></p></div><div class=footer>{3}</div>",
+    "<article><p>+{2}</p><p>+{3}</p></article><footer>{14}</footer>",
+    "<aside><p>{300}</p><p>{3}</p><p><a href=x>{9}</a></p></aside><article><p>+{9}</p></article>",
+    "<div class=comments><p>{90}</p><p>{120}</p><p>{8}</p></div><article><p>+{40}</p><p>+{12}</p></article><div class=ad><p>{150}</p></div>",
     "<article><h1>+<a href=x>{6}</a></h1><ul><li>+<a href=x>{3}</a><li>+<a href=x>{4}</a></ul><p>+{14}</p></article><header><p>{16}</p></header>",
 )
-DEPTH = 6
+# More of them that say nothing in tags or names: here only counts and densities can tell.
+UNNAMED = (
+    "<div><a href=x>{2}</a> <a href=x>{1}</a></div><div><h1>+{6}</h1><p>+{62}</p><p>+{4}</p><p>+{38}</p></div><div>{6}</div><div><a href=x>{3}</a></div>",
+    "<ul><li><a href=x>{1}</a><li><a href=x>{2}</a><li><a href=x>{1}</a></ul><div>{9}</div><div><p>+{54}</p><p>+{90}</p><p>+{12}</p></div><div>{11}</div>",
+    "<div>{14}</div><div><h1>+{5}</h1><p>+{120}</p><p>+{30}</p><ul><li>+{8}<li>+{5}<li>+{9}</ul><p>+{45}</p></div><div>{3} <a href=x>{4}</a></div>",
+    "<div><a href=x>{4}</a></div><div><p>+{40}</p><p>+{2}</p><p>+{70}</p><p>+{20} <a href=x>{5}</a> {9}</p></div><div><p>{10}</p><a href=x>{9}</a></div><div>{4}</div>",
+    "<table><tr><td><a href=x>{2}</a><td>{2}</table><div><h2>+{4}</h2><p>+{33}</p><h2>+{3}</h2><p>+{47}</p><h2>+{5}</h2><p>+{28}</p></div><p>{2} <a href=x>{2}</a></p>",
+    "<div><a href=x>{3}</a> {8} <a href=x>{6}</a></div><div><p>+{25}</p><p>+{85}</p><p>+{6}</p><p>+{1}</p><p>+{110}</p></div><ul><li><a href=x>{9}</a><li><a href=x>{12}</a></ul>",
+    "<div>{1}</div><div>{7}</div><div><h1>+{9}</h1><p>+{200}</p><p>+{150}</p></div><div><a href=x>{20}</a></div><div>{12}</div>",
+    "<div><a href=x>{1}</a></div><div>{12}</div><div><p>+{200}</p><p>+{9}</p><p>+{200}</p><p>+{15}</p><p>+{200}</p></div><div>{13}</div>",
+    "<ul><li><a href=x>{2}</a><li><a href=x>{2}</a></ul><div><h1>+{7}</h1><p>+{20}</p><p>+{60}</p><p>+{18}</p></div><div>{15}</div>",
+    "<div><p>+{65}</p><p>+{30} <a href=x>{12}</a> {20}</p><p>+{80}</p></div><div><a href=x>{5}</a> <a href=x>{4}</a> {3}</div><div>{8}</div>",
+    "<p><a href=x>{3}</a></p><p>{3}</p><p>+{44}</p><p>+{96}</p><p>+{7}</p><p>+{58}</p><p>{4}</p><p><a href=x>{2}</a></p>",
+    "<div>{10} <a href=x>{3}</a></div><div><h1>+{4}</h1><p>+{37}</p></div><ul><li><a href=x>{3}</a><li><a href=x>{6}</a></ul><div>{5}</div>",
+)
+DEPTH = 10
 
 
 def labelled_rows() -> list[tuple[float, list[float]]]:
-    """(1 for article text, features) of the blocks of LABELLED."""
+    """(1 for article text, features) of the blocks of LABELLED and UNNAMED."""
     rows = []
-    for page in LABELLED:
+    for page in LABELLED + UNNAMED:
         filled = re.sub(r"\{(\d+)\}", lambda m: "w " * int(m[1]), page)
         found = blocks(filled)
         labels = [b.text.startswith("+") for b in found]

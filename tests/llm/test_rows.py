@@ -316,3 +316,44 @@ def test_pages(spark):
 
 def test_long_broken_page():
     assert len(pages.blocks("<p " * 20_000)) <= 1 and pages.blocks('<a "' * 3000 + ">")[:1] is not None
+
+
+def test_pages_without_telling_names(spark):
+    """Menus, notices and adverts that no name marks: counts and densities tell them from the article."""
+    tree = pages.train(spark)
+    rng = random.Random(2)
+    used = set()
+
+    def features_used(t):
+        if len(t) > 1:
+            used.add(t[0])
+            features_used(t[2])
+            features_used(t[3])
+    features_used(tree)
+    assert tree[0] != pages.FEATURES.index("what the container says") and len(used) >= 3
+    right = 0
+    for _ in range(200):
+        paragraphs = [filler(rng.choice([rng.randint(20, 120), rng.randint(30, 80)]), "p") for _ in range(rng.randint(3, 9))]
+        menu = "".join(f"<li><a href=x>{filler(rng.randint(1, 3), 'm')}</a>" for _ in range(rng.randint(2, 8)))
+        html = (f"<div><ul>{menu}</ul></div><div>{filler(rng.randint(3, 8), 'a')}</div><div><h1>{filler(5, 'h')}</h1>" + "".join(f"<p>{p}</p>" for p in paragraphs) +
+                f"</div><div><a href=x>{filler(4, 'r')}</a></div><div>{filler(rng.randint(3, 8), 'f')}</div>")
+        found = pages.main_text(html, tree)
+        assert all(p in found for p in paragraphs)
+        right += found == " ".join([filler(5, "h"), *paragraphs])
+    assert right >= 180
+
+
+@pytest.mark.parametrize("html, words", [
+    ("<article class='post category-social tag-search'><p>{}</p></article>", 100), ("<div class='entry-content share-post'><p>{}</p></div>", 100),
+    ("<div class='widget'><article class='hentry'><p>{}</p></article></div>", 100), ("<article class='comment even'><p>{}</p></article>", 0),
+    ("<div class='post-comments'><p>{}</p></div><article>x</article>", 1), ("<div id=x role=complementary><p>{}</p></div><main>x</main>", 1)])
+def test_article_words_outrank_furniture(spark, html, words):
+    assert len(pages.main_text(html.format(filler(100)), pages.train(spark)).split()) == words
+
+
+@pytest.mark.parametrize("unit", ["<b ", "<b '", '<b "', "<div>", "<div></p>", "<x><li>", "<span><p>", "<!--", "<", "&amp", "</x>", "<td><table>"])
+def test_broken_pages_take_linear_time(unit):
+    import time
+    start = time.process_time()
+    pages.blocks(unit * 400_000 if unit == "<b " else unit * 100_000)
+    assert time.process_time() - start < (2 if unit == "<b " else 8)
