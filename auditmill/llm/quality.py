@@ -4,14 +4,20 @@ Two plain rules reject short texts and texts of repeated words. Of the others, t
 per document; for each language and source the minimum-covariance-determinant estimate gives centre and scatter of
 the bulk, and documents beyond CUT in squared Mahalanobis distance are rejected.
 
+Estimates are made for every language and source, every language, and all rows, each from the share KEEP of its rows with
+the least determinant. A language and source is judged by its own estimate drawn towards its language's, and that towards
+the one of all rows, by the weight of PRIOR rows: one rule for groups of any size. Distances are scaled so that the
+median and the CALIBRATE quantile of a group do not exceed those of chi-square. A variance is at least FLOOR times that of
+sampling a text of the group's lengths, which matters where most texts have none of a thing.
+
 The estimate runs as Spark aggregates. A concentration step computes distances under the present estimate, counts
 and sums vectors and products per group and distance bin, and takes the bins that hold the closest share KEEP of
-the rows: what reaches one task is sums per bin, never the rows of a group. Groups of fewer than LEAST_ROWS rows are
-judged by the estimate of their language, then of all rows.
+the rows: what reaches one task is sums per bin, never the rows of a group. Steps end when no determinant falls any more.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,17 +31,36 @@ from auditmill.llm import words as W
 from auditmill.session import bound_batches, store
 
 KEEP = 0.75             # share of a group's rows that the estimate rests on
-LEAST_ROWS = 100
-STEPS = 10              # most concentration steps; they end before when no determinant changes
-CUT = 40.0              # squared distance; about the 1 - 1.5e-7 quantile of chi-square with 5 degrees of freedom
-CHI_MEDIAN = 4.351      # median of chi-square with 5 degrees of freedom
+PRIOR = 100             # rows that the wider group's estimate counts for
+FALL = 1e-4             # least fall of a log determinant that is worth a further step
+REJECTED = 1e-6         # share of a normal bulk that the cut would reject
+CALIBRATE = 0.85        # upper quantile that is set against chi-square
+FLOOR = 0.0625          # least variance, as a multiple of 1 / words (or characters) of a text; 0.25 is that of sampling
+SOFT = 1e-3             # correlations are lessened by this share, so that no scatter is singular
 BINS = 32               # distance bins per doubling
 FIT_TASKS = 16          # tasks that fit estimates; one more for every GROUPS_PER_TASK groups beyond
 GROUPS_PER_TASK = 100
-# Least standard deviation of each statistic: spreads below it are no ground to reject.
-FLOORS = {"word_length": 0.08, "symbols": 0.07, "marks": 0.045, "capitals": 0.07, "repeats": 0.18}
-NAMES = tuple(FLOORS)
+NAMES = ("word_length", "symbols", "marks", "capitals", "repeats", "dup_lines")
+PER_CHAR = (False, False, True, True, False, False)  # what a statistic is a share of
 D = len(NAMES)
+
+
+def chi_square(share: float) -> float:
+    """Quantile of chi-square with D degrees of freedom, D even."""
+    def below(x: float) -> float:
+        term = total = 1.0
+        for i in range(1, D // 2):
+            term *= x / 2 / i
+            total += term
+        return 1 - math.exp(-x / 2) * total
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if below(middle) < share else (low, middle)
+    return high
+
+
+CUT = chi_square(1 - REJECTED)
 TRIANGLE = [(i, j) for i in range(D) for j in range(i, D)]
 
 _SYMBOL, _MARK, _CAPITAL = (np.zeros(256, dtype=bool) for _ in range(3))
@@ -91,7 +116,12 @@ def statistics(c: Column) -> Column:
     per_word = F.greatest(c["n_words"], F.lit(1)).cast("double")
     per_char = F.greatest(c["word_chars"], F.lit(1)).cast("double")
     return F.array(F.log(per_char / per_word), F.sqrt(c["n_symbols"] / per_word), F.sqrt(c["n_marks"] / per_char),
-                   F.sqrt(c["n_capitals"] / per_char), F.sqrt(c["n_repeat_words"] / per_word))
+                   F.sqrt(c["n_capitals"] / per_char), F.sqrt(c["n_repeat_words"] / per_word), F.sqrt(c["n_dup_lines"] / per_word))
+
+
+def noise(c: Column) -> Column:
+    """One over the words and one over the characters of a text: what the variance of a share goes by."""
+    return F.array(1 / F.greatest(c["n_words"], F.lit(1)).cast("double"), 1 / F.greatest(c["word_chars"], F.lit(1)).cast("double"))
 
 
 def base_failed(c: Column) -> Column:
@@ -99,44 +129,39 @@ def base_failed(c: Column) -> Column:
     return (c["n_words"] < 50) | (100 * c["n_repeat_words"] > 50 * c["n_words"])
 
 
-def _group(level: int, lang: Column, source: Column) -> Column:
-    return F.xxhash64(F.lit(level), lang, lang.isNull(), source, source.isNull())
+def _groups(lang: Column, source: Column) -> list[Column]:
+    """Keys of the language and source, the language, and all rows."""
+    none = F.lit(None).cast("string")
+    return [F.xxhash64(F.lit(level), a, a.isNull(), b, b.isNull()) for level, (a, b) in enumerate(((lang, source), (lang, none), (none, none)))]
 
 
-def _levels(rows: DataFrame) -> DataFrame:
-    """(lang, source, grp): the narrowest group with enough rows for each language and source."""
-    none = F.lit(None).cast("string")
-    pairs = rows.groupBy("lang", "source").agg(F.count_if(~F.col("failed")).alias("n"))
-    by_lang = Window.partitionBy("lang")
-    return pairs.withColumn("n_lang", F.sum("n").over(by_lang)).select(
-        "lang", "source", F.when(F.col("n") >= LEAST_ROWS, _group(0, F.col("lang"), F.col("source")))
-        .when(F.col("n_lang") >= LEAST_ROWS, _group(1, F.col("lang"), none)).otherwise(_group(2, none, none)).alias("grp"))
+def _members(rows: DataFrame) -> DataFrame:
+    """(grp, x, noise): a row counts for its own group and for the two wider ones."""
+    return rows.filter("NOT failed").select(F.explode(F.array(*_groups(F.col("lang"), F.col("source")))).alias("grp"), "x", "noise")
 
 
-def _members(rows: DataFrame, levels: DataFrame) -> DataFrame:
-    """(grp, x): the rows each needed estimate rests on; a row counts for its own group and for wider needed ones."""
-    none = F.lit(None).cast("string")
-    keys = F.array(_group(0, F.col("lang"), F.col("source")), _group(1, F.col("lang"), none), _group(2, none, none))
-    needed = levels.select("grp").distinct()
-    return (rows.filter("NOT failed").select(F.explode(keys).alias("grp"), "x").join(needed, "grp"))
+def _scatter(n: float, sums: np.ndarray, products: np.ndarray, noise: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Centre and scatter of counted rows; variances are raised to their floors, correlations softened."""
+    mean = np.asarray(sums) / n
+    scatter = np.zeros((D, D))
+    for (i, j), total in zip(TRIANGLE, products):
+        scatter[i, j] = scatter[j, i] = total / n - mean[i] * mean[j]
+    least = FLOOR * np.array([noise[int(c)] / n for c in PER_CHAR])
+    own = np.diag(scatter)
+    return mean, scatter * (1 - SOFT) + np.diag(np.maximum(own, least) - own * (1 - SOFT))
 
 
 def _fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Centre, inverse and log determinant from counts, sums and products, one row per start and group."""
-    ridge = np.diag(np.square(list(FLOORS.values())))
+    """Centre, inverse, log determinant and scatter from counts, sums and products, one row per start and group."""
     for frame in frames:
         out = []
         for row in frame.itertuples(index=False):
-            mean = np.asarray(row.sums) / row.n
-            scatter = np.zeros((D, D))
-            for (i, j), total in zip(TRIANGLE, row.products):
-                scatter[i, j] = scatter[j, i] = total / row.n - mean[i] * mean[j]
-            scatter = scatter * row.scale + ridge
-            out.append((row.start, row.grp, mean.tolist(), np.linalg.inv(scatter).ravel().tolist(), float(np.linalg.slogdet(scatter)[1])))
-        yield pd.DataFrame(out, columns=["start", "grp", "centre", "inverse", "logdet"])
+            mean, scatter = _scatter(row.n, row.sums, row.products, row.noise)
+            out.append((row.start, row.grp, mean.tolist(), np.linalg.inv(scatter).ravel().tolist(), float(np.linalg.slogdet(scatter)[1]), scatter.ravel().tolist()))
+        yield pd.DataFrame(out, columns=["start", "grp", "centre", "inverse", "logdet", "scatter"])
 
 
-ESTIMATE = "start int, grp long, centre array<double>, inverse array<double>, logdet double"
+ESTIMATE = "start int, grp long, centre array<double>, inverse array<double>, logdet double, scatter array<double>"
 
 
 def distance(x: Column, centre: Column, inverse: Column) -> Column:
@@ -152,12 +177,13 @@ def _moments(rows: DataFrame, *by: str) -> DataFrame:
     x = [F.get("x", F.lit(i)) for i in range(D)]
     sums = [F.sum(c).alias(f"s{i}") for i, c in enumerate(x)]
     products = [F.sum(x[i] * x[j]).alias(f"p{i}_{j}") for i, j in TRIANGLE]
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), *sums, *products)
+    noises = [F.sum(F.get("noise", F.lit(i))).alias(f"e{i}") for i in range(2)]
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), *sums, *products, *noises)
 
 
-def _packed(rows: DataFrame, scale: Column) -> DataFrame:
+def _packed(rows: DataFrame) -> DataFrame:
     return rows.select("start", "grp", F.col("n").cast("double").alias("n"), F.array(*[f"s{i}" for i in range(D)]).alias("sums"),
-                       F.array(*[f"p{i}_{j}" for i, j in TRIANGLE]).alias("products"), scale.alias("scale"))
+                       F.array(*[f"p{i}_{j}" for i, j in TRIANGLE]).alias("products"), F.array("e0", "e1").alias("noise"))
 
 
 def _binned(members: DataFrame, estimate: DataFrame) -> DataFrame:
@@ -172,73 +198,113 @@ def _closest(members: DataFrame, estimate: DataFrame) -> DataFrame:
     before = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     inner = (bins.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
              .withColumn("all", F.sum("n").over(whole)).filter(F.col("before") < KEEP * F.col("all")))
-    names = ["n", *[f"s{i}" for i in range(D)], *[f"p{i}_{j}" for i, j in TRIANGLE]]
+    names = ["n", *[f"s{i}" for i in range(D)], *[f"p{i}_{j}" for i, j in TRIANGLE], "e0", "e1"]
     return inner.groupBy("start", "grp").agg(*[F.sum(c).alias(c) for c in names])
 
 
-def _fitted(moments: DataFrame, scale: Column, groups: int) -> DataFrame:
+def _fitted(moments: DataFrame, groups: int) -> DataFrame:
     """The estimates of `groups` groups, in as many tasks as their number calls for: each row is a group's moments,
     so the partitions of the shuffle before, whose number follows the input, would be all but empty."""
     tasks = FIT_TASKS + groups // GROUPS_PER_TASK
-    return _packed(moments, scale).coalesce(tasks).mapInPandas(_fit, ESTIMATE)
+    return _packed(moments).coalesce(tasks).mapInPandas(_fit, ESTIMATE)
 
 
 def _starts(members: DataFrame, groups: int) -> DataFrame:
     """Two robust first estimates of each group: medians with median deviations, and medians with the scatter of
     bounded deviations."""
-    def medians(rows: DataFrame, prefix: str) -> DataFrame:
-        return rows.groupBy("grp").agg(F.array(*[F.percentile_approx(F.get("x", F.lit(i)), 0.5, 10_000) for i in range(D)]).alias(prefix))
-    centre = store(medians(members, "centre"))
+    def medians(rows: DataFrame, prefix: str, *more: Column) -> DataFrame:
+        return rows.groupBy("grp").agg(F.array(*[F.percentile_approx(F.get("x", F.lit(i)), 0.5, 10_000) for i in range(D)]).alias(prefix), *more)
+    errors = [F.avg(F.get("noise", F.lit(i))) for i in range(2)]
+    least = F.array(*[F.sqrt(F.lit(FLOOR) * errors[int(c)]) for c in PER_CHAR]).alias("least")
+    centre = store(medians(members, "centre", least))
     away = members.join(centre, "grp").select("grp", F.zip_with("x", "centre", lambda a, b: F.abs(a - b)).alias("x"))
-    floors = F.array(*[F.lit(f) for f in FLOORS.values()])
-    spread = medians(away, "mad").withColumn("mad", F.zip_with("mad", floors, lambda m, f: F.greatest(1.4826 * m, f)))
-    both = store(centre.join(spread, "grp"))
-    bounded = members.join(both, "grp").select("grp", "mad", "centre", F.transform(F.arrays_zip("x", "centre", "mad"), lambda z: (
+    both = store(centre.join(medians(away, "mad"), "grp").withColumn("mad", F.zip_with("mad", "least", lambda m, f: F.greatest(1.4826 * m, f))))
+    bounded = members.join(both, "grp").select("grp", "noise", F.transform(F.arrays_zip("x", "centre", "mad"), lambda z: (
         F.tanh((z["x"] - z["centre"]) / z["mad"]) * z["mad"])).alias("x"))
     scatter = _moments(bounded, "grp").withColumn("start", F.lit(1))
-    second = _fitted(scatter, F.lit(1.0), groups).drop("centre").join(centre, "grp")
+    second = _fitted(scatter, groups).drop("centre").join(centre, "grp")
     def diagonal(mad: Column) -> Column:
         cells = [F.lit(1.0) / (F.get(mad, F.lit(i)) * F.get(mad, F.lit(i))) if i == j else F.lit(0.0) for i in range(D) for j in range(D)]
         return F.array(*cells)
-    first = both.select(F.lit(0).alias("start"), "grp", "centre", diagonal(F.col("mad")).alias("inverse"), F.lit(0.0).alias("logdet"))
-    return first.unionByName(second.select("start", "grp", "centre", "inverse", "logdet"))
-
-
-def estimates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(levels, estimate) from (lang, source, failed, x): which group judges a language and source, and each group's
-    centre and inverse scatter."""
-    levels = store(_levels(rows))
-    members = store(_members(rows, levels))
-    groups = levels.select("grp").distinct().count()
-    now = store(_starts(members, groups))
-    for _ in range(STEPS):
-        closest = _closest(members, now)
-        nxt = store(_fitted(closest, F.lit(1.0), groups))
-        moved = nxt.join(now.select("start", "grp", F.col("logdet").alias("was")), ["start", "grp"]).agg(
-            F.max(F.abs(F.col("logdet") - F.col("was"))).alias("most")).first().most
-        now = nxt
-        if moved is None or moved < 1e-9:
+    first = both.select(F.lit(0).alias("start"), "grp", "centre", diagonal(F.col("mad")).alias("inverse"))
+    return first.unionByName(second.select("start", "grp", "centre", "inverse"))
+
+
+def concentrate(members: DataFrame, groups: int) -> DataFrame:
+    """The estimate of least determinant of each group (grp, centre, inverse, logdet, scatter), over both starts.
+
+    A step replaces the estimates whose determinant it lowers; each lowers by FALL at least, so the steps end."""
+    now = store(_fitted(_closest(members, _starts(members, groups)), groups))
+    while True:
+        tried = _fitted(_closest(members, now), groups)
+        old = now.select("start", "grp", F.struct("centre", "inverse", "logdet", "scatter").alias("old"))
+        both = tried.join(old, ["start", "grp"]).withColumn("falls", F.col("old.logdet") - F.col("logdet") > FALL)
+        fields = [F.when(F.col("falls"), F.col(c)).otherwise(F.col(f"old.{c}")).alias(c) for c in ("centre", "inverse", "logdet", "scatter")]
+        stepped = store(both.select("start", "grp", *fields, "falls"))
+        now = stepped.drop("falls")
+        if not stepped.filter("falls").limit(1).count():
             break
     best = now.groupBy("grp").agg(F.min_by("start", F.struct("logdet", "start")).alias("start"))
-    now = store(now.join(best, ["grp", "start"]))
-    # The bulk's median distance says by how much its scatter is too small.
-    bins = _binned(members, now).groupBy("start", "grp", "bin").agg(F.count("*").alias("n"))
+    return now.join(best, ["grp", "start"])
+
+
+def _scales(members: DataFrame, estimate: DataFrame) -> DataFrame:
+    """(grp, n, scale): by how much a group's distances exceed chi-square, at the median or the upper quantile."""
+    bins = _binned(members, estimate.select("grp", "centre", "inverse")).groupBy("grp", "bin").agg(F.count("*").alias("n"))
     whole = Window.partitionBy("grp")
     before = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    middle = (bins.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("all", F.sum("n").over(whole))
-              .filter("before < 0.5 * all").groupBy("grp").agg(F.max("bin").alias("bin")))
-    scale = middle.select("grp", F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("bin") + 0.5) / BINS) / CHI_MEDIAN).alias("scale"))
-    final = _closest(members, now).join(scale, "grp")
-    return levels, store(_fitted(final, F.col("scale"), groups).select("grp", "centre", "inverse"))
+    placed = bins.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("all", F.sum("n").over(whole))
+
+    def quantile(share: float) -> Column:
+        bin_ = F.max(F.when(F.col("before") < share * F.col("all"), F.col("bin")))
+        return F.pow(F.lit(2.0), (bin_ + 0.5) / BINS) / chi_square(share)
+    return placed.groupBy("grp").agg(F.max("all").alias("n"), F.greatest(quantile(0.5), quantile(CALIBRATE)).alias("scale"))
+
+
+def _blend(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Centre and inverse scatter of each language and source, drawn towards the wider groups."""
+    for frame in frames:
+        out = []
+        for row in frame.itertuples(index=False):
+            centre = scatter = scale = None
+            for n, c, s, k in ((row.n2, row.centre2, row.scatter2, row.scale2), (row.n1, row.centre1, row.scatter1, row.scale1),
+                               (row.n0, row.centre0, row.scatter0, row.scale0)):
+                if c is None or n is None or n != n:
+                    continue
+                own, mine, log = np.asarray(c), np.asarray(s).reshape(D, D), math.log(max(k, 1e-9))
+                if centre is None:
+                    centre, scatter, scale = own, mine, log
+                else:
+                    w = n / (n + PRIOR)
+                    centre, scatter, scale = w * own + (1 - w) * centre, w * mine + (1 - w) * scatter, w * log + (1 - w) * scale
+            if centre is not None:
+                out.append((row.lang, row.source, centre.tolist(), np.linalg.inv(scatter * math.exp(scale)).ravel().tolist()))
+        yield pd.DataFrame(out, columns=["lang", "source", "centre", "inverse"])
+
+
+def estimates(rows: DataFrame) -> DataFrame:
+    """(lang, source, centre, inverse) from (lang, source, failed, x, noise): what judges each language and source."""
+    pairs = store(rows.groupBy("lang", "source").agg(F.count("*").alias("rows")))
+    members = store(_members(rows))
+    keys = _groups(F.col("lang"), F.col("source"))
+    groups = pairs.select(F.explode(F.array(*keys)).alias("grp")).distinct().count()
+    best = store(concentrate(members, groups))
+    found = store(best.join(_scales(members, best), "grp").select("grp", "n", "centre", "scatter", "scale"))
+    joined = pairs.select("lang", "source", *[k.alias(f"g{i}") for i, k in enumerate(keys)])
+    for i in range(3):
+        named = found.toDF(f"g{i}", f"n{i}", f"centre{i}", f"scatter{i}", f"scale{i}")
+        joined = joined.join(named, f"g{i}", "left")
+    tasks = FIT_TASKS + groups // GROUPS_PER_TASK
+    return store(joined.coalesce(tasks).mapInPandas(_blend, "lang string, source string, centre array<double>, inverse array<double>"))
 
 
-def verdicts(rows: DataFrame, levels: DataFrame, estimate: DataFrame) -> DataFrame:
+def verdicts(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     """`rows` (lang, source, failed, x, ...) with `distance` (null without an estimate) and `kept`."""
-    judged = (rows.join(levels.toDF("_l", "_s", "grp"), F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left")
-              .drop("_l", "_s").join(estimate, "grp", "left"))
+    named = estimate.toDF("_l", "_s", "centre", "inverse")
+    judged = rows.join(named, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left").drop("_l", "_s")
     d2 = F.when(~F.col("failed"), distance(F.col("x"), F.col("centre"), F.col("inverse")))
     return judged.withColumn("distance", d2).withColumn("kept", ~F.col("failed") & (F.coalesce("distance", F.lit(0.0)) <= CUT)).drop(
-        "grp", "centre", "inverse")
+        "centre", "inverse")
 
 
 def judge(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang",
@@ -250,10 +316,9 @@ def judge(documents: DataFrame, id_column: str = "doc_id", text_column: str = "t
     docs = documents.select(F.col(id_column).alias("id"), F.col(lang_column).cast("string").alias("lang"),
                             F.col(source_column).cast("string").alias("source"), F.col(text_column).alias("text"))
     counted = with_counts(docs, "text", "c").select(
-        "id", "lang", "source", "c", base_failed(F.col("c")).alias("failed"), statistics(F.col("c")).alias("x"))
+        "id", "lang", "source", "c", base_failed(F.col("c")).alias("failed"), statistics(F.col("c")).alias("x"), noise(F.col("c")).alias("noise"))
     rows = store(counted)
-    levels, estimate = estimates(rows)
-    return verdicts(rows, levels, estimate).select(
+    return verdicts(rows, estimates(rows)).select(
         F.col("id").alias(id_column), *[f"c.{c}" for c in COUNTS[:5]], F.col("failed").alias("base_failed"), "distance", "kept")
 
 
@@ -267,9 +332,10 @@ def keep_good(documents: DataFrame, text_column: str = "text", lang_column: str
         return with_counts(rows, text_column, spare)
     lang, source = F.col(lang_column).cast("string"), F.col(source_column).cast("string")
     narrow = measured(documents.select(*dict.fromkeys([text_column, lang_column, source_column]))).select(
-        lang.alias("lang"), source.alias("source"), base_failed(F.col(spare)).alias("failed"), statistics(F.col(spare)).alias("x"))
-    levels, estimate = estimates(store(narrow))
+        lang.alias("lang"), source.alias("source"), base_failed(F.col(spare)).alias("failed"), statistics(F.col(spare)).alias("x"),
+        noise(F.col(spare)).alias("noise"))
+    estimate = estimates(store(narrow))
     rows = measured(documents).filter(~base_failed(F.col(spare)))
     packed = rows.select(F.struct(*columns).alias("row"), lang.alias("lang"), source.alias("source"),
                          F.lit(False).alias("failed"), statistics(F.col(spare)).alias("x"))
-    return verdicts(packed, levels, estimate).filter("kept").select("row.*")
+    return verdicts(packed, estimate).filter("kept").select("row.*")

@@ -73,6 +73,80 @@ def test_distance_agrees_with_numpy(spark):
     assert got == pytest.approx((x - centre) @ inverse @ (x - centre))
 
 
+def brute_force_estimate(x, noise):
+    """Centre and scatter of least determinant over concentration steps with exact order, from the same two starts."""
+    h = int(np.ceil(quality.KEEP * len(x)))
+    per = [int(c) for c in quality.PER_CHAR]
+
+    def fit(rows, errors):
+        s = np.cov(rows.T, bias=True).reshape(quality.D, quality.D)
+        own, least = np.diag(s), quality.FLOOR * errors.mean(0)[per]
+        return rows.mean(0), s * (1 - quality.SOFT) + np.diag(np.maximum(own, least) - own * (1 - quality.SOFT))
+    centre = np.median(x, 0)
+    mad = np.maximum(1.4826 * np.median(abs(x - centre), 0), np.sqrt(quality.FLOOR * noise.mean(0)[per]))
+    best = None
+    for mean, scatter in ((centre, np.diag(mad ** 2)), (centre, fit(np.tanh((x - centre) / mad) * mad, noise)[1])):
+        was = np.inf
+        while True:
+            gap = x - mean
+            near = np.argsort(np.einsum("ij,jk,ik->i", gap, np.linalg.inv(scatter), gap), kind="stable")[:h]
+            mean, scatter = fit(x[near], noise[near])
+            now = np.linalg.slogdet(scatter)[1]
+            if was - now < 1e-9:
+                break
+            was = now
+        if best is None or now < best[0]:
+            best = now, mean, scatter
+    return best
+
+
+def test_quality_estimate_against_brute_force(spark):
+    """The binned steps come to the determinant of exact steps, and to the same rejections."""
+    rng = np.random.default_rng(7)
+    rows, groups = [], {}
+    for g, n in enumerate((400, 700, 1500)):
+        a = rng.normal(size=(quality.D, quality.D)) * 0.1 + np.diag(rng.uniform(0.2, 0.6, quality.D))
+        x = rng.normal(size=(n, quality.D)) @ a.T + rng.normal(size=quality.D)
+        x[: n // 12] += rng.normal(size=quality.D) * 6  # a cluster of outliers
+        noise = rng.uniform(0.001, 0.01, size=(n, 2))
+        groups[g] = x, noise
+        rows += [(g, v.tolist(), e.tolist()) for v, e in zip(x, noise)]
+    members = spark.createDataFrame(rows, "grp long, x array<double>, noise array<double>").repartition(3).cache()
+    best = quality.concentrate(members, 3)
+    scales = {r.grp: r.scale for r in quality._scales(members, best).collect()}
+    for r in best.collect():
+        x, noise = groups[r.grp]
+        det, mean, scatter = brute_force_estimate(x, noise)
+        assert abs(r.logdet - det) < 0.15
+        def far(m, s):
+            return np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m)
+        ours, exact = far(np.array(r.centre), np.array(r.scatter).reshape(quality.D, -1)), far(mean, scatter)
+        assert abs(np.log(np.median(ours) / np.median(exact))) < 0.1
+        want = max(np.quantile(exact, p) / quality.chi_square(p) for p in (0.5, quality.CALIBRATE))
+        assert abs(np.log(scales[r.grp] / want)) < 0.1
+        clear = (exact / want < 0.8 * quality.CUT) | (exact / want > 1.25 * quality.CUT)
+        assert ((ours / scales[r.grp] > quality.CUT) == (exact / want > quality.CUT))[clear].all() and clear.mean() > 0.97
+        assert (ours / scales[r.grp] > quality.CUT)[: len(x) // 12].mean() > 0.95
+        bulk = ours[len(x) // 12:] / scales[r.grp]
+        # The bulk follows chi-square: the outliers move the upper quantile up by their share of the rows.
+        least = quality.chi_square(quality.CALIBRATE) / quality.chi_square(quality.CALIBRATE * 12 / 11)
+        assert 0.9 * least < np.median(bulk) / quality.chi_square(0.5) <= 1.15
+
+
+def test_small_groups_are_drawn_to_wider_ones(docs):
+    """One document of a language and source is judged by its language, one of a language of its own by all rows."""
+    rng = random.Random(3)
+    rows = [(i, prose(rng, rng.randint(60, 300)), "en", "s") for i in range(400)]
+    rows += [(900, prose(rng, 100), "en", "alone"), (901, prose(rng, 100), "xx", "alone"), (902, " ## ".join(prose(rng, 1) for _ in range(90)), "yy", "z"),
+             (903, " ## ".join(prose(rng, 1) for _ in range(90)), "en", None)]
+    got = {r.doc_id: r.kept for r in quality.judge(docs(rows)).collect()}
+    assert [got[i] for i in (900, 901, 902, 903)] == [True, True, False, False]
+
+
+def test_chi_square():
+    assert [round(quality.chi_square(p), 3) for p in (0.5, 0.95)] == [5.348, 12.592]
+
+
 def test_quality_of_awkward_rows(awkward, empty):
     got = quality.judge(awkward).collect()
     assert len(got) == 11 and {r.doc_id for r in got if not r.base_failed} == set()
