@@ -34,8 +34,8 @@ def knn_top5(spark, sf):
 
 @query(RANKED.format(where="") + "SELECT chunk_id, id, sim, rank FROM ranked WHERE rank <= 5")
 def knn_top5_cells(spark, sf):
-    """The form for large knowledge tables, with limits so low that it is taken here too."""
-    params = knn.KnnParams(k=5, broadcast_bytes=1 << 15, block_rows=256, share_rows=256, max_pivots=16)
+    """With blocks and shares so small that many are streamed and merged."""
+    params = knn.KnnParams(k=5, block_bytes=1 << 14, share_bytes=1 << 16)
     return knn.knn_join(*_sides(spark, sf), params)
 
 

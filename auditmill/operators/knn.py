@@ -1,18 +1,12 @@
 """Nearest-neighbour join: per query row, the k knowledge rows of highest cosine similarity.
 
-Exact in both of its forms, and neither builds a cross product of rows:
-
-* A knowledge table whose measured size is under `broadcast_bytes` is sent to the tasks as
-  one matrix. Each Arrow batch of queries is scored against it as a matrix product and only
-  a list of k hits per query leaves the task. The queries are not shuffled at all.
-* A larger table is cut into cells around pivot vectors. A query is sent only to the cells
-  that can hold one of its k nearest rows: the triangle inequality on angles gives a bound
-  on the k-th distance from per-cell figures alone. Cells are cut into blocks and the queries
-  of a cell into shares, both by measured counts, so that no task gets more than a block of
-  rows and a share of queries however the data is skewed. The best k of each block are merged.
-
-Similarities are compared to nine decimals and ties go to the smaller knowledge id. A vector
-of length zero has no similarity (null) to anything and ranks last.
+Exact, and without a cross product of rows, a shuffle of queries or a broadcast of knowledge: the knowledge table is
+stored once in the order of its ids and streamed in blocks past each share of queries (see `blocks`), which keeps a
+running list of the k best. Every pair is scored, as a matrix product of a block with a part of a share.
+
+Similarities are compared to nine decimals and ties go to the smaller knowledge id. A vector of length zero, or none, has
+no similarity (null) to anything and ranks last, and so has one of another width than most knowledge rows; queries that
+are all of another width are refused. `vector_widths` counts them.
 """
 
 from __future__ import annotations
@@ -25,32 +19,31 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 import pyspark.cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from auditmill.operators.blocks import Blocks, in_shares, store_blocks
 
 DIGITS = 9
-SLACK = 1e-6
 SCORE_CELLS = 1_000_000
 # Below any cosine: a pair without similarity ranks last, an excluded one is never taken.
 NO_SIMILARITY, EXCLUDED = -3.0, -4.0
-ROUTE_ROWS = 4096
-NO_VECTOR = -2
 
 
 @dataclass(frozen=True)
 class KnnParams:
     """`mode` is how languages count: 'none'; 'post', which drops hits of other languages after
     the k best were taken; or 'pre', which takes the k best among rows of the language. With
-    `empty_means_all` a knowledge row without languages fits every language."""
+    `empty_means_all` a knowledge row without languages fits every language. A task holds `share_bytes` of query
+    vectors and `block_bytes` of knowledge vectors at a time, both as doubles."""
 
     k: int = 5
     mode: str = "none"
     empty_means_all: bool = False
-    broadcast_bytes: int = 64 * 1024 * 1024
-    block_rows: int = 16_384
-    share_rows: int = 16_384
-    max_pivots: int = 1024
+    block_bytes: int = 16 * 1024 * 1024
+    share_bytes: int = 64 * 1024 * 1024
 
 
 def language_fits(languages: Column, language: Column, empty_means_all: bool = False) -> Column:
@@ -101,24 +94,30 @@ def _best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 class _Block:
-    """Knowledge rows of one matrix, in id order."""
+    """Some knowledge rows as a matrix, in id order."""
 
     def __init__(self, table: pa.Table, dim: int):
-        ids = table["id"].combine_chunks()
-        order = pa.compute.array_sort_indices(ids)
-        table = table.take(order)
-        self.ids = table["id"].combine_chunks()
+        self.ids = table["id"].combine_chunks().to_numpy(zero_copy_only=False)
         self.units, self.usable = _unit(table["vec"], dim)
-        self.tags = [set(t or ()) for t in table["tags"].to_pylist()] if "tags" in table.column_names else None
         self._fit: dict[Any, np.ndarray] = {}
+        if "tags" in table.column_names:
+            lists = table["tags"].combine_chunks()
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            self._bare = sizes == 0
+            self._owner = np.repeat(np.arange(len(lists)), sizes)
+            self._tag = lists.flatten()
 
     def fits(self, tag: Any, empty_means_all: bool) -> np.ndarray:
         if tag not in self._fit:
-            self._fit[tag] = np.array([tag in t or (empty_means_all and not t) for t in self.tags], dtype=bool)
+            fit = self._bare.copy() if empty_means_all else np.zeros(len(self.ids), dtype=bool)
+            if tag is not None:
+                same = pa.compute.equal(self._tag, pa.scalar(tag, self._tag.type)).fill_null(False)
+                fit[self._owner[same.to_numpy(zero_copy_only=False)]] = True
+            self._fit[tag] = fit
         return self._fit[tag]
 
     def top(self, vectors: np.ndarray, usable: np.ndarray, tags: list | None, p: KnnParams):
-        """(query row, knowledge row, similarity, rank, fits) of the k best, in steps of bounded size."""
+        """(first query, query row, knowledge row, similarity, rank, fits) of the k best, in steps of bounded size."""
         step = max(1, SCORE_CELLS // max(1, len(self.ids)))
         for at in range(0, len(vectors), step):
             part = slice(at, at + step)
@@ -133,13 +132,46 @@ class _Block:
             if p.mode == "pre":
                 sims[~fit] = EXCLUDED
             rows, cols, sim, rank = _best(sims, p.k)
-            good = np.ones(len(rows), dtype=bool) if fit is None else fit[rows, cols]
-            yield rows + at, cols, sim, rank, good
-
-
-def _column(batch, name: str) -> pa.Array:
-    column = batch[name] if isinstance(batch, pa.Table) else batch.column(name)
-    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+            yield at, rows, cols, sim, rank, np.ones(len(rows), dtype=bool) if fit is None else fit[rows, cols]
+
+
+class _KBest:
+    """The running k best of a share of queries. Blocks come in id order, so of equal similarities the earlier stays."""
+
+    def __init__(self, rows: int, k: int):
+        self.k = k
+        self.sim = np.full((rows, k), EXCLUDED)
+        self.id = np.full((rows, k), None, dtype=object)
+        self.fits = np.zeros((rows, k), dtype=bool)
+
+    def add(self, block: _Block, found: Iterator[tuple]) -> None:
+        for at, rows, cols, sim, rank, good in found:
+            if not len(rows):
+                continue
+            here = np.unique(rows)
+            place = np.searchsorted(here, rows)
+            new = np.full((len(here), self.k), EXCLUDED)
+            ids = np.full((len(here), self.k), None, dtype=object)
+            fits = np.zeros((len(here), self.k), dtype=bool)
+            new[place, rank - 1], ids[place, rank - 1], fits[place, rank - 1] = sim, block.ids[cols], good
+            mine = here + at
+            both = np.concatenate([self.sim[mine], new], axis=1)
+            order = np.argsort(-both, axis=1, kind="stable")[:, :self.k]
+            self.sim[mine] = np.take_along_axis(both, order, axis=1)
+            self.id[mine] = np.take_along_axis(np.concatenate([self.id[mine], ids], axis=1), order, axis=1)
+            self.fits[mine] = np.take_along_axis(np.concatenate([self.fits[mine], fits], axis=1), order, axis=1)
+
+    def lists(self, post: bool, id_type: pa.DataType) -> pa.Array:
+        """One list of (rank, id, sim) per query, the best first."""
+        taken = self.sim > EXCLUDED
+        if post:
+            taken &= self.fits
+        offsets = np.concatenate([[0], np.cumsum(taken.sum(axis=1))]).astype(np.int32)
+        rank = np.broadcast_to(np.arange(1, self.k + 1, dtype=np.int32), taken.shape)[taken]
+        sim = self.sim[taken]
+        hits = pa.StructArray.from_arrays([pa.array(rank), pa.array(self.id[taken].tolist(), id_type), pa.array(sim, mask=sim == NO_SIMILARITY)],
+                                          names=["rank", "id", "sim"])
+        return pa.ListArray.from_arrays(pa.array(offsets), hits)
 
 
 def _hit_type(id_type: T.DataType) -> T.ArrayType:
@@ -147,250 +179,48 @@ def _hit_type(id_type: T.DataType) -> T.ArrayType:
         T.StructField("rank", T.IntegerType()), T.StructField("id", id_type), T.StructField("sim", T.DoubleType())]))
 
 
-def _hit_lists(block: _Block, parts, queries: int, post: bool) -> pa.Array:
-    """One list of (rank, id, sim) per query, the best first."""
-    found = [list(part) for part in parts]
-    rows, cols, sim, rank, good = (
-        np.concatenate([part[i] for part in found]) if found else np.zeros(0) for i in range(5))
-    keep = good.astype(bool) if post else np.ones(len(rows), dtype=bool)
-    rows, cols, sim, rank = rows[keep].astype(int), cols[keep].astype(int), sim[keep], rank[keep]
-    offsets = np.searchsorted(rows, np.arange(queries + 1)).astype(np.int32)
-    hits = pa.StructArray.from_arrays(
-        [pa.array(rank.astype(np.int32)), block.ids.take(pa.array(cols)), pa.array(sim, mask=sim == NO_SIMILARITY)],
-        names=["rank", "id", "sim"])
-    return pa.ListArray.from_arrays(pa.array(offsets), hits)
-
-
-def _broadcast_hits(knowledge: DataFrame, dim: int, p: KnnParams, vector: Column, tag: Column) -> Column:
-    """Hits as a column: the measured table fits into a task, so one matrix serves all rows."""
-    sc = knowledge.sparkSession.sparkContext
-    shared = sc.broadcast(_pack(knowledge.toArrow()))
-
-    made: list[_Block] = []
+def _hits(blocks: Blocks, dim: int, p: KnnParams, id_type: T.DataType, vector: Column, tag: Column) -> Column:
+    """Hits as a column, made beside the rows."""
+    arrow_id = to_arrow_type(id_type)
+    block_rows, share_rows = (max(1, size // (8 * max(1, dim))) for size in (p.block_bytes, p.share_bytes))
+    columns = [c for c in ("id", "vec", "tags") if c in blocks.names]
 
-    @F.arrow_udf(_hit_type(knowledge.schema["id"].dataType))
-    def nearest(vec: pa.Array, tags: pa.Array) -> pa.Array:
-        if not made:  # once per task
-            made.append(_Block(_unpack(shared.value), dim))
+    def score(share: list[pa.Array]) -> pa.Array:
+        vec, tags = share
         vectors, usable = _unit(vec, dim)
+        lengths = vec.value_lengths()
+        if dim and len(vec) > vec.null_count and not pa.compute.any(pa.compute.equal(lengths, dim)).as_py():
+            raise ValueError(f"no query vector has the {dim} components of the knowledge vectors")
         asked = None if p.mode == "none" else tags.to_pylist()
-        return _hit_lists(made[0], made[0].top(vectors, usable, asked, p), len(vec), p.mode == "post")
+        best = _KBest(len(vec), p.k)
+        for table in blocks.read(columns, block_rows):
+            block = _Block(table, dim)
+            best.add(block, block.top(vectors, usable, asked, p))
+        return best.lists(p.mode == "post", arrow_id)
+
+    @F.arrow_udf(_hit_type(id_type))
+    def nearest(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        return in_shares(batches, share_rows, score)
 
     # A filter on the hits would be pushed below this column and score everything a second time.
     return nearest.asNondeterministic()(vector, tag)
 
 
-def _pack(table: pa.Table) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as writer:
-        writer.write_table(table)
-    return sink.getvalue().to_pybytes()
-
-
-def _unpack(data: bytes) -> pa.Table:
-    return pa.ipc.open_stream(data).read_all()
-
-
-def _scopes(queries: DataFrame, knowledge: DataFrame, p: KnnParams) -> tuple[DataFrame, DataFrame]:
-    """Add `scope`: with mode 'pre' a knowledge row lies in the scope of each of its languages
-    and a query looks at the scope of its own one; otherwise there is one scope for all.
-
-    The names of the languages, one row each, come to the driver; the empty name is that of a
-    language no knowledge row has."""
-    if p.mode != "pre":
-        return queries.withColumn("scope", F.lit("")), knowledge.withColumn("scope", F.lit(""))
-    listed = knowledge.select(F.explode("tags").alias("t")).filter("t is not null").distinct()
-    known = [r[0] for r in listed.collect()]
-    named = F.array(*[F.lit(t) for t in known]).cast("array<string>")
-    tags = F.array_distinct("tags").cast("array<string>")
-    if p.empty_means_all:
-        tags = F.when(F.size(tags) > 0, tags).otherwise(F.concat(named, F.array(F.lit(""))))
-    tag = F.col("tag").cast("string")
-    return (
-        queries.withColumn("scope", F.when(F.array_contains(named, tag), tag).otherwise("")),
-        knowledge.withColumn("scope", F.explode(tags)),
-    )
-
-
-def _cell_figures(stats: list, k: int) -> dict[str, dict[str, np.ndarray]]:
-    """Per scope, the figures of its cells as arrays. One entry per cell and scope, and the number
-    of cells is a parameter: the size does not grow with the data."""
-    scopes: dict[str, dict] = {}
-    for scope, cell, rows, radius, near in stats:
-        entry = scopes.setdefault(scope, {"cell": [], "radius": [], "near": [], "rows": []})
-        entry["cell"].append(cell)
-        entry["radius"].append(radius)
-        entry["rows"].append(rows)
-        entry["near"].append((list(near) + [np.inf] * k)[:k])
-    return {scope: {name: np.array(column) for name, column in entry.items()} for scope, entry in scopes.items()}
-
-
-def _candidates(vectors: np.ndarray, usable: np.ndarray, pivots: np.ndarray, entry: dict | None, k: int):
-    """(query row, cell) pairs of one scope. Cell -1 holds the knowledge vectors of length zero;
-    queries of length zero are near to nothing and go to no cell."""
-    if entry is None:
-        return np.zeros(0, dtype=int), np.zeros(0, dtype=int)
-    real = entry["cell"] >= 0
-    cells = entry["cell"][real]
-    need = np.zeros((len(vectors), len(entry["cell"])), dtype=bool)
-    if real.any():
-        angle = np.arccos(np.clip(vectors @ pivots[cells].T, -1.0, 1.0))
-        upper = (angle[:, :, None] + entry["near"][real][None]).reshape(len(vectors), -1)
-        bound = np.partition(upper, k - 1, axis=1)[:, k - 1]
-        need[:, real] = angle - entry["radius"][real][None] <= bound[:, None] + SLACK
-    if entry["rows"][real].sum() < k:
-        need[:] = True
-    need[~usable] = False
-    rows, cols = np.nonzero(need)
-    lost = np.flatnonzero(~usable)
-    return np.concatenate([rows, lost]), np.concatenate([entry["cell"][cols], np.full(len(lost), NO_VECTOR)])
-
-
-def _join_cells(queries: DataFrame, knowledge: DataFrame, rows: int, dim: int, p: KnnParams, out: T.StructType) -> DataFrame:
-    """The table is too large to broadcast: cells, candidates, blocks, merge."""
-    spark = queries.sparkSession
-    queries, knowledge = _scopes(queries, knowledge, p)
-    wanted = int(min(p.max_pivots, max(1, p.broadcast_bytes // (8 * dim)), max(1, -(-rows // p.block_rows))))
-    sample = knowledge.select("id", "vec").orderBy(F.xxhash64("id"), "id").limit(wanted)
-    picked, usable = _unit(sample.toArrow()["vec"], dim)
-    pivots = np.unique(picked[usable], axis=0) if usable.any() else np.zeros((1, dim))
-    sc = spark.sparkContext
-    shared_pivots = sc.broadcast(pivots)
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres = shared_pivots.value
-        for batch in batches:
-            vectors, usable = _unit(_column(batch, "vec"), dim)
-            sims = vectors @ centres.T
-            cell = np.where(usable, sims.argmax(axis=1), -1) if len(sims) else np.zeros(0, dtype=int)
-            angle = np.arccos(np.clip(sims.max(axis=1), -1.0, 1.0)) if len(sims) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(cell.astype(np.int32)), pa.array(np.where(usable, angle, 0.0))],
-                names=[*batch.schema.names, "cell", "angle"],
-            )
-
-    celled = T.StructType([*knowledge.schema.fields, T.StructField("cell", T.IntegerType()),
-                           T.StructField("angle", T.DoubleType())])
-    assigned = knowledge.mapInArrow(assign, celled)
-    by_cell = Window.partitionBy("scope", "cell").orderBy("angle")
-    slim = assigned.select("scope", "cell", "angle")
-    near = (
-        slim.withColumn("_n", F.row_number().over(by_cell)).filter(F.col("_n") <= p.k)
-        .groupBy("scope", "cell").agg(F.array_sort(F.collect_list("angle")).alias("near"))
-    )
-    figures = slim.groupBy("scope", "cell").agg(F.count("*").alias("rows"), F.max("angle").alias("radius"))
-    stats = figures.join(near, ["scope", "cell"]).select("scope", "cell", "rows", "radius", "near").collect()
-    # Plain arrays only: broadcast values are not shipped with their classes.
-    figures_of = sc.broadcast(_cell_figures([tuple(r) for r in stats], p.k))
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            vectors, usable = _unit(_column(batch, "vec"), dim)
-            scopes = np.array(_column(batch, "scope").to_pylist(), dtype=object)
-            for scope in sorted(set(scopes)):
-                entry, mine = figures_of.value.get(scope), np.flatnonzero(scopes == scope)
-                step = max(1, SCORE_CELLS // (p.k * max(1, len(shared_pivots.value))))
-                for first in range(0, len(mine), step):
-                    at = mine[first:first + step]
-                    rows, cell = _candidates(vectors[at], usable[at], shared_pivots.value, entry, p.k)
-                    for low in range(0, len(rows), ROUTE_ROWS):  # a query may go to very many cells
-                        part = slice(low, low + ROUTE_ROWS)
-                        taken = batch.take(pa.array(at[rows[part]]))
-                        yield pa.RecordBatch.from_arrays(
-                            [*taken.columns, pa.array(cell[part].astype(np.int32))], names=[*batch.schema.names, "cell"])
-
-    routed = queries.mapInArrow(route, T.StructType([*queries.schema.fields, T.StructField("cell", T.IntegerType())]))
-    asked = {(r["scope"], r["cell"]): r["n"] for r in
-             routed.groupBy("scope", "cell").agg(F.count("*").alias("n")).collect()}
-    plan = spark.createDataFrame(
-        [(r["scope"], r["cell"], -(-r["rows"] // p.block_rows), -(-asked[r["scope"], r["cell"]] // p.share_rows))
-         for r in stats if (r["scope"], r["cell"]) in asked],
-        "scope string, cell int, blocks int, shares int",
-    )
-    keys = ["scope", "cell", "block", "share"]
-    left = (
-        routed.join(F.broadcast(plan), ["scope", "cell"])
-        .withColumn("share", F.pmod(F.xxhash64("qid"), F.col("shares")).cast("int"))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .drop("blocks", "shares")
-    )
-    right = (
-        assigned.drop("angle").join(F.broadcast(plan), ["scope", "cell"])
-        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        .withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-        .drop("blocks", "shares")
-    )
-    names = (out[0].name, out[1].name)
-    local = T.StructType([*out.fields, T.StructField("fits", T.BooleanType())])
-    inner = KnnParams(**{**p.__dict__, "mode": "none" if p.mode == "pre" else p.mode})
-
-    def score(asking: pa.Table, known: pa.Table) -> pa.Table:
-        if not asking.num_rows or not known.num_rows:
-            return pa.Table.from_batches([], schema=_arrow_schema(asking, known, names))
-        block = _Block(known, dim)
-        vectors, usable = _unit(_column(asking, "vec"), dim)
-        tags = _column(asking, "tag").to_pylist() if inner.mode != "none" else None
-        qids, batches = _column(asking, "qid"), []
-        for rows, cols, sim, rank, good in block.top(vectors, usable, tags, inner):
-            batches.append(pa.RecordBatch.from_arrays(
-                [qids.take(pa.array(rows)), block.ids.take(pa.array(cols)),
-                 pa.array(sim, mask=sim == NO_SIMILARITY), pa.array(rank.astype(np.int32)), pa.array(good)],
-                names=[*names, "sim", "rank", "fits"]))
-        return pa.Table.from_batches(batches)
-
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, local)
-    order = Window.partitionBy(names[0]).orderBy(F.col("sim").desc_nulls_last(), names[1])
-    best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= p.k)
-    best = best.unionByName(_first_ids(knowledge, routed.filter(F.col("cell") == NO_VECTOR), p, out))
-    if p.mode == "post":
-        best = best.filter("fits")
-    return best.select(*[f.name for f in out.fields])
-
-
-def _first_ids(knowledge: DataFrame, lost: DataFrame, p: KnnParams, out: T.StructType) -> DataFrame:
-    """Hits of queries without a vector: the first ids of their scope, k of them, as literals."""
-    by_id = Window.partitionBy("scope").orderBy("id")
-    tags = F.col("tags") if p.mode == "post" else F.array()
-    rows = (
-        knowledge.withColumn("rank", F.row_number().over(by_id)).filter(F.col("rank") <= p.k)
-        .select("scope", "id", "rank", tags.cast("array<string>").alias("tags")).collect()
-    )
-    entry = T.StructType([
-        T.StructField("scope", T.StringType()), T.StructField("id", out[1].dataType),
-        T.StructField("rank", T.IntegerType()), T.StructField("tags", T.ArrayType(T.StringType())),
-    ])
-    entries = F.array(*[
-        F.struct(F.lit(r["scope"]), F.lit(r["id"]), F.lit(r["rank"]), F.array(*[F.lit(t) for t in r["tags"]])).cast(entry)
-        for r in rows
-    ]).cast(T.ArrayType(entry))
-    mine = F.inline(F.filter(entries, lambda e: e["scope"] == F.col("scope")))
-    tag = F.col("tag").cast("string") if p.mode == "post" else F.lit("")
-    fits = language_fits(F.col("tags"), F.col("asked"), p.empty_means_all) if p.mode == "post" else F.lit(True)
-    return (
-        lost.select("qid", tag.alias("asked"), mine)
-        .select(F.col("qid").alias(out[0].name), F.col("id").alias(out[1].name), F.lit(None).cast("double").alias("sim"),
-                "rank", fits.alias("fits"))
-    )
-
-
-def _arrow_schema(asking: pa.Table, known: pa.Table, names: tuple[str, str]) -> pa.Schema:
-    return pa.schema([
-        (names[0], asking.schema.field("qid").type), (names[1], known.schema.field("id").type),
-        ("sim", pa.float64()), ("rank", pa.int32()), ("fits", pa.bool_()),
-    ])
-
-
 def _knowledge_side(knowledge: DataFrame, p: KnnParams, id_column: str, vector: str, languages: str) -> DataFrame:
     tags = [F.coalesce(F.col(languages), F.array()).alias("tags")] if p.mode != "none" else []
     return knowledge.select(F.col(id_column).alias("id"), F.col(vector).alias("vec"), *tags)
 
 
-def _measure(known: DataFrame) -> tuple[int, int, int]:
-    """(rows, width, bytes as doubles) of the knowledge table: one small job. The width is that of
-    most vectors, so a broken row does not decide it."""
-    width = F.when(F.col("vec").isNotNull(), F.size("vec"))
-    size = known.agg(F.count("*").alias("rows"), F.mode(width).alias("dim"), F.sum(width).alias("cells")).first()
-    return size["rows"], max(1, size["dim"] or 1), 8 * (size["cells"] or 0)
+def vector_widths(rows: DataFrame, vector: str = "embedding") -> DataFrame:
+    """(width, rows): how many vectors have which number of components; null for missing ones."""
+    return rows.groupBy(F.when(F.col(vector).isNotNull(), F.size(vector)).alias("width")).agg(F.count("*").alias("rows"))
+
+
+def _stored(known: DataFrame) -> tuple[Blocks, int]:
+    """The knowledge table as blocks, and its width: that of most vectors, so that a broken row does not decide it;
+    0 if there is none."""
+    blocks, rows = store_blocks(known, "id")
+    return blocks, rows.agg(F.mode(F.when(F.col("vec").isNotNull(), F.size("vec")))).first()[0] or 0
 
 
 def knn_join(
@@ -417,26 +247,18 @@ def knn_join(
         T.StructField("sim", T.DoubleType()),
         T.StructField("rank", T.IntegerType()),
     ])
-    rows, dim, size = _measure(known)
-    if size > params.broadcast_bytes:
-        return _join_cells(asking, known, rows, dim, params, out)
-    hits = _broadcast_hits(known, dim, params, F.col("vec"), F.col("tag"))
+    blocks, dim = _stored(known)
+    hits = _hits(blocks, dim, params, known.schema["id"].dataType, F.col("vec"), F.col("tag"))
     found = asking.select("qid", hits.alias("hits")).select("qid", F.inline("hits"))
     return found.select(F.col("qid").alias(out[0].name), F.col("id").alias(out[1].name), "sim", "rank")
 
 
 def attach_hits(queries: DataFrame, knowledge: DataFrame, params: KnnParams = KnnParams()) -> DataFrame:
     """Queries (`chunk_id`, `embedding`, `language`, ...) with `hits`, the list of their nearest
-    knowledge rows as (rank, id, sim). With a small knowledge table no row is shuffled; with a
-    large one the lists, of at most k entries, are made from the join and joined back."""
+    knowledge rows as (rank, id, sim). No row is shuffled or copied."""
     known = _knowledge_side(knowledge, params, "id", "embedding", "languages")
-    _, dim, size = _measure(known)
-    if size <= params.broadcast_bytes:
-        return queries.withColumn("hits", _broadcast_hits(known, dim, params, F.col("embedding"), F.col("language")))
-    lists = knn_join(queries, knowledge, params).groupBy("chunk_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "id", "sim"))).alias("hits"))
-    empty = F.array().cast(lists.schema["hits"].dataType)
-    return queries.join(lists, "chunk_id", "left").withColumn("hits", F.coalesce("hits", empty))
+    blocks, dim = _stored(known)
+    return queries.withColumn("hits", _hits(blocks, dim, params, known.schema["id"].dataType, F.col("embedding"), F.col("language")))
 
 
 pyspark.cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pyspark.cloudpickle
@@ -11,9 +12,11 @@ from pyspark.sql import functions as F
 
 from auditmill import params as P
 from auditmill.functions.text import number_lines
+from auditmill.operators.blocks import in_shares, store_blocks
 
 LIMITS = P.TextLimits()
-BROADCAST_BYTES = 64 * 1024 * 1024
+SHARE_ROWS = 4096   # chunks whose entries a task holds at a time
+BLOCK_ROWS = 8192
 
 
 def knowledge_entry(cwe_id: Column, source: Column, title: Column, text: Column, examples: Column) -> Column:
@@ -27,40 +30,39 @@ def knowledge_entry(cwe_id: Column, source: Column, title: Column, text: Column,
 
 
 def knowledge_entries(knowledge: DataFrame) -> DataFrame:
-    """(id, entry), made once per knowledge row and before it is copied to any hit."""
-    return knowledge.select("id", knowledge_entry(
+    """(id, entry), made once per knowledge row and before it is copied to any hit. Of a doubled id the least entry counts."""
+    made = knowledge.select("id", knowledge_entry(
         F.col("cwe_id"), F.col("source"), F.col("title"), F.col("document"), F.col("examples")).alias("entry"))
+    return made.groupBy("id").agg(F.min("entry").alias("entry"))
 
 
 def knowledge_context(hits: DataFrame, knowledge: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """(key, context): the entries of each chunk in rank order, an empty line between them.
+    """(key, context): the entries of each chunk in rank order, an empty line between them. `hits` has a row per hit."""
+    lists = hits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("hits"))
+    return attach_context(lists, knowledge).filter("context <> ''").select(key, "context")
 
-    A group holds at most the k hits of its chunk. A knowledge row that very many chunks hit
-    is no hot spot: few entries are broadcast, and for many the join is split by AQE."""
-    ranked = hits.join(knowledge_entries(knowledge), "id").groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("rank", "entry"))).alias("e"))
-    return ranked.select(key, F.array_join(F.col("e.entry"), "\n\n").alias("context"))
 
+def attach_context(chunks: DataFrame, knowledge: DataFrame, share_rows: int = SHARE_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Chunks with `hits`, a list that is in rank order, and now also `context`; empty for a chunk without hits.
 
-def attach_context(chunks: DataFrame, knowledge: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Chunks with `hits` and now also `context`; empty for a chunk without hits.
+    The entries are stored once and streamed past each share of chunks, which keeps those that it hits: chunks stay where
+    they are, and how many entries there are does not matter."""
+    blocks, _ = store_blocks(knowledge_entries(knowledge), "id")
 
-    If the measured entries are few, each task looks them up and the chunks stay where they
-    are; otherwise the context is joined to them."""
-    entries = knowledge_entries(knowledge)
-    size = entries.agg(F.sum(F.octet_length("entry") + 32)).first()[0] or 0
-    if size > broadcast_bytes:
-        rows = chunks.select("chunk_id", F.inline("hits"))
-        return chunks.join(knowledge_context(rows, knowledge), "chunk_id", "left").fillna("", ["context"])
-    table = chunks.sparkSession.sparkContext.broadcast({r["id"]: r["entry"] for r in entries.collect()})
+    def look_up(share: list[pa.Array]) -> pa.Array:
+        lists = share[0]
+        wanted, found = lists.flatten().unique(), {}
+        if len(wanted):
+            for table in blocks.read(["id", "entry"], block_rows):
+                mine = table.filter(pa.compute.is_in(table["id"], value_set=wanted))
+                found.update(zip(mine["id"].to_pylist(), mine["entry"].to_pylist()))
+        return pa.array(["\n\n".join(found[i] for i in ids or () if found.get(i) is not None) for ids in lists.to_pylist()], pa.string())
 
     @F.arrow_udf("string")
-    def look_up(lists: pa.Array) -> pa.Array:
-        known = table.value
-        return pa.array(["\n\n".join(known[i] for i in ids or () if known.get(i) is not None) for ids in lists.to_pylist()],
-                        pa.string())
+    def contexts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return in_shares(((batch,) for batch in batches), share_rows, look_up)
 
-    return chunks.withColumn("context", look_up(F.col("hits.id")))
+    return chunks.withColumn("context", contexts(F.col("hits.id")))
 
 
 def render(template: str, slots: dict[str, Column]) -> Column:

@@ -1,9 +1,14 @@
+import os
+import uuid
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from auditmill.functions import vectors
-from auditmill.operators import knn
+from auditmill.operators import blocks, knn, prompts
 
 SCHEMA = "id bigint, embedding array<float>, language string, languages array<string>"
 
@@ -51,8 +56,7 @@ def brute(queries, known, k, mode, empty_means_all):
     return out
 
 
-FORMS = {"broadcast": {}, "cells": dict(broadcast_bytes=700, block_rows=11, share_rows=13, max_pivots=8),
-         "one cell": dict(broadcast_bytes=100, block_rows=1000, share_rows=1000, max_pivots=1)}
+FORMS = {"one block": {}, "blocks": dict(block_bytes=8 * 6 * 11, share_bytes=8 * 6 * 13), "a row each": dict(block_bytes=1, share_bytes=1)}
 
 
 @pytest.mark.parametrize("form", list(FORMS))
@@ -94,20 +98,78 @@ def test_lists_hold_the_same_hits(spark, form):
 def test_few_or_no_knowledge_rows(spark, form):
     asking = spark.createDataFrame(make(1, 10), SCHEMA).withColumnRenamed("id", "chunk_id")
     known = spark.createDataFrame(make(2, 3), SCHEMA)
-    params = knn.KnnParams(k=5, **{**FORMS[form], "broadcast_bytes": 0 if FORMS[form] else 1000})
+    params = knn.KnnParams(k=5, **FORMS[form])
     assert knn.knn_join(asking, known, params).count() == 30
     assert knn.knn_join(asking, known.filter("id < 0"), params).count() == 0
     assert knn.knn_join(asking.filter("chunk_id < 0"), known, params).count() == 0
 
 
-def test_small_tables_need_no_shuffle_and_none_a_cross_join(spark):
+@pytest.mark.parametrize("form", list(FORMS))
+def test_queries_are_not_shuffled_nor_copied(spark, form):
     asking = spark.createDataFrame(make(1, 20), SCHEMA).withColumnRenamed("id", "chunk_id")
     known = spark.createDataFrame(make(2, 50), SCHEMA)
-    plan = knn.knn_join(asking, known)._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and "ArrowEvalPython" in plan
-    plan = knn.knn_join(asking, known, knn.KnnParams(**FORMS["cells"]))._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
-    assert "WindowGroupLimit" in plan
+    plan = knn.knn_join(asking, known, knn.KnnParams(**FORMS[form]))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and not any(x in plan for x in ("Exchange", "Join", "CartesianProduct"))
+
+
+@pytest.mark.parametrize("rows, calls", [(1, 5), (3, 4), (4, 3), (7, 2), (100, 1)])
+def test_shares_hold_whole_batches_up_to_a_bound(rows, calls):
+    batches = [(pa.array(range(at, at + n)),) for at, n in ((0, 3), (3, 1), (4, 2), (6, 2), (8, 4))]
+    seen = []
+    def work(columns):
+        seen.append(len(columns[0]))
+        return pa.compute.multiply(columns[0], 2)
+    out = list(blocks.in_shares(iter(batches), rows, work))
+    assert [len(x) for x in out] == [3, 1, 2, 2, 4] and pa.concat_arrays(out).to_pylist() == [2 * i for i in range(12)]
+    assert len(seen) == calls and sum(seen) == 12
+
+
+def test_a_task_reads_the_table_once(spark, tmp_path):
+    """200 queries in four tasks and one share each: four reads of the stored knowledge, however many blocks and batches."""
+    known = spark.createDataFrame(make(2, 50), SCHEMA).select("id", F.col("embedding").alias("vec"))
+    stored, _ = blocks.store_blocks(known, "id")
+    marks = str(tmp_path)
+    def count(share):
+        for _ in stored.read(["id"], 7):
+            pass
+        with open(f"{marks}/{uuid.uuid4().hex}", "w"):
+            return share[0]
+
+    @F.arrow_udf("bigint")
+    def passed(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return blocks.in_shares(((b,) for b in it), 1000, count)
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        assert spark.range(0, 200, 1, 4).select(passed("id").alias("x")).agg(F.sum("x")).first()[0] == sum(range(200))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(os.listdir(marks)) == 4
+
+
+def test_blocks_come_in_id_order(spark):
+    rows = spark.range(0, 1000, 1, 7).select((F.col("id") * 7919 % 1000).alias("id"))
+    stored, table = blocks.store_blocks(rows, "id")
+    assert [i for t in stored.read(["id"], 64) for i in t["id"].to_pylist()] == list(range(1000)) and table.count() == 1000
+
+
+def test_other_widths_are_refused_or_counted(spark):
+    known = spark.createDataFrame([(i, [1.0, float(i), 2.0], None, ["a"]) for i in range(8)], SCHEMA)
+    asking = spark.createDataFrame([(1, [1.0, 2.0], "a", None), (2, [2.0, 2.0], "a", None)], SCHEMA).withColumnRenamed("id", "chunk_id")
+    with pytest.raises(Exception, match="no query vector has the 3 components"):
+        knn.knn_join(asking, known).collect()
+    assert {tuple(r) for r in knn.vector_widths(asking.unionByName(asking.withColumn("embedding", F.lit(None).cast("array<float>")))).collect()} == {(2, 2), (None, 2)}
+
+
+def test_context_of_doubled_and_unknown_ids(spark):
+    known = spark.createDataFrame([(i, "s", "CWE-1", f"t{i}", "b", ["x"]) for i in (3, 1, 2, 2, 5)],
+                                  "id long, source string, cwe_id string, title string, document string, examples array<string>")
+    chunks = spark.createDataFrame([(1, [(1, 2), (2, 9), (3, 1)]), (2, []), (3, None), (4, [(1, 9)]), (5, [(1, 1)])], "chunk_id long, hits array<struct<rank:int,id:long>>")
+    got = {r.chunk_id: r.context for r in prompts.attach_context(chunks, known, share_rows=2, block_rows=1).collect()}
+    entry = lambda i: f"[CWE-1] t{i}\nb\nExamples:\n  - x"
+    assert got == {1: entry(2) + "\n\n" + entry(1), 2: "", 3: "", 4: "", 5: entry(1)}
+    hits = chunks.select("chunk_id", F.inline("hits"))
+    assert {r.chunk_id: r.context for r in prompts.knowledge_context(hits, known).collect()} == {k: v for k, v in got.items() if v}
 
 
 def test_vector_functions(values):
