@@ -2,15 +2,17 @@
 
 import sys
 import uuid
+from functools import reduce
 
 import pandas as pd
 import pyspark.cloudpickle
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditmill.bindings.corpora import CLEANED, NAMES, RECORDS, RULES, SECTIONS, _marked, _record_text, _rule_files
 from auditmill.bindings.registry import query, spread_table, table
 from auditmill.functions.lookup import to_csv
-from auditmill.operators import knowledge
+from auditmill.operators import knowledge, versions
 from auditmill.plans import index
 from auditmill.session import shared_folder, store
 from auditmill.sources import catalogue, files, guides, rules
@@ -165,6 +167,39 @@ def stored_table(spark, sf):
     return steps[0].unionByName(steps[1]).unionByName(steps[2]).unionByName(steps[3])
 
 
+@query("""
+WITH old AS (SELECT o_custkey AS id, o_orderpriority AS grade FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1),
+new AS (SELECT o_custkey AS id, o_orderstatus AS grade FROM orders WHERE o_custkey % 3 <> 0
+        QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey DESC) = 1)
+SELECT 'merged' AS state, id, coalesce(n.grade, o.grade) AS grade FROM old o LEFT JOIN new n USING (id)
+UNION ALL SELECT 'broken off', id, grade FROM old
+UNION ALL SELECT 'overtaken', id, grade FROM old""")
+def switched_table(spark, sf):
+    """Rows merged by key without a version, of which the last in order counts; the table as readers see it while a
+    replacement is written but not switched to, and after a second writer came too late."""
+    orders = table(spark, sf, "orders")
+    first = orders.groupBy(F.col("o_custkey").alias("id")).agg(F.min_by("o_orderpriority", "o_orderkey").alias("grade"))
+    new = orders.filter("o_custkey % 3 <> 0").orderBy("o_totalprice", "o_orderkey").select(F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("grade"))
+    path, states = _new_folder(spark), []
+
+    def seen(state):
+        states.append(store(knowledge.read_table(spark, path).select(F.lit(state).alias("state"), "id", "grade")))
+
+    knowledge.write_table(first, path)
+    number, _ = versions.version(spark, path)
+    versions.write_beside(new, path)
+    seen("broken off")
+    late = versions.write_beside(new, path)
+    knowledge.write_table(first, path, rebuild=True)
+    try:
+        versions.switch(spark, path, late, number)
+    except versions.TableChanged:
+        seen("overtaken")
+    knowledge.upsert_table(new, path)
+    seen("merged")
+    return reduce(DataFrame.unionByName, states)
+
+
 @query("SELECT DISTINCT 'CWE-' || n_chars AS cwe_id FROM documents")
 def read_id_list(spark, sf):
     """Ids written as a list and read again."""

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from auditmill import params as P
 from auditmill.functions.lookup import to_csv
-from auditmill.session import materialize, store
-from auditmill.sources.files import path_exists
+from auditmill.operators import versions
+from auditmill.session import store
 
 LIMITS = P.TextLimits()
 IN_PARTITION = (1 << 33) - 1
@@ -26,23 +26,26 @@ def union_sources(sources: Sequence[DataFrame]) -> DataFrame:
 def number_rows(df: DataFrame, order: Sequence[str], out: str = "idx") -> DataFrame:
     """Position of each row, from 0, in the given order, without a window over all rows.
 
-    Rows are sorted by ranges and stored once; a row's position is its place in its
-    partition plus the sizes of the partitions before. `order` must tell all rows apart.
-    Only one number per partition comes to the driver."""
-    stored = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order))
-    sizes = stored.groupBy(F.spark_partition_id().alias("part")).count().orderBy("part").collect()
-    offsets, before = [], 0
-    for part, count in sizes:
-        offsets.append((part, before))
-        before += count
-    table = df.sparkSession.createDataFrame(offsets, "_part int, _before bigint")
-    placed = stored.withColumn("_part", F.spark_partition_id()).withColumn(
-        "_place", F.monotonically_increasing_id().bitwiseAND(F.lit(IN_PARTITION)))
-    return (
-        placed.join(F.broadcast(table), "_part")
-        .withColumn(out, F.col("_before") + F.col("_place"))
-        .drop("_part", "_place", "_before")
-    )
+    Rows are sorted by ranges and stored once, as columns, with the number of their range and their place in it; a row's
+    position is its place plus the sizes of the ranges before. `order` must tell all rows apart. Only one number per
+    range comes to the driver."""
+    part, place, before = (_spare(df, name) for name in ("_part", "_place", "_before"))
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({
+        part: F.spark_partition_id(), place: F.monotonically_increasing_id().bitwiseAND(F.lit(IN_PARTITION))})
+    stored = store(ranged)
+    offsets, total = [], 0
+    for number, count in stored.groupBy(part).count().orderBy(part).collect():
+        offsets.append((number, total))
+        total += count
+    table = df.sparkSession.createDataFrame(offsets, f"{part} int, {before} bigint")
+    return stored.join(F.broadcast(table), part).withColumn(out, F.col(before) + F.col(place)).drop(part, place, before)
+
+
+def _spare(df: DataFrame, name: str) -> str:
+    """The name, or a longer one that no column has."""
+    while name in df.columns:
+        name += "_"
+    return name
 
 
 def knowledge_id(source: Column, cwe_id: Column, idx: Column) -> Column:
@@ -75,43 +78,42 @@ def count_by_source(df: DataFrame, column: str = "source") -> DataFrame:
 
 
 def upsert(current: DataFrame, new: DataFrame, key: str = "id", version: str | None = None) -> DataFrame:
-    """`current` with the rows of `new` put in by key. If `new` has a key more than once, the
-    row of the highest `version` counts. Rows of `current` are only checked, never sorted."""
-    if version:
-        rest = [c for c in new.columns if c != key]
-        latest = new.groupBy(key).agg(F.max_by(F.struct(*rest), version).alias("_row"))
-        new = latest.select(key, "_row.*").select(*new.columns)
+    """`current` with the rows of `new` put in by key. If `new` has a key more than once, the row of the highest
+    `version` counts, without one the last in the order of `new`. Rows of `current` are only checked, never sorted."""
+    rest = [c for c in new.columns if c != key]
+    place = F.monotonically_increasing_id()  # rises along the rows
+    numbered = new.select(key, F.struct(*rest).alias("_row"), (F.struct(version, place) if version else place).alias("_place"))
+    latest = numbered.groupBy(key).agg(F.max_by("_row", "_place").alias("_row"))
+    new = latest.select(key, "_row.*").select(*new.columns)
     kept = current.join(new.select(key), key, "left_anti")
     return kept.unionByName(new.select(*current.columns))
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return versions.read(spark, path)
 
 
 def has_rows(spark: SparkSession, path: str) -> bool:
-    return path_exists(path) and not read_table(spark, path).isEmpty()
+    return versions.version(spark, path)[1] is not None and not read_table(spark, path).isEmpty()
 
 
 def write_table(df: DataFrame, path: str, rebuild: bool = False) -> int:
-    """Write the table unless it has rows already; `rebuild` replaces it. Gives its row count."""
+    """Write the table unless it has rows already; `rebuild` replaces it in one step. Gives its row count."""
     spark = df.sparkSession
     if rebuild or not has_rows(spark, path):
-        df.write.mode("overwrite").parquet(path)
+        versions.replace(df, path)
     return read_table(spark, path).count()
 
 
 def upsert_table(new: DataFrame, path: str, key: str = "id", version: str | None = None) -> int:
-    """Put the rows of `new` into the table by key; gives its row count.
+    """Put the rows of `new` into the table by key, as `upsert` does; gives its row count.
 
-    The merged rows are stored first, so the table is replaced without reading it, and a replacement that was broken
-    off can be repeated from them. If `new` has a key more than once, the row of the highest `version` counts;
-    without a version one of them does."""
+    The merged rows are written beside the table and replace it in one step: a run that is broken off leaves the table as
+    it was, and a run that another writer has overtaken raises `TableChanged`."""
     spark = new.sparkSession
-    if version is None:
-        new = new.dropDuplicates([key])
-    current = read_table(spark, path) if has_rows(spark, path) else new.limit(0)
-    store(upsert(current, new, key, version)).write.mode("overwrite").parquet(path)
+    number, folder = versions.version(spark, path)
+    current = spark.read.parquet(folder) if folder else new.limit(0)
+    versions.replace(upsert(current, new, key, version), path, after=number)
     return read_table(spark, path).count()
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from auditmill import params as P
 from auditmill import schemas
-from auditmill.operators import hooks, knowledge, prompts
+from auditmill.operators import hooks, knowledge, prompts, versions
 from auditmill.plans import index
 from tests.test_sources import GUIDES, RULES, XML
 
@@ -161,3 +161,53 @@ def test_context_and_prompt(spark):
         assert got == {"c": want, "d": ""}
     default = prompts.build_prompts(given).collect()
     assert all("{" + slot + "}" not in r["messages"][1]["content"] for r in default for slot in ("language", "code", "knowledge"))
+
+
+def test_broken_off_runs_leave_the_old_rows(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "kb")
+    old = spark.createDataFrame([("a", 1), ("b", 1)], "id string, v int")
+    new = spark.createDataFrame([("b", 2), ("c", 2), ("c", 3), ("c", 1)], "id string, v int").coalesce(1)
+    rows = lambda: sorted(map(tuple, knowledge.read_table(spark, path).collect()))
+    assert not knowledge.has_rows(spark, path)
+    with pytest.raises(FileNotFoundError):
+        knowledge.read_table(spark, path)
+    knowledge.write_table(old, path)
+    held = knowledge.read_table(spark, path)
+
+    def stop(*args):
+        raise KeyboardInterrupt
+    for name in ("switch", "write_beside"):  # between the write and the switch, and before the write
+        with monkeypatch.context() as m:
+            m.setattr(versions, name, stop)
+            with pytest.raises(KeyboardInterrupt):
+                knowledge.upsert_table(new, path)
+        assert rows() == [("a", 1), ("b", 1)]
+    assert knowledge.upsert_table(new, path) == 3 and rows() == [("a", 1), ("b", 2), ("c", 1)], "the last of a doubled key counts"
+    assert sorted(map(tuple, held.collect())) == [("a", 1), ("b", 1)], "a reader of the version before goes on"
+    os.close(os.open(f"{path}/{versions.POINTERS}/{3:012d}", os.O_CREAT))  # a switch that died before its name was written
+    assert rows() == [("a", 1), ("b", 2), ("c", 1)] and knowledge.upsert_table(new, path) == 3
+
+
+def test_late_writers_are_refused_and_old_versions_go(spark, tmp_path):
+    path = str(tmp_path / "kb")
+    rows = spark.createDataFrame([("a", 1)], "id string, v int")
+    number, _ = versions.version(spark, path)
+    late = versions.write_beside(rows, path)
+    for v in range(4):
+        knowledge.write_table(rows.withColumn("v", F.lit(v)), path, rebuild=True)
+    with pytest.raises(versions.TableChanged):
+        versions.switch(spark, path, late, number)
+    assert [r.v for r in knowledge.read_table(spark, path).collect()] == [3]
+    assert len([d for d in os.listdir(path) if d.startswith("v-")]) == versions.KEEP + 1
+    rows.write.parquet(str(tmp_path / "plain"))  # rows that were not written here are taken as they are
+    assert knowledge.upsert_table(rows.withColumn("v", F.lit(9)), str(tmp_path / "plain")) == 1
+    assert [r.v for r in knowledge.read_table(spark, str(tmp_path / "plain")).collect()] == [9]
+
+
+def test_numbering_stores_columns(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("id"), F.lit(5).alias("_part"), F.lit("x").alias("_place"))
+    numbered = knowledge.number_rows(rows.repartition(7), ["id"])
+    assert numbered.columns == ["id", "_part", "_place", "idx"]
+    assert numbered.filter("id <> idx or _part <> 5 or _place <> 'x'").count() == 0 and numbered.count() == 1000
+    plan = numbered.select("idx")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<_part_:int,_place_:bigint>" in plan, "the stored columns that are not asked for are not read"
