@@ -40,6 +40,8 @@ SOFT = 1e-3             # correlations are lessened by this share, so that no sc
 BINS = 32               # distance bins per doubling
 FIT_TASKS = 16          # tasks that fit estimates; one more for every GROUPS_PER_TASK groups beyond
 GROUPS_PER_TASK = 100
+SENT_GROUPS = 10_000    # estimates of so many groups, about a kilobyte each, are sent to the tasks; more are joined
+SHARES = 32             # shares of a group's rows in that join
 NAMES = ("word_length", "symbols", "marks", "capitals", "repeats", "dup_lines")
 PER_CHAR = (False, False, True, True, False, False)  # what a statistic is a share of
 D = len(NAMES)
@@ -186,14 +188,24 @@ def _packed(rows: DataFrame) -> DataFrame:
                        F.array(*[f"p{i}_{j}" for i, j in TRIANGLE]).alias("products"), F.array("e0", "e1").alias("noise"))
 
 
-def _binned(members: DataFrame, estimate: DataFrame) -> DataFrame:
-    near = members.join(estimate, "grp").withColumn("d2", distance(F.col("x"), F.col("centre"), F.col("inverse")))
+def _beside(members: DataFrame, table: DataFrame, groups: int) -> DataFrame:
+    """Rows with what `table` says of their group, up to two rows a group. A group may hold all rows, so rows are not
+    dealt by group: few groups are broadcast, of many each is copied to SHARES shares of its rows."""
+    if groups <= SENT_GROUPS:
+        return members.join(F.broadcast(table), "grp")
+    share = F.pmod(F.monotonically_increasing_id(), F.lit(SHARES)).cast("int")
+    copied = table.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    return members.withColumn("share", share).join(copied, ["grp", "share"]).drop("share")
+
+
+def _binned(members: DataFrame, estimate: DataFrame, groups: int) -> DataFrame:
+    near = _beside(members, estimate, groups).withColumn("d2", distance(F.col("x"), F.col("centre"), F.col("inverse")))
     return near.withColumn("bin", F.floor(F.log2(F.greatest("d2", F.lit(1e-6))) * BINS).cast("int"))
 
 
-def _closest(members: DataFrame, estimate: DataFrame) -> DataFrame:
+def _closest(members: DataFrame, estimate: DataFrame, groups: int) -> DataFrame:
     """Moments of the KEEP closest rows of each start and group, to the next whole bin."""
-    bins = _moments(_binned(members, estimate), "start", "grp", "bin")
+    bins = _moments(_binned(members, estimate.select("start", "grp", "centre", "inverse"), groups), "start", "grp", "bin")
     whole = Window.partitionBy("start", "grp")
     before = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     inner = (bins.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
@@ -217,9 +229,9 @@ def _starts(members: DataFrame, groups: int) -> DataFrame:
     errors = [F.avg(F.get("noise", F.lit(i))) for i in range(2)]
     least = F.array(*[F.sqrt(F.lit(FLOOR) * errors[int(c)]) for c in PER_CHAR]).alias("least")
     centre = store(medians(members, "centre", least))
-    away = members.join(centre, "grp").select("grp", F.zip_with("x", "centre", lambda a, b: F.abs(a - b)).alias("x"))
+    away = _beside(members, centre, groups).select("grp", F.zip_with("x", "centre", lambda a, b: F.abs(a - b)).alias("x"))
     both = store(centre.join(medians(away, "mad"), "grp").withColumn("mad", F.zip_with("mad", "least", lambda m, f: F.greatest(1.4826 * m, f))))
-    bounded = members.join(both, "grp").select("grp", "noise", F.transform(F.arrays_zip("x", "centre", "mad"), lambda z: (
+    bounded = _beside(members, both, groups).select("grp", "noise", F.transform(F.arrays_zip("x", "centre", "mad"), lambda z: (
         F.tanh((z["x"] - z["centre"]) / z["mad"]) * z["mad"])).alias("x"))
     scatter = _moments(bounded, "grp").withColumn("start", F.lit(1))
     second = _fitted(scatter, groups).drop("centre").join(centre, "grp")
@@ -234,9 +246,9 @@ def concentrate(members: DataFrame, groups: int) -> DataFrame:
     """The estimate of least determinant of each group (grp, centre, inverse, logdet, scatter), over both starts.
 
     A step replaces the estimates whose determinant it lowers; each lowers by FALL at least, so the steps end."""
-    now = store(_fitted(_closest(members, _starts(members, groups)), groups))
+    now = store(_fitted(_closest(members, _starts(members, groups), groups), groups))
     while True:
-        tried = _fitted(_closest(members, now), groups)
+        tried = _fitted(_closest(members, now, groups), groups)
         old = now.select("start", "grp", F.struct("centre", "inverse", "logdet", "scatter").alias("old"))
         both = tried.join(old, ["start", "grp"]).withColumn("falls", F.col("old.logdet") - F.col("logdet") > FALL)
         fields = [F.when(F.col("falls"), F.col(c)).otherwise(F.col(f"old.{c}")).alias(c) for c in ("centre", "inverse", "logdet", "scatter")]
@@ -248,9 +260,9 @@ def concentrate(members: DataFrame, groups: int) -> DataFrame:
     return now.join(best, ["grp", "start"])
 
 
-def _scales(members: DataFrame, estimate: DataFrame) -> DataFrame:
+def _scales(members: DataFrame, estimate: DataFrame, groups: int) -> DataFrame:
     """(grp, n, scale): by how much a group's distances exceed chi-square, at the median or the upper quantile."""
-    bins = _binned(members, estimate.select("grp", "centre", "inverse")).groupBy("grp", "bin").agg(F.count("*").alias("n"))
+    bins = _binned(members, estimate.select("grp", "centre", "inverse"), groups).groupBy("grp", "bin").agg(F.count("*").alias("n"))
     whole = Window.partitionBy("grp")
     before = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     placed = bins.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("all", F.sum("n").over(whole))
@@ -284,13 +296,12 @@ def _blend(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def estimates(rows: DataFrame) -> DataFrame:
     """(lang, source, centre, inverse) from (lang, source, failed, x, noise): what judges each language and source."""
-    pairs = store(rows.groupBy("lang", "source").agg(F.count("*").alias("rows")))
+    keys = [k.alias(f"g{i}") for i, k in enumerate(_groups(F.col("lang"), F.col("source")))]
+    joined = store(rows.groupBy("lang", "source").agg(F.count("*").alias("rows")).select("lang", "source", *keys))
     members = store(_members(rows))
-    keys = _groups(F.col("lang"), F.col("source"))
-    groups = pairs.select(F.explode(F.array(*keys)).alias("grp")).distinct().count()
+    groups = joined.select(F.explode(F.array("g0", "g1", "g2")).alias("grp")).distinct().count()
     best = store(concentrate(members, groups))
-    found = store(best.join(_scales(members, best), "grp").select("grp", "n", "centre", "scatter", "scale"))
-    joined = pairs.select("lang", "source", *[k.alias(f"g{i}") for i, k in enumerate(keys)])
+    found = store(best.join(_scales(members, best, groups), "grp").select("grp", "n", "centre", "scatter", "scale"))
     for i in range(3):
         named = found.toDF(f"g{i}", f"n{i}", f"centre{i}", f"scatter{i}", f"scale{i}")
         joined = joined.join(named, f"g{i}", "left")

@@ -100,8 +100,10 @@ def brute_force_estimate(x, noise):
     return best
 
 
-def test_quality_estimate_against_brute_force(spark):
+@pytest.mark.parametrize("sent", [quality.SENT_GROUPS, 0])
+def test_quality_estimate_against_brute_force(spark, monkeypatch, sent):
     """The binned steps come to the determinant of exact steps, and to the same rejections."""
+    monkeypatch.setattr(quality, "SENT_GROUPS", sent)
     rng = np.random.default_rng(7)
     rows, groups = [], {}
     for g, n in enumerate((400, 700, 1500)):
@@ -113,7 +115,7 @@ def test_quality_estimate_against_brute_force(spark):
         rows += [(g, v.tolist(), e.tolist()) for v, e in zip(x, noise)]
     members = spark.createDataFrame(rows, "grp long, x array<double>, noise array<double>").repartition(3).cache()
     best = quality.concentrate(members, 3)
-    scales = {r.grp: r.scale for r in quality._scales(members, best).collect()}
+    scales = {r.grp: r.scale for r in quality._scales(members, best, 3).collect()}
     for r in best.collect():
         x, noise = groups[r.grp]
         det, mean, scatter = brute_force_estimate(x, noise)
