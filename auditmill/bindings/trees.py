@@ -16,6 +16,7 @@ from auditmill.operators import knowledge, versions
 from auditmill.plans import index
 from auditmill.session import shared_folder, store
 from auditmill.sources import catalogue, files, guides, rules
+from auditmill.sources import trees as trees_source
 
 
 def _new_folder(spark):
@@ -56,21 +57,26 @@ fit AS (SELECT * FROM known WHERE doc_id % 6 NOT IN (1, 3) AND language <> 'c')
 """
 
 
-@query(f"""WITH {SOURCE_TREE}
-SELECT 'tree' AS scan, rel_path, language, content, size_bytes FROM fit
-UNION ALL SELECT 'flat', rel_path, language, content, size_bytes FROM fit WHERE NOT contains(rel_path, '/')
-UNION ALL SELECT 'file', rel_path, language, content, size_bytes FROM known WHERE doc_id = (SELECT min(doc_id) FROM known WHERE doc_id % 6 = 1)""")
-def loaded_files(spark, sf):
-    """A tree with an ignore file, excluded directories, hidden names and `__init__` files: all of it, its top
-    directory, and one file of an excluded directory by its path."""
+def _source_tree(spark, sf):
+    """(doc_id, rel_path, content): texts as files of several languages in several kinds of directories."""
     case, number = F.col("doc_id") % 6, F.col("doc_id").cast("string")
     endings = F.array(*[F.lit(e) for e in (".py", ".PY", ".tsx", ".txt", ".c")])
     ending = F.element_at(endings, (1 + F.col("doc_id") % 5).cast("int"))
     stem = (F.when(case == 0, F.concat(F.lit("src/d"), number)).when(case == 1, F.concat(F.lit("node_modules/x/d"), number))
             .when(case == 2, F.concat(F.lit("_p/.h/d"), number)).when(case == 3, F.concat(F.lit("tests/d"), number))
             .when(case == 4, F.concat(F.lit("d"), number)).otherwise(F.concat(F.lit("a/"), number, F.lit("/__init__"))))
-    texts = spread_table(spark, sf, "documents", "doc_id", "text").select(
+    return spread_table(spark, sf, "documents", "doc_id", "text").select(
         "doc_id", F.concat(stem, ending).alias("rel_path"), F.col("text").alias("content"))
+
+
+@query(f"""WITH {SOURCE_TREE}
+SELECT 'tree' AS scan, rel_path, language, content, size_bytes FROM fit
+UNION ALL SELECT 'flat', rel_path, language, content, size_bytes FROM fit WHERE NOT contains(rel_path, '/')
+UNION ALL SELECT 'file', rel_path, language, content, size_bytes FROM known WHERE doc_id = (SELECT min(doc_id) FROM known WHERE doc_id % 6 = 1)""")
+def loaded_files(spark, sf):
+    """A tree with an ignore file, excluded directories, hidden names and `__init__` files: all of it, its top
+    directory, and one file of an excluded directory by its path."""
+    case, texts = F.col("doc_id") % 6, _source_tree(spark, sf)
     ignored = spark.createDataFrame([(".gitignore", "tests/\n*.c\n")], "rel_path string, content string")
     root = _write_tree(spark, texts.select("rel_path", "content").unionByName(ignored))
     small = F.octet_length("content") <= 1048576
@@ -86,6 +92,23 @@ def loaded_files(spark, sf):
     return out
 
 
+@query(f"""WITH {SOURCE_TREE},
+named AS (SELECT rel_path, len(string_split(rel_path, '/')) - 1 AS depth, lower(regexp_extract(rel_path, '\\.[a-zA-Z]+$')) AS suffix, size_bytes FROM tree)
+SELECT suffix, depth::INTEGER AS depth, count(*) AS n, sum(size_bytes)::BIGINT AS size_bytes, min(rel_path) AS first_path
+FROM named WHERE suffix IN ('.py', '.txt') AND size_bytes < 3000 AND depth <= 1 GROUP BY ALL""")
+def listed_tree(spark, sf):
+    """Names of a tree by the data source, with conditions on suffix, size and depth that it takes over where the session lets it."""
+    root = _write_tree(spark, _source_tree(spark, sf).select("rel_path", "content"))
+    before = spark.conf.get(trees_source.PUSHDOWN, None)
+    spark.conf.set(trees_source.PUSHDOWN, "true")
+    try:
+        found = trees_source.listing(spark, root).filter("suffix IN ('.py', '.txt') AND size_bytes < 3000 AND depth <= 1")
+        rows = store(found.groupBy("suffix", "depth").agg(F.count("*").alias("n"), F.sum("size_bytes").alias("size_bytes"), F.min("rel_path").alias("first_path")))
+    finally:
+        spark.conf.unset(trees_source.PUSHDOWN) if before is None else spark.conf.set(trees_source.PUSHDOWN, before)
+    return rows
+
+
 # --- Corpora -------------------------------------------------------------------------
 
 

@@ -1,18 +1,15 @@
-"""Source trees as tables.
+"""Source trees as tables: names by the data source in `trees`, contents by tasks through Arrow's file systems.
 
-Spark's file sources leave out names that start with `_` or `.`, and with them every
-`__init__.py`. Trees are therefore listed and read by tasks through Arrow's file systems:
-directories are expanded level by level, each level as one job over all its directories,
-and the files found are spread evenly over tasks before any content is read.
+Files that passed the tests on name and size are spread over tasks by their bytes before any content is read; contents
+arrive as bytes and are decoded by column expressions.
 """
 
 from __future__ import annotations
 
-import os
 import sys
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 
-import pandas as pd
+import pyarrow as pa
 import pyspark.cloudpickle
 from pyarrow import fs as arrow_fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,21 +18,13 @@ from pyspark.sql import functions as F
 from auditmill import params as P
 from auditmill import schemas
 from auditmill.functions.lookup import file_language
-from auditmill.functions.text import suffix
-from auditmill.session import materialize
+from auditmill.functions.text import decode_text, suffix
+from auditmill.session import store
 from auditmill.sources.ignore import is_ignored
+from auditmill.sources.trees import listing, open_path
 
 READ_TARGET_BYTES = 128 * 1024 * 1024
 READ_BATCH_BYTES = 32 * 1024 * 1024
-LIST_BATCH_ROWS = 10_000
-
-
-def open_path(path: str) -> tuple[arrow_fs.FileSystem, str]:
-    if path.startswith("file:"):
-        return arrow_fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
-    if "://" in path:
-        return arrow_fs.FileSystem.from_uri(path)
-    return arrow_fs.LocalFileSystem(), path
 
 
 def _info(path: str) -> arrow_fs.FileInfo:
@@ -47,89 +36,35 @@ def path_exists(path: str) -> bool:
     return _info(path).type != arrow_fs.FileType.NotFound
 
 
-def _entries(path: str) -> Iterator[tuple[str, bool, int | None]]:
-    """(name, is directory, size) of a directory's entries. Links to directories are not followed.
-
-    A mounted directory is read as a stream, so it may hold any number of files."""
-    fs, inner = open_path(path)
-    if not isinstance(fs, arrow_fs.LocalFileSystem):
-        for info in fs.get_file_info(arrow_fs.FileSelector(inner)):
-            is_dir = info.type == arrow_fs.FileType.Directory
-            yield info.base_name, is_dir, None if is_dir else info.size
-        return
-    with os.scandir(inner) as found:
-        for entry in found:
-            try:
-                is_dir = entry.is_dir()
-                if not (is_dir and entry.is_symlink()):
-                    yield entry.name, is_dir, None if is_dir else entry.stat().st_size
-            except OSError:
-                continue
-
-
-def _list_directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Direct entries of each directory, in batches of bounded size."""
-
-    def frame(rows):
-        return pd.DataFrame(rows, columns=["path", "rel_path", "size_bytes", "is_dir"]).astype({"size_bytes": "Int64"})
-
-    rows: list[tuple] = []
-    for batch in batches:
-        for path, rel_path in zip(batch["path"], batch["rel_path"]):
-            for name, is_dir, size in _entries(path):
-                rows.append((f"{path.rstrip('/')}/{name}", f"{rel_path}/{name}" if rel_path else name, size, is_dir))
-                if len(rows) >= LIST_BATCH_ROWS:
-                    yield frame(rows)
-                    rows = []
-    if rows:
-        yield frame(rows)
-
-
-def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Text of each file, in batches of bounded size. Unreadable files give no row."""
+def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bytes of each file, in batches of bounded size. Unreadable files give no row."""
+    names = ["path", "rel_path", "size_bytes", "content"]
+    types = [pa.string(), pa.string(), pa.int64(), pa.binary()]
     rows, held = [], 0
-    columns = ["path", "rel_path", "size_bytes", "content"]
     for batch in batches:
-        for path, rel_path, size in zip(batch["path"], batch["rel_path"], batch["size_bytes"]):
+        for path, rel_path, size in zip(*[batch.column(c).to_pylist() for c in names[:3]]):
             try:
                 fs, inner = open_path(path)
                 with fs.open_input_stream(inner) as stream:
                     data = stream.read()
             except OSError:
                 continue
-            text = data.decode("utf-8", errors="replace").replace("\r\n", "\n").replace("\r", "\n")
-            rows.append((path, rel_path, size, text))
+            rows.append((path, rel_path, size, data))
             held += len(data)
             if held >= READ_BATCH_BYTES:
-                yield pd.DataFrame(rows, columns=columns)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
                 rows, held = [], 0
     if rows:
-        yield pd.DataFrame(rows, columns=columns)
-
-
-def list_tree(spark: SparkSession, root: str, recursive: bool = True, skip_dirs: Sequence[str] = ()) -> DataFrame:
-    """(path, rel_path, size_bytes) of the files under `root`; `skip_dirs` are not entered."""
-    frontier = spark.createDataFrame([(root, "", None, True)], schemas.LISTING)
-    found = None
-    while True:
-        level = materialize(frontier.mapInPandas(_list_directories, schemas.LISTING))
-        files = level.filter(~F.col("is_dir"))
-        found = files if found is None else found.unionByName(files)
-        dirs = level.filter(F.col("is_dir"))
-        if skip_dirs:
-            dirs = dirs.filter(~F.element_at(F.split("rel_path", "/"), -1).isin(*skip_dirs))
-        width = min(dirs.count(), 64 * spark.sparkContext.defaultParallelism) if recursive else 0
-        if not width:
-            return found.drop("is_dir")
-        frontier = dirs.repartition(width)
-
-
-def read_listed(listing: DataFrame) -> DataFrame:
-    """Read the files of a listing, in as many tasks as their bytes call for."""
-    spark = listing.sparkSession
-    size = listing.agg(F.sum("size_bytes")).first()[0] or 0
-    tasks = max(spark.sparkContext.defaultParallelism, -(-size // READ_TARGET_BYTES))
-    return listing.repartition(tasks).mapInPandas(_read_files, schemas.TEXT_FILES)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+
+def read_listed(chosen: DataFrame) -> DataFrame:
+    """Read the files of a listing, in as many tasks as their bytes call for. The listing is stored, as two steps need it."""
+    stored = store(chosen.select("path", "rel_path", "size_bytes"))
+    size = stored.agg(F.sum("size_bytes")).first()[0] or 0
+    tasks = max(stored.sparkSession.sparkContext.defaultParallelism, -(-size // READ_TARGET_BYTES))
+    read = stored.repartition(tasks).mapInArrow(_read_files, "path string, rel_path string, size_bytes bigint, content binary")
+    return read.withColumn("content", decode_text(F.col("content")))
 
 
 def wanted(
@@ -184,8 +119,8 @@ def load_files(
     info = _info(root)
     if info.type == arrow_fs.FileType.File:
         rows = [(root, info.base_name, info.size)]
-        listing = spark.createDataFrame(rows, "path string, rel_path string, size_bytes bigint")
-        chosen = select_files(listing, languages, max_bytes=max_bytes, excluded=("/",), extensions=extensions)
+        one = spark.createDataFrame(rows, "path string, rel_path string, size_bytes bigint")
+        chosen = select_files(one, languages, max_bytes=max_bytes, excluded=("/",), extensions=extensions)
     else:
         ignore_lines: list[str] = []
         ignore_file = f"{root.rstrip('/')}/.gitignore"
@@ -193,8 +128,8 @@ def load_files(
             fs, inner = open_path(ignore_file)
             with fs.open_input_stream(inner) as stream:
                 ignore_lines = stream.read().decode("utf-8", errors="ignore").splitlines()
-        listing = list_tree(spark, root, recursive, excluded)
-        chosen = select_files(listing, languages, ignore_lines, recursive, max_bytes, excluded, extensions)
+        found = listing(spark, root, recursive, excluded, list(extensions), max_bytes)
+        chosen = select_files(found, languages, ignore_lines, recursive, max_bytes, excluded, extensions)
     texts = read_listed(chosen.drop("language"))
     return texts.select("path", file_language(F.col("path"), extensions).alias("language"), "content", "size_bytes")
 
@@ -203,8 +138,8 @@ def load_texts(spark: SparkSession, root: str, suffixes: Sequence[str], recursiv
     """Text files of a corpus with the given suffixes. A missing directory is an empty table."""
     if not path_exists(root):
         return spark.createDataFrame([], schemas.TEXT_FILES)
-    listing = list_tree(spark, root, recursive)
-    return read_listed(listing.filter(suffix(F.col("rel_path")).isin(*suffixes)))
+    found = listing(spark, root, recursive, suffixes=[s.lower() for s in suffixes])
+    return read_listed(found.filter(suffix(F.col("rel_path")).isin(*suffixes)))
 
 
 pyspark.cloudpickle.register_pickle_by_value(sys.modules[__name__])

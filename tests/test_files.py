@@ -1,9 +1,11 @@
 import os
 
 import pytest
+from pyspark.sql import datasource as D
 from pyspark.sql import functions as F
 
-from auditmill.sources import files
+from auditmill.functions import text
+from auditmill.sources import files, trees
 from auditmill.sources.ignore import is_ignored
 
 
@@ -67,6 +69,58 @@ def test_missing_and_empty_directories(spark, tmp_path):
     assert files.load_files(spark, str(tmp_path)).count() == 0
 
 
+def test_pushed_filters_decide_in_the_source(spark, tree):
+    spark.conf.set(trees.PUSHDOWN, "true")
+    try:
+        found = trees.listing(spark, str(tree)).filter("suffix = '.py' AND size_bytes <= 100 AND depth < 2 AND rel_path <> 'main.py'")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        filtered = [line for line in plan.splitlines() if "Filter" in line and "BatchScan" not in line]
+        assert not any("size_bytes" in line or "suffix" in line or "depth" in line for line in filtered) and any("rel_path" in line for line in filtered)
+        got = sorted(r.rel_path for r in found.collect())
+    finally:
+        spark.conf.unset(trees.PUSHDOWN)
+    same = trees.listing(spark, str(tree)).filter("suffix = '.py' AND size_bytes <= 100 AND depth < 2 AND rel_path <> 'main.py'")
+    assert got == sorted(r.rel_path for r in same.collect())
+    assert got == [".dot/in.py", ".hidden.py", "UP.PY", "bad.py", "logs/keep.py", "logs/out.py", "pkg/__init__.py", "pkg/_priv.py", "secret.py"]
+    tests = trees.Tests()
+    for item, taken in ((D.EqualTo(("suffix",), ".py"), True), (D.In(("suffix",), (".py", ".go")), True), (D.GreaterThan(("size_bytes",), 2), True),
+                        (D.EqualTo(("depth",), 1), True), (D.IsNotNull(("path",)), True), (D.EqualTo(("path",), "x"), False), (D.StringContains(("suffix",), "p"), False)):
+        assert tests.take(item) is taken
+    assert tests.hold(".py", 1, 3) and not tests.hold(".go", 1, 3) and not tests.hold(".py", 2, 3) and not tests.hold(".py", 1, 2) and tests.deepest() == 1
+
+
+def test_planned_partitions_cover_the_tree_once(tree, monkeypatch):
+    monkeypatch.setattr(trees, "SHARE_FILES", 3)
+    for i in range(20):
+        write(tree, f"many/f{i}.c")
+    want = sorted(str(p.relative_to(tree)) for p in tree.rglob("*") if p.is_file() and "loop" not in p.parts)
+    for width in (1, 2, 5, 1000):
+        reader = trees.TreeReader(str(tree), True, ["node_modules"], trees.Tests(), width)
+        planned = reader.partitions()
+        got = [rel for part in planned for batch in reader.read(part) for rel in batch.column(1).to_pylist()]
+        assert sorted(got) == [w for w in want if "node_modules" not in w]
+        if width == 1000:
+            many = [p for p in planned if p.rel_paths == ("many",)]
+            assert len(many) == 7 and max(b.num_rows for p in many for b in reader.read(p)) < 20
+        assert len(planned) <= 2 * width + 15
+    assert trees.TreeReader(str(tree / "none_here"), True, [], trees.Tests(), 4) is not None
+
+
+def test_names_leave_in_bounded_batches(tmp_path, monkeypatch):
+    monkeypatch.setattr(trees, "BATCH_ROWS", 100)
+    for i in range(1050):
+        write(tmp_path, f"n{i}.py", b"")
+    reader = trees.TreeReader(str(tmp_path), True, [], trees.Tests(), 1)
+    assert [b.num_rows for p in reader.partitions() for b in reader.read(p)] == [100] * 10 + [50]
+    remote = [e for e in trees.entries(f"file://{tmp_path}")]
+    assert len(remote) == 1050
+
+
+def test_suffix_as_the_expression_has_it(values):
+    rows = [(n,) for n in ("a.py", "A.PY", ".py", "..py", ".a.py", "a.", "a..b", "a", "x.tar.gz", "...", "a.b.")]
+    assert values(rows, "n string", lambda c: F.lower(text.suffix(c("n")))) == [trees.suffix_of(n) for (n,) in rows]
+
+
 CASES = {
     "*.log": (["a.log", "d/b.log", "c.log/x"], ["a.logs"]),
     "/top": (["top", "top/x"], ["d/top"]),
