@@ -1,12 +1,14 @@
 """Replies, checks, roll-ups and reports over the given tables."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from auditmill import params as P
 from auditmill.bindings.registry import query, spread_table, sql_lines, table
 from auditmill.functions import lookup
 from auditmill.operators import evaluate, findings, replies, report
-from auditmill.session import store
+from auditmill.session import shared_folder, store
 
 TIERS = (("critical", ("token = ", "password")), ("high", ("@",)), ("medium", ("license", "the ")))
 
@@ -153,15 +155,16 @@ def findings_table(spark, sf):
 LABELS = P.ReportLabels()
 
 
-@query(f"""WITH {RAW_SQL},
+REPORT_SQL = f"""WITH {RAW_SQL},
 head AS (SELECT count(*) AS total, concat_ws(', ',
     count(*) FILTER (WHERE severity = 'critical') || ' critical', count(*) FILTER (WHERE severity = 'high') || ' high',
-    count(*) FILTER (WHERE severity = 'low') || ' low') AS dist FROM valid)
+    count(*) FILTER (WHERE severity = 'low') || ' low') AS dist FROM valid),
+blocks AS (
 SELECT 0::INTEGER AS part, '' AS file_path, 0::BIGINT AS line_start, NULL::BIGINT AS seq,
-       md5('# {LABELS.heading}' || chr(10) || chr(10) || '{LABELS.total}' || total || chr(10) || chr(10) || '{LABELS.distribution}'
-           || dist || chr(10) || chr(10) || '---' || chr(10)) AS value FROM head
-UNION ALL SELECT DISTINCT 1, file_path, -1, NULL, md5('## ' || file_path || chr(10)) FROM valid
-UNION ALL SELECT 1, file_path, line_start, seq, md5(
+       '# {LABELS.heading}' || chr(10) || chr(10) || '{LABELS.total}' || total || chr(10) || chr(10) || '{LABELS.distribution}'
+           || dist || chr(10) || chr(10) || '---' || chr(10) AS value FROM head
+UNION ALL SELECT DISTINCT 1, file_path, -1, NULL, '## ' || file_path || chr(10) FROM valid
+UNION ALL SELECT 1, file_path, line_start, seq,
   '### ' || {ICON} || ' [' || upper(severity) || '] ' || cwe_id || ': ' || title || chr(10) || chr(10)
   || '{LABELS.lines}' || line_start || '–' || line_end || chr(10) || chr(10)
   || '{LABELS.confidence}' || {PERCENT} || chr(10) || chr(10)
@@ -169,11 +172,25 @@ UNION ALL SELECT 1, file_path, line_start, seq, md5(
   || '```' || CASE WHEN file_path LIKE '%.py' THEN 'python' WHEN file_path LIKE '%.go' THEN 'go' ELSE 'text' END || chr(10)
   || code_snippet || chr(10) || '```' || chr(10) || chr(10)
   || '{LABELS.description}' || description || chr(10) || chr(10) || chr(10)
-  || '{LABELS.recommendation}' || recommendation || chr(10) || chr(10) || '---' || chr(10)) FROM valid""")
+  || '{LABELS.recommendation}' || recommendation || chr(10) || chr(10) || '---' || chr(10) FROM valid)
+"""
+
+
+@query(REPORT_SQL + "SELECT part, file_path, line_start, seq, md5(value) AS value FROM blocks")
 def report_blocks(spark, sf):
     return report.report_blocks(store(_valid(spark, sf))).withColumn("value", F.md5("value"))
 
 
+@query(REPORT_SQL + """SELECT md5(string_agg(value || chr(10), '' ORDER BY part, file_path, line_start, seq NULLS FIRST, value)) AS body,
+       sum(len(string_split(value, chr(10))))::BIGINT AS lines FROM blocks""")
+def report_file(spark, sf):
+    """The report written as one file and read back: its digest and its lines."""
+    path = f"{shared_folder(spark)}/auditmill/report-{uuid.uuid4().hex}.md"
+    report.write_report(_valid(spark, sf), path)
+    ends = F.length("value") - F.length(F.replace("value", F.lit("\n"), F.lit("")))
+    return spark.read.text(path, wholetext=True).select(F.md5("value").alias("body"), ends.cast("bigint").alias("lines"))
+
+
 # One reply per document, in ten shapes; its text is the finding's title.
 REPLY_KINDS = """
 WITH base AS (SELECT doc_id AS chunk_id, doc_id % 10 AS kind, n_chars AS place, md5(text) AS body, md5('') AS blank FROM documents)

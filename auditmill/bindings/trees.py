@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditmill.bindings.corpora import CLEANED, NAMES, RECORDS, RULES, SECTIONS, _marked, _record_text, _rule_files
-from auditmill.bindings.registry import query, spread_table, table
+from auditmill.bindings.registry import query, spread_table, sql_strip, table
 from auditmill.functions.lookup import to_csv
 from auditmill.operators import knowledge, versions
 from auditmill.plans import index
@@ -130,6 +130,23 @@ def rule_files(spark, sf):
         F.col("metadata")["severity_hint"].alias("severity_hint"))
 
 
+@query(rf"""WITH spoken AS (SELECT doc_id, source, CASE doc_id % 4 WHEN 1 THEN {sql_strip('text')} ELSE '' END AS message FROM documents),
+texts AS (SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN CASE WHEN message = '' THEN '' ELSE 'Description: ' || message[1:600] END
+                                   WHEN 2 THEN 'Vulnerable pattern:' || chr(10) || source WHEN 3 THEN 'Severity: info' ELSE '' END AS text FROM spoken)
+SELECT 'Semgrep: r' || doc_id AS title, md5(text) AS body FROM texts WHERE text <> ''""")
+def blank_rules(spark, sf):
+    """Rules of which some have a message, some a pattern, some a severity and some nothing to say: these give no row."""
+    kind, number = F.col("doc_id") % 4, F.col("doc_id").cast("string")
+    quoted = F.to_json(F.array("text"))
+    says = (F.when(kind == 1, F.concat(F.lit(', "message": '), F.substring(quoted, F.lit(2), F.length(quoted) - 2)))
+            .when(kind == 2, F.concat(F.lit(', "pattern": "'), "source", F.lit('"'))).when(kind == 3, ', "metadata_": 1, "severity": "INFO"')
+            .otherwise(', "message": " \\n ", "patterns": [{"pattern-not": "x"}]'))
+    rule = F.concat(F.lit('{"rules": [{"id": "r'), number, F.lit('", "languages": "python", "metadata": {"cwe": 5}'), says, F.lit("}]}"))
+    root = _write_tree(spark, spread_table(spark, sf, "documents", "doc_id", "source", "text").select(F.concat(number, F.lit(".yml")).alias("rel_path"), rule.alias("content")))
+    found = rules.knowledge(rules.explode_rules(rules.read_rule_files(spark, root)))
+    return found.select("title", F.md5("text").alias("body"))
+
+
 @query(rf"""WITH {SECTIONS},
 cleaned AS (SELECT doc_id, section_no, title, {CLEANED} AS body FROM sections WHERE doc_id % 5 <> 0)
 SELECT ['CWE-89', 'CWE-79', 'CWE-22', 'CWE-352', NULL, 'CWE-89'][(1 + doc_id % 6)::INTEGER] AS cwe_id,

@@ -106,8 +106,12 @@ def weakness_id(raw: Column) -> Column:
     kind = F.schema_of_variant(raw)
     single = F.when(kind.startswith("ARRAY"), F.try_variant_get(raw, "$[0]", "string")).otherwise(
         F.try_variant_get(raw, "$", "string"))
-    named = F.upper(F.regexp_extract(single, r"(?i)(CWE-\d+)", 1))
-    return F.when(named != "", named).when(single.rlike(r"\A\d+\z"), F.concat(F.lit("CWE-"), single))
+
+    def composed(text: Column) -> Column:
+        named = F.upper(F.regexp_extract(text, r"(?i)(CWE-\d+)", 1))
+        return F.when(named != "", named).when(text.rlike(r"\A\d+\z"), F.concat(F.lit("CWE-"), text))
+
+    return let(single, composed)
 
 
 def first_truthy(*values: Column) -> Column:

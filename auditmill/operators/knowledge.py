@@ -12,8 +12,8 @@ from auditmill import params as P
 from auditmill.functions.lookup import to_csv
 from auditmill.operators import versions
 from auditmill.session import store
+from auditmill.sources.onefile import write_lines
 
-LIMITS = P.TextLimits()
 IN_PARTITION = (1 << 33) - 1
 
 
@@ -53,7 +53,7 @@ def knowledge_id(source: Column, cwe_id: Column, idx: Column) -> Column:
     return F.concat_ws("-", source, F.lower(F.replace(name, F.lit("-"), F.lit(""))), idx.cast("string"))
 
 
-def to_records(numbered: DataFrame) -> DataFrame:
+def to_records(numbered: DataFrame, limits: P.TextLimits = P.TextLimits()) -> DataFrame:
     """Stored form of knowledge rows that have an `idx`. Lists stay lists; `languages_csv` is
     the flat form for stores that have no lists."""
     return numbered.select(
@@ -61,7 +61,7 @@ def to_records(numbered: DataFrame) -> DataFrame:
         F.col("text").alias("document"),
         "source",
         F.coalesce("cwe_id", F.lit("")).alias("cwe_id"),
-        F.left("title", F.lit(LIMITS.title)).alias("title"),
+        F.left("title", F.lit(limits.title)).alias("title"),
         F.coalesce(F.try_element_at("metadata", F.lit("severity_hint")), F.lit("")).alias("severity_hint"),
         "languages",
         to_csv(F.col("languages")).alias("languages_csv"),
@@ -137,7 +137,8 @@ def id_lines(ids: DataFrame, column: str = "cwe_id") -> DataFrame:
 
 
 def write_ids(ids: DataFrame, path: str, column: str = "cwe_id") -> None:
-    id_lines(ids, column).select("value").write.mode("overwrite").text(path)
+    """One JSON file; it is replaced only when the new one is whole."""
+    write_lines(id_lines(ids, column).select("value"), path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:

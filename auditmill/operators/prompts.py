@@ -14,40 +14,41 @@ from auditmill import params as P
 from auditmill.functions.text import number_lines
 from auditmill.operators.blocks import in_shares, store_blocks
 
-LIMITS = P.TextLimits()
 SHARE_ROWS = 4096   # chunks whose entries a task holds at a time
 BLOCK_ROWS = 8192
 
 
-def knowledge_entry(cwe_id: Column, source: Column, title: Column, text: Column, examples: Column) -> Column:
+def knowledge_entry(cwe_id: Column, source: Column, title: Column, text: Column, examples: Column,
+                    limits: P.TextLimits = P.TextLimits()) -> Column:
     """`[id or SOURCE] title`, the start of the text and up to two examples."""
     label = F.when(F.coalesce(cwe_id, F.lit("")) != "", cwe_id).otherwise(F.upper(source))
-    shown = F.transform(F.slice(examples, 1, LIMITS.prompt_examples), lambda e: F.concat(F.lit("  - "), e))
+    shown = F.transform(F.slice(examples, 1, limits.prompt_examples), lambda e: F.concat(F.lit("  - "), e))
     return F.concat(
-        F.lit("["), label, F.lit("] "), title, F.lit("\n"), F.left(text, F.lit(LIMITS.prompt_body)),
-        F.when(F.size(examples) > 0, F.concat(F.lit("\nExamples:\n"), F.array_join(shown, "\n"))).otherwise(""),
+        F.lit("["), label, F.lit("] "), title, F.lit("\n"), F.left(text, F.lit(limits.prompt_body)),
+        F.when(F.size(shown) > 0, F.concat(F.lit("\nExamples:\n"), F.array_join(shown, "\n"))).otherwise(""),
     )
 
 
-def knowledge_entries(knowledge: DataFrame) -> DataFrame:
+def knowledge_entries(knowledge: DataFrame, limits: P.TextLimits = P.TextLimits()) -> DataFrame:
     """(id, entry), made once per knowledge row and before it is copied to any hit. Of a doubled id the least entry counts."""
     made = knowledge.select("id", knowledge_entry(
-        F.col("cwe_id"), F.col("source"), F.col("title"), F.col("document"), F.col("examples")).alias("entry"))
+        F.col("cwe_id"), F.col("source"), F.col("title"), F.col("document"), F.col("examples"), limits).alias("entry"))
     return made.groupBy("id").agg(F.min("entry").alias("entry"))
 
 
-def knowledge_context(hits: DataFrame, knowledge: DataFrame, key: str = "chunk_id") -> DataFrame:
+def knowledge_context(hits: DataFrame, knowledge: DataFrame, key: str = "chunk_id", limits: P.TextLimits = P.TextLimits()) -> DataFrame:
     """(key, context): the entries of each chunk in rank order, an empty line between them. `hits` has a row per hit."""
     lists = hits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("hits"))
-    return attach_context(lists, knowledge).filter("context <> ''").select(key, "context")
+    return attach_context(lists, knowledge, limits=limits).filter("context <> ''").select(key, "context")
 
 
-def attach_context(chunks: DataFrame, knowledge: DataFrame, share_rows: int = SHARE_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def attach_context(chunks: DataFrame, knowledge: DataFrame, share_rows: int = SHARE_ROWS, block_rows: int = BLOCK_ROWS,
+                   limits: P.TextLimits = P.TextLimits()) -> DataFrame:
     """Chunks with `hits`, a list that is in rank order, and now also `context`; empty for a chunk without hits.
 
     The entries are stored once and streamed past each share of chunks, which keeps those that it hits: chunks stay where
     they are, and how many entries there are does not matter."""
-    blocks, _ = store_blocks(knowledge_entries(knowledge), "id")
+    blocks, _ = store_blocks(knowledge_entries(knowledge, limits), "id")
 
     def look_up(share: list[pa.Array]) -> pa.Array:
         lists = share[0]

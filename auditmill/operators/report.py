@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from auditmill import params as P
 from auditmill.functions.lookup import fence_language, severity_icon, severity_rank
 from auditmill.functions.text import ellipsis, percent
-
-LIMITS = P.TextLimits()
+from auditmill.session import store
+from auditmill.sources.onefile import write_lines
 
 
 def severity_counts(findings: DataFrame) -> DataFrame:
@@ -36,13 +36,13 @@ def summary(findings: DataFrame) -> DataFrame:
     return findings.agg(F.count("*").alias("total"), F.array_join(parts, ", ").alias("distribution"))
 
 
-def findings_table(findings: DataFrame, seq: str = "seq") -> DataFrame:
+def findings_table(findings: DataFrame, seq: str = "seq", limits: P.TextLimits = P.TextLimits()) -> DataFrame:
     """Flat table for display, by file and first line."""
     shown = findings.select(
         "file_path",
         "cwe_id",
         F.concat(severity_icon(F.col("severity")), F.lit(" "), F.upper("severity")).alias("severity"),
-        ellipsis(F.col("title"), LIMITS.table_title).alias("title"),
+        ellipsis(F.col("title"), limits.table_title).alias("title"),
         F.concat_ws("-", F.col("line_start").cast("string"), F.col("line_end").cast("string")).alias("lines"),
         F.concat(percent(F.col("confidence")).cast("string"), F.lit("%")).alias("confidence"),
         F.col("line_start").alias("_line"),
@@ -79,6 +79,7 @@ def report_blocks(findings: DataFrame, seq: str = "seq", labels: P.ReportLabels
         F.concat_ws(
             "\n",
             F.lit(f"# {labels.heading}\n"),
+            F.lit(f"{labels.made}\n") if labels.made else F.lit(None).cast("string"),
             F.when(F.col("total") == 0, F.lit(f"{labels.empty}\n")).otherwise(F.concat(
                 F.lit(labels.total), F.col("total").cast("string"), F.lit("\n\n"),
                 F.lit(labels.distribution), F.col("distribution"), F.lit("\n\n---\n"),
@@ -94,13 +95,17 @@ def report_blocks(findings: DataFrame, seq: str = "seq", labels: P.ReportLabels
         F.lit(1).alias("part"), "file_path", F.col("line_start").cast("bigint"), F.col(seq).alias("seq"),
         finding_block(labels).alias("value"),
     )
-    return head.unionByName(headings).unionByName(blocks).orderBy("part", "file_path", "line_start", "seq")
+    whole = head.unionByName(headings).unionByName(blocks)
+    if labels.footer:
+        whole = whole.unionByName(head.withColumns({"part": F.lit(2), "value": F.lit(f"{labels.footer}\n")}))
+    return whole.orderBy("part", "file_path", "line_start", "seq", "value")  # the text decides where `seq` does not
 
 
 def write_report(findings: DataFrame, path: str, seq: str = "seq", labels: P.ReportLabels = P.ReportLabels()) -> None:
-    """Write the report as text; its part files are in order."""
-    report_blocks(findings, seq, labels).select("value").write.mode("overwrite").text(path)
+    """Write the report as one text file, replaced only when the new one is whole. The findings are stored, as the report
+    goes over them three times."""
+    write_lines(report_blocks(store(findings), seq, labels).select("value"), path)
 
 
-def write_findings(findings: DataFrame, path: str, seq: str = "seq") -> None:
-    findings_table(findings, seq).write.mode("overwrite").option("header", True).csv(path)
+def write_findings(findings: DataFrame, path: str, seq: str = "seq", limits: P.TextLimits = P.TextLimits()) -> None:
+    findings_table(findings, seq, limits).write.mode("overwrite").option("header", True).csv(path)

@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from auditmill import params as P
 from auditmill import schemas
@@ -326,10 +327,11 @@ def chunk_key(path: Column, line_start: Column, line_end: Column, name: Column,
     return F.sha2(F.concat_ws("\0", *parts), 256)
 
 
-def segment_files(files: DataFrame, max_lines: int = P.MAX_CHUNK_LINES, braced=None, indented=None) -> DataFrame:
+def segment_files(files: DataFrame, max_lines: int = P.MAX_CHUNK_LINES, braced=None, indented=None,
+                  with_ordinal: bool = False) -> DataFrame:
     """Chunks of (path, language, content): the blocks, or the whole file where there are none.
 
-    Chunks over `max_lines` are marked, never cut."""
+    Chunks over `max_lines` are marked, never cut. `ordinal` is the place of a chunk in its file, from 0."""
     whole = F.array(F.struct(
         F.lit("module").alias("kind"),
         base_name(F.col("path")).alias("name"),
@@ -354,4 +356,5 @@ def segment_files(files: DataFrame, max_lines: int = P.MAX_CHUNK_LINES, braced=N
         F.col("b.line_start").alias("line_start"),
         F.col("b.line_end").alias("line_end"),
         (F.col("b.line_end") - F.col("b.line_start") + 1 > max_lines).alias("oversized"),
-    ).to(schemas.CHUNKS)
+        *(["ordinal"] if with_ordinal else []),
+    ).to(T.StructType([*schemas.CHUNKS.fields, *([T.StructField("ordinal", T.IntegerType())] if with_ordinal else [])]))

@@ -178,6 +178,8 @@ class ReportLabels:
     severity: str = "**Severity:** "
     description: str = "**Описание:** "
     recommendation: str = "**Рекомендация:** "
+    made: str = ""    # a line below the heading, as the time of the run; none if empty
+    footer: str = ""  # the last lines; none if empty
 
 
 # --- End of fixed values. ----------------------------------------------------------

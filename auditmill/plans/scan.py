@@ -28,10 +28,12 @@ class Audit:
     raw_findings: DataFrame
     findings: DataFrame
     rejects: DataFrame
+    counters: evaluate.Counters
+    limits: P.TextLimits
 
     def funnel(self) -> DataFrame:
-        return evaluate.funnel([
-            ("files", self.files), ("chunks", self.chunks), ("raw", self.raw_findings), ("valid", self.findings)])
+        """(step, stage, n), counted while the stages were stored."""
+        return self.counters.funnel(self.findings.sparkSession)
 
     def severities(self) -> DataFrame:
         return report.severity_counts(self.findings)
@@ -87,16 +89,21 @@ def audit(
     hits, context, messages, replies and items are columns added to the rows where they are."""
     known = {*params.languages, *(braced or ()), *(indented or ())}
     files = files.filter(F.col("language").isin(*sorted(known)))
-    chunks = segment.segment_files(files, params.max_chunk_lines, braced, indented)
+    counters = evaluate.Counters()
+    chunks = segment.segment_files(files, params.max_chunk_lines, braced, indented, with_ordinal=True)
     even = chunks.repartition(tasks, "chunk_id") if tasks else chunks
-    embedded = store(hooks.embed(even, "code", embedder, params.embedding_dim, params.embed_batch))
+    # Every file has a chunk number 0. Both counts are taken as the rows are written, so no task counts twice.
+    counted = counters.observe(hooks.embed(even, "code", embedder, params.embedding_dim, params.embed_batch),
+                               files=F.count_if(F.col("ordinal") == 0), chunks=F.count("*"))
+    embedded = store(counted.drop("ordinal"))
     with_hits = knn.attach_hits(embedded, knowledge, knn_params(params))
-    messages = prompts.build_prompts(prompts.attach_context(with_hits, knowledge), system, template)
+    messages = prompts.build_prompts(prompts.attach_context(with_hits, knowledge, limits=params.limits), system, template)
     answered = ask(messages, detector, params.attempts)
     items = replies.explode_items(answered)
     raw = items.filter("reason is null")
-    checked = findings.check(raw.drop("reason"), valid_ids, params.min_confidence)
-    valid = findings.keep_first(checked.filter("reason is null"), findings.FINDING_KEY, list(SEQ))
+    checked = store(counters.observe(findings.check(raw.drop("reason"), valid_ids, params.min_confidence), raw=F.count("*")))
+    first = findings.keep_first(checked.filter("reason is null"), findings.FINDING_KEY, list(SEQ))
+    valid = store(counters.observe(first.withColumn("seq", F.struct(*SEQ[1:])), valid=F.count("*")))
     place = ("chunk_id", "attempt", "item_no", "reason")
     rejects = items.filter("reason is not null").select(*place).unionByName(
         checked.filter("reason is not null").select(*place))
@@ -108,8 +115,10 @@ def audit(
         replies=answered.drop("items"),
         items=items,
         raw_findings=raw,
-        findings=valid.withColumn("seq", F.struct(*SEQ[1:])),
+        findings=valid,
         rejects=rejects,
+        counters=counters,
+        limits=params.limits,
     )
 
 
@@ -123,5 +132,6 @@ def severity_line(run: Audit) -> DataFrame:
 
 
 def write_outputs(run: Audit, report_path: str, table_path: str, labels: P.ReportLabels = P.ReportLabels()) -> None:
+    """The report as one file, the table of findings as a folder."""
     report.write_report(run.findings, report_path, labels=labels)
-    report.write_findings(run.findings, table_path)
+    report.write_findings(run.findings, table_path, limits=run.limits)

@@ -18,7 +18,6 @@ from auditmill.functions.text import join_parts, labelled, let, strip
 from auditmill.sources.files import path_exists
 
 RECORD_END = "</Weakness>"
-LIMITS = P.TextLimits()
 
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
@@ -102,7 +101,7 @@ def _cut_texts(elements: Column, limit: int) -> Column:
     return F.filter(texts, lambda t: t != "")
 
 
-def parse_records(records: DataFrame) -> DataFrame:
+def parse_records(records: DataFrame, limits: P.TextLimits = P.TextLimits()) -> DataFrame:
     """Columns of each record: id, name, status, texts, languages and examples."""
     xml = F.col("record")
     bad_code = _elements(xml, "Example_Code", r"\sNature\s*=\s*[\"']bad[\"']")
@@ -116,8 +115,8 @@ def parse_records(records: DataFrame) -> DataFrame:
         flat_text(_child(xml, "Description")).alias("description"),
         flat_text(_child(xml, "Extended_Description")).alias("details"),
         canonical_names(names, P.CATALOGUE_LANGUAGES, P.CATALOGUE_DEFAULT_LANGUAGES).alias("languages"),
-        F.slice(_cut_texts(bad_code, LIMITS.catalogue_example), 1, LIMITS.catalogue_examples).alias("examples"),
-        _cut_texts(advice, LIMITS.catalogue_mitigation).alias("mitigations"),
+        F.slice(_cut_texts(bad_code, limits.catalogue_example), 1, limits.catalogue_examples).alias("examples"),
+        _cut_texts(advice, limits.catalogue_mitigation).alias("mitigations"),
         "order_path",
         "order_pos",
     )
@@ -128,20 +127,20 @@ def valid_ids(parsed: DataFrame) -> DataFrame:
     return parsed.select("cwe_id").distinct()
 
 
-def chunk_text(name: Column, description: Column, details: Column, mitigations: Column) -> Column:
-    listed = F.array_join(F.slice(mitigations, 1, LIMITS.catalogue_mitigations), " | ")
+def chunk_text(name: Column, description: Column, details: Column, mitigations: Column, limits: P.TextLimits = P.TextLimits()) -> Column:
+    listed = F.array_join(F.slice(mitigations, 1, limits.catalogue_mitigations), " | ")
     parts = [
         F.concat(F.lit("Name: "), name),
         labelled("Description: ", description),
-        labelled("Details: ", F.left(details, F.lit(LIMITS.catalogue_details))),
-        labelled("Mitigations: ", F.left(listed, F.lit(LIMITS.catalogue_mitigation_text))),
+        labelled("Details: ", F.left(details, F.lit(limits.catalogue_details))),
+        labelled("Mitigations: ", F.left(listed, F.lit(limits.catalogue_mitigation_text))),
     ]
-    return F.left(join_parts(parts, "\n\n"), F.lit(LIMITS.chunk_text))
+    return F.left(join_parts(parts, "\n\n"), F.lit(limits.chunk_text))
 
 
-def knowledge(parsed: DataFrame) -> DataFrame:
+def knowledge(parsed: DataFrame, limits: P.TextLimits = P.TextLimits()) -> DataFrame:
     """Knowledge rows of the entries in force. Their text is never blank: it starts with a label."""
-    text = chunk_text(F.col("name"), F.col("description"), F.col("details"), F.col("mitigations"))
+    text = chunk_text(F.col("name"), F.col("description"), F.col("details"), F.col("mitigations"), limits)
     rows = parsed.filter(~F.col("status").isin(*P.CATALOGUE_RETIRED))
     return rows.withColumn("text", text).select(
         F.lit("cwe").alias("source"),

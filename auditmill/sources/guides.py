@@ -14,8 +14,6 @@ from auditmill.functions.lookup import guide_weakness, mentioned
 from auditmill.functions.text import clean_markup, stem, strip
 from auditmill.sources.files import load_texts
 
-LIMITS = P.TextLimits()
-
 # Only a newline ends a line here, whatever else the runtime may count as one.
 HEADING = r"(?md)^## (.+)$"
 TITLE = r"(?md)^# (.+)$"
@@ -57,22 +55,22 @@ def sections(text: Column) -> Column:
     return F.when(text.rlike(HEADING), cut).otherwise(whole)
 
 
-def split_guides(files: DataFrame) -> DataFrame:
+def split_guides(files: DataFrame, limits: P.TextLimits = P.TextLimits()) -> DataFrame:
     """One row per section, cleaned, with its place in the guide; short sections are dropped.
 
     Cleaning and the length test come before the explode, so a section is cleaned once."""
     cleaned = F.transform(sections(F.col("content")), lambda s, i: F.struct(
         i.alias("section_no"), s["title"].alias("section_title"), clean_markup(s["body"]).alias("full")))
-    kept = F.filter(cleaned, lambda s: F.length(s["full"]) >= LIMITS.section_minimum)
+    kept = F.filter(cleaned, lambda s: F.length(s["full"]) >= limits.section_minimum)
     others = [c for c in files.columns if c != "content"]
-    return files.select(*others, F.inline(kept)).withColumn("body", F.left("full", F.lit(LIMITS.chunk_text))).drop("full")
+    return files.select(*others, F.inline(kept)).withColumn("body", F.left("full", F.lit(limits.chunk_text))).drop("full")
 
 
-def knowledge(files: DataFrame) -> DataFrame:
+def knowledge(files: DataFrame, limits: P.TextLimits = P.TextLimits()) -> DataFrame:
     """Knowledge rows of guides given as (path, rel_path, content)."""
     name = F.col("stem")
     shown = F.replace(F.replace(name, F.lit("_Cheat_Sheet"), F.lit("")), F.lit("_"), F.lit(" "))
-    rows = split_guides(files).withColumn("stem", stem(F.col("rel_path"))).withColumn("cwe_id", guide_weakness(name))
+    rows = split_guides(files, limits).withColumn("stem", stem(F.col("rel_path"))).withColumn("cwe_id", guide_weakness(name))
     return rows.select(
         F.lit("owasp").alias("source"),
         "cwe_id",

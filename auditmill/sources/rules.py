@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyspark.cloudpickle
@@ -18,11 +18,9 @@ from pyspark.sql import functions as F
 from auditmill import params as P
 from auditmill import schemas
 from auditmill.functions.lookup import canonical_names, first_truthy, weakness_id
-from auditmill.functions.text import join_parts, labelled, stem, strip
+from auditmill.functions.text import join_parts, labelled, let, stem, strip
 from auditmill.sources.files import load_texts
 
-LIMITS = P.TextLimits()
-
 
 def read_rule_files(spark: SparkSession, directory: str) -> DataFrame:
     """Rule files at any depth; none if the directory is missing."""
@@ -55,103 +53,87 @@ def explode_rules(files: DataFrame) -> DataFrame:
     return raw.withColumn("rule", F.try_parse_json("rule"))
 
 
-def _get(value: Column, path: str, kind: str) -> Column:
+def _get(value: Column, path: str, kind: str = "variant") -> Column:
     return F.try_variant_get(value, path, kind)
 
 
-def _has(value: Column, path: str) -> Column:
-    return _get(value, path, "variant").isNotNull()
-
-
-def _shown(value: Column, path: str) -> Column:
+def _shown(value: Column) -> Column:
     """A value as the rule's author would print it: null as None, truth values capitalised."""
-    inner = _get(value, path, "variant")
-    kind = F.schema_of_variant(inner)
-    text = _get(value, path, "string")
-    return (
-        F.when(F.is_variant_null(inner), "None")
-        .when(kind == "BOOLEAN", F.initcap(text))
-        .otherwise(text)
-    )
+    text = _get(value, "$", "string")
+    return let(text, lambda t: F.when(F.is_variant_null(value), "None").when(F.schema_of_variant(value) == "BOOLEAN", F.initcap(t)).otherwise(t))
 
 
-def _pattern_items(rule: Column, path: str, keys: list[str]) -> Column:
-    """Texts of the first items of a list; an item counts by the first of `keys` it has."""
-    items = F.slice(_get(rule, path, "array<variant>"), 1, LIMITS.rule_pattern_items)
+def _pattern_items(items: Column, text: Callable[[Column], Column], limits: P.TextLimits) -> Column:
+    """Texts of the first items of a list, without the empty ones."""
+    texts = F.transform(F.slice(items, 1, limits.rule_pattern_items), lambda i: F.coalesce(text(i), F.lit("")))
+    return F.array_join(F.filter(texts, lambda t: t != ""), "\n")
 
-    def text(item: Column) -> Column:
-        out = F.lit("")
-        for key in reversed(keys):
-            out = F.when(_has(item, f"$['{key}']"), _get(item, f"$['{key}']", "string")).otherwise(out)
-        return F.coalesce(out, F.lit(""))
 
-    return F.array_join(F.filter(F.transform(items, text), lambda t: t != ""), "\n")
+def _alternative(item: Column) -> Column:
+    """An item counts by its `pattern`, or where it has none by its `pattern-regex`."""
+    return F.when(_get(item, "$.pattern").isNotNull(), _get(item, "$.pattern", "string")).otherwise(_get(item, "$['pattern-regex']", "string"))
 
 
-def pattern_text(rule: Column) -> Column:
-    """The single pattern, else the alternatives, else the conjunction."""
-    return (
-        F.when(_has(rule, "$.pattern"), _shown(rule, "$.pattern"))
-        .when(_get(rule, "$['pattern-either']", "array<variant>").isNotNull(),
-              _pattern_items(rule, "$['pattern-either']", ["pattern", "pattern-regex"]))
-        .when(_get(rule, "$.patterns", "array<variant>").isNotNull(),
-              _pattern_items(rule, "$.patterns", ["pattern"]))
-        .otherwise("")
-    )
+def bound(rules: DataFrame) -> DataFrame:
+    """The rules as columns: what is looked up in `rule` is looked up once, in one struct.
 
-
-def rule_languages(rule: Column) -> Column:
-    """Known languages of a rule, which gives one name or a list of names."""
-    listed = F.coalesce(
-        _get(rule, "$.languages", "array<string>"),
-        F.array_compact(F.array(_get(rule, "$.languages", "string"))),
-    )
-    return canonical_names(listed, P.RULE_LANGUAGES)
-
-
-def rule_weakness(rule: Column) -> Column:
-    return weakness_id(first_truthy(
-        _get(rule, "$.metadata.cwe", "variant"), _get(rule, "$.metadata['cwe2022-top25']", "variant")))
-
-
-def chunk_text(message: Column, severity: Column, pattern: Column) -> Column:
+    A one-element explode keeps the struct a step of its own; without it Catalyst would copy every look-up into each
+    filter and column that uses it."""
+    rule = F.col("rule")
+    texts = ["id", "message", "own_severity", "severity", "pattern"]
+    paths = ["$.id", "$.message", "$.metadata.severity", "$.severity", "$.pattern"]
+    listed = F.coalesce(_get(rule, "$.languages", "array<string>"), F.array_compact(F.array(_get(rule, "$.languages", "string"))))
+    raw = F.struct(
+        F.transform(F.array(*[_get(rule, p) for p in paths]), lambda v: F.when(v.isNotNull(), _shown(v))).alias("texts"),
+        _get(rule, "$['pattern-either']", "array<variant>").alias("either"), _get(rule, "$.patterns", "array<variant>").alias("all"),
+        listed.alias("listed"), _get(rule, "$.metadata.cwe").alias("cwe"), _get(rule, "$.metadata['cwe2022-top25']").alias("other_cwe"))
+    others = [c for c in rules.columns if c != "rule"]
+    flat = rules.select(*others, F.inline(F.array(raw)))
+    return flat.select(*others, *[F.get("texts", F.lit(i)).alias(f"rule_{name}") for i, name in enumerate(texts)], "either", "all", "listed", "cwe", "other_cwe")
+
+
+def chunk_text(message: Column, severity: Column, pattern: Column, limits: P.TextLimits = P.TextLimits()) -> Column:
     parts = [
-        labelled("Description: ", F.left(message, F.lit(LIMITS.rule_message))),
+        labelled("Description: ", F.left(message, F.lit(limits.rule_message))),
         labelled("Severity: ", severity),
-        labelled("Vulnerable pattern:\n", F.left(pattern, F.lit(LIMITS.rule_pattern))),
+        labelled("Vulnerable pattern:\n", F.left(pattern, F.lit(limits.rule_pattern))),
     ]
-    return F.left(join_parts(parts, "\n\n"), F.lit(LIMITS.chunk_text))
+    return F.left(join_parts(parts, "\n\n"), F.lit(limits.chunk_text))
 
 
-def knowledge(rules: DataFrame) -> DataFrame:
+def knowledge(rules: DataFrame, limits: P.TextLimits = P.TextLimits()) -> DataFrame:
     """Knowledge rows of the rules that name a weakness and a supported language."""
-    rule = F.col("rule")
-    severity = F.lower(
-        F.when(_has(rule, "$.metadata.severity"), _shown(rule, "$.metadata.severity"))
-        .when(_has(rule, "$.severity"), _shown(rule, "$.severity"))
+    pattern = (
+        F.when(F.col("rule_pattern").isNotNull(), F.col("rule_pattern"))
+        .when(F.col("either").isNotNull(), _pattern_items(F.col("either"), _alternative, limits))
+        .when(F.col("all").isNotNull(), _pattern_items(F.col("all"), lambda i: _get(i, "$.pattern", "string"), limits))
         .otherwise("")
     )
+    given = F.struct(
+        weakness_id(first_truthy(F.col("cwe"), F.col("other_cwe"))).alias("cwe_id"),
+        canonical_names(F.col("listed"), P.RULE_LANGUAGES).alias("languages"),
+        F.coalesce("rule_id", stem(F.col("path"))).alias("shown_id"),
+        strip(F.coalesce("rule_message", F.lit(""))).alias("message"),
+        F.lower(F.coalesce("rule_own_severity", "rule_severity", F.lit(""))).alias("severity"),
+        pattern.alias("pattern"),
+    )
+    others = [c for c in rules.columns if c != "rule"]
     rows = (
-        rules.withColumn("cwe_id", rule_weakness(rule))
-        .withColumn("languages", rule_languages(rule))
+        bound(rules).select(*others, F.inline(F.array(given)))
         .filter(F.col("cwe_id").isNotNull() & (F.size("languages") > 0))
-        .withColumn("rule_id", F.when(_has(rule, "$.id"), _shown(rule, "$.id")).otherwise(stem(F.col("path"))))
-        .withColumn("message", strip(F.when(_has(rule, "$.message"), _shown(rule, "$.message")).otherwise("")))
-        .withColumn("severity", severity)
-        .withColumn("pattern", pattern_text(rule))
-        .withColumn("text", chunk_text(F.col("message"), F.col("severity"), F.col("pattern")))
+        .withColumn("text", chunk_text(F.col("message"), F.col("severity"), F.col("pattern"), limits))
     )
     return rows.filter(strip(F.col("text")) != "").select(
         F.lit("semgrep").alias("source"),
         "cwe_id",
-        F.concat(F.lit("Semgrep: "), "rule_id").alias("title"),
+        F.concat(F.lit("Semgrep: "), "shown_id").alias("title"),
         "text",
         F.filter(F.array("pattern"), lambda p: p != "").alias("examples"),
         "languages",
         F.create_map(
             F.lit("source"), F.lit("semgrep"),
             F.lit("cwe_id"), F.col("cwe_id"),
-            F.lit("rule_id"), F.col("rule_id"),
+            F.lit("rule_id"), F.col("shown_id"),
             F.lit("severity_hint"), F.when(F.col("severity") != "", F.col("severity")).otherwise("medium"),
             F.lit("file"), F.col("path"),
         ).alias("metadata"),

@@ -34,7 +34,9 @@ def test_roll_ups(spark):
 
 
 def read(path):
-    return "".join(open(p, encoding="utf-8").read() for p in sorted(glob.glob(os.path.join(path, "part-*"))))
+    """A file, or the part files of a folder."""
+    paths = sorted(glob.glob(os.path.join(path, "part-*"))) if os.path.isdir(path) else [path]
+    return "".join(open(p, encoding="utf-8").read() for p in paths)
 
 
 def test_written_report(spark, tmp_path):
@@ -129,3 +131,21 @@ def test_stored_stages_need_a_shared_folder(spark, monkeypatch):
             getCheckpointDir = staticmethod(lambda: None)
     with pytest.raises(ValueError):
         session.shared_folder(Bare)
+
+
+def test_counters_take_no_scan(spark):
+    counters = evaluate.Counters()
+    rows = counters.observe(spark.range(100).repartition(5), rows=F.count("*"), even=F.count_if(F.col("id") % 2 == 0))
+    assert rows.count() == 100
+    kept = counters.observe(rows.filter("id < 10"), kept=F.count("*"))
+    kept.write.format("noop").mode("overwrite").save()
+    table = counters.funnel(spark)
+    assert [tuple(r) for r in table.collect()] == [(1, "rows", 100), (2, "even", 50), (3, "kept", 10)]
+    assert "Scan ExistingRDD" in table._jdf.queryExecution().executedPlan().toString() or "LocalTableScan" in table._jdf.queryExecution().executedPlan().toString()
+
+
+def test_report_with_time_and_footer(spark, tmp_path):
+    found = spark.createDataFrame(FOUND[:1], SCHEMA)
+    report.write_report(found, str(tmp_path / "r.md"), labels=P.ReportLabels(heading="H", made="made today", footer="the end"))
+    text = read(str(tmp_path / "r.md"))
+    assert text.startswith("# H\n\nmade today\n") and text.endswith("---\n\nthe end\n\n")

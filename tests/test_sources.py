@@ -1,9 +1,11 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
-from auditmill.sources import catalogue, guides, rules
+from auditmill import params as P
+from auditmill.sources import catalogue, guides, onefile, rules
 
 XML = """<?xml version="1.0"?>
 <Weakness_Catalog xmlns="http://x" xmlns:xhtml="http://y"><Weaknesses>
@@ -159,3 +161,43 @@ def test_rule_without_severity(spark):
     row = rules.knowledge(rules.explode_rules(files)).first()
     assert (row["title"], row["text"], row["metadata"]["severity_hint"]) == ("Semgrep: 5", "Vulnerable pattern:\nb", "medium")
     assert rules.explode_rules(files.filter(F.lit(False))).count() == 0
+
+
+def test_rules_are_looked_up_once(spark):
+    """Each look-up stands in the plan once, however many columns and filters use it."""
+    given = spark.createDataFrame([("a.yml", "a.yml", RULE_TEXT)], "path string, rel_path string, content string")
+    plan = rules.knowledge(rules.explode_rules(given))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("variant_get") < 20
+    row = rules.knowledge(rules.explode_rules(given), P.TextLimits(rule_message=3, rule_pattern_items=1)).first()
+    assert row.text == "Description: abc\n\nSeverity: true\n\nVulnerable pattern:\np1" and row.examples == ["p1"] and row.cwe_id == "CWE-7"
+
+
+RULE_TEXT = """rules:
+- id: true
+  message: "  abcdef "
+  languages: [Python]
+  severity: ERROR
+  metadata: {severity: true, cwe: "x CWE-7 y"}
+  pattern-either: [{pattern: p1}, {pattern-regex: p2}]
+"""
+
+
+def test_one_file_of_ordered_lines(spark, tmp_path):
+    path = str(tmp_path / "out.txt")
+    rows = spark.range(0, 1000, 1, 7).select((F.col("id") * 7919 % 1000).alias("id")).orderBy("id").select(F.col("id").cast("string").alias("value"))
+    onefile.write_lines(rows, path)
+    assert open(path).read().split("\n") == [*map(str, range(1000)), ""]
+    boom = F.udf(lambda v: 1 / 0 if v == "500" else v, "string")
+    with pytest.raises(Exception):
+        onefile.write_lines(rows.select(boom("value")), path)
+    assert open(path).read().split("\n") == [*map(str, range(1000)), ""], "a write that fails leaves the old file"
+    onefile.write_lines(rows.limit(0), path)
+    assert open(path).read() == "" and os.listdir(tmp_path) == ["out.txt"]
+    onefile.write_lines(spark.createDataFrame([(None,), ("é\nx",)], "v string").coalesce(1), path)
+    assert open(path, encoding="utf-8").read() == "\né\nx\n"
+
+
+def test_limits_reach_every_corpus(spark):
+    text = spark.createDataFrame([("g.md", "g.md", "# T\n## S\n" + "word " * 40)], "path string, rel_path string, content string")
+    assert [len(r.text) for r in guides.knowledge(text, P.TextLimits(chunk_text=60)).collect()] == [60]
+    assert guides.knowledge(text, P.TextLimits(section_minimum=1000)).count() == 0
