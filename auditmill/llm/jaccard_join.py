@@ -193,15 +193,18 @@ def sketch_words(text: np.ndarray, hashes: np.ndarray, common: np.ndarray, band:
 
 
 def _words(common: np.ndarray):
+    """The sketch words of each distinct set of a task: copies in one task count once (8 bytes a set are held)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for _, data, offsets in W.slices(batch.column(0)):
                 text, hashes = shingle_sets(data, offsets)
                 sizes, _, ids = _sizes_and_ids(text, hashes, len(offsets) - 1)
-                _, once = np.unique(ids, return_index=True)
                 chosen = np.zeros(len(sizes), dtype=bool)
-                chosen[once] = True
-                chosen &= sizes > 0
+                for at, sid in enumerate(ids.tolist()):
+                    if sizes[at] and sid not in seen:
+                        seen.add(sid)
+                        chosen[at] = True
                 band = np.maximum(np.searchsorted(BANDS, sizes, side="right") - 1, 0)
                 lower = chosen & (band > 0)
                 lower &= sizes <= (BANDS[band] - 1) * 5 // 4
@@ -339,12 +342,12 @@ def _cross(choose):
 
 
 def _open_rows(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, sid, comp, m): the rows of buckets that hold several components, m of them in a bucket."""
+    """(key, sid, comp, m): the rows of buckets that hold several components, m sets in a bucket. `shared` has a set once a bucket."""
     labelled = (shared.join(labels.toDF("sid", "comp"), "sid", "left")
                 .select("key", "sid", F.coalesce("comp", "sid").alias("comp")))
     several = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
                                           F.count("*").alias("m")).filter("lo <> hi").select("key", "m")
-    return labelled.join(several, "key").dropDuplicates(["key", "sid"])
+    return labelled.join(several, "key")
 
 
 def _open_pairs(rows: DataFrame, sets: DataFrame, choose) -> DataFrame:
@@ -375,7 +378,7 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     bucket = Window.partitionBy("key")
     shared = store(docs.select("text").mapInArrow(_words(common), "key long, sid long")
                    .withColumns({"lo": F.min("sid").over(bucket), "hi": F.max("sid").over(bucket)})
-                   .filter("lo <> hi").select("key", "sid", "lo"))
+                   .filter("lo <> hi").select("key", "sid", "lo").distinct())
     first = store(shared.filter("sid <> lo").select(F.col("lo").alias("a"), F.col("sid").alias("b")).distinct())
     links, known = _links(first, sets, docs), first
     buckets, labels = shared.select("key", "sid"), components(links)
