@@ -1,6 +1,7 @@
 """Substring deduplication by sliding sentence spans (operator 7).
 
-Sentences end at a word that ends in . ! or ?, at a line end, or after LONGEST words. With local cuts, long ones are
+Sentences end at a word that ends in . ! or ? or their wide forms, at a line end, or after LONGEST words; in scripts that
+leave no blanks between words each character is a word. With local cuts, long ones are
 instead cut where their own words decide: after the word of the least hash (of equal ones the last) of every WINDOW
 words within a sentence. So a cut depends on the WINDOW - 1 words on either side only, a passage is cut alike wherever
 it stands, and no piece has more than WINDOW words. Every run of RUN consecutive sentences with at least LEAST_WORDS
@@ -32,6 +33,36 @@ LAST = (1 << 63) - 1   # stands for a null id, which comes after all others
 
 _END = np.zeros(256, dtype=bool)
 _END[list(b".!?")] = True
+# Scripts without blanks: a character of U+3000 to U+9FFF, three bytes that open with E3 to E9, is a word of its own.
+_WIDE = np.zeros(256, dtype=bool)
+_WIDE[0xE3:0xEA] = True
+WIDE_ENDS = tuple(int.from_bytes(c.encode(), "big") for c in "。！？．")
+
+
+def words_or_characters(data: np.ndarray, offsets: np.ndarray) -> W.Words:
+    """Words, cut further before and after each character of a script without blanks."""
+    words = W.words_of(data, offsets)
+    wide = np.flatnonzero(_WIDE[data])
+    if not len(wide):
+        return words
+    after = wide + 3
+    inside = after[after < len(data)]
+    inside = inside[~W.BLANK[data[inside]] & ~np.isin(inside, offsets)]
+    start = np.unique(np.concatenate([words.start, wide, inside]))
+    stop = words.end[np.searchsorted(words.start, start, side="right") - 1]
+    end = np.minimum(stop, np.append(start[1:], len(data)))
+    return W.Words(np.searchsorted(offsets, start, side="right") - 1, start, end, W.hash_pieces(data, start, end - start))
+
+
+def _ends_sentence(data: np.ndarray, words: W.Words) -> np.ndarray:
+    """Whether a word is the last of its sentence."""
+    last = words.end - 1
+    ends = _END[data[last]]
+    some = np.flatnonzero((words.end - words.start >= 3) & (data[last] >= 0x80))
+    at = words.end[some].astype(np.int64)
+    code = (data[at - 3].astype(np.int64) << 16) | (data[at - 2].astype(np.int64) << 8) | data[at - 1]
+    ends[some] |= np.isin(code, WIDE_ENDS)
+    return ends
 
 
 @dataclass
@@ -82,7 +113,7 @@ def _local_cuts(hashes: np.ndarray, opens: np.ndarray) -> np.ndarray:
 
 
 def runs_of(data: np.ndarray, offsets: np.ndarray, local_cuts: bool = False, grow: bool = False) -> Runs:
-    words = W.words_of(data, offsets)
+    words = words_or_characters(data, offsets)
     n = len(words.start)
     if not n:
         none = np.zeros(0, np.int64)
@@ -90,7 +121,7 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, local_cuts: bool = False, gro
     breaks = np.zeros(len(data) + 1, dtype=np.int32)
     np.cumsum(data == 10, out=breaks[1:])
     opens = np.ones(n, dtype=bool)
-    opens[1:] = ((words.text[1:] != words.text[:-1]) | _END[data[words.end[:-1] - 1]]
+    opens[1:] = ((words.text[1:] != words.text[:-1]) | _ends_sentence(data, words)[:-1]
                  | (breaks[words.start[1:]] > breaks[words.end[:-1]]))
     if local_cuts:
         opens = _local_cuts(words.hash, opens)

@@ -78,6 +78,11 @@ def _hash_pieces(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, tabl
     return mix(np.add.reduceat(values, starts) + lengths.astype(np.uint64) * _STEP)
 
 
+def hash_pieces(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hashes of pieces of text with nothing but blanks between them, equal for equal bytes."""
+    return _hash_pieces(data, starts, lengths, _WORD_HASH)
+
+
 @dataclass
 class Words:
     """Words of a slice in order: text number, first byte, end byte, hash."""
