@@ -22,7 +22,10 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the plain rules or the robust distance reject go."""
+    """Documents that the plain rules or the robust distance reject go.
+
+    A null or empty text fails the plain rules; repeated rows each count; a null language or source is a group like others;
+    very long texts are counted whole; further columns pass through; an empty table stays empty."""
     return quality.keep_good(docs)
 
 
@@ -30,24 +33,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of near copies the row with the smallest id stays, of several with that id the one with the least
     hash; rows that share an id only are not copies. Rows with a null id are in no group and stay."""
     mark = F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
-    first = jaccard_join.firsts(docs, mark).withColumnRenamed("mark", "_mark")
-    named = docs.filter("doc_id IS NOT NULL").withColumn("_mark", mark)
-    kept = named.join(first, ["doc_id", "_mark"], "left_semi").dropDuplicates(["doc_id", "_mark"])
-    return kept.select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    first = jaccard_join.firsts(docs, mark).toDF("id", "mark")
+    packed = docs.filter("doc_id IS NOT NULL").select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), mark.alias("mark"))
+    kept = packed.join(first, ["id", "mark"], "left_semi").dropDuplicates(["id", "mark"])
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by the name of its kind."""
+    """Personal data is replaced by the name of its kind. All rows stay; a null text stays null, an empty one empty, text
+    without personal data as it is, whatever characters it holds; further columns pass through."""
     return _recounted(personal.redact(docs))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources: documents as often as they are taken."""
+    """The mix of sources: documents as often as they are taken.
+
+    A null source is a source, a null text has no words; repeated rows each count; further columns pass through; an empty
+    table stays empty."""
     return _recounted(mixing.mixture(docs))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Number of ids and digests of the ids and of the decoded text of each row of the mix."""
+    """Number of ids and digests of the ids and of the decoded text of each row of the mix. A null text is empty; null ids
+    and repeated rows are kept; further columns are left out; an empty table gives none."""
     import public_tokenizers
     return pieces.token_digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
