@@ -80,21 +80,31 @@ def mixture(documents: DataFrame, weights: Sequence[float] = WEIGHTS, most: floa
     """The rows of the mix with the columns of `documents`: a document as often as its complete epochs, and once more
     if the rest of the target holds it or ends in it; in the latter case its text is cut after the words taken.
 
-    Rows equal in id, source and text count as repeats of one document."""
+    Rows equal in id, source and text count as repeats of one document: they are numbered within each part of the table
+    and by the counts of the parts before, so no task holds all of them. A null text has no words and stays null, very
+    long texts are cut like others; other columns pass through whatever their names; an empty table gives an empty one."""
     taken = mix(documents, weights, most, seed, id_column, text_column, source_column)
-    def keys(content: Column) -> dict[str, Column]:
-        parts = (F.col(id_column), F.col(source_column), content)
-        return {"_k1": F.xxhash64(*parts), "_k2": F.hash(*parts)}
-    plan = (taken.filter("epochs > 0 OR part > 0").withColumns(keys(F.col("content"))).groupBy("_k1", "_k2")
-            .agg(F.max("size").alias("_size"), F.max("epochs").alias("_epochs"), F.sum("part").alias("_parts")))
-    same = Window.partitionBy("_k1", "_k2").orderBy(F.lit(0))
-    rows = (documents.withColumns(keys(F.xxhash64(text_column))).withColumn("_n", F.row_number().over(same) - 1)
-            .join(plan, ["_k1", "_k2"]))
-    part = F.least("_size", F.greatest(F.lit(0), F.col("_parts") - F.col("_n") * F.col("_size")))
-    rows = rows.withColumn("_part", part.cast("long"))
-    copies = F.col("_epochs") + F.when(F.col("_part") > 0, 1).otherwise(0)
-    rows = rows.filter(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
-    pieces = F.split(F.col(text_column), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    cut = F.array_join(F.slice(pieces, F.lit(1), F.col("_part").cast("int")), "")
-    is_cut = (F.col("_copy") > F.col("_epochs")) & (F.col("_part") < F.col("_size"))
-    return rows.withColumn(text_column, F.when(is_cut, cut).otherwise(F.col(text_column))).select(documents.columns)
+
+    def keys(row_id: Column, source: Column, content: Column) -> list[Column]:
+        parts = (row_id, source, content)
+        return [F.xxhash64(*parts).alias("k1"), F.hash(*parts).alias("k2")]
+    plan = (taken.filter("epochs > 0 OR part > 0").select(*keys(F.col(id_column), F.col(source_column), F.col("content")), "size", "epochs", "part")
+            .groupBy("k1", "k2").agg(F.max("size").alias("size"), F.max("epochs").alias("epochs"), F.sum("part").alias("parts")))
+    packed = documents.select(F.struct(*documents.columns).alias("row"), F.spark_partition_id().alias("p"),
+                              *keys(F.col(id_column), F.col(source_column), F.xxhash64(text_column)))
+    same = Window.partitionBy("k1", "k2", "p").orderBy(F.lit(0))
+    rows = store(packed.withColumn("n", F.row_number().over(same) - 1))
+    earlier = Window.partitionBy("k1", "k2").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("k1", "k2", "p").agg(F.count("*").alias("c"))
+    starts = counts.select("k1", "k2", "p", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("start"))
+    rows = rows.join(starts.join(plan, ["k1", "k2"]), ["k1", "k2", "p"]).withColumn("n", F.col("n") + F.col("start"))
+    part = F.least("size", F.greatest(F.lit(0), F.col("parts") - F.col("n") * F.col("size")))
+    rows = rows.withColumn("part", part.cast("long"))
+    copies = F.col("epochs") + F.when(F.col("part") > 0, 1).otherwise(0)
+    rows = rows.filter(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    text = F.col("row").getField(text_column)
+    pieces = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    cut = F.array_join(F.slice(pieces, F.lit(1), F.col("part").cast("int")), "")
+    is_cut = (F.col("copy") > F.col("epochs")) & (F.col("part") < F.col("size"))
+    given = F.when(is_cut, cut).otherwise(text).alias(text_column)
+    return rows.select(*[given if c == text_column else F.col("row").getField(c).alias(c) for c in documents.columns])

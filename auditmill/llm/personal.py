@@ -172,11 +172,15 @@ def find(documents: DataFrame, id_column: str = "doc_id", text_column: str = "te
                         _joined(F.col("scored")).alias("spans"), "scored")
 
 
+# Each pair opens with NEUTRAL, which stands for itself by the pair that is written first and read last.
+_PAIRS = ((NEUTRAL, NEUTRAL + "\ue005"), (OPEN, NEUTRAL + "\ue003"), (CLOSE, NEUTRAL + "\ue004"))
+
+
 def redacted(text: Column) -> Column:
     """The text with [KIND] in place of each span; a null text stays null.
 
     Kinds are replaced one after the other, those that can hold others first, so overlapping spans go with the
-    outer one. Private-use marks in the text become U+E002."""
+    outer one. Private-use characters of the text that stand for marks here are written as pairs meanwhile."""
     kinds = {k.name: k for k in KINDS}
     def replacing(kind: Kind) -> Callable[[Column], Column]:
         return lambda t: replace(t, kind)
@@ -190,9 +194,13 @@ def redacted(text: Column) -> Column:
                 return F.when(i == 0, piece).when(good, F.concat(F.lit(f"[{kind.name.upper()}]"), after)).otherwise(F.concat(match, after))
             return F.when(F.size(pieces) == 1, F.element_at(pieces, 1)).otherwise(F.array_join(F.transform(pieces, one), ""))
         return let(_marked(t, kind), rebuilt)
-    out = F.translate(text, OPEN + CLOSE, NEUTRAL * 2)
+    out = text
+    for char, pair in _PAIRS:
+        out = F.replace(out, F.lit(char), F.lit(pair))
     for name in REDACTION_ORDER:
         out = let(out, replacing(kinds[name]))
+    for char, pair in reversed(_PAIRS):
+        out = F.replace(out, F.lit(pair), F.lit(char))
     return F.when(text.isNotNull(), out)
 
 

@@ -85,7 +85,11 @@ def assign(documents: DataFrame, tree: Tree, grown: Tree | None = None, id_colum
 
 
 def write(documents: DataFrame, path: str, tree: Tree, tasks_per_shard: int = 8, id_column: str = "doc_id") -> None:
-    """Write `documents` under path/_shard=N; each shard is written by `tasks_per_shard` tasks."""
+    """Write `documents` under path/_shard=N; each shard is written by `tasks_per_shard` tasks. The folders' column gets
+    a longer name where the table has one of that name."""
+    def spare(name: str) -> str:
+        return spare(name + "_") if name in documents.columns else name
+    shard_column, salt_column = spare("_shard"), spare("_salt")
     salt = F.pmod(F.xxhash64(F.lit("salt"), F.col(id_column), F.monotonically_increasing_id()), F.lit(tasks_per_shard))
-    (documents.withColumn("_shard", place(F.col(id_column), tree)).withColumn("_salt", salt)
-     .repartition(tree.total * tasks_per_shard, "_shard", "_salt").drop("_salt").write.partitionBy("_shard").parquet(path))
+    (documents.withColumn(shard_column, place(F.col(id_column), tree)).withColumn(salt_column, salt)
+     .repartition(tree.total * tasks_per_shard, shard_column, salt_column).drop(salt_column).write.partitionBy(shard_column).parquet(path))
