@@ -362,6 +362,25 @@ def _braced(spark, sf):
         F.concat(F.lit("/* { */\n"), F.array_join(pieces, ";\n\n"), F.lit("\n")).alias("content"))
 
 
+@query(rf"""WITH {LINES},
+pieces AS (SELECT doc_id, i, CASE i % 2 WHEN 0 THEN 4 ELSE 3 END AS height,
+  CASE i % 2 WHEN 0 THEN 'function f' || i || '(a) {{' || chr(10) || '  // }}' || l || chr(10) || '  return a / 2 + /[}}"/]\/{{/g.exec(a).length / 2;' || chr(10) || '}}'
+             ELSE 'a =>' || chr(10) || '  a.replace(/[{{''`]/g, ''{{'')' || chr(10) || '    .split(''}}'')' END AS code FROM lines),
+placed AS (SELECT *, 2 + sum(height) OVER (PARTITION BY doc_id ORDER BY i) - height AS line_start FROM pieces)
+SELECT doc_id, CASE i % 2 WHEN 0 THEN 'f' || i ELSE '<anonymous>' END AS name, line_start::INTEGER AS line_start,
+       (line_start + height - 1)::INTEGER AS line_end, md5(code) AS code FROM placed""")
+def segment_literals(spark, sf):
+    """Each text as a JavaScript file: functions with braces and quotes in regular expressions beside divisions, and arrow
+    functions whose expressions span lines."""
+    pieces = F.transform(F.split("text", "\n", -1), lambda line, i: F.when(i % 2 == 0, F.concat(
+        F.lit("function f"), i.cast("string"), F.lit("(a) {\n  // }"), line, F.lit('\n  return a / 2 + /[}"/]\\/{/g.exec(a).length / 2;\n}'))).otherwise(F.concat(
+            F.lit("const g"), i.cast("string"), F.lit(" = a =>\n  a.replace(/[{'`]/g, '{')\n    .split('}');"))))
+    files = _spread_docs(spark, sf).select(
+        _text("doc_id").alias("path"), F.lit("javascript").alias("language"), F.concat(F.lit("/* { */\n"), F.array_join(pieces, "\n")).alias("content"))
+    return segment.segment_files(files).select(
+        F.col("file_path").cast("bigint").alias("doc_id"), "name", "line_start", "line_end", F.md5("code").alias("code"))
+
+
 @query(f"""WITH {LINES},
 heads AS (SELECT *, {[h[0] for h in HEADS.values()]!r}[(1 + doc_id % 4)::INTEGER] AS before, {[h[1] for h in HEADS.values()]!r}[(1 + doc_id % 4)::INTEGER] AS after FROM lines)
 SELECT doc_id, {list(HEADS)!r}[(1 + doc_id % 4)::INTEGER] AS language,

@@ -8,9 +8,10 @@ without moving anything, so that positions and line numbers stay those of the fi
 * Braced languages: the text is cut at block heads and braces; a block runs from its head
   to the brace that closes it.
 
-A block found inside an open block is part of that block. What a full parser would see and
-this does not: regular-expression literals, heads made by macros, bodies without braces of
-arrow functions that span lines.
+A block found inside an open block is part of that block. A slash opens a regular-expression literal where an operand
+is due (after an operator, an opening bracket or a keyword). The body of an arrow function without braces goes on in the
+next line where a line ends or the next one opens with an operator. What a full parser would see and this does not: heads
+made by macros.
 """
 
 from __future__ import annotations
@@ -41,6 +42,13 @@ _HASH = r"#[^\n]*+"
 _DIRECTIVE = r"#(?:[^\n\\]|\\[\s\S])*+"
 
 
+# A slash opens a literal where an operand is due: after an operator, an opening bracket or one of some keywords, and
+# blanks; not after ++ and --. Within a class of characters a slash ends nothing.
+_DUE = (r"(?<=(?:\A|[(,=:\[!&|?{;+*%~^-]|=>|\b(?:return|typeof|case|in|of|delete|void|throw|do|else))\s{0,16})"
+        r"(?<!\+\+\s{0,16})(?<!--\s{0,16})")
+_REGEX = _DUE + r"/(?![/*])(?:[^/\\\[\n]++|\\[^\n]|\[(?:[^\]\\\n]++|\\[^\n])*+\])++/[a-z]*+"
+
+
 def _nested(inner: str) -> str:
     """Parentheses with up to two further levels in them; `inner` is what else may occur."""
     deep = rf"\((?:[^(){{}};]++|{inner})*+\)"
@@ -101,9 +109,13 @@ _GO = BracedLanguage(
 
 _JS_PARAMS = _nested(r"\{[^{}]*+\}")
 _JS_TYPE = r"(?:\s*:\s*[^{};=]+)?\s*"
+_JS_PAREN = r"\((?:[^()]++|\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\))*+\)"
+_JS_BRACKET = r"\[(?:[^\[\]]++|\[(?:[^\[\]]++|\[[^\[\]]*+\])*+\])*+\]"
+_JS_GOES_ON = r"\n(?=[ \t]*+(?:[.?:+*%&|<>=^-]|/(?![/*])))|(?<=[.?:+*/%&|<>=^-][ \t]{0,8})\n"
+_JS_BODY = rf"(?:[^\n;,(){{}}\[\]]++|{_JS_PAREN}|{_JS_BRACKET}|{_JS_GOES_ON})++"
 _JS_KEYWORDS = r"(?!(?:if|for|while|switch|catch|with|return|function|do|else|try|typeof|new|await)\b)"
 _JS = BracedLanguage(
-    f"{_DOUBLE}|{_SINGLE}|{_TEMPLATE}|{_SLASHES}",
+    f"{_DOUBLE}|{_SINGLE}|{_TEMPLATE}|{_SLASHES}|{_REGEX}",
     (
         Head(
             "function",
@@ -112,8 +124,7 @@ _JS = BracedLanguage(
         Head("function", r"(?:async\s*)?(?:" + _JS_PARAMS + _JS_TYPE + r"|[\w$]++\s*+)=>\s*\{", named=False),
         Head(
             "function",
-            r"(?:async\s*)?(?:" + _JS_PARAMS + _JS_TYPE + r"|[\w$]++\s*+)=>\s*(?![\s{])[^\n;,(){}\[\]]*+"
-            r"(?:\((?:[^()]|\([^()]*+\))*+\)[^\n;,(){}\[\]]*+)*+",
+            r"(?:async\s*)?(?:" + _JS_PARAMS + _JS_TYPE + r"|[\w$]++\s*+)=>\s*(?![\s{])" + _JS_BODY,
             named=False,
         ),
         Head("class", r"(?<!abstract\s)(?<![=(,:]\s)(?<![=(,:])class\s+([\w$]+)[^{};]*+\{"),
@@ -167,7 +178,7 @@ def blank_literals(text: Column, literals: str) -> Column:
 
     def cover(piece: Column) -> Column:
         return (
-            F.when(piece.rlike(r"\A[\"'`]"), F.regexp_replace(piece, r"[^\n]", FILL))
+            F.when(piece.rlike(r"\A(?:[\"'`]|/[^/*])"), F.regexp_replace(piece, r"[^\n]", FILL))  # a slash that divides stands alone
             .when(piece.rlike(r"\A(?:#|//|/\*)") & piece.rlike(rf"\A(?:{literals})"),
                   F.regexp_replace(piece, r"[^\n]", " "))
             .otherwise(piece)

@@ -111,6 +111,11 @@ EXPECTED = {
     ("e.js", "javascript", ""): [("module", "e.js", 1, 1)],
     ("f.py", "python", "def load(p):\n    return p\n\n\ndef store():\n    ...\n"): [("function", "load", 1, 2), ("function", "store", 5, 6)],
     ("g.java", "java", "// c\npublic String run(String in) throws Exception {\n  return in;\n}"): [("function", "run", 2, 4)],
+    ("i.js", "javascript", "const r = /[{/\"]}'/gi, h = a / b / c;\nfunction f(x) {\n  if (/}/.test(x)) { return x++ / 2; }\n  return /`/;\n}\nlet i = 1; i++ / 2; function g() { }\n"): [
+        ("function", "f", 2, 5), ("function", "g", 6, 6)],
+    ("j.ts", "typescript", "export const f = (a: number) =>\n  a +\n  b.map(x => ({ x }))\n   .filter(y => y);\nconst t = z => [z, { z }];\nconst u = () =>\n  v\n  || w\nlet q = 1;\n"): [
+        ("function", "<anonymous>", 1, 4), ("function", "<anonymous>", 5, 5), ("function", "<anonymous>", 6, 8)],
+    ("k.js", "javascript", "a = b\n/ c / d;\nfunction h() { return [1].map(e => e / 2) }\nconst k = <p>{x}</p>;\n"): [("function", "h", 3, 3)],
     ("h.ts", "typescript", "abstract class A { go(x: number): Promise<void> { } }\nexport function f<T>(x: T): T { return x; }"): [
         ("function", "go", 1, 1), ("function", "f", 2, 2)],
 }
