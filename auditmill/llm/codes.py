@@ -23,7 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from auditmill.session import bound_batches, store
+from auditmill.llm.batches import bound_batches
+from auditmill.session import store
 
 PARTS, ENTRIES, ROUNDS = 16, 64, 2
 SCALE = 256

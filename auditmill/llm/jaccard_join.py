@@ -23,8 +23,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditmill.llm import words as W
+from auditmill.llm.batches import bound_batches
 from auditmill.llm.components import components
-from auditmill.session import bound_batches, store
+from auditmill.session import store
 
 SHINGLE = 5
 SPARE = 0.25          # E as a share of D + 1

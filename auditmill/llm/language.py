@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditmill.llm import words as W
+from auditmill.llm.batches import bound_batches
 from auditmill.operators.blocks import Blocks, store_blocks
-from auditmill.session import bound_batches
 
 BINS = 1 << 16
 SMOOTHING = 0.5

@@ -21,7 +21,8 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditmill.session import bound_batches
+from auditmill.llm.batches import bound_batches
+
 
 # A tag's attributes hold no "<" outside quotes, so a search never goes far beyond the next one.
 TOKEN = re.compile(

@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditmill.llm.batches import bound_batches
 from auditmill.llm.words import BASE, mix
-from auditmill.session import bound_batches
 
 LEAST_LEVEL = 2
 SKETCH = 48

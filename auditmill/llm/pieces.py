@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditmill.session import bound_batches
+from auditmill.llm.batches import bound_batches
+
 
 MARK = "▁"
 MEMO = 300_000       # parts remembered by a worker, in two generations, and pairs; the older go first

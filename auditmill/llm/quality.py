@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditmill.llm import words as W
-from auditmill.session import bound_batches, store
+from auditmill.llm.batches import bound_batches
+from auditmill.session import store
 
 KEEP = 0.75             # share of a group's rows that the estimate rests on
 PRIOR = 100             # rows that the wider group's estimate counts for

@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from auditmill.llm import repair_tables as R
+from auditmill.llm.batches import bound_batches
 from auditmill.llm.order import running_total
-from auditmill.session import bound_batches, store
+from auditmill.session import store
 
 PIECE_ROWS, PIECE_CHARS = 4096, 1 << 23
 HEAD = 100

@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditmill.llm import words as W
-from auditmill.session import bound_batches, store
+from auditmill.llm.batches import bound_batches
+from auditmill.session import store
 
 RUN = 3
 LEAST_WORDS = 8

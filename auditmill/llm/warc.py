@@ -24,7 +24,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditmill.session import bound_batches, shared_folder, store
+from auditmill.llm.batches import bound_batches
+from auditmill.session import shared_folder, store
 from auditmill.sources.files import open_path
 
 FRAME_BYTES = 1 << 18
