@@ -10,7 +10,7 @@ from auditmill import params as P
 from auditmill.bindings.registry import query, spread_table, sql_strip, table
 from auditmill.functions.lookup import to_csv
 from auditmill.operators import knowledge, segment
-from auditmill.session import materialize
+from auditmill.session import store
 from auditmill.sources import catalogue, guides, rules
 
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
@@ -293,7 +293,7 @@ def knowledge_index(spark, sf):
         guides.knowledge(_marked(spark, sf)),
         rules.knowledge(rules.explode_rules(_rule_files(spark, sf))),
     ])
-    records = knowledge.to_records(knowledge.number_rows(materialize(united), ["source_rank", "order_path", "order_pos"]))
+    records = knowledge.to_records(knowledge.number_rows(store(united), ["source_rank", "order_path", "order_pos"]))
     return records.select(
         "id", F.md5("document").alias("document"), F.when(F.col("source") != "owasp", F.col("languages_csv")).alias("languages"))
 

@@ -141,8 +141,6 @@ SEVERITY_ICONS = {
 FENCE_LANGUAGES = {ext: lang for ext, lang in EXTENSION_LANGUAGES.items() if ext != ".cjs"}
 FENCE_DEFAULT = "text"
 
-KNOWLEDGE_SOURCES = ("cwe", "owasp", "semgrep")
-
 
 @dataclass(frozen=True)
 class TextLimits:

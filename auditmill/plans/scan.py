@@ -127,10 +127,6 @@ def reject_summary(run: Audit) -> DataFrame:
     return findings.reject_counts(run.rejects)
 
 
-def severity_line(run: Audit) -> DataFrame:
-    return report.summary(run.findings)
-
-
 def write_outputs(run: Audit, report_path: str, table_path: str, labels: P.ReportLabels = P.ReportLabels()) -> None:
     """The report as one file, the table of findings as a folder."""
     report.write_report(run.findings, report_path, labels=labels)

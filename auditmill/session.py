@@ -36,24 +36,6 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
-def _has_checkpoint_dir(spark: SparkSession) -> bool:
-    return spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write `df` out once and go on from the stored rows.
-
-    Used where a second evaluation would be wrong (row numbers by partition) or costly
-    (model calls). The rows go to the folder named by `spark.checkpoint.dir`, so they
-    survive the loss of executors; a cluster without one is refused. Rows keep their partitions;
-    where that does not matter, `store` keeps columns and is the better choice.
-    """
-    spark = df.sparkSession
-    if not _has_checkpoint_dir(spark):
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder for stored stages that driver and executors share.
 
@@ -76,14 +58,3 @@ def store(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/auditmill/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-# Arrow batches of long texts: few rows and bytes, so that a task holds some megabytes at a time.
-BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Set the limits of Arrow batches that the session leaves open."""
-    for name, value in BATCH_LIMITS.items():
-        if spark.conf.get(name, None) is None:
-            spark.conf.set(name, value)
