@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from auditmill.llm import components, jaccard_join, spans
+from auditmill.llm import components, jaccard_join, spans, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -220,3 +220,61 @@ def test_spans_of_rows_that_share_an_id(docs):
     assert len(got) == len(rows) and sorted(i or 0 for i, _ in got) == sorted(i or 0 for i, _ in rows)
     assert [i for i, t in got if a in t] == [None] and [i for i, t in got if b in t] == [7] and [i for i, t in got if c in t] == [8]
     assert sum(t == "" for i, t in got if i == 9) == 3
+
+
+def word_hash(word, known={}):
+    """The hash that decides cuts; the rest of the rule is restated below."""
+    if word not in known:
+        data = np.frombuffer(word.encode(), np.uint8)
+        known[word] = int(words.words_of(data, np.array([0, len(data)])).hash[0])
+    return known[word]
+
+
+def pieces_by_words(text):
+    """Sentences, cut after the word of least hash (the last of equal ones) of each WINDOW words in them."""
+    places, out, sentence = [m.span() for m in WORD.finditer(text)], [], []
+    for k, (a, b) in enumerate(places):
+        sentence.append((a, b))
+        if k + 1 == len(places) or text[b - 1] in ".!?" or "\n" in text[b:places[k + 1][0]]:
+            hashes = [word_hash(text[x:y]) for x, y in sentence]
+            cuts = {max(range(i, i + spans.WINDOW), key=lambda j: (-hashes[j], j)) for i in range(len(sentence) - spans.WINDOW + 1)}
+            now = []
+            for j, place in enumerate(sentence):
+                now.append(place)
+                if j in cuts or j + 1 == len(sentence):
+                    out.append(now)
+                    now = []
+            sentence = []
+    return out
+
+
+def without_grown_repeats(rows):
+    """What the registered query returns: local cuts, and runs that grow to LEAST_WORDS words."""
+    seen, out = set(), {}
+    for i, text in sorted(rows):
+        units = pieces_by_words(text)
+        said = [tuple(text[a:b] for a, b in u) for u in units]
+        gone, own = set(), set()
+        for k in range(len(units)):
+            end = k + spans.RUN
+            while end <= len(units) and sum(map(len, said[k:end])) < spans.LEAST_WORDS:
+                end += 1
+            if end > len(units):
+                continue
+            run = tuple(said[k:end])
+            if run in own or run in seen:
+                gone |= set(range(k, end))
+            own.add(run)
+        seen |= own
+        cuts = [0, *(u[0][0] for u in units[1:]), len(text)]
+        out[i] = ("".join(text[cuts[k]:cuts[k + 1]] for k in range(len(units)) if k not in gone) if units else text, len(units), len(gone))
+    return out
+
+
+def test_spans_as_registered(docs):
+    rng = random.Random(12)
+    vocabulary = [f"{c}{k}" for c in "aéz" for k in range(12)]
+    pool = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 40))) + rng.choice([".", "!", "\n", "", "?\n"]) for _ in range(30)]
+    rows = [(i, rng.choice(["", " "]) + rng.choice([" ", "\n"]).join(rng.choice(pool) for _ in range(rng.randint(0, 10)))) for i in range(150)]
+    got = {r.doc_id: tuple(r)[1:] for r in spans.remove_repeats(docs(rows), local_cuts=True, grow=True).collect()}
+    assert got == without_grown_repeats(rows) and sum(v[2] for v in got.values()) > 100
