@@ -9,6 +9,7 @@ and a write that is broken off leaves it. The commit streams the parts in pieces
 
 from __future__ import annotations
 
+import hashlib
 import sys
 import uuid
 from collections.abc import Iterator
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 import pyspark.cloudpickle
 from pyarrow import fs as arrow_fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import datasource as D
 
 from auditmill.sources.trees import open_path
@@ -93,4 +94,22 @@ def write_lines(lines: DataFrame, path: str) -> None:
     lines.write.format(NAME).mode("overwrite").option("path", path).save()
 
 
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            fs, inner = open_path(path)
+            body, lines = hashlib.md5(usedforsecurity=False), 0
+            with fs.open_input_stream(inner, compression=None) as source:
+                while piece := source.read(COPY_BYTES):
+                    body.update(piece)
+                    lines += piece.count(b"\n")
+            yield pa.RecordBatch.from_arrays([pa.array([body.hexdigest()]), pa.array([lines])], names=["body", "lines"])
+
+
+def read_digest(spark: SparkSession, path: str) -> DataFrame:
+    """(body, lines) of one file: its MD5 digest and its line ends. A digest needs the bytes in order, so one task streams
+    them, COPY_BYTES at a time."""
+    return spark.createDataFrame([(path,)], "path string").mapInArrow(_digests, "body string, lines bigint")
+
+
 pyspark.cloudpickle.register_pickle_by_value(sys.modules[__name__])

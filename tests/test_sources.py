@@ -201,3 +201,16 @@ def test_limits_reach_every_corpus(spark):
     text = spark.createDataFrame([("g.md", "g.md", "# T\n## S\n" + "word " * 40)], "path string, rel_path string, content string")
     assert [len(r.text) for r in guides.knowledge(text, P.TextLimits(chunk_text=60)).collect()] == [60]
     assert guides.knowledge(text, P.TextLimits(section_minimum=1000)).count() == 0
+
+
+def test_digest_of_a_file_is_streamed(spark, tmp_path, monkeypatch):
+    import hashlib
+    import inspect
+
+    from auditmill.bindings import findings
+    from auditmill.sources import onefile
+    path, body = tmp_path / "r.md", "é\r\nx\n".encode() * 5000 + b"end"
+    path.write_bytes(body)
+    monkeypatch.setattr(onefile, "COPY_BYTES", 1000)
+    assert [tuple(r) for r in onefile.read_digest(spark, str(path)).collect()] == [(hashlib.md5(body).hexdigest(), 10000)]
+    assert "wholetext" not in inspect.getsource(findings.report_file)
