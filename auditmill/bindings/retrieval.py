@@ -22,7 +22,8 @@ ranked AS (
 def _sides(spark, sf):
     vecs = table(spark, sf, "embeddings")
     label = F.col("label").cast("string")
-    asking = vecs.select(F.col("vec_id").alias("chunk_id"), "embedding", label.alias("language"))
+    asking = spread_table(spark, sf, "embeddings", "vec_id", "embedding", "label").select(
+        F.col("vec_id").alias("chunk_id"), "embedding", label.alias("language"))
     known = vecs.select(F.col("vec_id").alias("id"), "embedding", F.array(label).alias("languages"))
     return asking, known
 

@@ -21,6 +21,9 @@ from pyspark.sql import DataFrame
 from auditmill.session import store
 from auditmill.sources.files import open_path
 
+READ_ROWS = 1024
+READ_BYTES = 1 << 20   # of each column
+
 
 @dataclass(frozen=True)
 class Blocks:
@@ -30,12 +33,15 @@ class Blocks:
     names: tuple[str, ...]
 
     def read(self, columns: Sequence[str], rows: int) -> Iterator[pa.Table]:
-        """Tables of at most `rows` rows, in the stored order."""
+        """Tables of at most `rows` rows, in the stored order. Files are read as streams, a column chunk is never held as a
+        whole, and small tables are cut from what is read READ_ROWS rows at a time."""
         for path in self.paths:
             fs, inner = open_path(path)
             with fs.open_input_file(inner) as file:
-                for batch in pq.ParquetFile(file).iter_batches(batch_size=rows, columns=list(columns)):
-                    yield pa.Table.from_batches([batch])
+                stored = pq.ParquetFile(file, buffer_size=READ_BYTES, pre_buffer=False)
+                for batch in stored.iter_batches(batch_size=max(rows, READ_ROWS), columns=list(columns)):
+                    for at in range(0, batch.num_rows, rows):
+                        yield pa.Table.from_batches([batch.slice(at, rows)])
 
 
 def store_blocks(rows: DataFrame, order: str) -> tuple[Blocks, DataFrame]:

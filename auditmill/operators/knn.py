@@ -28,6 +28,7 @@ from auditmill.operators.blocks import Blocks, in_shares, store_blocks
 
 DIGITS = 9
 SCORE_CELLS = 1_000_000
+HIT_WORDS = 8   # what a hit that is held takes, in doubles
 # Below any cosine: a pair without similarity ranks last, an excluded one is never taken.
 NO_SIMILARITY, EXCLUDED = -3.0, -4.0
 
@@ -37,7 +38,7 @@ class KnnParams:
     """`mode` is how languages count: 'none'; 'post', which drops hits of other languages after
     the k best were taken; or 'pre', which takes the k best among rows of the language. With
     `empty_means_all` a knowledge row without languages fits every language. A task holds `share_bytes` of query
-    vectors and `block_bytes` of knowledge vectors at a time, both as doubles."""
+    vectors with their hits so far and scores `block_bytes` of knowledge vectors at a time, both as doubles."""
 
     k: int = 5
     mode: str = "none"
@@ -116,12 +117,13 @@ class _Block:
             self._fit[tag] = fit
         return self._fit[tag]
 
-    def top(self, vectors: np.ndarray, usable: np.ndarray, tags: list | None, p: KnnParams):
-        """(first query, query row, knowledge row, similarity, rank, fits) of the k best, in steps of bounded size."""
+    def top(self, vectors: np.ndarray, usable: np.ndarray, tags: list | None, p: KnnParams, bar: np.ndarray):
+        """(first query, query row, knowledge row, similarity, rank, fits) of the k best, in steps of bounded size, of the
+        queries that have a row here above their `bar`."""
         step = max(1, SCORE_CELLS // max(1, len(self.ids)))
         for at in range(0, len(vectors), step):
             part = slice(at, at + step)
-            sims = vectors[part] @ self.units.T
+            sims = (self.units @ vectors[part].T).T  # so laid out that the maxima of queries are taken side by side
             if not self.usable.all():
                 sims[:, ~self.usable] = NO_SIMILARITY
             if not usable[part].all():
@@ -131,7 +133,12 @@ class _Block:
                 fit = np.stack([self.fits(t, p.empty_means_all) for t in tags[part]])
             if p.mode == "pre":
                 sims[~fit] = EXCLUDED
-            rows, cols, sim, rank = _best(sims, p.k)
+            # What rounds to the bar or less comes after what is held. Most blocks of a long table hold nothing for most queries.
+            some = np.flatnonzero(sims.max(axis=1) > bar[part] + 0.4 * 10.0**-DIGITS)
+            if not len(some):
+                continue
+            rows, cols, sim, rank = _best(np.ascontiguousarray(sims[some]), p.k)
+            rows = some[rows]
             yield at, rows, cols, sim, rank, np.ones(len(rows), dtype=bool) if fit is None else fit[rows, cols]
 
 
@@ -182,7 +189,8 @@ def _hit_type(id_type: T.DataType) -> T.ArrayType:
 def _hits(blocks: Blocks, dim: int, p: KnnParams, id_type: T.DataType, vector: Column, tag: Column) -> Column:
     """Hits as a column, made beside the rows."""
     arrow_id = to_arrow_type(id_type)
-    block_rows, share_rows = (max(1, size // (8 * max(1, dim))) for size in (p.block_bytes, p.share_bytes))
+    block_rows = max(1, p.block_bytes // (8 * max(1, dim)))
+    share_rows = max(1, p.share_bytes // (8 * (max(1, dim) + HIT_WORDS * p.k)))
     columns = [c for c in ("id", "vec", "tags") if c in blocks.names]
 
     def score(share: list[pa.Array]) -> pa.Array:
@@ -195,7 +203,7 @@ def _hits(blocks: Blocks, dim: int, p: KnnParams, id_type: T.DataType, vector: C
         best = _KBest(len(vec), p.k)
         for table in blocks.read(columns, block_rows):
             block = _Block(table, dim)
-            best.add(block, block.top(vectors, usable, asked, p))
+            best.add(block, block.top(vectors, usable, asked, p, best.sim[:, -1]))
         return best.lists(p.mode == "post", arrow_id)
 
     @F.arrow_udf(_hit_type(id_type))

@@ -188,3 +188,39 @@ def test_language_membership(values):
     wide = lambda c: knn.language_fits(c("l"), c("x"), True)
     assert values(rows, "l array<string>, x string", wide) == [True, False, True, False]
     assert F is not None
+
+
+def test_blocks_without_a_better_row_are_passed_over(monkeypatch):
+    rng = np.random.default_rng(5)
+    units = rng.normal(size=(200, 8))
+    known = np.concatenate([np.repeat(units[:4], 2, axis=0), units[4:]])
+    table = pa.table({"id": np.arange(len(known)), "vec": pa.array(known.tolist(), pa.list_(pa.float64()))})
+    asked, best, ranked = units[:4], knn._KBest(4, 2), []
+    asked = asked / np.linalg.norm(asked, axis=1)[:, None]
+    monkeypatch.setattr(knn, "_best", lambda sims, k, real=knn._best: ranked.append(len(sims)) or real(sims, k))
+    for at in range(0, len(known), 8):
+        block = knn._Block(table.slice(at, 8), 8)
+        best.add(block, block.top(asked, np.ones(4, bool), None, knn.KnnParams(k=2), best.sim[:, -1]))
+    assert ranked == [4] and best.id.tolist() == [[0, 1], [2, 3], [4, 5], [6, 7]]
+
+
+def test_a_share_counts_what_its_hits_take(monkeypatch):
+    seen = []
+    monkeypatch.setattr(knn, "in_shares", lambda batches, rows, work: seen.append(rows) or [])
+    monkeypatch.setattr(knn.F, "arrow_udf", lambda kind: lambda f: type("Call", (), {"asNondeterministic": lambda self: lambda *c: list(f(iter(())))})())
+    knn._hits(blocks.Blocks((), ("id", "vec")), 3, knn.KnnParams(k=5), knn.T.LongType(), None, None)
+    assert seen[0] * 5 * 8 * 8 <= knn.KnnParams().share_bytes
+
+
+def test_stored_blocks_are_read_as_streams(tmp_path):
+    """A block of a file with one large row group takes far less than its column."""
+    import pyarrow.parquet as pq
+    text = [uuid.uuid4().hex * 64 for _ in range(20000)]
+    pq.write_table(pa.table({"x": text}), tmp_path / "one", compression="none", use_dictionary=False)
+    del text
+    stored, most = blocks.Blocks((str(tmp_path / "one"),), ("x",)), 0
+    before = pa.total_allocated_bytes()
+    for table in stored.read(["x"], 10):
+        assert table.num_rows <= 10
+        most = max(most, pa.total_allocated_bytes() - before)
+    assert most < 15 << 20
