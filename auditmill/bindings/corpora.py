@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from auditmill import params as P
 from auditmill.bindings.registry import query, spread_table, sql_strip, table
 from auditmill.functions.lookup import to_csv
+from auditmill.functions.text import let
 from auditmill.operators import knowledge, segment
 from auditmill.session import store
 from auditmill.sources import catalogue, guides, rules
@@ -61,7 +62,11 @@ def _record_text():
             out = F.replace(out, F.lit(char), F.lit(entity))
         return out
 
-    body, lang = escaped(F.col("text")), F.col("lang")
+    return let(escaped(F.col("text")), _record_of)
+
+
+def _record_of(body):
+    lang = F.col("lang")
     name = F.when(lang == "de", " SQL Injection").otherwise(F.concat(F.lit(" &amp; &lt;"), lang, F.lit("&gt;")))
     languages = (
         F.when(lang == "en", '<Language Name="C++"/><Language Name="Python"/><Language Name="COBOL"/>')

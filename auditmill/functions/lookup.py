@@ -67,11 +67,13 @@ def mentioned(c: Column, bank: Sequence[tuple[str, Sequence[str]]] = P.LANGUAGE_
     # A word's edge after "+" is before a word character: c++11 names the language, "c++ " does not.
     def edged(word: str) -> str:
         return f"{word}(?={WORD})" if word.endswith("+") else f"{word}(?!{WORD})"
-    hits = [
-        F.when(c.rlike(rf"(?iu)(?<!{WORD})(?:{'|'.join(map(edged, words))})"), name)
-        for name, words in sorted(bank)
-    ]
-    return F.filter(F.array(*hits), lambda n: n.isNotNull())
+    def talks_of(words) -> Column:
+        return c.rlike(rf"(?iu)(?<!{WORD})(?:{'|'.join(map(edged, words))})")
+
+    hits = F.array(*[F.when(talks_of(words), name) for name, words in sorted(bank)])
+    # One pass for all words first: most texts have none.
+    return F.when(talks_of([w for _, words in bank for w in words]), F.filter(hits, lambda n: n.isNotNull())).otherwise(
+        F.array().cast("array<string>"))
 
 
 def file_language(path: Column, table: Mapping[str, str] = P.EXTENSION_LANGUAGES) -> Column:

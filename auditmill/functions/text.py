@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -9,12 +10,14 @@ from pyspark.sql import functions as F
 
 # Characters that Python calls white space, and the ones that end a line for it.
 BLANK = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if re.fullmatch(BLANK, c))
 LINE_END = r"\r\n|[\n-\r\x1c-\x1e\x85\u2028\u2029]"
 
 
 def strip(c: Column) -> Column:
-    """Remove white space of any kind at both ends."""
-    return F.regexp_replace(c, rf"\A{BLANK}++|{BLANK}++\z", "")
+    """Remove white space of any kind at both ends. Only the ends are looked at: a regular expression would try every
+    position in between."""
+    return F.trim(c, F.lit(BLANKS))
 
 
 def normalize_newlines(c: Column) -> Column:

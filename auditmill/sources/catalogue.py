@@ -66,7 +66,7 @@ def _without_cdata(xml: Column) -> Column:
 
 
 def _pieces(xml: Column) -> Column:
-    return F.transform(F.split(_without_cdata(xml), r"<!--|-->|<[^>]*+>", -1), lambda p: strip(_decoded(p)))
+    return F.transform(F.split(_without_cdata(xml), r"(?=[<-])(?:<(?:!--|[^>]*+>)|-->)", -1), lambda p: strip(_decoded(p)))
 
 
 def flat_text(xml: Column) -> Column:
@@ -87,13 +87,18 @@ def _child(xml: Column, name: str) -> Column:
     """Content of the first child of that name of the element the text starts with."""
     sibling = r"(?:<!--.*?-->|<([\w:.-]+)(?:\s[^>]*+)?(?:(?<=/)>|(?<!/)>.*?</\1>))\s*"
     return F.regexp_extract(
-        xml, rf"(?s)\A<[\w:.-]+{ATTRIBUTES}*+\s*>[^<]*(?:{sibling})*?<{name}(?:\s[^>]*+)?(?<!/)>(.*?)</{name}>", 2)
+        xml, rf"(?s)\A<[\w:.-]+{ATTRIBUTES}*+\s*>[^<]*(?:{sibling})*?<{name}(?:\s[^>]*+)?(?<!/)>({_up_to_end(name)})</{name}>", 2)
+
+
+def _up_to_end(tag: str) -> str:
+    """What stands before the next end tag of a name, in long steps."""
+    return rf"[^<]*+(?:<(?!/{tag}>)[^<]*+)*+"
 
 
 def _elements(xml: Column, tag: str, attribute: str = "") -> Column:
     """All elements of a name as text; `attribute` is a regex its start tag must hold."""
     wanted = rf"(?=[^>]*{attribute})" if attribute else ""
-    return F.regexp_extract_all(xml, F.lit(rf"(?s)<{tag}(?=[\s>]){wanted}[^>]*(?<!/)>.*?</{tag}>"), F.lit(0))
+    return F.regexp_extract_all(xml, F.lit(rf"<{tag}(?=[\s>]){wanted}[^>]*(?<!/)>{_up_to_end(tag)}</{tag}>"), F.lit(0))
 
 
 def _cut_texts(elements: Column, limit: int) -> Column:

@@ -63,3 +63,11 @@ def test_file_languages_and_severities(values):
 def test_plus_plus_counts_before_a_word_character(values):
     rows = [("Use C++11 here",), ("C++ and more",), ("cpp",), ("xc++1",)]
     assert values(rows, "a string", lambda c: lookup.mentioned(c("a"))) == [["c", "cpp"], ["c"], ["cpp"], []]
+
+
+def test_most_texts_are_searched_for_words_once(spark):
+    from pyspark.sql import functions as F
+    plan = spark.range(1).select(lookup.mentioned(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
+    assert all(word in plan.split(" THEN ")[0] for word in ("python", "golang", "rails")), "one search for all words comes first"
+    rows = spark.createDataFrame([("none here",), ("Go and c++11",), (None,), ("",)], "t string")
+    assert [r[0] for r in rows.select(lookup.mentioned(F.col("t"))).collect()] == [[], ["c", "cpp", "go"], [], []]

@@ -76,3 +76,13 @@ def test_small_forms(values):
     assert values([(0.29,), (0.999,), (1.0,)], "p double", lambda c: text.percent(c("p"))) == [28, 99, 100]
     joined = lambda c: text.join_parts([c("a"), F.lit(None), F.lit(""), F.lit("z")], "-")
     assert values([("a",), (None,)], "a string", joined) == ["a-z", "z"]
+
+
+def test_white_space_is_taken_off_the_ends_only(values):
+    """By a trim, which looks at the ends: a regular expression tried every blank in between."""
+    from auditmill.functions import text
+    ends = "\t \x0b\x1c\x1f\x85\xa0     　\r\n"
+    rows = [(ends + "a" + ends + "b" + ends,), (ends,), ("​x",), ("",), (None,)]
+    assert values(rows, "a string", lambda c: text.strip(c("a"))) == ["a" + ends + "b", "", "​x", "", None]
+    from pyspark.sql import functions as F
+    assert "regexp" not in str(text.strip(F.col("a")))
