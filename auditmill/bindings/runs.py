@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from auditmill import params as P
 from auditmill.bindings.corpora import LINES, _braced
-from auditmill.bindings.registry import query, table
+from auditmill.bindings.registry import query, spread_table, table
 from auditmill.operators import hooks, segment
 from auditmill.plans import scan
 
@@ -88,7 +88,7 @@ def audit_language(spark, sf):
     """A run over a language that the caller adds, with its own rule of what a function is, and with shorter notes than usual."""
     rule = segment.BracedLanguage(segment.BRACED["c"].blanks, (segment.Head("function", r"fn\s+(\w+)\s*\([^(){}]*\)[^{};]*\{"),))
     pieces = F.transform(F.split("text", "\n", -1), lambda line, i: F.concat(F.lit("fn f"), i.cast("string"), F.lit("(a: u8) -> u8 {\n  // "), line, F.lit("\n}")))
-    files = table(spark, sf, "documents").select(
+    files = spread_table(spark, sf, "documents", "doc_id", "text").select(
         F.concat(F.lit("src/"), F.col("doc_id").cast("string")).alias("path"), F.lit("rust").alias("language"), F.array_join(pieces, "\n").alias("content"))
     first = table(spark, sf, "benchmark").orderBy("item_id").limit(1)
     items = first.select(

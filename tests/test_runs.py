@@ -149,3 +149,24 @@ def test_report_with_time_and_footer(spark, tmp_path):
     report.write_report(found, str(tmp_path / "r.md"), labels=P.ReportLabels(heading="H", made="made today", footer="the end"))
     text = read(str(tmp_path / "r.md"))
     assert text.startswith("# H\n\nmade today\n") and text.endswith("---\n\nthe end\n\n")
+
+
+def test_findings_of_one_id_are_dealt_to_many_tasks(spark):
+    from auditmill.operators import findings
+    rows = spark.range(0, 4000, 1, 4).select(
+        F.lit("CWE-1").alias("cwe_id"), F.col("id").alias("line_start"), F.col("id").alias("line_end"), F.lit("HIGH").alias("severity"),
+        F.lit(0.9).alias("confidence"), F.concat(F.lit("f"), F.col("id").cast("string")).alias("file_path"))
+    ids = spark.createDataFrame([("CWE-1",), ("CWE-1",), (None,)], "cwe_id string")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        checked = findings.check(rows, ids).withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(checked) == 4000 and len({r.part for r in checked}) > 8
+    assert [r.line_start for r in checked if r.reason] == [0]
+    few = findings.check(rows.limit(3).withColumn("cwe_id", F.lit(None).cast("string")), ids)
+    assert [r.reason for r in few.collect()] == ["unknown_id"] * 3
