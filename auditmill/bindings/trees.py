@@ -4,7 +4,6 @@ import sys
 import uuid
 from functools import reduce
 
-import pandas as pd
 import pyspark.cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +13,7 @@ from auditmill.bindings.registry import query, spread_table, sql_strip, table
 from auditmill.functions.lookup import to_csv
 from auditmill.operators import knowledge, versions
 from auditmill.plans import index
-from auditmill.session import shared_folder, store
+from auditmill.session import bound_batches, shared_folder, store
 from auditmill.sources import catalogue, files, guides, rules
 from auditmill.sources import trees as trees_source
 
@@ -26,11 +25,11 @@ def _new_folder(spark):
 def _write_files(batches):
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
-            fs, inner = files.open_path(path)
+            fs, inner = files.open_path(path.as_py())
             fs.create_dir(inner.rpartition("/")[0], recursive=True)
             with fs.open_output_stream(inner) as out:
-                out.write(content.encode("utf-8"))
-        yield pd.DataFrame({"path": batch["path"]})
+                out.write(content.as_buffer())  # the text's bytes as they lie in the batch
+        yield batch.select(["path"])
 
 
 def _write_tree(spark, texts):
@@ -38,7 +37,8 @@ def _write_tree(spark, texts):
     their own, so tasks write the files; a task that is run again writes the same ones."""
     root = _new_folder(spark)
     placed = texts.select(F.concat(F.lit(f"{root}/"), "rel_path").alias("path"), "content")
-    placed.mapInPandas(_write_files, "path string").write.format("noop").mode("overwrite").save()
+    bound_batches(spark)
+    placed.mapInArrow(_write_files, "path string").write.format("noop").mode("overwrite").save()
     return root
 
 

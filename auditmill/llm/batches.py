@@ -1,15 +1,5 @@
 """Limits of the Arrow batches that operators on long texts work on."""
 
-from __future__ import annotations
+from auditmill.session import BATCH_LIMITS, bound_batches
 
-from pyspark.sql import SparkSession
-
-# Few rows and bytes, so that a task holds some megabytes at a time.
-BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Set the limits of Arrow batches that the session leaves open."""
-    for name, value in BATCH_LIMITS.items():
-        if spark.conf.get(name, None) is None:
-            spark.conf.set(name, value)
+__all__ = ["BATCH_LIMITS", "bound_batches"]

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Limits of Arrow batches of long texts: few rows and bytes, so that a task holds some megabytes at a time.
+BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
+
 
 def build_session(cores: str = "*", shuffle_partitions: int | None = None) -> SparkSession:
     """A local session for tests and the benchmark; a cluster brings its own."""
@@ -36,6 +39,13 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Set the limits of Arrow batches that the session leaves open."""
+    for name, value in BATCH_LIMITS.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, value)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for stored stages that driver and executors share.
 

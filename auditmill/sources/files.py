@@ -19,12 +19,12 @@ from auditmill import params as P
 from auditmill import schemas
 from auditmill.functions.lookup import file_language
 from auditmill.functions.text import decode_text, suffix
-from auditmill.session import store
+from auditmill.session import bound_batches, store
 from auditmill.sources.ignore import is_ignored
 from auditmill.sources.trees import listing, open_path
 
 READ_TARGET_BYTES = 128 * 1024 * 1024
-READ_BATCH_BYTES = 32 * 1024 * 1024
+READ_BATCH_BYTES = 4 * 1024 * 1024
 
 
 def _info(path: str) -> arrow_fs.FileInfo:
@@ -63,6 +63,7 @@ def read_listed(chosen: DataFrame) -> DataFrame:
     stored = store(chosen.select("path", "rel_path", "size_bytes"))
     size = stored.agg(F.sum("size_bytes")).first()[0] or 0
     tasks = max(stored.sparkSession.sparkContext.defaultParallelism, -(-size // READ_TARGET_BYTES))
+    bound_batches(stored.sparkSession)
     read = stored.repartition(tasks).mapInArrow(_read_files, "path string, rel_path string, size_bytes bigint, content binary")
     return read.withColumn("content", decode_text(F.col("content")))
 

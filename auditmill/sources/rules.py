@@ -19,6 +19,7 @@ from auditmill import params as P
 from auditmill import schemas
 from auditmill.functions.lookup import canonical_names, first_truthy, weakness_id
 from auditmill.functions.text import join_parts, labelled, let, stem, strip
+from auditmill.session import bound_batches
 from auditmill.sources.files import load_texts
 
 
@@ -47,6 +48,7 @@ def _rules_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def explode_rules(files: DataFrame) -> DataFrame:
     """One row per rule, `rule` as VARIANT. Files under or named `test*` are left out."""
+    bound_batches(files.sparkSession)
     in_tests = F.exists(F.split("rel_path", "/"), lambda p: F.startswith(p, F.lit("test")))
     raw = files.filter(~in_tests).select("path", "rel_path", "content").mapInPandas(
         _rules_of, "path string, rel_path string, rule_no bigint, rule string")

@@ -156,3 +156,17 @@ def test_only_names_and_sizes_are_needed_to_select(spark):
     assert [r["language"] for r in files.select_files(table).collect()] == ["python"]
     assert files.select_files(table, ["go"]).count() == 0
     assert files.select_files(table, max_bytes=2).filter(F.lit(True)).count() == 0
+
+
+def test_files_are_read_in_batches_of_some_megabytes(spark, tmp_path):
+    import pyarrow as pa
+
+    from auditmill.session import BATCH_LIMITS
+    from auditmill.sources import files
+    (tmp_path / "f").write_bytes(b"x" * (1 << 20))
+    names = [str(tmp_path / "f")] * 40
+    listed = pa.RecordBatch.from_arrays([pa.array(names), pa.array(names), pa.array([1 << 20] * 40)], names=["path", "rel_path", "size_bytes"])
+    sizes = [b.nbytes for b in files._read_files(iter([listed]))]
+    assert len(sizes) > 4 and max(sizes) < 10 << 20
+    files.read_listed(spark.createDataFrame([(names[0], "f", 1)], "path string, rel_path string, size_bytes bigint"))
+    assert all(spark.conf.get(name, None) for name in BATCH_LIMITS)
