@@ -15,10 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditmill.functions.vectors import vector_or_zero
+from auditmill.session import bound_batches
 
 Embedder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 Detector = Callable[[list[dict]], str]
 
+DETECT_ROWS = 256   # messages that are Python objects at a time
 EMPTY_REPLY = '{"findings": []}'
 
 
@@ -54,14 +56,17 @@ def detect(prompts: DataFrame, detector: Detector, attempt: int = 1) -> DataFram
     Only the messages go to Python. Store the result before it is used twice: a lazy table
     would call the model again for each use."""
 
+    bound_batches(prompts.sparkSession)
+
     @F.arrow_udf("string")
     def call(batch: pa.Array) -> pa.Array:
         replies = []
-        for messages in batch.to_pylist():
-            try:
-                replies.append(str(detector(messages)))
-            except Exception:
-                replies.append(EMPTY_REPLY)
+        for at in range(0, len(batch), DETECT_ROWS):
+            for messages in batch.slice(at, DETECT_ROWS).to_pylist():
+                try:
+                    replies.append(str(detector(messages)))
+                except Exception:
+                    replies.append(EMPTY_REPLY)
         return pa.array(replies, pa.string())
 
     return prompts.withColumn("attempt", F.lit(attempt)).withColumn("raw", call("messages"))

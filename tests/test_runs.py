@@ -170,3 +170,39 @@ def test_findings_of_one_id_are_dealt_to_many_tasks(spark):
     assert [r.line_start for r in checked if r.reason] == [0]
     few = findings.check(rows.limit(3).withColumn("cwe_id", F.lit(None).cast("string")), ids)
     assert [r.reason for r in few.collect()] == ["unknown_id"] * 3
+
+
+def test_messages_become_objects_some_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    from auditmill.operators import hooks
+    made = []
+    monkeypatch.setattr(hooks.F, "arrow_udf", lambda kind: lambda f: made.append(f) or (lambda *c: F.lit(None)))
+
+    class Frame:
+        sparkSession = type("S", (), {"conf": type("C", (), {"get": staticmethod(lambda *a: "1")})})
+
+        def withColumn(self, *a):
+            return self
+
+    with monkeypatch.context() as m:
+        m.setattr(hooks.F, "lit", lambda x: x)
+        hooks.detect(Frame(), lambda messages: messages[0]["content"])
+    most, kind = [], pa.list_(pa.struct([("role", pa.string()), ("content", pa.string())]))
+
+    class Batch:
+        def __init__(self, rows):
+            self.rows = rows
+
+        def __len__(self):
+            return len(self.rows)
+
+        def slice(self, at, n):
+            return Batch(self.rows.slice(at, n))
+
+        def to_pylist(self):
+            most.append(len(self.rows))
+            return self.rows.to_pylist()
+
+    rows = pa.array([[{"role": "user", "content": str(i)}] for i in range(1000)], kind)
+    assert made[0](Batch(rows)).to_pylist() == [str(i) for i in range(1000)] and max(most) <= 256
