@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 # Characters that Python calls white space, and the ones that end a line for it.
 BLANK = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 BLANKS = "".join(c for c in map(chr, range(0x3001)) if re.fullmatch(BLANK, c))
-LINE_END = r"\r\n|[\n-\r\x1c-\x1e\x85\u2028\u2029]"
+LINE_END = r"[\n-\r\x1c-\x1e\x85\u2028\u2029](?:(?<=\r)\n)?+"   # one class to try at each position, and no alternatives
 
 
 def strip(c: Column) -> Column:

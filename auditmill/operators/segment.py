@@ -171,16 +171,26 @@ PYTHON_BLANKS = f"{_TRIPLE}|{_DOUBLE}|{_SINGLE}|{_HASH}"
 BLOCKS = "array<struct<kind:string,name:string,line_start:int,line_end:int,code:string>>"
 
 
+def _swap(text: Column, chars: str, by: str) -> Column:
+    """The text with each of a few characters replaced. `translate` makes an object of every character of the text."""
+    for c in chars:
+        text = F.replace(text, F.lit(c), F.lit(by))
+    return text
+
+
 def blank_literals(text: Column, literals: str) -> Column:
     """The text with literals filled up and comments made blank; line ends stay in place."""
-    known = F.translate(text, MARKS, "???")
+    known = _swap(text, MARKS, "?")
     pieces = F.regexp_extract_all(known, F.lit(rf"{literals}|[^\"'`/#]++|[\s\S]"), F.lit(0))
 
+    def fill(piece: Column, by: str) -> Column:
+        return F.when(F.contains(piece, F.lit("\n")), F.regexp_replace(piece, r"[^\n]", by)).otherwise(F.repeat(F.lit(by), F.length(piece)))
+
     def cover(piece: Column) -> Column:
         return (
-            F.when(piece.rlike(r"\A(?:[\"'`]|/[^/*])"), F.regexp_replace(piece, r"[^\n]", FILL))  # a slash that divides stands alone
-            .when(piece.rlike(r"\A(?:#|//|/\*)") & piece.rlike(rf"\A(?:{literals})"),
-                  F.regexp_replace(piece, r"[^\n]", " "))
+            F.when(~F.left(piece, F.lit(1)).isin('"', "'", "`", "/", "#"), piece)  # most of the text, and no match of a literal
+            .when(piece.rlike(r"\A(?:[\"'`]|/[^/*])"), fill(piece, FILL))  # a slash that divides stands alone
+            .when(piece.rlike(r"\A(?:#|//|/\*)") & piece.rlike(rf"\A(?:{literals})"), fill(piece, " "))
             .otherwise(piece)
         )
 
@@ -188,31 +198,40 @@ def blank_literals(text: Column, literals: str) -> Column:
 
 
 def _count(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+    return F.length(text) - F.length(_swap(text, chars, ""))
+
+
+def _tail(text: Column) -> Column:
+    """How many characters follow the last line end."""
+    return F.length(F.substring_index(text, "\n", -1))
 
 
 def braced_blocks(text: Column, language: BracedLanguage) -> Column:
     """Blocks of a file in a language with braces."""
-    head = rf"(?<![\w$.])(?=[\w$@(<~#])(?:{'|'.join(h.regex for h in language.heads)})"
+    head = rf"(?=[\w$@(<~#])(?<![\w$.])(?:{'|'.join(h.regex for h in language.heads)})"
     marked = F.regexp_replace(blank_literals(text, language.blanks), head, f"{HEAD_START}$0{HEAD_END}")
     # \G: after the last token the search ends at once and does not try every later position.
     pieces = F.regexp_extract_all(
         marked, F.lit(rf"\G[^{{}}{HEAD_START}]*+(?:{HEAD_START}[^{HEAD_END}]*+{HEAD_END}|[{{}}])"), F.lit(0))
 
     def token(piece: Column) -> Column:
-        plain = F.translate(piece, MARKS, FILL)
-        return F.struct(
+        before = F.substring_index(piece, HEAD_START, 1)
+        return let(_swap(piece, HEAD_START + HEAD_END, ""), lambda plain: F.struct(
             F.length(plain).alias("size"),
             _count(plain, "\n").alias("lines"),
+            _tail(plain).alias("tail"),
             F.right(plain, F.lit(1)).alias("last"),
             F.regexp_extract(piece, rf"{HEAD_START}([^{HEAD_END}]*+){HEAD_END}", 1).alias("head"),
-        )
+            F.contains(before, F.lit("\n")).alias("new_line"),
+            _tail(before).alias("margin"),
+        ))
 
     tokens = F.transform(pieces, token)
-    found = "array<struct<head:string,start:int,stop:int,line_start:int,line_end:int>>"
+    found = "array<struct<head:string,margin:int,size:int,line_start:int,line_end:int>>"
+    # `column` and `margin`: how many characters stand before this place, or before the block, in its line.
     zero = F.struct(
-        F.lit(0).alias("at"), F.lit(1).alias("line"), F.lit(0).alias("depth"),
-        F.lit("").alias("head"), F.lit(0).alias("start"), F.lit(0).alias("line_start"),
+        F.lit(0).alias("at"), F.lit(1).alias("line"), F.lit(0).alias("column"), F.lit(0).alias("depth"),
+        F.lit("").alias("head"), F.lit(0).alias("start"), F.lit(0).alias("margin"), F.lit(0).alias("line_start"),
         F.array().cast(found).alias("done"),
     )
 
@@ -222,39 +241,43 @@ def braced_blocks(text: Column, language: BracedLanguage) -> Column:
         single = opens & (t["last"] != "{")
         closes = (s["depth"] == 1) & (t["last"] == "}")
         start = F.when(opens, at - F.length(t["head"])).otherwise(s["start"])
+        margin = F.when(~opens, s["margin"]).when(t["new_line"], t["margin"]).otherwise(s["column"] + t["margin"])
         line_start = F.when(opens, line - _count(t["head"], "\n")).otherwise(s["line_start"])
         text_head = F.when(opens, t["head"]).otherwise(s["head"])
         change = F.when(t["last"] == "{", 1).when(t["last"] == "}", -1).otherwise(0)
         block = F.struct(
-            text_head.alias("head"), start.alias("start"), at.alias("stop"),
+            text_head.alias("head"), margin.alias("margin"), (at - start).alias("size"),
             line_start.alias("line_start"), line.alias("line_end"),
         )
         return F.struct(
             at.alias("at"),
             line.alias("line"),
+            F.when(t["lines"] > 0, t["tail"]).otherwise(s["column"] + t["tail"]).alias("column"),
             F.when((s["depth"] > 0) | opens, s["depth"] + change).otherwise(0).alias("depth"),
             text_head.alias("head"),
             start.alias("start"),
+            margin.alias("margin"),
             line_start.alias("line_start"),
             F.when(single | closes, F.concat(s["done"], F.array(block))).otherwise(s["done"]).alias("done"),
         )
 
     blocks = F.aggregate(tokens, zero, step, lambda s: s["done"])
 
-    def describe(block: Column) -> Column:
+    def describe(block: Column, lines: Column) -> Column:
         kind, name = F.lit("class"), F.lit(ANONYMOUS)
         for h in reversed(language.heads):
             fits = block["head"].rlike(rf"\A(?:{h.regex})\z")
             label = F.regexp_extract(block["head"], rf"\A(?:{h.regex})\z", 1) if h.named else F.lit("")
             kind = F.when(fits, h.kind).otherwise(kind)
             name = F.when(fits, F.when(label != "", label).otherwise(ANONYMOUS)).otherwise(name)
+        # Cut from its own lines: a position in the whole text is found by counting from the first character.
+        own = F.array_join(F.slice(lines, block["line_start"], block["line_end"] - block["line_start"] + 1), "\n")
         return F.struct(
             kind.alias("kind"), name.alias("name"), block["line_start"].alias("line_start"),
-            block["line_end"].alias("line_end"),
-            F.substring(text, block["start"] + 1, block["stop"] - block["start"]).alias("code"),
+            block["line_end"].alias("line_end"), F.substring(own, block["margin"] + 1, block["size"]).alias("code"),
         )
 
-    return F.transform(blocks, describe)
+    return let(F.split(text, "\n", -1), lambda lines: F.transform(blocks, lambda block: describe(block, lines)))
 
 
 def indented_blocks(text: Column, start: str, literals: str) -> Column:

@@ -165,3 +165,16 @@ def test_a_further_language(spark):
         "path string, language string, content string")
     rows = segment.segment_files(files, braced={"rust": rust}, indented={"tabbed": r"^([ \t]*)(fun)[ \t]+(\w+)"}).collect()
     assert sorted((r["name"], r["line_start"], r["line_end"]) for r in rows) == [("a", 1, 2), ("b", 3, 4), ("go", 2, 4)]
+
+
+def test_blocks_are_cut_from_their_own_lines(spark):
+    rows = [("a.js", "javascript", "😀; a = 'é}'; function f(x) {\n  // }\n} function g() { return 1 }; /* }\n} */ class A {\r\n}\n"),
+            ("b.c", "c", "int a; static\nint *h(int a) {\n  return '}'; }"),
+            ("c.go", "go", None)]
+    chunks = segment.segment_files(spark.createDataFrame(rows, "path string, language string, content string"))
+    assert [(r["file_path"], r["line_start"], r["line_end"], r["code"]) for r in chunks.orderBy("file_path", "ordinal" if "ordinal" in chunks.columns else "line_end").collect()] == [
+        ("a.js", 1, 3, "function f(x) {\n  // }\n}"), ("a.js", 3, 3, "function g() { return 1 }"), ("a.js", 4, 5, "class A {\r\n}"),
+        ("b.c", 1, 3, "static\nint *h(int a) {\n  return '}'; }"), ("c.go", 1, 1, None)]
+    plan = chunks._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate(" not in plan, "an object for every character"
+    assert "substring(content" not in plan, "counts from the first character of the file for every block"
