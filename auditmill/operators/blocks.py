@@ -52,20 +52,25 @@ def store_blocks(rows: DataFrame, order: str) -> tuple[Blocks, DataFrame]:
 
 
 def in_shares(batches: Iterator[tuple[pa.Array, ...]], rows: int, work: Callable[[list[pa.Array]], pa.Array]) -> Iterator[pa.Array]:
-    """Run `work` over shares of at most `rows` rows, or one batch, and give its result out batch by batch."""
+    """Run `work` over shares of at most `rows` rows, or one batch, and give its result out batch by batch.
+
+    The batches are let go once they are joined to a share, and `work` may take the columns out of its list to let go of
+    them too."""
     held, count = [], 0
 
     def done() -> Iterator[pa.Array]:
+        sizes = [len(batch[0]) for batch in held]
         columns = [pa.concat_arrays([b[i] for b in held]) for i in range(len(held[0]))]
+        held.clear()
         result, at = work(columns), 0
-        for batch in held:
-            yield result.slice(at, len(batch[0]))
-            at += len(batch[0])
+        for size in sizes:
+            yield result.slice(at, size)
+            at += size
 
     for batch in batches:
         if held and count + len(batch[0]) > rows:
             yield from done()
-            held, count = [], 0
+            count = 0
         held.append(batch)
         count += len(batch[0])
     if held:

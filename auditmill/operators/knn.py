@@ -65,10 +65,12 @@ def _unit(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
         for i, value in enumerate(column.to_pylist()):
             if value is not None and len(value) == dim:
                 raw[i] = value
-    raw = np.nan_to_num(raw)
+    # In place: `raw` is a copy of its own, and a second and third one would be the most that a task holds.
+    np.nan_to_num(raw, copy=False)
     length = np.sqrt(np.einsum("ij,ij->i", raw, raw))
     usable = length > 0
-    return raw / np.where(usable, length, 1.0)[:, None], usable
+    raw /= np.where(usable, length, 1.0)[:, None]
+    return raw, usable
 
 
 def _best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -195,12 +197,13 @@ def _hits(blocks: Blocks, dim: int, p: KnnParams, id_type: T.DataType, vector: C
 
     def score(share: list[pa.Array]) -> pa.Array:
         vec, tags = share
-        vectors, usable = _unit(vec, dim)
-        lengths = vec.value_lengths()
-        if dim and len(vec) > vec.null_count and not pa.compute.any(pa.compute.equal(lengths, dim)).as_py():
+        share.clear()
+        if dim and len(vec) > vec.null_count and not pa.compute.any(pa.compute.equal(vec.value_lengths(), dim)).as_py():
             raise ValueError(f"no query vector has the {dim} components of the knowledge vectors")
+        vectors, usable = _unit(vec, dim)
         asked = None if p.mode == "none" else tags.to_pylist()
-        best = _KBest(len(vec), p.k)
+        del vec, tags  # only the doubles are kept while the knowledge table passes
+        best = _KBest(len(vectors), p.k)
         for table in blocks.read(columns, block_rows):
             block = _Block(table, dim)
             best.add(block, block.top(vectors, usable, asked, p, best.sim[:, -1]))

@@ -224,3 +224,32 @@ def test_stored_blocks_are_read_as_streams(tmp_path):
         assert table.num_rows <= 10
         most = max(most, pa.total_allocated_bytes() - before)
     assert most < 15 << 20
+
+
+def test_vectors_are_held_once():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from auditmill.operators import blocks, knn
+    flat = np.arange(20_000 * 64, dtype=np.float32) - 1e5
+    flat[:2] = np.nan, np.inf
+    column = pa.ListArray.from_arrays(pa.array(np.arange(0, 20_001 * 64, 64, dtype=np.int32)), pa.array(flat))
+    tracemalloc.start()
+    units, usable = knn._unit(column, 64)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 1.7 * units.nbytes and usable.all()
+    assert np.isclose(np.linalg.norm(units[1:], axis=1), 1).all() and units[0, 0] == 0
+    assert flat[2] == 2 - 1e5, "the column is as it was"
+
+    def work(share):
+        held.append(pa.total_allocated_bytes() - before)
+        return pa.compute.greater(share[0], -1)
+
+    before, held, size = pa.total_allocated_bytes(), [], 8 * 50_000
+    batches = ((pa.array(list(range(at, at + 50_000)), pa.int64()),) for at in range(0, 400_000, 50_000))
+    out = [x for b in blocks.in_shares(batches, 200_000, work) for x in b.to_pylist()]
+    assert out == [True] * 400_000 and len(held) == 2
+    assert max(held) < 6 * size, "four batches as one, and the next one"
