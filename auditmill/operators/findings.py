@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 from auditmill import params as P
 
 FINDING_KEY = ("cwe_id", "file_path", "line_start", "line_end")
-SHARES = 128   # tasks that the findings of one id are dealt to
+SHARES = 128   # tasks that the findings of a heavy id are dealt to
+HEAVY = 256    # an id with more than one in so many of the findings is heavy
 
 
 def well_formed(severity: Column, confidence: Column) -> Column:
@@ -52,14 +53,24 @@ def reject_reason(min_confidence: float, known: Column) -> Column:
     )
 
 
+def heavy_ids(findings: DataFrame) -> list[int]:
+    """Hashes of the ids that more than one in HEAVY findings has; lighter ones may be among them, but at most HEAVY in all.
+
+    One pass over the ids, run at once: each task keeps HEAVY counters, which lose against ids that have none, so the driver
+    gets HEAVY numbers, however many ids there are."""
+    return findings.select(F.xxhash64("cwe_id").alias("id")).freqItems(["id"], 1 / HEAVY).first()[0]
+
+
 def check(findings: DataFrame, ids: DataFrame, min_confidence: float = 0.5) -> DataFrame:
     """All findings with severity in lower case and a `reason` (null if they pass).
 
-    Few ids may have nearly all findings. The ids, which are few and small, meet them in SHARES copies, and the findings of
-    one id are dealt to its copies, so no task gets all of them."""
+    Few ids may have nearly all findings. These heavy ids come in SHARES copies, and the findings of one are dealt to its
+    copies, so no task gets all of them. All other ids come once: there may be many, and Spark may broadcast them."""
     plain = [F.col(f.name) for f in findings.schema.fields if isinstance(f.dataType, T.AtomicType) and not isinstance(f.dataType, T.VariantType)]
-    copies = ids.select("cwe_id").distinct().select("cwe_id", F.lit(True).alias("_known"), F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("_share"))
-    dealt = findings.withColumn("_share", F.pmod(F.xxhash64(*plain), F.lit(SHARES)).cast("int"))
+    heavy = F.xxhash64("cwe_id").isin(*heavy_ids(findings))
+    shares = F.when(heavy, F.sequence(F.lit(0), F.lit(SHARES - 1))).otherwise(F.array(F.lit(0)))
+    copies = ids.select("cwe_id").distinct().select("cwe_id", F.lit(True).alias("_known"), F.explode(shares).alias("_share"))
+    dealt = findings.withColumn("_share", F.when(heavy, F.pmod(F.xxhash64(*plain), F.lit(SHARES)).cast("int")).otherwise(0))
     marked = dealt.join(copies, ["cwe_id", "_share"], "left").drop("_share")
     known = F.coalesce(F.col("_known"), F.lit(False))
     return (

@@ -206,3 +206,31 @@ def test_messages_become_objects_some_at_a_time(monkeypatch):
 
     rows = pa.array([[{"role": "user", "content": str(i)}] for i in range(1000)], kind)
     assert made[0](Batch(rows)).to_pylist() == [str(i) for i in range(1000)] and max(most) <= 256
+
+
+def test_ids_are_copied_only_where_many_findings_name_them(spark):
+    from auditmill.operators import findings
+    n = F.col("id")
+    name = F.when(n < 4000, "CWE-1").when(n < 5000, "none such").when(n >= 6000, F.concat(F.lit("CWE-"), (n - 4000).cast("string")))
+    rows = spark.range(0, 12000, 1, 4).select(  # one id with a third of the rows, an unknown one, rows without, 6000 ids with one each
+        name.alias("cwe_id"), F.lit("HIGH").alias("severity"), F.lit(0.9).alias("confidence"), (n + 1).alias("line_start"), (n + 1).alias("line_end"))
+    ids = spark.range(0, 12000, 1, 4).select(F.when(n > 0, F.concat(F.lit("CWE-"), (n % 6000).cast("string"))).alias("cwe_id"))
+    settings = ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")
+    before = {k: spark.conf.get(k) for k in settings}
+
+    def nodes(plan):
+        return [plan, *(x for i in range(plan.children().size()) for x in nodes(plan.children().apply(i)))]
+
+    try:
+        spark.conf.set(settings[0], "false")
+        for limit in ("1g", "-1"):
+            spark.conf.set(settings[1], limit)
+            checked = findings.check(rows, ids)
+            assert sorted((r.line_start, r.severity, r.reason) for r in checked.collect()) == [
+                (i + 1, "high", None if i < 4000 or 6000 <= i < 10000 else "unknown_id") for i in range(12000)]
+            sent = [x.metrics().apply("numOutputRows").value() for x in nodes(checked._jdf.queryExecution().executedPlan()) if x.nodeName() == "BroadcastExchange"]
+            assert len(sent) == (limit == "1g") and all(k < 50_000 for k in sent)  # 6000 ids, and 127 more of each of 256 at most
+        assert len(findings.heavy_ids(rows)) <= findings.HEAVY
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
